@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_files
+from . import bpe, line_dedup, token_files
 from .common import table
 
 
@@ -14,13 +14,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicate(documents)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
+}
