@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, quality_rules, token_files, warc
+from . import bpe, decontaminate, line_dedup, quality_rules, token_files, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.written_and_read(table(spark, sf_dir, "pages"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
+    "op3_decontaminate": op3_decontaminate,
     "op6_token_files": op6_token_files,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
