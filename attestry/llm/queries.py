@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, quality_model, quality_rules, token_files, warc
+from . import bpe, decontaminate, line_dedup, quality_model, quality_rules, token_files, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.written_and_read(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
+    "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_quality_model": op7_quality_model,
