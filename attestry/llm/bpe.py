@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -34,10 +35,12 @@ WHITE = "\t-\r \x85\xa0  -     　"
 _WHITE_RUN = regex.compile(f"[{WHITE}]+")
 #: str.split() would also cut at these four characters, which are no white space here.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: A comma or full stop between a letter and white space is a piece of its own.
+_CLOSED = re.compile("([a-zß-öø-ÿ])([.,])(?=[ \t\n\r])")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
-LEXICON_WORDS = 1 << 17
-MEMO_WORDS = 3 << 16
+LEXICON_WORDS = 1 << 18
+MEMO_WORDS = 3 << 17
 COUNTER_WORDS = 1 << 18
 
 
@@ -54,6 +57,20 @@ def split_white(text: str) -> list[str]:
     return text.split()
 
 
+def runs_of(text: str) -> list[str]:
+    """Runs whose ids, one after the other, are the ids of the text.
+
+    Runs are normalised where normalising them again would change nothing, with the comma
+    or full stop that closes a word apart, so that fewer different runs are met.  Special
+    tokens are found before any normalising, so texts that may hold one keep their runs.
+    """
+    if "<|" not in text:
+        plain = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        if plain.isascii() or unicodedata.is_normalized("NFC", plain):
+            return split_white(_CLOSED.sub(r"\1 \2", plain))
+    return split_white(text)
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte: itself where printable, else from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -235,7 +252,7 @@ class Encoder:
         return {run: tuple(chain.from_iterable(map(known.__getitem__, found))) for run, found in pieces.items()}
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.memo.recall(split_white(text))))
+        return list(chain.from_iterable(self.memo.recall(runs_of(text))))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.vocabulary.names.__getitem__, ids))
@@ -260,7 +277,7 @@ def word_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFram
 
         for batch in batches:
             for text in text_or_empty(batch, 0):
-                seen.update(split_white(text))
+                seen.update(runs_of(text))
                 if len(seen) > COUNTER_WORDS:
                     yield flush()
         yield flush()

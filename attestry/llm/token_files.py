@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, split_white
+from .bpe import default_vocabulary, runs_of
 from .common import Memo, shared_folder, text_or_empty, to_batch
 
 END_ID = 1
-MEMO_WORDS = 3 << 16
+MEMO_WORDS = 3 << 17
 SHARD_DOCUMENTS = 1 << 15
 HEADER = np.dtype([("shard", "<i4"), ("null", "<i4"), ("doc_id", "<i8"), ("count", "<i8"), ("data", "<i8")])
 MARK = 0x0A
@@ -83,7 +83,7 @@ class RunEncoder:
         The vocabulary splits at white space before anything else, so a text's ids are
         those of its runs one after the other.
         """
-        return b"".join(self.memo.recall(split_white(text)))
+        return b"".join(self.memo.recall(runs_of(text)))
 
 
 _ENCODERS: dict[str, RunEncoder] = {}
