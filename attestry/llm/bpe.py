@@ -19,7 +19,8 @@ import re
 import tempfile
 import unicodedata
 from collections import Counter
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{
 LEXICON_WORDS = 1 << 18
 MEMO_WORDS = 3 << 17
 COUNTER_WORDS = 1 << 18
+TOGETHER_RUNS = 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -254,6 +256,22 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.memo.recall(runs_of(text))))
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text; the lexicon is asked for the new words of many texts at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(runs_of(text))
+            size += len(held[-1])
+            if size > TOGETHER_RUNS:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, held: list[list[str]]) -> Iterator[list[int]]:
+        found = iter(self.memo.recall(list(chain.from_iterable(held))))
+        for runs in held:
+            yield list(chain.from_iterable(islice(found, len(runs))))
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.vocabulary.names.__getitem__, ids))
 
@@ -321,7 +339,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None, lexicon: Lexicon
     def run(batches):
         encoder = worker_encoder(path, name)
         for batch in batches:
-            yield to_batch(schema, (batch.column(0), [encoder.encode(t) for t in text_or_empty(batch)]))
+            yield to_batch(schema, (batch.column(0), list(encoder.encode_all(text_or_empty(batch)))))
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -351,8 +369,7 @@ def round_trip_digests(documents: DataFrame, vocabulary: str | None = None, lexi
         digits = encoder.vocabulary.digits
         for batch in batches:
             counts, first, second = [], [], []
-            for text in text_or_empty(batch):
-                ids = encoder.encode(text)
+            for ids in encoder.encode_all(text_or_empty(batch)):
                 counts.append(len(ids))
                 first.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 second.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
