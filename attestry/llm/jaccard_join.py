@@ -281,6 +281,7 @@ class Region:
         flag = np.zeros(self.width, bool)
         flag[self.number[self.bounds[pivot] : self.bounds[pivot + 1]]] = True
         common = np.bincount(self.owner, flag[self.number], len(self.n)).astype(np.int64)
+        common[pivot] = self.n[pivot]  # shingles that it alone holds are not in its list
         union = self.n + self.n[pivot] - common
         return 1 - common / union, linked(common, self.n, self.n[pivot])
 

@@ -37,7 +37,7 @@ VECTOR = 8
 HIDDEN = 8
 ATTENTION = 8
 #: At most so many labelled documents of each label are used.
-LABELLED_ROWS = 2500
+LABELLED_ROWS = 2000
 EPOCHS = 10
 #: Few labels are gone through more often, up to this many steps or epochs.
 LEAST_STEPS = 600
@@ -49,6 +49,7 @@ FOLDS, HELD_OUT = 5, 0
 MEMO_WORDS = 1 << 18
 TOGETHER_WORDS = 1 << 17
 BATCH_WINDOWS = 1 << 11
+TOGETHER_FEATURES = 1 << 14
 
 _SPACED = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -94,8 +95,13 @@ class Network:
 
     def inputs(self, features: WordFeatures) -> np.ndarray:
         """A row per word: its word vector, then the mean of its character vectors."""
-        sums = np.add.reduceat(self.chars[features.chars], features.starts[:-1], axis=0) if len(features.words) else np.zeros((0, VECTOR), np.float32)
-        return np.hstack((self.words[features.words], sums / features.counts[:, None])).astype(self.words.dtype)
+        rows = np.empty((len(features.words), 2 * VECTOR), self.words.dtype)
+        rows[:, :VECTOR] = self.words[features.words]
+        for low in range(0, len(rows), TOGETHER_FEATURES):
+            starts = features.starts[low : low + TOGETHER_FEATURES + 1]
+            sums = np.add.reduceat(self.chars[features.chars[starts[0] : starts[-1]]], starts[:-1] - starts[0], axis=0)
+            rows[low : low + TOGETHER_FEATURES, VECTOR:] = sums / np.diff(starts)[:, None]
+        return rows
 
     def states(self, side: str, projected: np.ndarray, mask: np.ndarray, tape: list | None = None) -> np.ndarray:
         """States (B, T, H) of one direction; ``tape`` receives what the backward pass needs."""
@@ -182,14 +188,24 @@ class WordFeatures:
 
     @classmethod
     def of(cls, words: list[str]) -> WordFeatures:
-        feature, starts = hashed(words, WORD_BUCKETS * CHAR_BUCKETS, CHAR_SIZES)
-        last = starts[1:] - 1  # the whole word comes last
-        return cls(feature[last] % WORD_BUCKETS, feature // WORD_BUCKETS, starts)
+        own, chars, starts = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for low in range(0, len(words), TOGETHER_FEATURES):
+            feature, begins = hashed(words[low : low + TOGETHER_FEATURES], WORD_BUCKETS * CHAR_BUCKETS, CHAR_SIZES)
+            own.append((feature[begins[1:] - 1] % WORD_BUCKETS).astype(np.int32))  # the whole word comes last
+            chars.append((feature // WORD_BUCKETS).astype(np.int32))
+            starts.append(begins[1:] + starts[-1][-1])
+        return cls(np.concatenate(own), np.concatenate(chars), np.concatenate(starts))
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.starts).astype(np.float32)
 
+    def chars_of(self, words: np.ndarray) -> np.ndarray:
+        """The character buckets of some words, one run after the other."""
+        lengths = self.starts[words + 1] - self.starts[words]
+        before = np.cumsum(lengths) - lengths
+        return self.chars[np.repeat(self.starts[words] - before, lengths) + np.arange(int(lengths.sum()))]
+
 
 @dataclass
 class Model:
@@ -225,16 +241,13 @@ class Model:
 
 def suspicion(features: WordFeatures, documents: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """How much more often each word's features stand in toxic documents: a first guess."""
-    owner = np.repeat(np.arange(len(features.words)), np.diff(features.starts))
     seen = np.zeros((2, CHAR_BUCKETS))
     for words, label in zip(documents, y, strict=True):
-        flag = np.zeros(len(features.words), bool)
-        flag[words] = True
-        seen[int(label), np.unique(features.chars[flag[owner]])] += 1
+        seen[int(label), np.unique(features.chars_of(np.unique(words)))] += 1
     documents_of = np.bincount(y, minlength=2)
     expected = seen.sum(axis=0) * documents_of[1] / max(1, len(y))
     surprise = (seen[1] - expected) / np.sqrt(expected + 1)
-    return np.maximum(np.maximum.reduceat(surprise[features.chars], features.starts[:-1]) - 1, 0)
+    return np.maximum(np.maximum.reduceat(surprise[features.chars], features.starts[:-1]) - 1, 0).astype(np.float32)
 
 
 def shared_buckets(features: WordFeatures, documents: list[np.ndarray]) -> list[np.ndarray]:
@@ -242,13 +255,11 @@ def shared_buckets(features: WordFeatures, documents: list[np.ndarray]) -> list[
 
     What one document alone has, or none, keeps a zero vector: it can't be learnt from.
     """
-    owner = np.repeat(np.arange(len(features.words)), np.diff(features.starts))
     counts = [np.zeros(WORD_BUCKETS, np.int32), np.zeros(CHAR_BUCKETS, np.int32)]
     for words in documents:
-        flag = np.zeros(len(features.words), bool)
-        flag[words] = True
-        counts[0][np.unique(features.words[flag])] += 1
-        counts[1][np.unique(features.chars[flag[owner]])] += 1
+        own = np.unique(words)
+        counts[0][np.unique(features.words[own])] += 1
+        counts[1][np.unique(features.chars_of(own))] += 1
     return [c > 1 for c in counts]
 
 
@@ -257,8 +268,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(net, constant=True)
     vocabulary: dict[str, int] = {}
-    documents = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    documents = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     features = WordFeatures.of(list(vocabulary))
+    del vocabulary
     shared = shared_buckets(features, documents)
     for vectors, known in zip((net.words, net.chars), shared, strict=True):
         vectors[~known] = 0
@@ -273,7 +285,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     owner = np.repeat(np.arange(len(documents)), [len(s) for s in starts])
     places = where[:, None] + steps
     mask_all = (places < begins[owner + 1][:, None]).astype(np.float32)
-    ids_all = np.append(flat, np.zeros(WINDOW, np.int64))[np.minimum(places, len(flat))]
+    ids_all = np.append(flat, np.zeros(WINDOW, np.int32))[np.minimum(places, len(flat))]
+    del places
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     squares = [np.full(n, 1e-6, np.float32) for n in (WORD_BUCKETS, CHAR_BUCKETS)]
     # windows of one document are adjacent: the worst is the maximum of its run
@@ -303,11 +316,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             ids, inverse = np.unique(ids_all[rows], return_inverse=True)
             inverse = inverse.reshape(len(rows), WINDOW)
             lens = np.diff(features.starts)[ids]
-            local = WordFeatures(
-                features.words[ids],
-                features.chars[np.repeat(features.starts[ids], lens) + np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)],
-                np.concatenate(([0], np.cumsum(lens))),
-            )
+            local = WordFeatures(features.words[ids], features.chars_of(ids), np.concatenate(([0], np.cumsum(lens))))
             x = net.inputs(local)
             mask = mask_all[rows]
             g, dx, _ = net.gradients(x[inverse], mask, target[part], weight[part])
@@ -328,7 +337,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
                 square[touched] += (sums**2).mean(axis=1)
                 vectors[touched] -= 12 * rate * sums / np.sqrt(square[touched])[:, None]
     model = Model(net)
-    logits = model.document_logits(net.inputs(features)[flat], lengths)
+    rows = net.inputs(features)
+    logits = np.concatenate([model.document_logits(rows[flat[begins[k] : begins[min(k + 256, len(lengths))]]], lengths[k : k + 256]) for k in range(0, len(lengths), 256)])
     model.shift = -best_cut(logits, labels)
     return model
 
