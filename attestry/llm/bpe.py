@@ -73,6 +73,11 @@ def runs_of(text: str) -> list[str]:
     return split_white(text)
 
 
+def count_pieces(run: str) -> int:
+    """Words of a normalised run, by the vocabulary's split pattern."""
+    return len(_PIECE.findall(run))
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte: itself where printable, else from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

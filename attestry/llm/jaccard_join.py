@@ -144,15 +144,15 @@ def document_sets(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long")
 
 
-def keys(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+def keys(hashes: np.ndarray, ranks: np.ndarray, hot: int = HOT) -> np.ndarray:
     """Rank and hash in one positive number; its order is the global order of shingles."""
-    return ((np.minimum(ranks, HOT).astype(np.uint64) << np.uint64(57)) | (hashes >> np.uint64(7))).view(np.int64)
+    return ((np.minimum(ranks, hot).astype(np.uint64) << np.uint64(57)) | (hashes >> np.uint64(7))).view(np.int64)
 
 
 _ENTRY = np.dtype([("hash", "<u8"), ("sig", "<i8")])
 
 
-def shared_shingles(documents: DataFrame, buckets: int) -> DataFrame:
+def shared_shingles(documents: DataFrame, buckets: int, hot: int = HOT, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """(sig, key) of every shingle that two different sets or more hold."""
     edges = np.array([((k + 1) << 64) // buckets for k in range(buckets - 1)], np.uint64)
 
@@ -164,21 +164,21 @@ def shared_shingles(documents: DataFrame, buckets: int) -> DataFrame:
             hashes, sigs = hashes[order], sigs[order]
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
             counts = np.diff(np.append(first, len(hashes)))
-            hot = np.repeat(counts >= HOT, counts)
-            if hot.any():
-                known = np.zeros(int(hot.sum()), _ENTRY)
-                known["hash"], known["sig"] = keys(hashes[hot], np.full(len(known), HOT)).view(np.uint64), sigs[hot]
+            many = np.repeat(counts >= hot, counts)
+            if many.any():
+                known = np.zeros(int(many.sum()), _ENTRY)
+                known["hash"], known["sig"] = keys(hashes[many], np.full(len(known), hot), hot).view(np.uint64), sigs[many]
                 at = (_mix(known["sig"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 cuts = np.searchsorted(at[order], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
                     yield int(k), True, known[order[cuts[k] : cuts[k + 1]]].tobytes()
             # a hot shingle is sent once, with as many stand-ins as make it hot
-            marked = first[counts >= HOT]
-            entries = np.zeros(len(hashes) - int(hot.sum()) + len(marked), _ENTRY)
-            cold = ~hot
+            marked = first[counts >= hot]
+            entries = np.zeros(len(hashes) - int(many.sum()) + len(marked), _ENTRY)
+            cold = ~many
             cold[marked] = True
-            entries["hash"], entries["sig"] = hashes[cold], np.where(hot[cold], 0, sigs[cold])
+            entries["hash"], entries["sig"] = hashes[cold], np.where(many[cold], 0, sigs[cold])
             cuts = np.concatenate(([0], np.searchsorted(entries["hash"], edges), [len(entries)]))
             for k in np.flatnonzero(np.diff(cuts)):
                 part = entries[cuts[k] : cuts[k + 1]]
@@ -191,7 +191,7 @@ def shared_shingles(documents: DataFrame, buckets: int) -> DataFrame:
                 if len(hashes):
                     sets[signature(hashes)] = hashes
                     size += len(hashes)
-            if size > CHUNK_SHINGLES:
+            if size > chunk_shingles:
                 yield to_batch(schema, zip(*chunk(sets), strict=True))
                 sets, size = {}, 0
         if sets:
@@ -209,10 +209,10 @@ def shared_shingles(documents: DataFrame, buckets: int) -> DataFrame:
             hashes, sigs = hashes[new], sigs[new]
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
             sizes = np.diff(np.append(first, len(hashes)))
-            ranks = sizes + np.add.reduceat(np.where(sigs == 0, HOT, 0), first)
+            ranks = sizes + np.add.reduceat(np.where(sigs == 0, hot, 0), first)
             spread = np.repeat(ranks, sizes)
             kept = (spread > 1) & (sigs != 0)
-            return to_batch(schema, (sigs[kept], keys(hashes[kept], spread[kept])))
+            return to_batch(schema, (sigs[kept], keys(hashes[kept], spread[kept], hot)))
 
         now, parts = None, []
         for batch in batches:
@@ -239,7 +239,7 @@ def needed_overlap(n: F.Column) -> F.Column:
     return F.ceil(n * SIMILAR_PERCENT / F.lit(100)).cast("int")
 
 
-def open_sets(documents: DataFrame, sets: DataFrame) -> DataFrame:
+def open_sets(documents: DataFrame, sets: DataFrame, hot: int = HOT, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """(sig, n, shared, window): sets with so many shared shingles that a link is possible.
 
     ``shared`` holds the keys in order, and its first ``window`` ones are the regions that
@@ -247,7 +247,7 @@ def open_sets(documents: DataFrame, sets: DataFrame) -> DataFrame:
     """
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_SHINGLES))
-    rows = shared_shingles(documents, buckets)
+    rows = shared_shingles(documents, buckets, hot, chunk_shingles)
     grouped = rows.groupBy("sig").agg(F.array_sort(F.collect_set("key")).alias("shared"))
     sizes = sets.where("sig is not null").groupBy("sig").agg(F.max("n_shingles").cast("int").alias("n"))
     window = F.size("shared") - needed_overlap(F.col("n")) + 1
@@ -367,6 +367,7 @@ def meet(members: DataFrame, queries: DataFrame) -> DataFrame:
 
 def as_blocks(queries: DataFrame) -> DataFrame:
     """Query sets by region and block of bounded size."""
+    queries = queries.select("region", "sig", "n", "shared")
     counts = queries.groupBy("region").agg(F.count("*").alias("many"))
     block = F.pmod(F.xxhash64("sig"), F.ceil(2 * F.col("many") / QUERY_BLOCK))
     dealt = queries.join(counts, "region").withColumn("block", block)
@@ -390,22 +391,22 @@ def large_region_links(members: DataFrame) -> DataFrame:
     return first.unionAll(meet(members, as_blocks(queries)))
 
 
-def links(documents: DataFrame, sets: DataFrame) -> DataFrame:
+def links(documents: DataFrame, sets: DataFrame, hot: int = HOT, chunk_shingles: int = CHUNK_SHINGLES, region_texts: int = REGION_TEXTS) -> DataFrame:
     """(u, v): links between different sets, enough of them to join all that are linked."""
-    opened = stored(open_sets(documents, sets), "open-sets")
+    opened = stored(open_sets(documents, sets, hot, chunk_shingles), "open-sets")
     placed = stored(regions(opened), "regions")
     sizes = placed.groupBy("region").agg(F.count("*").alias("many"))
     members = stored(opened.select("sig", "n", "shared").join(placed, "sig").join(sizes, "region"), "members")
-    small = small_region_links(members.where(F.col("many") <= REGION_TEXTS))
+    small = small_region_links(members.where(F.col("many") <= region_texts))
     # pivots of a large region are drawn from a share of it that has some dozens of sets
-    large = members.where(F.col("many") > REGION_TEXTS).withColumn("share", F.greatest(F.lit(1), F.floor(F.col("many") / 64)))
+    large = members.where(F.col("many") > region_texts).withColumn("share", F.greatest(F.lit(1), F.floor(F.col("many") / 64)))
     return stored(small, "small-links").unionAll(stored(large_region_links(large), "large-links")) if not large.isEmpty() else stored(small, "small-links")
 
 
-def joined(documents: DataFrame) -> DataFrame:
+def joined(documents: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     sets = stored(document_sets(documents), "document-sets")
-    groups = components(links(documents, sets)).withColumnRenamed("node", "sig")
+    groups = components(links(documents, sets, **sizes)).withColumnRenamed("node", "sig")
     by_sig = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = by_sig.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

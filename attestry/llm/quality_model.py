@@ -28,7 +28,7 @@ from .word_features import hashed, means
 
 BUCKETS = 1 << 16
 DIMENSION = 8
-LABELLED_ROWS = 5000
+LABELLED_ROWS = 3000
 EPOCHS = 12
 RATE = 0.2
 THRESHOLD = 0.7
@@ -57,24 +57,25 @@ class Model:
         return means(words, self.bucket_scores)
 
 
-def document_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def document_features(texts: list[str], together: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, weights) of each text: its vector is the weighted sum of bucket vectors."""
-    counted = []
-    for text in texts:
-        words = words_of(text)
-        counted.append(Counter(words) + Counter({AGAIN: repeats(words)}))
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for c in counted for w in c))}
-    feature, starts = hashed(list(vocabulary), BUCKETS)
-    share = np.repeat(1 / np.diff(starts), np.diff(starts)) if len(vocabulary) else np.empty(0)
     rows = []
-    for counts in counted:
-        own = [vocabulary[w] for w in counts]
-        total = sum(counts.values()) or 1
-        at = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in own]) if own else np.empty(0, np.int64)
-        weight = np.repeat(np.fromiter(counts.values(), float, len(own)) / total, [starts[k + 1] - starts[k] for k in own])
-        sums = np.bincount(feature[at], weight * share[at], BUCKETS) if own else np.zeros(BUCKETS)
-        used = np.flatnonzero(sums)
-        rows.append((used.astype(np.int32), sums[used].astype(np.float32)))
+    for low in range(0, len(texts), together):
+        counted = []
+        for text in texts[low : low + together]:
+            words = words_of(text)
+            counted.append(Counter(words) + Counter({AGAIN: repeats(words)}))
+        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for c in counted for w in c))}
+        feature, starts = hashed(list(vocabulary), BUCKETS)
+        share = np.repeat(1 / np.diff(starts), np.diff(starts)) if len(vocabulary) else np.empty(0)
+        for counts in counted:
+            own = [vocabulary[w] for w in counts]
+            total = sum(counts.values()) or 1
+            at = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in own]) if own else np.empty(0, np.int64)
+            weight = np.repeat(np.fromiter(counts.values(), float, len(own)) / total, [starts[k + 1] - starts[k] for k in own])
+            sums = np.bincount(feature[at], weight * share[at], BUCKETS) if own else np.zeros(BUCKETS)
+            used = np.flatnonzero(sums)
+            rows.append((used.astype(np.uint16 if BUCKETS <= 1 << 16 else np.int32), sums[used].astype(np.float32)))
     return rows
 
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from posixpath import join
 
 import numpy as np
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, runs_of
+from .bpe import count_pieces, default_vocabulary, runs_of
 from .common import Memo, shared_folder, text_or_empty, to_batch
 
 END_ID = 1
-MEMO_WORDS = 3 << 17
-SHARD_DOCUMENTS = 1 << 15
+MEMO_WORDS = 1 << 18
+TOGETHER_RUNS = 1 << 16
+TOGETHER_NEW = 1 << 12
+SHARD_DOCUMENTS = 1 << 13
 HEADER = np.dtype([("shard", "<i4"), ("null", "<i4"), ("doc_id", "<i8"), ("count", "<i8"), ("data", "<i8")])
 MARK = 0x0A
 
@@ -70,12 +74,32 @@ class RunEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.memo = Memo(self.learn, MEMO_WORDS)
 
     def learn(self, runs: set[str]) -> dict[str, bytes]:
-        new = list(runs)
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return {run: np.array(found.ids, "<u4").tobytes() for run, found in zip(new, encoded, strict=True)}
+        """Ids of new runs.  Many go in one call and are told apart by the tokens that close
+        a word; where their number is not as expected, and for special tokens, one by one."""
+        known: dict[str, bytes] = {}
+        plain = [run for run in runs if "<|" not in run and (run.isascii() or runs_of(run) == [run])]
+        for at in range(0, len(plain), TOGETHER_NEW):
+            part = plain[at : at + TOGETHER_NEW]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            words = np.cumsum([1 if run.isalpha() else count_pieces(run) for run in part])
+            if len(ends) == words[-1]:
+                raw, begin = ids.tobytes(), 0
+                for run, end in zip(part, (4 * ends[words - 1]).tolist(), strict=True):
+                    known[run] = raw[begin:end]
+                    begin = end
+        rest = list(runs.difference(known))
+        for run, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[run] = np.array(found.ids, "<u4").tobytes()
+        return known
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
@@ -85,6 +109,22 @@ class RunEncoder:
         """
         return b"".join(self.memo.recall(runs_of(text)))
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text; new runs of many texts go to the library together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(runs_of(text))
+            size += len(held[-1])
+            if size > TOGETHER_RUNS:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, held: list[list[str]]) -> Iterator[bytes]:
+        found = iter(self.memo.recall(list(chain.from_iterable(held))))
+        for runs in held:
+            yield b"".join(islice(found, len(runs)))
+
 
 _ENCODERS: dict[str, RunEncoder] = {}
 
@@ -98,8 +138,8 @@ def encode_ids(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for text in text_or_empty(batch):
-                ids = np.frombuffer(encoder.encode(text) + last, "<u4")
+            for encoded in encoder.encode_all(text_or_empty(batch)):
+                ids = np.frombuffer(encoded + last, "<u4")
                 rows.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
             yield to_batch(schema, (batch.column(0), rows))
 
@@ -149,6 +189,7 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
     def frames(batches):
         from pyspark import TaskContext
 
+        _ENCODERS.clear()
         shard = TaskContext.get().partitionId()
         header = np.zeros(1, HEADER)
         for batch in batches:
