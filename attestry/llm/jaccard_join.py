@@ -11,8 +11,7 @@ Regions that share a text are joined to one; every link lies inside one joined r
 There, texts are pivots: a text within the join radius of a pivot is linked to it, and only
 texts that the triangle inequality leaves open are compared, recursively, until every text
 is linked or was a pivot.  Regions of more than ``REGION_TEXTS`` texts are not gathered:
-their texts meet some pivots, and the texts that those leave outside the main group are
-compared as blocks of queries against all rows of the region.
+rounds of pivots meet all their texts, until each text is in the main group or was a pivot.
 
 A shingle in ``HOT`` texts or more counts as hot; hot shingles come last and in order of
 their hash, so a task that has seen that many needs no other task to place them, and sends
@@ -39,12 +38,12 @@ from .components import components
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
 HOT = 63
+HASH_BITS = 56
 BUCKET_SHINGLES = 1 << 18
 CHUNK_SHINGLES = 1 << 20
 BATCH_BYTES = 1 << 22
 REGION_TEXTS = 256
 PIVOTS = 8
-QUERY_BLOCK = 64
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -145,8 +144,12 @@ def document_sets(documents: DataFrame) -> DataFrame:
 
 
 def keys(hashes: np.ndarray, ranks: np.ndarray, hot: int = HOT) -> np.ndarray:
-    """Rank and hash in one positive number; its order is the global order of shingles."""
-    return ((np.minimum(ranks, hot).astype(np.uint64) << np.uint64(57)) | (hashes >> np.uint64(7))).view(np.int64)
+    """Rank and hash in one positive number; its order is the global order of shingles.
+
+    ``hashes`` have ``HASH_BITS`` bits: two texts of a thousand shingles each have one in
+    common by chance once in 10^11 pairs.
+    """
+    return ((np.minimum(ranks, hot).astype(np.uint64) << np.uint64(HASH_BITS)) | hashes).view(np.int64)
 
 
 _ENTRY = np.dtype([("hash", "<u8"), ("sig", "<i8")])
@@ -154,11 +157,12 @@ _ENTRY = np.dtype([("hash", "<u8"), ("sig", "<i8")])
 
 def shared_shingles(documents: DataFrame, buckets: int, hot: int = HOT, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """(sig, key) of every shingle that two different sets or more hold."""
-    edges = np.array([((k + 1) << 64) // buckets for k in range(buckets - 1)], np.uint64)
+    edges = np.array([(k << HASH_BITS) // buckets for k in range(buckets + 1)], np.uint64)
+    width = -(-int(np.diff(edges).max()).bit_length() // 8)  # bytes of a hash within its bucket
 
     def deal(batches):
         def chunk(sets: dict[int, np.ndarray]):
-            hashes = np.concatenate(list(sets.values()))
+            hashes = np.concatenate(list(sets.values())) >> np.uint64(64 - HASH_BITS)
             sigs = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
             order = np.argsort(hashes, kind="stable")
             hashes, sigs = hashes[order], sigs[order]
@@ -179,10 +183,11 @@ def shared_shingles(documents: DataFrame, buckets: int, hot: int = HOT, chunk_sh
             cold = ~many
             cold[marked] = True
             entries["hash"], entries["sig"] = hashes[cold], np.where(many[cold], 0, sigs[cold])
-            cuts = np.concatenate(([0], np.searchsorted(entries["hash"], edges), [len(entries)]))
+            cuts = np.searchsorted(entries["hash"], edges)
             for k in np.flatnonzero(np.diff(cuts)):
                 part = entries[cuts[k] : cuts[k + 1]]
-                yield int(k), False, part["hash"].tobytes() + part["sig"].tobytes()
+                packed = (part["hash"] - edges[k]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+                yield int(k), False, packed.tobytes() + part["sig"].tobytes()
 
         schema = pa.schema([("bucket", pa.int32()), ("ready", pa.bool_()), ("entries", pa.binary())])
         sets, size = {}, 0
@@ -200,9 +205,12 @@ def shared_shingles(documents: DataFrame, buckets: int, hot: int = HOT, chunk_sh
     def count(batches):
         schema = pa.schema([("sig", pa.int64()), ("key", pa.int64())])
 
-        def bucket(parts: list[bytes]):
-            hashes = np.concatenate([np.frombuffer(p, "<u8", len(p) // 16) for p in parts])
-            sigs = np.concatenate([np.frombuffer(p, "<i8", len(p) // 16, len(p) // 2) for p in parts])
+        def bucket(number: int, parts: list[bytes]):
+            many = [len(p) // (width + 8) for p in parts]
+            raw = np.zeros((sum(many), 8), np.uint8)
+            raw[:, :width] = np.concatenate([np.frombuffer(p, np.uint8, n * width) for p, n in zip(parts, many, strict=True)]).reshape(-1, width)
+            hashes = raw.view("<u8").reshape(-1) + edges[number]
+            sigs = np.concatenate([np.frombuffer(p, "<i8", n, n * width) for p, n in zip(parts, many, strict=True)])
             order = np.lexsort((sigs, hashes))
             hashes, sigs = hashes[order], sigs[order]
             new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (sigs[1:] != sigs[:-1])))
@@ -222,12 +230,12 @@ def shared_shingles(documents: DataFrame, buckets: int, hot: int = HOT, chunk_sh
                     yield to_batch(schema, (known["sig"], known["hash"].view(np.int64)))
                     continue
                 if number != now and parts:
-                    yield bucket(parts)
+                    yield bucket(now, parts)
                     parts = []
                 now = number
                 parts.append(cell.as_py())
         if parts:
-            yield bucket(parts)
+            yield bucket(now, parts)
 
     dealt = documents.select("text").mapInArrow(deal, "bucket int, ready boolean, entries binary")
     tasks = max(1, min(buckets, -(-buckets // 4) if buckets > 64 else buckets))
@@ -344,51 +352,42 @@ def small_region_links(members: DataFrame) -> DataFrame:
 
 
 def meet(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links between the rows of ``members`` and the query sets of their region.
-
-    ``queries`` has (region, block, rows) with at most ``QUERY_BLOCK`` sets in a row.
-    """
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                own = np.array(row["shared"], np.int64)
-                for other in row["rows"]:
-                    common = len(np.intersect1d(own, np.array(other["shared"], np.int64), assume_unique=True))
-                    if other["sig"] != row["sig"] and linked(common, row["n"], other["n"]):
-                        found.append((row["sig"], other["sig"]))
-            if found:
-                yield to_batch(LINKS, zip(*found, strict=True))
-
-    joined = members.join(queries.select("region", "rows"), "region").select("sig", "n", "shared", "rows")
-    return joined.mapInArrow(run, "u long, v long")
-
-
-def as_blocks(queries: DataFrame) -> DataFrame:
-    """Query sets by region and block of bounded size."""
-    queries = queries.select("region", "sig", "n", "shared")
-    counts = queries.groupBy("region").agg(F.count("*").alias("many"))
-    block = F.pmod(F.xxhash64("sig"), F.ceil(2 * F.col("many") / QUERY_BLOCK))
-    dealt = queries.join(counts, "region").withColumn("block", block)
-    return dealt.groupBy("region", "block").agg(F.collect_list(F.struct("sig", "n", "shared")).alias("rows"))
+    """Links between all rows of ``members`` and the query sets of their region."""
+    asked = queries.select("region", *(F.col(c).alias(f"q_{c}") for c in ("sig", "n", "shared")))
+    common = F.size(F.array_intersect("shared", "q_shared"))
+    near = 100 * common >= SIMILAR_PERCENT * (F.col("n") + F.col("q_n") - common)
+    # sizes alone rule most pairs out before the sets are looked at
+    sizes = (100 * F.col("n") >= SIMILAR_PERCENT * F.col("q_n")) & (100 * F.col("q_n") >= SIMILAR_PERCENT * F.col("n"))
+    joined = members.select("region", "sig", "n", "shared").join(asked, "region")
+    return joined.where((F.col("sig") != F.col("q_sig")) & sizes & near).select(F.col("sig").alias("u"), F.col("q_sig").alias("v"))
 
 
 def large_region_links(members: DataFrame) -> DataFrame:
-    """Links that join all linked sets of regions of any size, without gathering a region."""
-    order = F.struct(F.xxhash64("sig", F.lit(5)), F.col("sig"))
-    tops = members.groupBy("region").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("sig"), F.col("share")) == 0, order))), 1, PIVOTS).alias("tops"))
-    chosen = tops.select("region", F.explode("tops").alias("top")).select("region", F.col("top.sig").alias("sig"))
-    pivots = stored(members.join(chosen, ["region", "sig"], "left_semi"), "pivots")
-    first = stored(meet(members, as_blocks(pivots)), "pivot-links")
-    group = components(first).withColumnRenamed("node", "sig")
-    grouped = stored(members.select("region", "sig").join(group, "sig", "left").select("region", "sig", F.coalesce("component", "sig").alias("component")), "groups")
-    sizes = grouped.groupBy("region", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    outside = grouped.join(main, "region").where("component <> main").select("region", "sig")
-    # what the pivots left outside the main group, against all rows of the region
-    queries = stored(members.join(outside, ["region", "sig"], "left_semi"), "outside")
-    return first.unionAll(meet(members, as_blocks(queries)))
+    """Links that join all linked sets of regions of any size, without gathering a region.
+
+    A round's queries are pivots drawn by hash from the sets that are not yet in their
+    region's main group and were not asked before; they meet all rows of the region.  Each
+    round asks four times as many.  When it ends every set is in the main group or was
+    asked, and a link that is still missing would need two sets that are neither.
+    """
+    asked = members.select("region", "sig")
+    found, wanted, done = None, PIVOTS, None
+    while True:
+        many = asked.groupBy("region").agg(F.count("*").alias("open"))
+        share = F.pmod(F.xxhash64("sig", F.lit(wanted)), F.lit(1 << 20)) * F.col("open") < wanted << 20
+        drawn = stored(asked.join(many, "region").where(share | (F.col("open") <= wanted)).select("region", "sig"), "drawn")
+        queries = stored(members.join(drawn, ["region", "sig"], "left_semi").select("region", "sig", "n", "shared"), "pivots")
+        met = stored(meet(members, queries), "met")
+        found = met if found is None else found.unionAll(met)
+        done = drawn if done is None else done.unionAll(drawn)
+        group = components(found).withColumnRenamed("node", "sig")
+        grouped = stored(members.select("region", "sig").join(group, "sig", "left").select("region", "sig", F.coalesce("component", "sig").alias("component")), "groups")
+        sizes = grouped.groupBy("region", "component").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("region").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+        asked = stored(grouped.join(main, "region").where("component <> main").select("region", "sig").join(done, ["region", "sig"], "left_anti"), "open")
+        if asked.isEmpty():
+            return found
+        wanted *= 4
 
 
 def links(documents: DataFrame, sets: DataFrame, hot: int = HOT, chunk_shingles: int = CHUNK_SHINGLES, region_texts: int = REGION_TEXTS) -> DataFrame:
@@ -397,10 +396,9 @@ def links(documents: DataFrame, sets: DataFrame, hot: int = HOT, chunk_shingles:
     placed = stored(regions(opened), "regions")
     sizes = placed.groupBy("region").agg(F.count("*").alias("many"))
     members = stored(opened.select("sig", "n", "shared").join(placed, "sig").join(sizes, "region"), "members")
-    small = small_region_links(members.where(F.col("many") <= region_texts))
-    # pivots of a large region are drawn from a share of it that has some dozens of sets
-    large = members.where(F.col("many") > region_texts).withColumn("share", F.greatest(F.lit(1), F.floor(F.col("many") / 64)))
-    return stored(small, "small-links").unionAll(stored(large_region_links(large), "large-links")) if not large.isEmpty() else stored(small, "small-links")
+    small = stored(small_region_links(members.where(F.col("many") <= region_texts)), "small-links")
+    large = members.where(F.col("many") > region_texts)
+    return small if large.isEmpty() else small.unionAll(large_region_links(large))
 
 
 def joined(documents: DataFrame, **sizes: int) -> DataFrame:
