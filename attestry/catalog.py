@@ -1,7 +1,7 @@
 """All queries over the data model and their SQL equivalents."""
 
-from .plans import admission, claims, dedup, events, labels, logs, texts, web
+from .plans import admission, claims, corpus, dedup, events, labels, logs, texts, web
 
-MODULES = (claims, admission, labels, events, dedup, logs, texts, web)
+MODULES = (claims, admission, labels, events, dedup, logs, texts, web, corpus)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
