@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_or_empty, to_batch
+from .common import Memo, text_or_empty, tidy, to_batch
 
 #: Unicode white space as the vocabulary's split pattern understands it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -66,11 +66,16 @@ def runs_of(text: str) -> list[str]:
     or full stop that closes a word apart, so that fewer different runs are met.  Special
     tokens are found before any normalising, so texts that may hold one keep their runs.
     """
-    if "<|" not in text:
-        plain = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
-        if plain.isascii() or unicodedata.is_normalized("NFC", plain):
-            return split_white(_CLOSED.sub(r"\1 \2", plain))
-    return split_white(text)
+    plain = normal_form(text)
+    return split_white(text if plain is None else _CLOSED.sub(r"\1 \2", plain))
+
+
+def normal_form(text: str) -> str | None:
+    """The normalised text where normalising it again would change nothing, else None."""
+    if "<|" in text:
+        return None
+    plain = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+    return plain if plain.isascii() or unicodedata.is_normalized("NFC", plain) else None
 
 
 def count_pieces(run: str) -> int:
@@ -103,6 +108,7 @@ class Vocabulary:
         names = {i: token for token, i in chain(self.ids.items(), self.specials.items())}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.digits = [str(i) for i in range(len(self.names))]
+        self.numbers = list(range(len(self.names)))  # one object per id, however many words hold it
 
     def pieces(self, run: str) -> list[str | int]:
         """Normalised words of a run without white space; ids where special tokens stand."""
@@ -251,11 +257,11 @@ class Encoder:
         self.memo = Memo(self.learn, MEMO_WORDS)
 
     def learn(self, runs: set[str]) -> dict[str, tuple[int, ...]]:
-        pieces = {run: self.vocabulary.pieces(run) for run in runs}
+        pieces, numbers = {run: self.vocabulary.pieces(run) for run in runs}, self.vocabulary.numbers
         words = list({p for found in pieces.values() for p in found if isinstance(p, str)})
         known: dict[str | int, list[int]] = {i: [i] for i in self.vocabulary.specials.values()}
         for word, slot in zip(words, self.lexicon.slots([w.encode() for w in words]).tolist(), strict=True):
-            known[word] = self.lexicon.ids_of(slot) if slot >= 0 else self.vocabulary.merge(word)
+            known[word] = [numbers[i] for i in self.lexicon.ids_of(slot)] if slot >= 0 else self.vocabulary.merge(word)
         return {run: tuple(chain.from_iterable(map(known.__getitem__, found))) for run, found in pieces.items()}
 
     def encode(self, text: str) -> list[int]:
@@ -305,7 +311,7 @@ def word_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFram
                     yield flush()
         yield flush()
 
-    return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(documents: DataFrame, vocabulary: str | None = None, size: int = LEXICON_WORDS) -> Lexicon:
@@ -346,7 +352,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None, lexicon: Lexicon
         for batch in batches:
             yield to_batch(schema, (batch.column(0), list(encoder.encode_all(text_or_empty(batch)))))
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -360,7 +366,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = (" ".join(map(names.__getitem__, ids.as_py() or ())) for ids in batch.column(1))
             yield to_batch(schema, (batch.column(0), list(texts)))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trip_digests(documents: DataFrame, vocabulary: str | None = None, lexicon: Lexicon | None = None) -> DataFrame:
@@ -379,5 +385,6 @@ def round_trip_digests(documents: DataFrame, vocabulary: str | None = None, lexi
                 first.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 second.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
             yield to_batch(schema, (batch.column(0), counts, first, second))
+        encoder.memo.old = {}
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

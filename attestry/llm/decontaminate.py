@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, to_batch
+from .common import stored, text_or_empty, tidy, to_batch
 
 #: Word positions that each mask looks at.
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 5, 7, 8))
@@ -160,7 +160,7 @@ def block_leaks(documents: DataFrame, block: Block) -> DataFrame:
             yield rows
 
     shown = documents.select(F.col("doc_id").cast("long"), "text")
-    return shown.mapInArrow(run, "doc_id long, item_id long, n_matched long, first_word long")
+    return shown.mapInArrow(tidy(run), "doc_id long, item_id long, n_matched long, first_word long")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -177,7 +177,5 @@ def leaks(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``documents`` without those that leak an item; rows with a null doc_id are compared too."""
-    from .common import stored
-
     bad = stored(leaks(documents, benchmark, block_words).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", "__leak")
     return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")), "left_anti")

@@ -32,55 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, to_batch
+from .common import stored, tidy, to_batch
 from .components import components
+from .hashing import Hasher, mix
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
 HOT = 63
 HASH_BITS = 56
 BUCKET_SHINGLES = 1 << 18
-CHUNK_SHINGLES = 1 << 20
-BATCH_BYTES = 1 << 22
+CHUNK_SHINGLES = 1 << 19
+BATCH_BYTES = 1 << 20
 REGION_TEXTS = 256
 PIVOTS = 8
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_ODD = 0xD6E8FEB86659FD93
-_ONES = (1 << 64) - 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Hasher:
-    """Hashes of all words of a byte array at once, from running sums of byte times power."""
-
-    def __init__(self):
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        while len(self.powers) <= n:
-            k = len(self.powers)
-            step, back = pow(_ODD, k, 1 << 64), pow(pow(_ODD, -1, 1 << 64), k, 1 << 64)
-            self.powers = np.concatenate((self.powers, self.powers * np.uint64(step)))
-            self.inverse = np.concatenate((self.inverse, self.inverse * np.uint64(back)))
-
-    def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, start) of each run of bytes that are no white space; A-Z count as a-z."""
-        self._reach(len(raw))
-        solid = np.concatenate(([False], ~_WHITE[raw], [False]))
-        edges = np.flatnonzero(solid[1:] != solid[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)])))
-        return _mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def shingle_sets(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
@@ -93,7 +59,7 @@ def shingle_sets(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
     for k in range(SHINGLE_WORDS):
         hashes = (hashes ^ words[k : k + len(hashes)]) * _FACTOR
         hashes ^= hashes >> np.uint64(29)
-    hashes = _mix(hashes)
+    hashes = mix(hashes)
     found = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         n = high - low
@@ -102,7 +68,7 @@ def shingle_sets(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
         elif n:
             short = np.uint64(n)
             for word in words[low:high]:
-                short = _mix((short ^ word) * _FACTOR)
+                short = mix((short ^ word) * _FACTOR)
             found.append(np.array([short], np.uint64))
         else:
             found.append(np.empty(0, np.uint64))
@@ -111,8 +77,8 @@ def shingle_sets(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
 
 def signature(hashes: np.ndarray) -> int:
     """A number for the whole set, as a signed 64-bit integer."""
-    total = np.array([int(_mix(hashes).sum(dtype=np.uint64)) & _ONES], np.uint64)
-    return int(_mix(total + np.uint64(len(hashes))).view(np.int64)[0])
+    total = np.array([mix(hashes).sum(dtype=np.uint64)], np.uint64)
+    return int(mix(total + np.uint64(len(hashes))).view(np.int64)[0])
 
 
 def batches_of_sets(batches, column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -140,7 +106,7 @@ def document_sets(documents: DataFrame) -> DataFrame:
         for ids, sets in batches_of_sets(batches, 1):
             yield to_batch(schema, (ids, [len(s) for s in sets], [signature(s) if len(s) else None for s in sets]))
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, sig long")
 
 
 def keys(hashes: np.ndarray, ranks: np.ndarray, hot: int = HOT) -> np.ndarray:
@@ -172,7 +138,7 @@ def shared_shingles(documents: DataFrame, buckets: int, hot: int = HOT, chunk_sh
             if many.any():
                 known = np.zeros(int(many.sum()), _ENTRY)
                 known["hash"], known["sig"] = keys(hashes[many], np.full(len(known), hot), hot).view(np.uint64), sigs[many]
-                at = (_mix(known["sig"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                at = (mix(known["sig"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 cuts = np.searchsorted(at[order], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
@@ -237,9 +203,9 @@ def shared_shingles(documents: DataFrame, buckets: int, hot: int = HOT, chunk_sh
         if parts:
             yield bucket(now, parts)
 
-    dealt = documents.select("text").mapInArrow(deal, "bucket int, ready boolean, entries binary")
+    dealt = documents.select("text").mapInArrow(tidy(deal), "bucket int, ready boolean, entries binary")
     tasks = max(1, min(buckets, -(-buckets // 4) if buckets > 64 else buckets))
-    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "sig long, key long")
+    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(count), "sig long, key long")
 
 
 def needed_overlap(n: F.Column) -> F.Column:
@@ -348,7 +314,7 @@ def small_region_links(members: DataFrame) -> DataFrame:
                     yield to_batch(LINKS, zip(*found, strict=True))
 
     grouped = members.groupBy("region").agg(F.collect_list(F.struct("sig", "n", "shared")).alias("rows"))
-    return grouped.select("rows").mapInArrow(run, "u long, v long")
+    return grouped.select("rows").mapInArrow(tidy(run), "u long, v long")
 
 
 def meet(members: DataFrame, queries: DataFrame) -> DataFrame:

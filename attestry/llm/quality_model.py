@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_labelled_sample, crc32_of_id, text_or_empty, to_batch
+from .common import Memo, bounded_labelled_sample, crc32_of_id, text_or_empty, tidy, to_batch
 from .word_features import hashed, means
 
 BUCKETS = 1 << 16
@@ -144,7 +144,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     shown = documents.select(F.col("doc_id").cast("long"), "text")
     held_out = F.coalesce(crc32_of_id() % FOLDS == HELD_OUT, F.lit(False))
     predicted = (F.col("score") >= THRESHOLD).cast("int")
-    return shown.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+    return shown.mapInArrow(tidy(run), "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labelled_sample, text_or_empty, to_batch
+from .common import bounded_labelled_sample, text_or_empty, tidy, to_batch
 
 #: Fixed values of the statistics.
 SYMBOLS = "#*$%&|<>"
@@ -99,7 +99,7 @@ def statistics(documents: DataFrame) -> DataFrame:
             yield to_batch(schema, (batch.column(0), *(zip(*rows, strict=True) if rows else [[]] * len(COUNTS))))
 
     shape = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS)])
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, shape)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), shape)
 
 
 def features() -> dict[str, Column]:

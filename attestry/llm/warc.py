@@ -31,12 +31,11 @@ from bisect import bisect_left, bisect_right
 from posixpath import join
 from urllib.parse import urlsplit
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, to_batch
+from .common import shared_folder, stored, tidy, to_batch
 
 VERSION = "WARC/1.1"
 WRITTEN = "2026-01-01T00:00:00Z"
@@ -101,12 +100,10 @@ def choose_types(pages: DataFrame, minimum: int = 0) -> DataFrame:
     before the shuffle; it is stored, so that the join back can be split where one payload
     holds many rows.
     """
-    from .common import stored
-
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sum": F.sha2("payload", 256), "size": F.length("payload")})
-    groups = rows.where(F.col("size") >= minimum).groupBy("sum").agg(F.max("page_id").alias("last"), F.count("*").alias("n"), F.max("url").alias("last_url"))
+    groups = rows.where(F.col("size") >= minimum).groupBy("sum").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     groups = stored(groups.where("n > 1").select("sum", "last"), "payload-groups")
     joined = rows.join(groups, "sum", "left")
     revisits = F.col("last").isNotNull() & (F.coalesce(F.col("page_id") != F.col("last"), F.lit(True)))
@@ -139,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, minimum: int = 0, per_file: in
                     rows.append(member(record(headers, http + body)))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
-    typed.mapInArrow(records, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).text(join(folder, "archives"))
+    typed.mapInArrow(tidy(records), "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).text(join(folder, "archives"))
 
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
@@ -203,7 +200,7 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield to_batch(CAPTURE, zip(*rows, strict=True))
 
-    return raw_files(spark, join(folder, "archives")).mapInArrow(scan, CAPTURE_DDL)
+    return raw_files(spark, join(folder, "archives")).mapInArrow(tidy(scan), CAPTURE_DDL)
 
 
 def write_index(spark: SparkSession, folder: str, lines: int = BLOCK_LINES) -> None:
@@ -231,7 +228,7 @@ def write_index(spark: SparkSession, folder: str, lines: int = BLOCK_LINES) -> N
         if held:
             yield packed(held)
 
-    ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string")).write.option("lineSep", END).text(join(folder, "blocks"))
+    ordered.mapInArrow(tidy(blocks), "block binary").select(F.col("block").cast("string")).write.option("lineSep", END).text(join(folder, "blocks"))
     schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def outline(batches):
@@ -244,7 +241,7 @@ def write_index(spark: SparkSession, folder: str, lines: int = BLOCK_LINES) -> N
                 if rows:
                     yield to_batch(schema, zip(*rows, strict=True))
 
-    rows = raw_files(spark, join(folder, "blocks")).mapInArrow(outline, "first string, last string, file string, offset long, length long")
+    rows = raw_files(spark, join(folder, "blocks")).mapInArrow(tidy(outline), "first string, last string, file string, offset long, length long")
     rows.coalesce(1).write.parquet(join(folder, "directory"))
 
 
@@ -318,7 +315,7 @@ def resolve(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield to_batch(places, zip(*rows, strict=True))
 
-    placed = wanted.select("key", "page").mapInArrow(place, "key string, page string, file string, offset long, length long")
+    placed = wanted.select("key", "page").mapInArrow(tidy(place), "key string, page string, file string, offset long, length long")
     asked = placed.groupBy("file").agg(F.collect_list(F.struct("offset", "length", "key", "page")).alias("asked"))
 
     def search(batches):
@@ -335,7 +332,7 @@ def resolve(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
 
     asked = asked.withColumn("asked", F.array_sort("asked"))
     joined = raw_files(spark, join(folder, "blocks")).join(asked, F.col("path") == F.col("file")).select("content", "asked")
-    return joined.mapInArrow(search, CAPTURE_DDL)
+    return joined.mapInArrow(tidy(search), CAPTURE_DDL)
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
@@ -345,8 +342,6 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     # targets by page, distinct, with their keys: one row per response however many revisit it
     asked = revisits.select(F.col("refers").alias("page")).distinct()
     keyed = rows.where("type = 'response'").select("page", "key").join(asked, "page", "left_semi").distinct()
-    from .common import stored
-
     targets = resolve(spark, folder, keyed).where("type = 'response'").groupBy(F.col("page").alias("refers"))
     targets = stored(targets.agg(F.max("size").alias("full_size"), F.max("digest").alias("full_digest")), "revisit-targets")
     joined = rows.join(targets, "refers", "left")
@@ -369,7 +364,7 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
                     rows = [entry(line) for line in data.decode().split("\n")]
                     yield to_batch(CAPTURE, ([r[c] for r in rows] for c in CAPTURE.names))
 
-    return raw_files(spark, join(folder, "blocks")).select("content").mapInArrow(lines, CAPTURE_DDL)
+    return raw_files(spark, join(folder, "blocks")).select("content").mapInArrow(tidy(lines), CAPTURE_DDL)
 
 
 def written_and_read(pages: DataFrame, folder: str | None = None, minimum: int = 0) -> DataFrame:
