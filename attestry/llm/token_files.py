@@ -20,25 +20,29 @@ no shards and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
 from posixpath import join
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import count_pieces, default_vocabulary, runs_of
-from .common import Memo, shared_folder, text_or_empty, to_batch
+from .bpe import count_pieces, default_vocabulary, normal_form
+from .common import shared_folder, text_or_empty, tidy, to_batch
+from .hashing import Hasher, bounds
 
 END_ID = 1
-MEMO_WORDS = 1 << 18
-TOGETHER_RUNS = 1 << 16
+KNOWN_RUNS = 3 << 18
+TOGETHER_CHARS = 1 << 19
 TOGETHER_NEW = 1 << 12
+TOGETHER_DOCUMENTS = 256
 SHARD_DOCUMENTS = 1 << 13
-HEADER = np.dtype([("shard", "<i4"), ("null", "<i4"), ("doc_id", "<i8"), ("count", "<i8"), ("data", "<i8")])
+#: Shard number, null flag, doc_id, count, data length.
+HEADER = Struct("<iiqqq")
 MARK = 0x0A
 
 #: Lengths of the four codes that each control byte describes.
@@ -64,10 +68,95 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     return filled.view("<u4").reshape(-1)
 
 
+def pack_all(parts: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """``pack`` of many arrays at once."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    room = -(-lengths // 4) * 4
+    ends = np.cumsum(room)
+    values = np.zeros(int(ends[-1]) if len(parts) else 0, "<u4")
+    real = np.zeros(len(values), bool)
+    at = np.repeat(ends - room - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    values[at], real[at] = np.concatenate(parts), True
+    codes = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    four = codes.reshape(-1, 4)
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes()
+    data = values.view(np.uint8).reshape(-1, 4)[(np.arange(4) <= codes[:, None]) & real[:, None]].tobytes()
+    stops = np.concatenate(([0], np.cumsum((codes + 1) * real, dtype=np.int64)))[np.concatenate(([0], ends))].tolist()
+    marks = np.concatenate(([0], ends // 4)).tolist()
+    return [(control[a:b], data[c:d]) for a, b, c, d in zip(marks, marks[1:], stops, stops[1:], strict=False)]
+
+
+def unpack_all(controls: list[np.ndarray], datas: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
+    """``unpack`` of many frames at once."""
+    count = np.array(counts, np.int64)
+    room = -(-count // 4) * 4
+    lengths = LENGTHS[np.concatenate(controls)].reshape(-1)
+    at = np.repeat(np.cumsum(room) - room - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    filled = np.zeros((len(at), 4), np.uint8)
+    filled[np.arange(4) < lengths[at][:, None]] = np.concatenate(datas)
+    values = filled.view("<u4").reshape(-1)
+    edges = np.concatenate(([0], np.cumsum(count))).tolist()
+    return [values[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+class KnownRuns:
+    """A hash table in arrays from the 96-bit hashes of runs to where their ids stand.
+
+    Slots are probed one after the other, all keys of a call together.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.bits = most, max(4, (most + most // 3).bit_length())
+        n = 1 << self.bits
+        self.first, self.second = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.begin, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.first[:] = 0
+        self.used, self.ids = 0, np.empty(0, np.uint32)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it is not known."""
+        slots = np.full(len(first), -1, np.int64)
+        at, left = (first >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(first))
+        while len(left):
+            here = self.first[at]
+            same = (here == first[left]) & (self.second[at] == second[left])
+            slots[left[same]] = at[same]
+            on = ~same & (here != 0)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return slots
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Keys that are not known yet, each once, with the number of their ids and all of these."""
+        begin = np.cumsum(count) - count + len(self.ids)
+        self.ids = np.concatenate((self.ids, ids))
+        self.used += len(first)
+        at, left = (first >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(first))
+        while len(left):
+            free = np.flatnonzero(self.first[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            own = free[one]
+            who, slot = left[own], at[own]
+            self.first[slot], self.second[slot], self.begin[slot], self.count[slot] = first[who], second[who], begin[who], count[who]
+            on = np.ones(len(left), bool)
+            on[own] = False
+            left, at = left[on], at[on]
+            taken = self.first[at] != 0
+            at = np.where(taken, at + 1, at) & ((1 << self.bits) - 1)
+
+
 class RunEncoder:
-    """Ids of whole texts by the tokenizers library; each new run between spaces is encoded once."""
+    """Ids of whole texts by the tokenizers library; each new run between spaces is encoded once.
+
+    The runs of many texts are hashed together (96 bits), looked up in a table of known
+    runs, and their ids laid out by one gather, so no step loops over words.  Only new runs
+    go to the library.  The table is bounded: when it is full it starts again from the runs
+    of the texts at hand.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_runs: int = KNOWN_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,51 +168,94 @@ class RunEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.memo = Memo(self.learn, MEMO_WORDS)
-
-    def learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of new runs.  Many go in one call and are told apart by the tokens that close
-        a word; where their number is not as expected, and for special tokens, one by one."""
-        known: dict[str, bytes] = {}
-        plain = [run for run in runs if "<|" not in run and (run.isascii() or runs_of(run) == [run])]
-        for at in range(0, len(plain), TOGETHER_NEW):
-            part = plain[at : at + TOGETHER_NEW]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
+        self.known, self.hashers = KnownRuns(known_runs), (Hasher(), Hasher(0x9E3779B97F4A7C15))
+
+    def learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of each run's ids).  Many runs go in one call and
+        are told apart by the tokens that close a word; where their number is not as
+        expected, one by one."""
+        ids, counts = [], []
+        for at in range(0, len(runs), TOGETHER_NEW):
+            part = runs[at : at + TOGETHER_NEW]
+            own = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[own]) + 1
             words = np.cumsum([1 if run.isalpha() else count_pieces(run) for run in part])
             if len(ends) == words[-1]:
-                raw, begin = ids.tobytes(), 0
-                for run, end in zip(part, (4 * ends[words - 1]).tolist(), strict=True):
-                    known[run] = raw[begin:end]
-                    begin = end
-        rest = list(runs.difference(known))
-        for run, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[run] = np.array(found.ids, "<u4").tobytes()
-        return known
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        The vocabulary splits at white space before anything else, so a text's ids are
-        those of its runs one after the other.
+                ids.append(own)
+                counts.append(np.diff(ends[words - 1], prepend=0))
+            else:
+                alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids += alone
+                counts.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of some normalised texts."""
+        raw = np.frombuffer(b" ".join(texts), np.uint8)
+        starts, ends = closing_bounds(raw)
+        first, second = (h.runs(raw, starts, ends) for h in self.hashers)
+        second = second.astype(np.uint32)
+        first |= np.uint64(1)  # zero marks a free slot
+        slot = self.known.find(first, second)
+        if (slot < 0).any() and self.known.used + int((slot < 0).sum()) > self.known.most:
+            self.known.clear()
+            slot[:] = -1
+            if len(slot) > self.known.most:  # room for these alone
+                self.known = KnownRuns(len(slot))
+        cut = raw.tobytes()
+        while (slot < 0).any():  # again only where two new runs agree in the first hash
+            at = np.flatnonzero(slot < 0)
+            new = at[np.unique(first[at], return_index=True)[1]]
+            runs = [cut[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            self.known.add(first[new], second[new], *self.learn(runs))
+            slot[at] = self.known.find(first[at], second[at])
+        count = self.known.count[slot].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = self.known.ids[np.repeat(self.known.begin[slot] - total[:-1], count) + np.arange(total[-1])]
+        edges = total[np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))]
+        return np.split(ids, edges[:-1])
+
+    def alone(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, little-endian unsigned 32-bit integers.
+
+        The vocabulary splits at white space before anything else, so a text's ids are those
+        of its runs one after the other.  Texts whose runs are not simple go as they stand.
         """
-        return b"".join(self.memo.recall(runs_of(text)))
-
-    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Ids of each text; new runs of many texts go to the library together."""
-        held, size = [], 0
+        held: list[tuple[str, bytes | None]] = []
+        size = 0
         for text in texts:
-            held.append(runs_of(text))
-            size += len(held[-1])
-            if size > TOGETHER_RUNS:
-                yield from self._together(held)
+            plain = normal_form(text)
+            simple = plain is not None and not _ODD_SPACE.search(plain)
+            held.append((text, plain.encode() if simple else None))
+            size += len(text)
+            if size > TOGETHER_CHARS:
+                yield from self.held(held)
                 held, size = [], 0
-        yield from self._together(held)
+        yield from self.held(held)
+
+    def held(self, held: list[tuple[str, bytes | None]]) -> Iterator[np.ndarray]:
+        simple = [raw for _, raw in held if raw is not None]
+        found = iter(self.together(simple) if simple else ())
+        for text, raw in held:
+            yield self.alone(text) if raw is None else next(found)
 
-    def _together(self, held: list[list[str]]) -> Iterator[bytes]:
-        found = iter(self.memo.recall(list(chain.from_iterable(held))))
-        for runs in held:
-            yield b"".join(islice(found, len(runs)))
+
+#: White space of the vocabulary, or of Python, that is not ASCII's.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LETTER, _CLOSING = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_CLOSING[[ord(","), ord(".")]] = True
+
+
+def closing_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of runs; a comma or full stop between a letter and white space is its own run."""
+    starts, ends = bounds(raw)
+    last = ends - 1
+    apart = last[(last > starts) & _CLOSING[raw[last]] & _LETTER[raw[np.maximum(last - 1, 0)]]]
+    return np.sort(np.concatenate((starts, apart))), np.sort(np.concatenate((ends, apart)))
 
 
 _ENCODERS: dict[str, RunEncoder] = {}
@@ -135,15 +267,15 @@ def encode_ids(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches):
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, RunEncoder(vocabulary))
-        last = np.array([end_id], "<u4").tobytes()
+        last = np.uint32(end_id)
         for batch in batches:
             rows = []
             for encoded in encoder.encode_all(text_or_empty(batch)):
-                ids = np.frombuffer(encoded + last, "<u4")
+                ids = np.append(encoded, last)
                 rows.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
             yield to_batch(schema, (batch.column(0), rows))
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def stage_ids(cell: pa.Scalar) -> np.ndarray:
@@ -158,8 +290,8 @@ def id_ranks(staged: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for cell in batch.column(0):
-                part = np.bincount(stage_ids(cell))
+            for low in range(0, batch.num_rows, 256):
+                part = np.bincount(np.concatenate([stage_ids(cell) for cell in batch.column(0)[low : low + 256]]))
                 if len(part) > len(total):
                     part[: len(total)] += total
                     total = part
@@ -168,7 +300,7 @@ def id_ranks(staged: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield to_batch(schema, (seen, total[seen]))
 
-    counts = staged.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = staged.select("ids").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ordered = counts.toArrow()
     ids, n = (ordered.column(c).to_numpy() for c in ("id", "n"))
     ids = ids[np.lexsort((ids, -n))]
@@ -191,30 +323,32 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
 
         _ENCODERS.clear()
         shard = TaskContext.get().partitionId()
-        header = np.zeros(1, HEADER)
         for batch in batches:
             rows = []
-            for doc_id, cell in zip(batch.column(0), batch.column(1), strict=True):
-                ids = stage_ids(cell)
-                control, data = pack(rank_of[ids])
-                header["shard"], header["null"] = shard, doc_id.as_py() is None
-                header["doc_id"], header["count"], header["data"] = doc_id.as_py() or 0, len(ids), len(data)
-                rows.append(header.tobytes() + control + data)
+            for low in range(0, batch.num_rows, TOGETHER_DOCUMENTS):
+                part = batch.slice(low, TOGETHER_DOCUMENTS)
+                ranks = [rank_of[stage_ids(cell)] for cell in part.column(1)]
+                for doc_id, own, (control, data) in zip(part.column(0).to_pylist(), ranks, pack_all(ranks), strict=True):
+                    rows.append(frame(shard, doc_id, len(own), control, data))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     shards = max(1, -(-staged.count() // shard_documents))
     ordered = staged.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", chr(MARK)).text(join(folder, "shards"))
+    ordered.mapInArrow(tidy(frames), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", chr(MARK)).text(join(folder, "shards"))
     write_manifest(spark, folder)
 
 
+def frame(shard: int, doc_id: int | None, count: int, control: bytes, data: bytes) -> bytes:
+    return HEADER.pack(shard, doc_id is None, doc_id or 0, count, len(data)) + control + data
+
+
 def frame_walk(content: np.ndarray):
-    """(header, offset of the control bytes) of each frame of a shard."""
+    """(shard, null, doc_id, count, data length, offset of the control bytes) of each frame."""
     at = 0
     while at < len(content):
-        header = content[at : at + HEADER.itemsize].view(HEADER)[0]
-        yield header, at + HEADER.itemsize
-        at += HEADER.itemsize + -(-int(header["count"]) // 4) + int(header["data"]) + 1
+        header = HEADER.unpack_from(content, at)
+        yield *header, at + HEADER.size
+        at += HEADER.size + -(-header[3] // 4) + header[4] + 1
 
 
 def shard_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,11 +362,11 @@ def write_manifest(spark: SparkSession, folder: str) -> None:
     def totals(batches):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                headers = [h for h, _ in frame_walk(np.frombuffer(content.as_buffer(), np.uint8))]
-                if headers:
-                    yield to_batch(schema, ([path.as_py()], [int(headers[0]["shard"])], [int(sum(h["count"] for h in headers))]))
+                frames = [(shard, count) for shard, _, _, count, _, _ in frame_walk(np.frombuffer(content.as_buffer(), np.uint8))]
+                if frames:
+                    yield to_batch(schema, ([path.as_py()], [frames[0][0]], [sum(n for _, n in frames)]))
 
-    rows = shard_files(spark, folder).mapInArrow(totals, "path string, shard int, n_tokens long").collect()
+    rows = shard_files(spark, folder).mapInArrow(tidy(totals), "path string, shard int, n_tokens long").collect()
     start, manifest = 0, []
     for row in sorted(rows, key=lambda r: r.shard):
         manifest.append((row.path, start, row.n_tokens))
@@ -250,18 +384,21 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
-                start, rows = starts.get(path.as_py(), 0), []
-                for header, at in frame_walk(raw):
-                    count, data = int(header["count"]), int(header["data"])
-                    middle = at + -(-count // 4)
-                    ids = order[unpack(raw[at:middle], raw[middle : middle + data], count)]
-                    rows.append((None if header["null"] else int(header["doc_id"]), start, count, zlib.crc32(ids.tobytes()), *([ids] if with_ids else [])))
-                    start += count
+                start, rows, frames = starts.get(path.as_py(), 0), [], list(frame_walk(raw))
+                for low in range(0, len(frames), TOGETHER_DOCUMENTS):
+                    part = frames[low : low + TOGETHER_DOCUMENTS]
+                    middles = [at + -(-count // 4) for _, _, _, count, _, at in part]
+                    controls = [raw[f[5] : middle] for f, middle in zip(part, middles, strict=True)]
+                    datas = [raw[middle : middle + f[4]] for f, middle in zip(part, middles, strict=True)]
+                    for (_, null, doc_id, count, _, _), ranks in zip(part, unpack_all(controls, datas, [f[3] for f in part]), strict=True):
+                        ids = order[ranks]
+                        rows.append((None if null else doc_id, start, count, zlib.crc32(ids.tobytes()), *([ids] if with_ids else [])))
+                        start += count
                 for at in range(0, len(rows), 4096):
                     yield to_batch(schema, zip(*rows[at : at + 4096], strict=True))
 
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return shard_files(spark, folder).mapInArrow(decode, shape)
+    return shard_files(spark, folder).mapInArrow(tidy(decode), shape)
 
 
 def written_and_read(documents: DataFrame, folder: str | None = None, **options) -> DataFrame:

@@ -12,7 +12,9 @@ import numpy as np
 import pytest
 
 from attestry.llm import bpe, components, decontaminate, jaccard_join, line_dedup, lm_score, quality_model, quality_rules, token_files, toxicity, warc
+
 from attestry.llm.common import Memo, shared_folder
+from attestry.llm.hashing import Hasher
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -133,12 +135,18 @@ def test_codes_of_any_length_come_back():
     for n in range(len(values)):
         control, data = token_files.pack(values[:n])
         assert (token_files.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n) == values[:n]).all()
+    parts = [values[:n] for n in (1, 4, 0, 7, 63)]
+    packed = token_files.pack_all(parts)
+    assert packed == [token_files.pack(p) for p in parts]
+    back = token_files.unpack_all(*([np.frombuffer(p[k], np.uint8) for p in packed] for k in (0, 1)), [len(p) for p in parts])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(back, parts, strict=True))
 
 
 def test_token_files_round_trip(spark, odd, empty):
     library = tokenizer()
-    for text, raw in zip(texts := random_texts(seed=6), token_files.RunEncoder(bpe.default_vocabulary()).encode_all(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    texts = random_texts(seed=6)
+    for text, ids in zip(texts * 2, token_files.RunEncoder(bpe.default_vocabulary(), 50).encode_all(texts * 2), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
     folder = shared_folder(spark, "token-test")
     token_files.write(odd, folder, shard_documents=3)
     found = sorted(token_files.read(spark, folder, with_ids=True).collect(), key=lambda r: r["start"])
@@ -404,7 +412,7 @@ def test_pseudo_likelihood_equals_a_loop_and_learns(spark, odd, empty):
     fresh = lm_score.Model(corpus, lm_score.Network.fresh(corpus).flat)
     scores = {r["doc_id"]: r for r in lm_score.score(documents, model).collect()}
     assert sum(r["log_likelihood"] for r in scores.values()) > sum(r["log_likelihood"] for r in lm_score.score(documents, fresh).collect())
-    hashes, _ = jaccard_join.Hasher().words(np.frombuffer(rows[0][1].encode(), np.uint8))
+    hashes, _ = Hasher().words(np.frombuffer(rows[0][1].encode(), np.uint8))
     buckets, total = (hashes >> np.uint64(48)).astype(int), 0.0
     for k in range(len(buckets)):
         hidden = net.b.astype(float).copy()
