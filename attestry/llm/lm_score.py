@@ -6,7 +6,7 @@ word's class; within its class a word has its share of the corpus.  A document's
 the sum over all its words of the log-probability of the word given its neighbours.
 
 Everything is gathered from the whole corpus: word counts, and the weights.  In each round
-every task trains its copy of the weights on all documents of its partition, and the copies
+every task trains its copy of the weights on every word of its partition, and the copies
 are averaged by the words that each has seen; the average is summed in pieces on the
 executors, so only one set of weights ever reaches the driver.
 
@@ -33,8 +33,6 @@ INPUTS = 4096
 CLASSES = 64
 HIDDEN = 16
 ROUNDS = 2
-#: Each document trains on every so many of its words in a round, from another one each time.
-STRIDE = 4
 STEP_WORDS = 4096
 RATE = 0.1
 BATCH_BYTES = 1 << 21
@@ -169,8 +167,8 @@ def count_words(documents: DataFrame) -> np.ndarray:
     return counts
 
 
-def round_of_training(documents: DataFrame, corpus: Corpus, weights: np.ndarray, number: int) -> np.ndarray:
-    """Train a copy of the weights on each partition's documents and average the copies."""
+def round_of_training(documents: DataFrame, corpus: Corpus, weights: np.ndarray) -> np.ndarray:
+    """Train a copy of the weights on every word of each partition's documents and average the copies."""
     shared = documents.sparkSession.sparkContext.broadcast((corpus, weights))
     parts = pa.schema([("piece", pa.int32()), ("n", pa.float64()), ("values", pa.binary())])
 
@@ -185,10 +183,8 @@ def round_of_training(documents: DataFrame, corpus: Corpus, weights: np.ndarray,
                 net.step(a[:, low : low + STEP_WORDS], c[low : low + STEP_WORDS], squares)
 
         for _, buckets, lengths in batches_of_words(batches, 0):
-            begins = np.cumsum(lengths) - lengths
-            chosen = (np.arange(len(buckets)) - np.repeat(begins, lengths)) % STRIDE == number % STRIDE
-            around.append(neighbours(corpus, buckets, lengths)[:, chosen])
-            classes.append(corpus.class_of[buckets[chosen]])
+            around.append(neighbours(corpus, buckets, lengths))
+            classes.append(corpus.class_of[buckets])
             held += len(classes[-1])
             if held > 16 * STEP_WORDS:
                 learn()
@@ -233,8 +229,8 @@ class Model:
 def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     corpus = Corpus.of(count_words(documents))
     weights = Network.fresh(corpus).flat
-    for number in range(rounds):
-        weights = round_of_training(documents, corpus, weights, number)
+    for _ in range(rounds):
+        weights = round_of_training(documents, corpus, weights)
     return Model(corpus, weights)
 
 

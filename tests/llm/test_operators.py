@@ -424,3 +424,13 @@ def test_pseudo_likelihood_equals_a_loop_and_learns(spark, odd, empty):
     found = {r["doc_id"]: r for r in lm_score.scored(odd).collect()}
     assert found[1]["n_tokens"] == 0 and found[1]["log_likelihood"] == 0 and found[1]["mean_log_likelihood"] is None
     assert lm_score.scored(empty).count() == 0
+
+
+def test_lm_score_trains_on_words_at_every_place(spark):
+    text = " ".join(["red", "fox", "blue", "sea"] * 40)
+    model = lm_score.fit(spark.createDataFrame([(d, text) for d in range(60)], "doc_id long, text string"))
+    fresh = lm_score.Model(model.corpus, lm_score.Network.fresh(model.corpus).flat)
+    hashes, _ = Hasher().words(np.frombuffer(text.encode(), np.uint8))
+    buckets = (hashes >> np.uint64(48)).astype(int)
+    gain = model.word_scores(buckets, np.array([len(buckets)])) - fresh.word_scores(buckets, np.array([len(buckets)]))
+    assert [k for k in range(4) if gain[k::4].mean() <= 0] == []
