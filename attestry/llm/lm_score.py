@@ -10,6 +10,11 @@ every task trains its copy of the weights on every word of its partition, and th
 are averaged by the words that each has seen; the average is summed in pieces on the
 executors, so only one set of weights ever reaches the driver.
 
+What is gathered grows with the number of different words, which is counted exactly: the hash
+table of word counts has two to four buckets a word (``LEAST_BITS`` at least), and there is an
+input for every 32 to 64 words (``LEAST_INPUTS`` at least).  The most frequent words have half of
+the inputs to themselves; every other word has one of the other half, by its hash.
+
 Defined cases: words are runs of bytes without white space, A-Z counted as a-z; a null or
 empty text has no words, a sum of zero and a null mean; repeated rows each give a row; an
 empty table gives an empty result; other columns are ignored.
@@ -24,19 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tidy, to_batch
+from .common import stored, text_or_empty, tidy, to_batch
 from .hashing import Hasher
 
 PLACES = (-2, -1, 1, 2)
-BUCKET_BITS = 16
-INPUTS = 4096
+LEAST_BITS = 16
+LEAST_INPUTS = 4096
 CLASSES = 64
 HIDDEN = 16
 ROUNDS = 2
 STEP_WORDS = 4096
 RATE = 0.1
 BATCH_BYTES = 1 << 21
-PIECE = 1 << 14
+#: Different words that a task holds before it hands on their counts; vectors in a piece.
+HELD_WORDS = 1 << 20
+PIECE = 1 << 12
+
+
+def sizes(distinct: int) -> tuple[int, int]:
+    """(bits of a bucket, number of inputs) for so many different words."""
+    bits = max(1, distinct - 1).bit_length()
+    return max(LEAST_BITS, bits + 1), max(LEAST_INPUTS, 1 << max(0, bits - 5))
 
 
 @dataclass
@@ -47,27 +60,34 @@ class Corpus:
     class_of: np.ndarray
     log_share: np.ndarray
 
+    inputs: int = LEAST_INPUTS
+
     @classmethod
-    def of(cls, counts: np.ndarray) -> Corpus:
+    def of(cls, counts: np.ndarray, inputs: int = LEAST_INPUTS) -> Corpus:
         counts = counts + 0.5  # a word never seen still has some probability
-        order = np.lexsort((np.arange(len(counts)), -counts))
-        input_of = np.zeros(len(counts), np.int32)
-        input_of[order[: INPUTS - 2]] = np.arange(2, INPUTS)  # 0: other words, 1: outside the text
+        order = np.argsort(-counts, kind="stable")
+        half = inputs // 2  # 0: unused, 1: outside the text
+        input_of = (half + np.arange(len(counts)) % (inputs - half)).astype(np.int32)
+        input_of[order[: half - 2]] = np.arange(2, half)
         mass = np.cumsum(counts[order]) - counts[order] / 2
-        class_of = np.empty(len(counts), np.int32)
+        class_of = np.empty(len(counts), np.uint8)
         class_of[order] = np.minimum((mass / counts.sum() * CLASSES).astype(np.int32), CLASSES - 1)
         total = np.bincount(class_of, counts, CLASSES)
-        return cls(input_of, class_of, np.log(counts / total[class_of]).astype(np.float32))
+        return cls(input_of, class_of, np.log(counts / total[class_of]).astype(np.float32), inputs)
+
+    def buckets(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.class_of).bit_length())).astype(np.int64)
 
 
-SHAPES = {"E": (len(PLACES), INPUTS, HIDDEN), "b": (HIDDEN,), "O": (HIDDEN, CLASSES), "c": (CLASSES,)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+#: Floats beside the inputs' vectors, which come last.
+DENSE = HIDDEN + HIDDEN * CLASSES + CLASSES
 
 
 class Network:
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
-        for name, shape in SHAPES.items():
+        inputs = (len(flat) - DENSE) // (len(PLACES) * HIDDEN)
+        for name, shape in {"b": (HIDDEN,), "O": (HIDDEN, CLASSES), "c": (CLASSES,), "E": (len(PLACES), inputs, HIDDEN)}.items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
@@ -75,7 +95,7 @@ class Network:
     @classmethod
     def fresh(cls, corpus: Corpus, seed: int = 5) -> Network:
         chance = np.random.default_rng(seed)
-        net = cls(np.zeros(SIZE, np.float32))
+        net = cls(np.zeros(DENSE + len(PLACES) * corpus.inputs * HIDDEN, np.float32))
         net.E[:] = 0.1 * chance.standard_normal(net.E.shape)
         net.O[:] = 0.3 * chance.standard_normal(net.O.shape)
         return net
@@ -122,7 +142,7 @@ class Network:
 
 
 def batches_of_words(batches, column: int):
-    """(rows of the batch, bucket of each word, number of words of each row) some rows at a time."""
+    """(rows of the batch, hash of each word, number of words of each row) some rows at a time."""
     hasher = Hasher()
     for batch in batches:
         texts, size, first = [], 0, 0
@@ -133,7 +153,7 @@ def batches_of_words(batches, column: int):
                 raw = np.frombuffer(b" ".join(texts), np.uint8)
                 hashes, starts = hasher.words(raw)
                 bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-                yield batch.slice(first, len(texts)), (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), np.diff(bounds)
+                yield batch.slice(first, len(texts)), hashes, np.diff(bounds)
                 texts, size, first = [], 0, row + 1
 
 
@@ -150,31 +170,47 @@ def neighbours(corpus: Corpus, buckets: np.ndarray, lengths: np.ndarray) -> np.n
     return around
 
 
-def count_words(documents: DataFrame) -> np.ndarray:
-    """Counts of all words of the corpus by bucket, summed per task before the shuffle."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, sum of the counts of each)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def count_words(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """Counts of all words by bucket, in a table that grows with them, and the number of inputs."""
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for _, buckets, _ in batches_of_words(batches, 0):
-            counts += np.bincount(buckets, minlength=len(counts))
-        seen = np.flatnonzero(counts)
-        yield to_batch(schema, (seen, counts[seen]))
-
-    rows = documents.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << BUCKET_BITS)
+        words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for _, hashes, _ in batches_of_words(batches, 0):
+            new = np.unique(hashes, return_counts=True)
+            words, counts = added_up(np.concatenate((words, new[0])), np.concatenate((counts, new[1])))
+            if len(words) > HELD_WORDS:
+                yield to_batch(schema, (words.view(np.int64), counts))
+                words, counts = words[:0], counts[:0]
+        yield to_batch(schema, (words.view(np.int64), counts))
+
+    words = stored(documents.select("text").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    bits, inputs = sizes(words.count())
+    rows = words.groupBy(F.shiftrightunsigned("word", 64 - bits).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << bits)
     counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return counts
+    return counts, inputs
 
 
 def round_of_training(documents: DataFrame, corpus: Corpus, weights: np.ndarray) -> np.ndarray:
-    """Train a copy of the weights on every word of each partition's documents and average the copies."""
+    """Train a copy of the weights on every word of each partition's documents and average the copies.
+
+    A task hands on by how much it moved the vectors that it met, times the words it has seen.
+    """
     shared = documents.sparkSession.sparkContext.broadcast((corpus, weights))
-    parts = pa.schema([("piece", pa.int32()), ("n", pa.float64()), ("values", pa.binary())])
+    parts = pa.schema([("piece", pa.int32()), ("n", pa.float64()), ("rows", pa.binary()), ("moved", pa.binary())])
 
     def run(batches):
         corpus, weights = shared.value
-        net, squares, seen = Network(weights.copy()), Network(np.zeros(SIZE, np.float32)), 0
+        net, squares, seen = Network(weights.copy()), Network(np.zeros(len(weights), np.float32)), 0
         around, classes, held = [], [], 0
 
         def learn():
@@ -182,7 +218,8 @@ def round_of_training(documents: DataFrame, corpus: Corpus, weights: np.ndarray)
             for low in range(0, len(c), STEP_WORDS):
                 net.step(a[:, low : low + STEP_WORDS], c[low : low + STEP_WORDS], squares)
 
-        for _, buckets, lengths in batches_of_words(batches, 0):
+        for _, hashes, lengths in batches_of_words(batches, 0):
+            buckets = corpus.buckets(hashes)
             around.append(neighbours(corpus, buckets, lengths))
             classes.append(corpus.class_of[buckets])
             held += len(classes[-1])
@@ -193,26 +230,40 @@ def round_of_training(documents: DataFrame, corpus: Corpus, weights: np.ndarray)
             learn()
         seen += held
         if seen:
-            pieces = [net.flat[at : at + PIECE].tobytes() for at in range(0, SIZE, PIECE)]
-            yield to_batch(parts, (range(len(pieces)), [float(seen)] * len(pieces), pieces))
-
-    def average(batches):
+            yield to_batch(parts, ([-1], [float(seen)], [b""], [(net.flat[:DENSE] - weights[:DENSE]).tobytes()]))
+            new, old, met = net.flat[DENSE:].reshape(-1, HIDDEN), weights[DENSE:].reshape(-1, HIDDEN), squares.flat[DENSE:].reshape(-1, HIDDEN)
+            for piece, low in enumerate(range(0, len(new), PIECE)):
+                rows = np.flatnonzero(met[low : low + PIECE].any(axis=1)).astype(np.int32)
+                if len(rows):
+                    yield to_batch(parts, ([piece], [float(seen)], [rows.tobytes()], [(new[low + rows] - old[low + rows]).tobytes()]))
+
+    def add(batches):
         sums: dict[int, np.ndarray] = {}
         totals: dict[int, float] = {}
         for batch in batches:
-            for piece, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                values = np.frombuffer(raw.as_py(), np.float32) * np.float64(n)
-                sums[piece] = sums[piece] + values if piece in sums else values
+            for piece, n, rows, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                moved = np.frombuffer(raw, np.float32) * np.float64(n)
                 totals[piece] = totals.get(piece, 0.0) + n
-        if sums:
-            yield to_batch(parts, (list(sums), list(totals.values()), [(sums[p] / totals[p]).astype(np.float32).tobytes() for p in sums]))
-
-    shape = "piece int, n double, values binary"
+                if piece < 0:
+                    sums[piece] = sums.get(piece, 0.0) + moved
+                else:
+                    sums.setdefault(piece, np.zeros((PIECE, HIDDEN)))[np.frombuffer(rows, np.int32)] += moved.reshape(-1, HIDDEN)
+        for piece, moved in sums.items():
+            yield to_batch(parts, ([piece], [totals[piece]], [b""], [moved.astype(np.float32).tobytes()]))
+
+    shape = "piece int, n double, rows binary, moved binary"
     copies = documents.select("text").mapInArrow(tidy(run), shape)
-    found = copies.repartition(-(-SIZE // PIECE), "piece").mapInArrow(tidy(average), shape).collect()
+    pieces = 1 + -(-(len(weights) - DENSE) // (PIECE * HIDDEN))
+    found = {r["piece"]: r for r in copies.repartition(pieces, "piece").mapInArrow(tidy(add), shape).collect()}
+    shared.unpersist()
     if not found:
         return weights
-    return np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(found, key=lambda r: r["piece"])])
+    weights, total = weights.copy(), found[-1]["n"]
+    for piece, row in found.items():
+        at = slice(0, DENSE) if piece < 0 else slice(DENSE + piece * PIECE * HIDDEN, DENSE + (piece + 1) * PIECE * HIDDEN)
+        moved = np.frombuffer(row["moved"], np.float32)
+        weights[at] += moved[: len(weights[at])] / np.float32(total)
+    return weights
 
 
 @dataclass
@@ -227,7 +278,7 @@ class Model:
 
 
 def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
-    corpus = Corpus.of(count_words(documents))
+    corpus = Corpus.of(*count_words(documents))
     weights = Network.fresh(corpus).flat
     for _ in range(rounds):
         weights = round_of_training(documents, corpus, weights)
@@ -241,8 +292,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch, buckets, lengths in batches_of_words(batches, 1):
-            sums = np.concatenate(([0.0], np.cumsum(model.word_scores(buckets, lengths), dtype=np.float64)))
+        for batch, hashes, lengths in batches_of_words(batches, 1):
+            sums = np.concatenate(([0.0], np.cumsum(model.word_scores(model.corpus.buckets(hashes), lengths), dtype=np.float64)))
             ends = np.cumsum(lengths)
             yield to_batch(schema, (batch.column(0), lengths, sums[ends] - sums[ends - lengths]))
 

@@ -434,3 +434,14 @@ def test_lm_score_trains_on_words_at_every_place(spark):
     buckets = (hashes >> np.uint64(48)).astype(int)
     gain = model.word_scores(buckets, np.array([len(buckets)])) - fresh.word_scores(buckets, np.array([len(buckets)]))
     assert [k for k in range(4) if gain[k::4].mean() <= 0] == []
+
+
+def test_lm_score_tables_grow_with_the_words(spark):
+    rows = [(d, " ".join(f"often{k % 50} w{d}x{k}" for k in range(1500))) for d in range(200)]
+    corpus = lm_score.fit(spark.createDataFrame(rows, "doc_id long, text string")).corpus
+    assert len(corpus.class_of) >= 2 * 300_050 and corpus.inputs >= 300_050 / 64
+    # a word never seen is rare, wherever it falls, and rare words are no single input
+    unseen, _ = Hasher().words(np.frombuffer(" ".join(f"never{k}" for k in range(2000)).encode(), np.uint8))
+    often, _ = Hasher().words(np.frombuffer(" ".join(f"often{k}" for k in range(50)).encode(), np.uint8))
+    assert not set(corpus.buckets(unseen).tolist()) & set(corpus.buckets(often).tolist())
+    assert len(set(corpus.input_of[corpus.buckets(unseen)].tolist())) > 1000
