@@ -10,16 +10,16 @@ The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, each block ag
 documents; a block is what is sent to executors, so its size is bounded by that parameter.
 
 Defined cases: words are lower-cased and ASCII punctuation separates them; items of fewer
-than ``WINDOW`` words must be matched in the same proportion over their whole length, and
-items too short for a mask exactly; null or empty texts on either side match nothing;
+than ``WINDOW`` words must be matched in the same proportion over their whole length, for
+which the words that may then remain are masks of their own where the four miss them; null or empty texts on either side match nothing;
 benchmark items of equal words are compared once and reported each; repeated documents each
 give their rows; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import repeat
+from functools import cache, reduce
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,16 @@ def seed_places(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return np.flatnonzero(fit)
 
 
+@cache
+def short_masks(length: int) -> tuple[tuple[int, ...], ...]:
+    """Masks for an item of fewer than ``WINDOW`` words: what is left of it by substitutions that the others miss."""
+    own = []
+    for kept in combinations(range(length), -(-length * MATCHED // WINDOW)):
+        if not any({at + offset for offset in mask} <= set(kept) for mask in MASKS for at in range(length)):
+            own.append(kept)
+    return tuple(own)
+
+
 class Block:
     """The words of some benchmark items, indexed by the seeds of every mask."""
 
@@ -79,12 +89,12 @@ class Block:
         self.item = np.array(item + [-1] * WINDOW, np.int32)
         lengths = np.array([len(w) for w in groups], np.int64)
         self.needed = np.where(lengths >= WINDOW, MATCHED, -(-lengths * MATCHED // WINDOW))
-        masks = {*MASKS, *(tuple(range(n)) for n in set(lengths.tolist()) if n < 9)}
+        starts = WINDOW + np.cumsum(lengths + WINDOW) - lengths - WINDOW
+        looks = [(mask, seed_places(self.ids, mask)) for mask in MASKS]
+        for n in sorted(set(lengths[lengths < WINDOW].tolist())):
+            looks += [(mask, starts[lengths == n]) for mask in short_masks(n)]
         self.seeds = []
-        for mask in sorted(masks):
-            at = seed_places(self.ids, mask)
-            if mask not in MASKS:  # a whole short item
-                at = at[lengths[self.item[at]] == len(mask)]
+        for mask, at in looks:
             hashes = seed_hashes(self.ids, at, mask)
             order = np.argsort(hashes, kind="stable")
             self.seeds.append((mask, hashes[order], at[order]))

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -210,6 +211,20 @@ def test_leaks_on_odd_tables(spark, odd, empty):
     assert decontaminate.decontaminated(odd, short).count() == len(ODD) - 3
 
 
+def test_short_items_with_every_allowed_substitution(spark):
+    docs, items = [], []
+    for n in range(1, 13):
+        words = [f"n{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in range(n - math.ceil(n * 10 / 13) + 2):  # one more than allowed, too
+            for places in itertools.combinations(range(n), gone):
+                other = " ".join("other" if k in places else w for k, w in enumerate(words))
+                docs += [(len(docs), other), (len(docs) + 1, f"before {other} after")]
+    expected = brute_leaks(docs, items)
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["n_matched"] for r in found.collect()} == expected
+
+
 # ---- Jaccard join
 
 
