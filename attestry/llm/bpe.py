@@ -16,11 +16,11 @@ import hashlib
 import json
 import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_or_empty, tidy, to_batch
+from .common import held_in_stage, partitions_for, shared_folder, text_or_empty, tidy, to_batch
+from .runs import KNOWN_RUNS, RunTable, normal_form
 
 #: Unicode white space as the vocabulary's split pattern understands it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -41,9 +42,7 @@ _CLOSED = re.compile("([a-zß-öø-ÿ])([.,])(?=[ \t\n\r])")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
 LEXICON_WORDS = 1 << 18
-MEMO_WORDS = 3 << 17
 COUNTER_WORDS = 1 << 18
-TOGETHER_RUNS = 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -70,14 +69,6 @@ def runs_of(text: str) -> list[str]:
     return split_white(text if plain is None else _CLOSED.sub(r"\1 \2", plain))
 
 
-def normal_form(text: str) -> str | None:
-    """The normalised text where normalising it again would change nothing, else None."""
-    if "<|" in text:
-        return None
-    plain = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
-    return plain if plain.isascii() or unicodedata.is_normalized("NFC", plain) else None
-
-
 def count_pieces(run: str) -> int:
     """Words of a normalised run, by the vocabulary's split pattern."""
     return len(_PIECE.findall(run))
@@ -108,7 +99,6 @@ class Vocabulary:
         names = {i: token for token, i in chain(self.ids.items(), self.specials.items())}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.digits = [str(i) for i in range(len(self.names))]
-        self.numbers = list(range(len(self.names)))  # one object per id, however many words hold it
 
     def pieces(self, run: str) -> list[str | int]:
         """Normalised words of a run without white space; ids where special tokens stand."""
@@ -125,25 +115,33 @@ class Vocabulary:
         return found
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word: the pair of the lowest rank is merged first, leftmost at ties."""
+        """Ids of one word: the pair of the lowest rank is merged first, leftmost at ties.
+
+        Pairs wait in a heap and symbols in a linked list, so n symbols take n log n steps.
+        """
         symbols = [self.alphabet[b] for b in word.encode()]
         symbols[-1] += self.suffix
-        ids = [self.ids[s] for s in symbols]
-        merges = self.merges
-        ranked = [merges.get(pair) for pair in zip(ids, ids[1:])]
-        while True:
-            best = None
-            for at, found in enumerate(ranked):
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, where = found, at
-            if best is None:
-                return ids
-            ids[where : where + 2] = [best[1]]
-            del ranked[where]
-            if where:
-                ranked[where - 1] = merges.get((ids[where - 1], ids[where]))
-            if where < len(ranked):
-                ranked[where] = merges.get((ids[where], ids[where + 1]))
+        ids, merges, n = [self.ids[s] for s in symbols], self.merges, len(symbols)
+        if n == 1:
+            return ids
+        heap = [(found[0], at, *pair) for at, pair in enumerate(zip(ids, ids[1:])) if (found := merges.get(pair))]
+        heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            _, at, left, right = heappop(heap)
+            second = after[at]
+            if ids[at] != left or second == n or ids[second] != right:
+                continue  # one of the two was merged since
+            ids[at], ids[second] = merges[left, right][1], -1
+            third = after[at] = after[second]
+            if third < n:
+                before[third] = at
+                if found := merges.get((ids[at], ids[third])):
+                    heappush(heap, (found[0], at, ids[at], ids[third]))
+            first = before[at]
+            if first >= 0 and (found := merges.get((ids[first], ids[at]))):
+                heappush(heap, (found[0], first, ids[first], ids[at]))
+        return [i for i in ids if i >= 0]
 
 
 class Lexicon:
@@ -205,12 +203,16 @@ class Lexicon:
         flat = np.fromiter(chain.from_iterable(ids for _, ids in words), np.int64, int(starts[-1]))
         return cls(arcs[:, 0] * 256 + arcs[:, 1], arcs[:, 2], arcs[:, 3], final, starts, flat)
 
+    def parts(self) -> Iterator[bytes]:
+        """The bytes of its file: the lengths of all arrays, then each array."""
+        arrays = [np.ascontiguousarray(getattr(self, f), "u1" if f == "final" else "<i8") for f in self.FIELDS]
+        yield np.array([len(a) for a in arrays], "<i8").tobytes()
+        for array in arrays:
+            yield array.tobytes() + b"\0" * (-array.nbytes % 8)
+
     def save(self, path: str) -> None:
         with open(path, "wb") as file:
-            arrays = [np.ascontiguousarray(getattr(self, f), "u1" if f == "final" else "<i8") for f in self.FIELDS]
-            np.array([len(a) for a in arrays], "<i8").tofile(file)
-            for array in arrays:
-                file.write(array.tobytes() + b"\0" * (-array.nbytes % 8))
+            file.writelines(self.parts())
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -250,38 +252,28 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts; remembers a bounded number of runs that it has seen."""
+    """Encodes texts; looks only runs up in the lexicon that its table does not know."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, known_runs: int = KNOWN_RUNS):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo = Memo(self.learn, MEMO_WORDS)
+        self.table = RunTable(self.learn, self.alone, known_runs)
 
-    def learn(self, runs: set[str]) -> dict[str, tuple[int, ...]]:
-        pieces, numbers = {run: self.vocabulary.pieces(run) for run in runs}, self.vocabulary.numbers
-        words = list({p for found in pieces.values() for p in found if isinstance(p, str)})
+    def learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of each run's ids)."""
+        pieces = [self.vocabulary.pieces(run) for run in runs]
+        words = list({p for found in pieces for p in found if isinstance(p, str)})
         known: dict[str | int, list[int]] = {i: [i] for i in self.vocabulary.specials.values()}
         for word, slot in zip(words, self.lexicon.slots([w.encode() for w in words]).tolist(), strict=True):
-            known[word] = [numbers[i] for i in self.lexicon.ids_of(slot)] if slot >= 0 else self.vocabulary.merge(word)
-        return {run: tuple(chain.from_iterable(map(known.__getitem__, found))) for run, found in pieces.items()}
+            known[word] = self.lexicon.ids_of(slot) if slot >= 0 else self.vocabulary.merge(word)
+        ids = [list(chain.from_iterable(map(known.__getitem__, found))) for found in pieces]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.memo.recall(runs_of(text))))
+    def alone(self, text: str) -> np.ndarray:
+        return self.learn(split_white(text))[0]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of each text; the lexicon is asked for the new words of many texts at once."""
-        held, size = [], 0
-        for text in texts:
-            held.append(runs_of(text))
-            size += len(held[-1])
-            if size > TOGETHER_RUNS:
-                yield from self._together(held)
-                held, size = [], 0
-        yield from self._together(held)
-
-    def _together(self, held: list[list[str]]) -> Iterator[list[int]]:
-        found = iter(self.memo.recall(list(chain.from_iterable(held))))
-        for runs in held:
-            yield list(chain.from_iterable(islice(found, len(runs))))
+        """Ids of each text."""
+        return (ids.tolist() for ids in self.table.encode_all(texts))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.vocabulary.names.__getitem__, ids))
@@ -311,7 +303,9 @@ def word_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFram
                     yield flush()
         yield flush()
 
-    return documents.select("text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = documents.select("text").mapInArrow(tidy(count), "word string, n long")
+    # tasks have added up their own words; the partitions follow the data, not the cluster's default
+    return counted.repartition(partitions_for(documents), "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(documents: DataFrame, vocabulary: str | None = None, size: int = LEXICON_WORDS) -> Lexicon:
@@ -322,23 +316,25 @@ def build_lexicon(documents: DataFrame, vocabulary: str | None = None, size: int
 
 
 def publish(documents: DataFrame, lexicon: Lexicon) -> str:
-    """Hand the lexicon's file to all executors, also those that join later; its name there."""
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    name = f"{os.path.basename(folder)}.bin"
-    lexicon.save(os.path.join(folder, name))
-    documents.sparkSession.sparkContext.addFile(os.path.join(folder, name))
-    return name
-
+    """Hand the lexicon's file to all executors, also those that join later; its name there.
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+    The file lies in the shared folder; Spark copies it to each node that asks for it.
+    """
+    context, path = documents.sparkSession.sparkContext, shared_folder(documents.sparkSession, "lexicon")
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    file = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    try:
+        for part in lexicon.parts():
+            file.write(bytearray(part))
+    finally:
+        file.close()
+    context.addFile(path)
+    return os.path.basename(path)
 
 
-def worker_encoder(path: str, name: str) -> Encoder:
-    """The encoder of this Python worker, kept between the tasks that it runs."""
-    if (path, name) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, name] = Encoder(Vocabulary(path), Lexicon.mapped(SparkFiles.get(name)))
-    return _ENCODERS[path, name]
+def stage_encoder(path: str, name: str) -> Encoder:
+    """The encoder that the tasks of a stage share in a Python worker."""
+    return held_in_stage(("lexicon", path, name), lambda: Encoder(Vocabulary(path), Lexicon.mapped(SparkFiles.get(name))))
 
 
 def encode(documents: DataFrame, vocabulary: str | None = None, lexicon: Lexicon | None = None) -> DataFrame:
@@ -348,7 +344,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None, lexicon: Lexicon
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        encoder = worker_encoder(path, name)
+        encoder = stage_encoder(path, name)
         for batch in batches:
             yield to_batch(schema, (batch.column(0), list(encoder.encode_all(text_or_empty(batch)))))
 
@@ -376,7 +372,7 @@ def round_trip_digests(documents: DataFrame, vocabulary: str | None = None, lexi
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        encoder = worker_encoder(path, name)
+        encoder = stage_encoder(path, name)
         digits = encoder.vocabulary.digits
         for batch in batches:
             counts, first, second = [], [], []
@@ -385,6 +381,5 @@ def round_trip_digests(documents: DataFrame, vocabulary: str | None = None, lexi
                 first.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 second.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
             yield to_batch(schema, (batch.column(0), counts, first, second))
-        encoder.memo.old = {}
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

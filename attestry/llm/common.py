@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors can reach.
 
-    Where the session names none (tests, local runs) a temporary folder is set up and
-    also registered as the checkpoint folder.
+    Where the session names none a local run gets a temporary folder, which is also
+    registered as the checkpoint folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
         base = context.getCheckpointDir()
+    if not base and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="attestry-")
         context.setCheckpointDir(base)
@@ -109,16 +112,45 @@ class Memo:
         return found
 
 
+_HELD: dict = {}
+
+
+def held_in_stage(key, make):
+    """An object that the tasks of one stage share in a Python worker.
+
+    It is made by the first of them; ``tidy`` lets it go when the worker gets a task of
+    another stage, so that no operator's tables stay while others run.
+    """
+    at = _stage(), key
+    if at not in _HELD:
+        _HELD[at] = make()
+    return _HELD[at]
+
+
+def _stage() -> int:
+    context = TaskContext.get()
+    return -1 if context is None else context.stageId()
+
+
 def tidy(run):
-    """A function for ``mapInArrow`` that gives freed memory back when its task ends.
+    """A function for ``mapInArrow`` that lets go of what other stages held, and gives freed
+    memory back when its task ends.
 
     Python workers live on between tasks; without this, what one operator needed for a
     moment would stay with the process while others run.
     """
 
     def wrapped(batches):
+        stage = _stage()
+        for at in [at for at in _HELD if at[0] != stage]:
+            del _HELD[at]
         yield from run(batches)
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)
 
     return wrapped
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions of a shuffle that must follow the data: as many as are read, or the session's default."""
+    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -20,7 +20,6 @@ no shards and an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from posixpath import join
@@ -31,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import count_pieces, default_vocabulary, normal_form
-from .common import shared_folder, text_or_empty, tidy, to_batch
-from .hashing import Hasher, bounds
+from .bpe import count_pieces, default_vocabulary
+from .common import held_in_stage, shared_folder, text_or_empty, tidy, to_batch
+from .runs import RunTable
 
 END_ID = 1
 KNOWN_RUNS = 3 << 18
-TOGETHER_CHARS = 1 << 19
 TOGETHER_NEW = 1 << 12
 TOGETHER_DOCUMENTS = 256
 SHARD_DOCUMENTS = 1 << 13
@@ -99,62 +97,8 @@ def unpack_all(controls: list[np.ndarray], datas: list[np.ndarray], counts: list
     return [values[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-class KnownRuns:
-    """A hash table in arrays from the 96-bit hashes of runs to where their ids stand.
-
-    Slots are probed one after the other, all keys of a call together.
-    """
-
-    def __init__(self, most: int):
-        self.most, self.bits = most, max(4, (most + most // 3).bit_length())
-        n = 1 << self.bits
-        self.first, self.second = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
-        self.begin, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.clear()
-
-    def clear(self) -> None:
-        self.first[:] = 0
-        self.used, self.ids = 0, np.empty(0, np.uint32)
-
-    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where it is not known."""
-        slots = np.full(len(first), -1, np.int64)
-        at, left = (first >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(first))
-        while len(left):
-            here = self.first[at]
-            same = (here == first[left]) & (self.second[at] == second[left])
-            slots[left[same]] = at[same]
-            on = ~same & (here != 0)
-            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return slots
-
-    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Keys that are not known yet, each once, with the number of their ids and all of these."""
-        begin = np.cumsum(count) - count + len(self.ids)
-        self.ids = np.concatenate((self.ids, ids))
-        self.used += len(first)
-        at, left = (first >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(first))
-        while len(left):
-            free = np.flatnonzero(self.first[at] == 0)
-            _, one = np.unique(at[free], return_index=True)
-            own = free[one]
-            who, slot = left[own], at[own]
-            self.first[slot], self.second[slot], self.begin[slot], self.count[slot] = first[who], second[who], begin[who], count[who]
-            on = np.ones(len(left), bool)
-            on[own] = False
-            left, at = left[on], at[on]
-            taken = self.first[at] != 0
-            at = np.where(taken, at + 1, at) & ((1 << self.bits) - 1)
-
-
 class RunEncoder:
-    """Ids of whole texts by the tokenizers library; each new run between spaces is encoded once.
-
-    The runs of many texts are hashed together (96 bits), looked up in a table of known
-    runs, and their ids laid out by one gather, so no step loops over words.  Only new runs
-    go to the library.  The table is bounded: when it is full it starts again from the runs
-    of the texts at hand.
-    """
+    """Ids of whole texts by the tokenizers library; each new run between spaces is encoded once."""
 
     def __init__(self, path: str, known_runs: int = KNOWN_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -168,7 +112,7 @@ class RunEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.known, self.hashers = KnownRuns(known_runs), (Hasher(), Hasher(0x9E3779B97F4A7C15))
+        self.table = RunTable(self.learn, self.alone, known_runs)
 
     def learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, number of each run's ids).  Many runs go in one call and
@@ -189,76 +133,12 @@ class RunEncoder:
                 counts.append(np.fromiter(map(len, alone), np.int64, len(alone)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def together(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of some normalised texts."""
-        raw = np.frombuffer(b" ".join(texts), np.uint8)
-        starts, ends = closing_bounds(raw)
-        first, second = (h.runs(raw, starts, ends) for h in self.hashers)
-        second = second.astype(np.uint32)
-        first |= np.uint64(1)  # zero marks a free slot
-        slot = self.known.find(first, second)
-        if (slot < 0).any() and self.known.used + int((slot < 0).sum()) > self.known.most:
-            self.known.clear()
-            slot[:] = -1
-            if len(slot) > self.known.most:  # room for these alone
-                self.known = KnownRuns(len(slot))
-        cut = raw.tobytes()
-        while (slot < 0).any():  # again only where two new runs agree in the first hash
-            at = np.flatnonzero(slot < 0)
-            new = at[np.unique(first[at], return_index=True)[1]]
-            runs = [cut[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            self.known.add(first[new], second[new], *self.learn(runs))
-            slot[at] = self.known.find(first[at], second[at])
-        count = self.known.count[slot].astype(np.int64)
-        total = np.concatenate(([0], np.cumsum(count)))
-        ids = self.known.ids[np.repeat(self.known.begin[slot] - total[:-1], count) + np.arange(total[-1])]
-        edges = total[np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))]
-        return np.split(ids, edges[:-1])
-
     def alone(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, little-endian unsigned 32-bit integers.
-
-        The vocabulary splits at white space before anything else, so a text's ids are those
-        of its runs one after the other.  Texts whose runs are not simple go as they stand.
-        """
-        held: list[tuple[str, bytes | None]] = []
-        size = 0
-        for text in texts:
-            plain = normal_form(text)
-            simple = plain is not None and not _ODD_SPACE.search(plain)
-            held.append((text, plain.encode() if simple else None))
-            size += len(text)
-            if size > TOGETHER_CHARS:
-                yield from self.held(held)
-                held, size = [], 0
-        yield from self.held(held)
-
-    def held(self, held: list[tuple[str, bytes | None]]) -> Iterator[np.ndarray]:
-        simple = [raw for _, raw in held if raw is not None]
-        found = iter(self.together(simple) if simple else ())
-        for text, raw in held:
-            yield self.alone(text) if raw is None else next(found)
-
-
-#: White space of the vocabulary, or of Python, that is not ASCII's.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_LETTER, _CLOSING = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[97:123] = True
-_CLOSING[[ord(","), ord(".")]] = True
-
-
-def closing_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of runs; a comma or full stop between a letter and white space is its own run."""
-    starts, ends = bounds(raw)
-    last = ends - 1
-    apart = last[(last > starts) & _CLOSING[raw[last]] & _LETTER[raw[np.maximum(last - 1, 0)]]]
-    return np.sort(np.concatenate((starts, apart))), np.sort(np.concatenate((ends, apart)))
-
-
-_ENCODERS: dict[str, RunEncoder] = {}
+        """Ids of each text, little-endian unsigned 32-bit integers."""
+        return self.table.encode_all(texts)
 
 
 def encode_ids(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -266,7 +146,7 @@ def encode_ids(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, RunEncoder(vocabulary))
+        encoder = held_in_stage(("library", vocabulary), lambda: RunEncoder(vocabulary))
         last = np.uint32(end_id)
         for batch in batches:
             rows = []
@@ -321,7 +201,6 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
     def frames(batches):
         from pyspark import TaskContext
 
-        _ENCODERS.clear()
         shard = TaskContext.get().partitionId()
         for batch in batches:
             rows = []

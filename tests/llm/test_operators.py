@@ -98,10 +98,17 @@ def test_bpe_equals_the_library():
     texts = random_texts()
     for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
         expected = library.encode(text, add_special_tokens=False).ids
-        assert ids == expected, text
+        assert list(ids) == expected, text
         assert encoder.decode(ids) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_a_long_run_without_spaces_merges_like_the_library():
+    spelling, chance = bpe.Vocabulary(bpe.default_vocabulary()), random.Random(1)
+    encoder, library = bpe.Encoder(spelling, bpe.Lexicon.compile({}), known_runs=50), tokenizer()
+    for word in ("".join(chance.choice("abcdefghijklmnop") for _ in range(200_000)), "ab" * 50_000, "a" * 4_097, "a\u00a0b\x1cc"):
+        assert next(encoder.encode_all([word])) == library.encode(word, add_special_tokens=False).ids
+
+
 def test_lexicon_finds_all_its_words_and_no_others(tmp_path):
     chance = random.Random(1)
     words = {"".join(chance.choice("abcé") for _ in range(chance.randint(1, 6))) for _ in range(500)}
