@@ -1,144 +1,202 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-Every word of a text is predicted from the two words on each side of it.  The network adds
-one learned vector per place and neighbour, squashes the sum, and gives the odds of the
-word's class; within its class a word has its share of the corpus.  A document's score is
-the sum over all its words of the log-probability of the word given its neighbours.
-
-Everything is gathered from the whole corpus: word counts, and the weights.  In each round
-every task trains its copy of the weights on every word of its partition, and the copies
-are averaged by the words that each has seen; the average is summed in pieces on the
-executors, so only one set of weights ever reaches the driver.
-
-What is gathered grows with the number of different words, which is counted exactly: the hash
-table of word counts has two to four buckets a word (``LEAST_BITS`` at least), and there is an
-input for every 32 to 64 words (``LEAST_INPUTS`` at least).  The most frequent words have half of
-the inputs to themselves; every other word has one of the other half, by its hash.
+Every word of a text is predicted from the two words on each side of it.  The network looks
+up one learned vector per neighbour, mixes them by place, squashes the sum, and predicts the
+word in two softmax steps: one of 64 classes, then one of 64 cells of that class.  Classes
+and cells are even shares of the corpus in order of frequency, so a frequent word has a cell
+to itself; words that share a cell divide it by their counts.  A document's score is the sum
+over all its words of the log-probability of the word given its neighbours.
+
+Everything is gathered from the whole corpus and grows with it.  Words are counted exactly,
+in a table in the shared folder that never reaches the driver.  The most frequent ones are
+the network's own words; their number grows with the square root of the number of different
+words (``own_words``), which bounds what is broadcast.  All other words are one cell, divided
+by their exact counts: the documents' rare words are joined with the table of counts.
+
+Training deals the documents by hash into groups of about ``GROUP_WORDS`` words, whatever
+their partitions were, and trains a copy of the weights on every word of each group.  The
+copies are averaged on the executors, a vector by those that met it, by the words they saw.
 
 Defined cases: words are runs of bytes without white space, A-Z counted as a-z; a null or
-empty text has no words, a sum of zero and a null mean; repeated rows each give a row; an
-empty table gives an empty result; other columns are ignored.
+empty text has no words, a sum of zero and a null mean; a very long text is scored whole, by
+steps of bounded size; repeated rows each give a row; words of equal counts are ordered by
+hash; a word never seen counts as seen once; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, tidy, to_batch
+from .common import partitions_for, stored, text_or_empty, tidy, to_batch
 from .hashing import Hasher
 
 PLACES = (-2, -1, 1, 2)
-LEAST_BITS = 16
 LEAST_INPUTS = 4096
-CLASSES = 64
+BRANCHES = 64
 HIDDEN = 16
-ROUNDS = 2
-STEP_WORDS = 4096
+ROUNDS = 1
+STEP_WORDS = 8192
+GROUP_WORDS = 1 << 23
 RATE = 0.1
 BATCH_BYTES = 1 << 21
 #: Different words that a task holds before it hands on their counts; vectors in a piece.
 HELD_WORDS = 1 << 20
 PIECE = 1 << 12
 
+OUTSIDE = 1
 
-def sizes(distinct: int) -> tuple[int, int]:
-    """(bits of a bucket, number of inputs) for so many different words."""
-    bits = max(1, distinct - 1).bit_length()
-    return max(LEAST_BITS, bits + 1), max(LEAST_INPUTS, 1 << max(0, bits - 5))
 
+def inputs_for(distinct: int) -> int:
+    """Vectors for so many different words: 64 times the square root, as a power of two."""
+    return max(LEAST_INPUTS, 1 << max(0, 64 * isqrt(max(0, distinct)) - 1).bit_length())
 
-@dataclass
-class Corpus:
-    """What word counts give: an input number, a class and a share of it for every bucket."""
 
-    input_of: np.ndarray
-    class_of: np.ndarray
-    log_share: np.ndarray
+def own_words(inputs: int) -> int:
+    """Words that have a vector to themselves; the others share the other half by hash."""
+    return inputs // 2 - 2
 
-    inputs: int = LEAST_INPUTS
 
-    @classmethod
-    def of(cls, counts: np.ndarray, inputs: int = LEAST_INPUTS) -> Corpus:
-        counts = counts + 0.5  # a word never seen still has some probability
-        order = np.argsort(-counts, kind="stable")
-        half = inputs // 2  # 0: unused, 1: outside the text
-        input_of = (half + np.arange(len(counts)) % (inputs - half)).astype(np.int32)
-        input_of[order[: half - 2]] = np.arange(2, half)
-        mass = np.cumsum(counts[order]) - counts[order] / 2
-        class_of = np.empty(len(counts), np.uint8)
-        class_of[order] = np.minimum((mass / counts.sum() * CLASSES).astype(np.int32), CLASSES - 1)
-        total = np.bincount(class_of, counts, CLASSES)
-        return cls(input_of, class_of, np.log(counts / total[class_of]).astype(np.float32), inputs)
-
-    def buckets(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(65 - len(self.class_of).bit_length())).astype(np.int64)
+class Words:
+    """The network's own words: their hashes, vectors, cells and shares.
 
+    ``hashes`` are sorted; the number of hashes below each prefix leads to the place of one.
+    """
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, inputs: int):
+        rank = np.lexsort((hashes.view(np.int64), -counts))
+        self.inputs, self.rare_total = inputs, int(total - counts.sum())
+        hashes, counts = hashes[rank], counts[rank].astype(np.float64)
+        mass = np.append(counts, self.rare_total)  # all other words stand last, as one
+        middle = np.cumsum(mass) - mass / 2
+        cell = np.minimum((middle / max(1, total) * BRANCHES**2).astype(np.int32), BRANCHES**2 - 1)
+        self.cell_mass = np.bincount(cell, mass, BRANCHES**2)
+        share = np.log(np.maximum(mass, 1e-9) / np.maximum(self.cell_mass[cell], 1e-9)).astype(np.float32)
+        order = np.argsort(hashes)
+        self.hashes = np.append(hashes[order], np.uint64((1 << 64) - 1))
+        self.input = np.append(2 + order, 0).astype(np.int32)
+        self.cell = np.append(cell[:-1][order], cell[-1]).astype(np.int16)
+        self.log_share = np.append(share[:-1][order], share[-1])
+        self.shift = np.uint64(64 - (16 * max(2, len(hashes))).bit_length())
+        prefixes = np.arange(1 << int(64 - self.shift), dtype=np.uint64)
+        self.below = np.searchsorted(self.hashes[:-1], prefixes << self.shift).astype(np.int32)
+        self.most = int(np.diff(np.append(self.below, len(hashes))).max(initial=0))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word; one past the end for all that are not own words."""
+        at = self.below[hashes >> self.shift]
+        for _ in range(self.most):
+            at = at + (self.hashes[at] < hashes)
+        return np.where(self.hashes[at] == hashes, at, len(self.hashes) - 1)
+
+    def inputs_of(self, hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        half = self.inputs // 2
+        shared = half + ((hashes >> np.uint64(20)) % np.uint64(self.inputs - half)).astype(np.int32)
+        return np.where(places < len(self.hashes) - 1, self.input[places], shared)
+
+
+SHAPES = {
+    "b": (HIDDEN,), "W": (len(PLACES) * HIDDEN, HIDDEN), "O": (HIDDEN, BRANCHES), "c": (BRANCHES,),
+    "P": (BRANCHES, HIDDEN, BRANCHES), "d": (BRANCHES, BRANCHES),
+}
 #: Floats beside the inputs' vectors, which come last.
-DENSE = HIDDEN + HIDDEN * CLASSES + CLASSES
+DENSE = sum(int(np.prod(shape)) for shape in SHAPES.values())
 
 
 class Network:
+    """Weights in one flat array: ``O`` and ``c`` give the class, ``P`` and ``d`` the cell of
+    each class, ``E`` a vector per input, ``W`` and ``b`` the hidden layer."""
+
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
-        inputs = (len(flat) - DENSE) // (len(PLACES) * HIDDEN)
-        for name, shape in {"b": (HIDDEN,), "O": (HIDDEN, CLASSES), "c": (CLASSES,), "E": (len(PLACES), inputs, HIDDEN)}.items():
+        for name, shape in {**SHAPES, "E": ((len(flat) - DENSE) // HIDDEN, HIDDEN)}.items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
 
     @classmethod
-    def fresh(cls, corpus: Corpus, seed: int = 5) -> Network:
+    def fresh(cls, words: Words, seed: int = 5) -> Network:
+        """Random vectors; the biases alone give every cell its share of the corpus."""
         chance = np.random.default_rng(seed)
-        net = cls(np.zeros(DENSE + len(PLACES) * corpus.inputs * HIDDEN, np.float32))
-        net.E[:] = 0.1 * chance.standard_normal(net.E.shape)
-        net.O[:] = 0.3 * chance.standard_normal(net.O.shape)
+        net = cls(np.zeros(DENSE + words.inputs * HIDDEN, np.float32))
+        net.E[:] = 0.3 * chance.standard_normal(net.E.shape)
+        net.W[:] = chance.standard_normal(net.W.shape) / np.sqrt(len(net.W))
+        cells = words.cell_mass.reshape(BRANCHES, BRANCHES)
+        classes = cells.sum(axis=1)
+        net.c[:] = np.log(np.maximum(classes, 1e-6) / max(1.0, classes.sum()))
+        net.d[:] = np.log(np.maximum(cells, 1e-6) / np.maximum(classes, 1e-6)[:, None])
+        np.maximum(net.flat[:DENSE], -20, out=net.flat[:DENSE])
         return net
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.b + self.E[0][around[0]]
-        for k in range(1, len(PLACES)):
-            total += self.E[k][around[k]]
-        return np.tanh(total)
-
-    def class_log_probabilities(self, around: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Log-probability of each word's class; ``around`` has a row per place."""
-        result = np.empty(len(classes), np.float32)
-        for low in range(0, len(classes), STEP_WORDS):
-            part = slice(low, low + STEP_WORDS)
-            scores = self.hidden(around[:, part]) @ self.O + self.c
-            own = scores[np.arange(len(scores)), classes[part]]
-            top = scores.max(axis=1)
-            result[part] = own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    def forward(self, around: np.ndarray, cells: np.ndarray):
+        """(vectors, hidden, order by class, bounds of classes, odds and log-probability of both steps)."""
+        vectors = self.E[around].reshape(len(around), -1)
+        hidden = np.tanh(vectors @ self.W + self.b)
+        classes, within = cells // BRANCHES, cells % BRANCHES
+        order = np.argsort(classes, kind="stable")
+        bounds = np.searchsorted(classes[order], np.arange(BRANCHES + 1)).tolist()
+        vectors, hidden, classes, within = vectors[order], hidden[order], classes[order], within[order]
+        first, second = hidden @ self.O + self.c, np.empty((len(hidden), BRANCHES), np.float32)
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if high > low:
+                np.add(hidden[low:high] @ self.P[k], self.d[k], out=second[low:high])
+        rows, logs = np.arange(len(hidden)), np.zeros(len(hidden), np.float32)
+        for scores, wanted in ((first, classes), (second, within)):
+            scores -= scores.max(axis=1, keepdims=True)
+            own = scores[rows, wanted]
+            np.exp(scores, out=scores)
+            total = scores.sum(axis=1, keepdims=True)
+            scores /= total
+            logs += own - np.log(total[:, 0])
+        return vectors, hidden, order, bounds, classes, within, first, second, logs
+
+    def log_probabilities(self, around: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Log-probability of each word's cell; ``around`` has a column per place."""
+        result = np.empty(len(cells), np.float32)
+        for low in range(0, len(cells), STEP_WORDS):
+            *_, order, _, _, _, _, _, logs = self.forward(around[low : low + STEP_WORDS], cells[low : low + STEP_WORDS])
+            result[low + order] = logs
         return result
 
-    def step(self, around: np.ndarray, classes: np.ndarray, squares: Network) -> None:
+    def gradients(self, around: np.ndarray, cells: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of the mean loss: one per dense weight, and the inputs met with one per vector."""
+        n = len(cells)
+        vectors, hidden, order, bounds, classes, within, first, second, _ = self.forward(around, cells)
+        rows = np.arange(n)
+        first[rows, classes] -= 1
+        second[rows, within] -= 1
+        back = first @ self.O.T
+        grads = {"O": hidden.T @ first / n, "c": first.mean(axis=0), "P": np.zeros_like(self.P), "d": np.zeros_like(self.d)}
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if high > low:
+                part = second[low:high]
+                grads["P"][k], grads["d"][k] = hidden[low:high].T @ part / n, part.sum(axis=0) / n
+                back[low:high] += part @ self.P[k].T
+        back *= 1 - hidden * hidden
+        grads |= {"W": vectors.T @ back / n, "b": back.mean(axis=0)}
+        spread = (back @ self.W.T).reshape(-1, HIDDEN)
+        ids = around[order].reshape(-1)
+        by_id = np.argsort(ids, kind="stable")
+        ids = ids[by_id]
+        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        return grads, ids[starts], np.add.reduceat(spread[by_id], starts, axis=0) / np.diff(np.append(starts, len(ids)))[:, None]
+
+    def step(self, around: np.ndarray, cells: np.ndarray, squares: Network) -> None:
         """One gradient step; a weight's step shrinks with the gradients it has seen."""
-        n = len(classes)
-        h = self.hidden(around)
-        scores = h @ self.O + self.c
-        odds = np.exp(scores - scores.max(axis=1, keepdims=True))
-        wrong = odds / odds.sum(axis=1, keepdims=True)
-        wrong[np.arange(n), classes] -= 1
-        back = (wrong @ self.O.T) * (1 - h * h)
-        for name, grad in (("O", h.T @ wrong / n), ("c", wrong.mean(axis=0)), ("b", back.mean(axis=0))):
-            seen = getattr(squares, name)
+        grads, met, moved = self.gradients(around, cells)
+        for name, grad in grads.items():
+            seen, weight = getattr(squares, name), getattr(self, name)
             seen += grad * grad
-            weight = getattr(self, name)
             weight -= RATE * grad / (np.sqrt(seen) + 1e-6)
-        for k in range(len(PLACES)):
-            order = np.argsort(around[k], kind="stable")
-            ids = around[k][order]
-            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            grad = np.add.reduceat(back[order], first, axis=0) / np.diff(np.append(first, n))[:, None]
-            ids = ids[first]
-            squares.E[k][ids] += grad * grad
-            self.E[k][ids] -= RATE * grad / (np.sqrt(squares.E[k][ids]) + 1e-3)
+        seen = squares.E[met] + moved * moved
+        squares.E[met] = seen
+        self.E[met] -= RATE * moved / (np.sqrt(seen) + 1e-3)
 
 
 def batches_of_words(batches, column: int):
@@ -157,16 +215,15 @@ def batches_of_words(batches, column: int):
                 texts, size, first = [], 0, row + 1
 
 
-def neighbours(corpus: Corpus, buckets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Input numbers of the words around every word, a row per place."""
+def neighbours(inputs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Inputs of the words around every word, a column per place."""
     ends = np.cumsum(lengths)
-    low, high = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
-    inputs, at = corpus.input_of[buckets], np.arange(len(buckets))
-    around = np.ones((len(PLACES), len(buckets)), np.int32)
+    low, high, at = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths), np.arange(len(inputs))
+    around = np.full((len(inputs), len(PLACES)), OUTSIDE, np.int32)
     for k, place in enumerate(PLACES):
         there = at + place
         inside = (there >= low) & (there < high)
-        around[k, inside] = inputs[there[inside]]
+        around[inside, k] = inputs[there[inside]]
     return around
 
 
@@ -178,8 +235,8 @@ def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
-def count_words(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """Counts of all words by bucket, in a table that grows with them, and the number of inputs."""
+def count_words(documents: DataFrame) -> DataFrame:
+    """(word, n): the exact count of every word, by the 64 bits of its hash."""
     schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
@@ -192,113 +249,125 @@ def count_words(documents: DataFrame) -> tuple[np.ndarray, int]:
                 words, counts = words[:0], counts[:0]
         yield to_batch(schema, (words.view(np.int64), counts))
 
-    words = stored(documents.select("text").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    bits, inputs = sizes(words.count())
-    rows = words.groupBy(F.shiftrightunsigned("word", 64 - bits).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << bits)
-    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return counts, inputs
+    counted = documents.select("text").mapInArrow(tidy(run), "word long, n long")
+    # tasks have added up their own words; the partitions follow the data
+    return stored(counted.repartition(partitions_for(documents), "word").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def round_of_training(documents: DataFrame, corpus: Corpus, weights: np.ndarray) -> np.ndarray:
-    """Train a copy of the weights on every word of each partition's documents and average the copies.
+def choose_words(counts: DataFrame) -> tuple[Words, int]:
+    """The network's own words, and the number of all words of the corpus."""
+    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    inputs = inputs_for(distinct)
+    top = counts.orderBy(F.desc("n"), "word").limit(own_words(inputs)).toArrow()
+    hashes = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    return Words(hashes, top.column("n").to_numpy(), int(total), inputs), int(total)
 
-    A task hands on by how much it moved the vectors that it met, times the words it has seen.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast((corpus, weights))
+
+def round_of_training(documents: DataFrame, groups: int, words: Words, weights: np.ndarray) -> np.ndarray:
+    """Train a copy of the weights on every word of each group of documents and average the copies."""
+    shared = documents.sparkSession.sparkContext.broadcast((words, weights))
     parts = pa.schema([("piece", pa.int32()), ("n", pa.float64()), ("rows", pa.binary()), ("moved", pa.binary())])
 
     def run(batches):
-        corpus, weights = shared.value
+        words, weights = shared.value
         net, squares, seen = Network(weights.copy()), Network(np.zeros(len(weights), np.float32)), 0
-        around, classes, held = [], [], 0
+        around, cells, held = [], [], 0
 
         def learn():
-            a, c = np.concatenate(around, axis=1), np.concatenate(classes)
+            a, c = np.concatenate(around), np.concatenate(cells)
             for low in range(0, len(c), STEP_WORDS):
-                net.step(a[:, low : low + STEP_WORDS], c[low : low + STEP_WORDS], squares)
+                net.step(a[low : low + STEP_WORDS], c[low : low + STEP_WORDS], squares)
 
         for _, hashes, lengths in batches_of_words(batches, 0):
-            buckets = corpus.buckets(hashes)
-            around.append(neighbours(corpus, buckets, lengths))
-            classes.append(corpus.class_of[buckets])
-            held += len(classes[-1])
-            if held > 16 * STEP_WORDS:
+            places = words.places(hashes)
+            around.append(neighbours(words.inputs_of(hashes, places), lengths))
+            cells.append(words.cell[places])
+            held += len(places)
+            if held >= 16 * STEP_WORDS:
                 learn()
-                seen, around, classes, held = seen + held, [], [], 0
+                seen, around, cells, held = seen + held, [], [], 0
         if held:
             learn()
         seen += held
         if seen:
             yield to_batch(parts, ([-1], [float(seen)], [b""], [(net.flat[:DENSE] - weights[:DENSE]).tobytes()]))
-            new, old, met = net.flat[DENSE:].reshape(-1, HIDDEN), weights[DENSE:].reshape(-1, HIDDEN), squares.flat[DENSE:].reshape(-1, HIDDEN)
-            for piece, low in enumerate(range(0, len(new), PIECE)):
-                rows = np.flatnonzero(met[low : low + PIECE].any(axis=1)).astype(np.int32)
+            old = Network(weights).E
+            for piece, low in enumerate(range(0, len(old), PIECE)):
+                rows = np.flatnonzero(squares.E[low : low + PIECE].any(axis=1)).astype(np.int32)
                 if len(rows):
-                    yield to_batch(parts, ([piece], [float(seen)], [rows.tobytes()], [(new[low + rows] - old[low + rows]).tobytes()]))
+                    yield to_batch(parts, ([piece], [float(seen)], [rows.tobytes()], [(net.E[low + rows] - old[low + rows]).tobytes()]))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
-        totals: dict[int, float] = {}
         for batch in batches:
             for piece, n, rows, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                moved = np.frombuffer(raw, np.float32) * np.float64(n)
-                totals[piece] = totals.get(piece, 0.0) + n
-                if piece < 0:
-                    sums[piece] = sums.get(piece, 0.0) + moved
-                else:
-                    sums.setdefault(piece, np.zeros((PIECE, HIDDEN)))[np.frombuffer(rows, np.int32)] += moved.reshape(-1, HIDDEN)
-        for piece, moved in sums.items():
-            yield to_batch(parts, ([piece], [totals[piece]], [b""], [moved.astype(np.float32).tobytes()]))
+                moved = np.frombuffer(raw, np.float32).reshape(-1, HIDDEN).astype(np.float64) * n
+                at = np.frombuffer(rows, np.int32) if piece >= 0 else np.arange(len(moved))
+                total = sums.setdefault(piece, np.zeros((PIECE if piece >= 0 else len(moved), HIDDEN + 1)))
+                total[at, :HIDDEN] += moved
+                total[at, HIDDEN] += n
+        for piece, total in sums.items():
+            mean = total[:, :HIDDEN] / np.maximum(total[:, HIDDEN:], 1)
+            yield to_batch(parts, ([piece], [0.0], [b""], [mean.astype(np.float32).tobytes()]))
 
     shape = "piece int, n double, rows binary, moved binary"
-    copies = documents.select("text").mapInArrow(tidy(run), shape)
+    key = F.xxhash64("doc_id", "text")
+    dealt = documents.select("text", key.alias("dealt")).repartition(groups, "dealt").sortWithinPartitions("dealt", "text")
+    copies = dealt.select("text").mapInArrow(tidy(run), shape)
     pieces = 1 + -(-(len(weights) - DENSE) // (PIECE * HIDDEN))
-    found = {r["piece"]: r for r in copies.repartition(pieces, "piece").mapInArrow(tidy(add), shape).collect()}
+    found = copies.repartition(pieces, "piece").mapInArrow(tidy(add), shape).select("piece", "moved").toArrow()
     shared.unpersist()
-    if not found:
-        return weights
-    weights, total = weights.copy(), found[-1]["n"]
-    for piece, row in found.items():
+    weights = weights.copy()
+    for piece, raw in zip(found.column(0).to_pylist(), found.column(1), strict=True):
         at = slice(0, DENSE) if piece < 0 else slice(DENSE + piece * PIECE * HIDDEN, DENSE + (piece + 1) * PIECE * HIDDEN)
-        moved = np.frombuffer(row["moved"], np.float32)
-        weights[at] += moved[: len(weights[at])] / np.float32(total)
+        weights[at] += np.frombuffer(raw.as_buffer(), np.float32)[: len(weights[at])]
     return weights
 
 
 @dataclass
 class Model:
-    corpus: Corpus
-    weights: np.ndarray
+    """Own words and weights, which are broadcast; the counts of all words, which are joined."""
 
-    def word_scores(self, buckets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probability of every word given its neighbours."""
-        around, net = neighbours(self.corpus, buckets, lengths), Network(self.weights)
-        return net.class_log_probabilities(around, self.corpus.class_of[buckets]) + self.corpus.log_share[buckets]
+    words: Words
+    weights: np.ndarray
+    counts: DataFrame
 
 
 def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
-    corpus = Corpus.of(*count_words(documents))
-    weights = Network.fresh(corpus).flat
+    counts = count_words(documents)
+    words, total = choose_words(counts)
+    weights = Network.fresh(words).flat
     for _ in range(rounds):
-        weights = round_of_training(documents, corpus, weights)
-    return Model(corpus, weights)
+        weights = round_of_training(documents, max(1, -(-total // GROUP_WORDS)), words, weights)
+    return Model(words, weights, counts)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood of every whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64())])
+    shared = documents.sparkSession.sparkContext.broadcast((model.words, model.weights))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches):
-        model = shared.value
+        words, weights = shared.value
+        net, log_rare = Network(weights), np.log(max(1, words.rare_total))
         for batch, hashes, lengths in batches_of_words(batches, 1):
-            sums = np.concatenate(([0.0], np.cumsum(model.word_scores(model.corpus.buckets(hashes), lengths), dtype=np.float64)))
+            places = words.places(hashes)
+            logs = net.log_probabilities(neighbours(words.inputs_of(hashes, places), lengths), words.cell[places]) + words.log_share[places]
+            rare = places == len(words.hashes) - 1
+            sums = np.concatenate(([0.0], np.cumsum(logs - log_rare * rare, dtype=np.float64)))
             ends = np.cumsum(lengths)
-            yield to_batch(schema, (batch.column(0), lengths, sums[ends] - sums[ends - lengths]))
-
-    shown = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, log_likelihood double")
-    return shown.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
+            edges = np.concatenate(([0], np.cumsum(rare)))[np.concatenate(([0], ends))]
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(hashes[rare].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(sums[ends] - sums[ends - lengths]), lists], schema=schema)
+
+    shown = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, known double, rare array<long>")
+    rows = stored(shown.withColumn("row", F.monotonically_increasing_id()), "known-words")
+    # a word that stands once adds log 1 to the sum
+    often = model.counts.where("n > 1")
+    shares = rows.select("row", F.explode("rare").alias("word")).join(often, "word").groupBy("row").agg(F.sum(F.log("n")).alias("shares"))
+    joined = rows.select("row", "doc_id", "n_tokens", "known").join(shares, "row", "left")
+    summed = joined.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("shares", F.lit(0.0))).alias("log_likelihood"))
+    return summed.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
 
 
 def scored(documents: DataFrame) -> DataFrame:
