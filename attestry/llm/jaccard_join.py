@@ -8,17 +8,23 @@ it must be placed so that no link is lost: its boundary window.  Shingles that o
 alone holds make regions without pairs, so only shared shingles are carried on.
 
 Regions that share a text are joined to one; every link lies inside one joined region.
-There, texts are pivots: a text within the join radius of a pivot is linked to it, and only
-texts that the triangle inequality leaves open are compared, recursively, until every text
-is linked or was a pivot.  Regions of more than ``REGION_TEXTS`` texts are not gathered:
-rounds of pivots meet all their texts, until each text is in the main group or was a pivot.
+There, texts are pivots, at every size.  Pivots of a large region that are far from one
+another are the centres of its Voronoi regions; a text within ``BALL`` of a centre is at home
+in the nearest one's region, others stay outside.  Boundary texts are replicated to each
+region in which the triangle inequality lets a link of theirs end.  Regions are cut again
+until they are small, all one group, or without a text at home; a pivot has met its whole
+region and leaves.  In a region of at most ``REGION_TEXTS`` texts one task does the same:
+balls around pivots, and comparison of what the triangle inequality leaves open.  Every step
+works on parts of bounded size, so no region is one task.  Texts that are all unlike one
+another but share rare shingles each become pivots: m of them cost m squared distances.
 
 A shingle in ``HOT`` texts or more counts as hot; hot shingles come last and in order of
 their hash, so a task that has seen that many needs no other task to place them, and sends
 them on spread by text.  Nothing is capped: hot shingles are compared like others.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and link
-with nothing; a text of fewer than five words is one shingle; equal texts link; rows with
+with nothing; a text of fewer than five words is one shingle; a very long text is one set of all
+its shingles; equal texts link; distances at exactly 0.25 link; rows with
 one doc_id are one document each and get their own rows; a null doc_id has the component of
 its copies; an empty table gives an empty result; other columns are ignored.
 """
@@ -44,7 +50,13 @@ BUCKET_SHINGLES = 1 << 18
 CHUNK_SHINGLES = 1 << 19
 BATCH_BYTES = 1 << 20
 REGION_TEXTS = 256
-PIVOTS = 8
+#: Pivots of a region in the first round; each round asks four times as many, up to the most.
+PIVOTS, MOST_PIVOTS, PIVOT_KEYS = 16, 1 << 10, 1 << 20
+#: Sets, and shingles of sets, that one task compares with a region's pivots at a time.
+PART_ROWS, PART_KEYS = 1 << 11, 1 << 20
+#: Greatest distance of a link, and of a set from the centre of its Voronoi region.
+RADIUS = 1 - SIMILAR_PERCENT / 100
+BALL = 2 * RADIUS
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -262,7 +274,7 @@ class Region:
     def links(self) -> Iterator[tuple[int, int]]:
         """Links that join all linked sets: every pivot with its ball, then what the triangle
         inequality leaves open between a ball and what lies outside of it."""
-        radius = 1 - SIMILAR_PERCENT / 100 + 1e-9
+        radius = RADIUS + 1e-9
         parent = list(range(len(self.n)))
 
         def root(x: int) -> int:
@@ -317,54 +329,154 @@ def small_region_links(members: DataFrame) -> DataFrame:
     return grouped.select("rows").mapInArrow(tidy(run), "u long, v long")
 
 
-def meet(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links between all rows of ``members`` and the query sets of their region."""
-    asked = queries.select("region", *(F.col(c).alias(f"q_{c}") for c in ("sig", "n", "shared")))
-    common = F.size(F.array_intersect("shared", "q_shared"))
-    near = 100 * common >= SIMILAR_PERCENT * (F.col("n") + F.col("q_n") - common)
-    # sizes alone rule most pairs out before the sets are looked at
-    sizes = (100 * F.col("n") >= SIMILAR_PERCENT * F.col("q_n")) & (100 * F.col("q_n") >= SIMILAR_PERCENT * F.col("n"))
-    joined = members.select("region", "sig", "n", "shared").join(asked, "region")
-    return joined.where((F.col("sig") != F.col("q_sig")) & sizes & near).select(F.col("sig").alias("u"), F.col("q_sig").alias("v"))
-
-
-def large_region_links(members: DataFrame) -> DataFrame:
-    """Links that join all linked sets of regions of any size, without gathering a region.
-
-    A round's queries are pivots drawn by hash from the sets that are not yet in their
-    region's main group and were not asked before; they meet all rows of the region.  Each
-    round asks four times as many.  When it ends every set is in the main group or was
-    asked, and a link that is still missing would need two sets that are neither.
+class Pivots:
+    """Some sets of one region as pivots; the centres among them are far from one another."""
+
+    def __init__(self, sigs: np.ndarray, sizes: np.ndarray, shared: list[np.ndarray]):
+        order = np.argsort(sigs)
+        self.sigs, self.n, own = sigs[order], sizes[order], [shared[k] for k in order.tolist()]
+        self.flat, numbers = np.unique(np.concatenate(own), return_inverse=True)
+        self.held = np.split(numbers.reshape(-1), np.cumsum([len(x) for x in own])[:-1])
+        distance, self.near = self.distances(self.sigs, self.n, own)
+        centres: list[int] = []
+        for k in range(len(own)):
+            if not (distance[k, centres] <= BALL).any():
+                centres.append(k)
+        self.centres = np.array(centres)
+        #: what an earlier pivot already joins to a later one
+        self.before = np.triu(self.near, 1).astype(np.float32)
+
+    def distances(self, sigs: np.ndarray, sizes: np.ndarray, shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, linked) of sets, a row each, to every pivot."""
+        lengths = np.array([len(x) for x in shared])
+        keys = np.concatenate(shared)
+        at = np.minimum(np.searchsorted(self.flat, keys), len(self.flat) - 1)
+        known = np.flatnonzero(self.flat[at] == keys)
+        owner, at = np.repeat(np.arange(len(shared)), lengths)[known], at[known]
+        common, flag = np.zeros((len(shared), len(self.n)), np.int64), np.zeros(len(self.flat), bool)
+        for pivot, numbers in enumerate(self.held):
+            flag[numbers] = True
+            common[:, pivot] = np.bincount(owner, flag[at], len(shared))
+            flag[numbers] = False
+        same = sigs[:, None] == self.sigs
+        common = np.where(same, self.n, common)  # shingles that it alone holds are not in its list
+        return 1 - common / (sizes[:, None] + self.n - common), linked(common, sizes[:, None], self.n)
+
+
+CUT = pa.schema([
+    ("u", pa.int64()), ("v", pa.int64()), ("from_group", pa.int64()), ("to_group", pa.int64()), ("centre", pa.int64()), ("home", pa.bool_()),
+    ("was_home", pa.bool_()), ("region", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("shared", pa.list_(pa.int64())), ("group", pa.int64()),
+])
+CUT_DDL = "u long, v long, from_group long, to_group long, centre long, home boolean, was_home boolean, region long, sig long, n int, shared array<long>, group long"
+
+
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
+    return np.split(flat, offsets[1:-1] - offsets[0]) if len(column) else []
+
+
+def cut(rows: pa.Table, drawn: pa.Table) -> pa.Table:
+    """Part of a region against its pivots: links to them, and the places of all other sets.
+
+    A set's home is its nearest centre within ``BALL``, or else the outside.  It also goes to
+    every earlier centre's region in which the triangle inequality lets a link end: of two
+    linked sets with homes i < k the second is within ``BALL`` and the join radius of centre
+    i, and no further from it than from its own by twice the radius.
     """
-    asked = members.select("region", "sig")
-    found, wanted, done = None, PIVOTS, None
-    while True:
-        many = asked.groupBy("region").agg(F.count("*").alias("open"))
-        share = F.pmod(F.xxhash64("sig", F.lit(wanted)), F.lit(1 << 20)) * F.col("open") < wanted << 20
-        drawn = stored(asked.join(many, "region").where(share | (F.col("open") <= wanted)).select("region", "sig"), "drawn")
-        queries = stored(members.join(drawn, ["region", "sig"], "left_semi").select("region", "sig", "n", "shared"), "pivots")
-        met = stored(meet(members, queries), "met")
-        found = met if found is None else found.unionAll(met)
-        done = drawn if done is None else done.unionAll(drawn)
-        group = components(found).withColumnRenamed("node", "sig")
-        grouped = stored(members.select("region", "sig").join(group, "sig", "left").select("region", "sig", F.coalesce("component", "sig").alias("component")), "groups")
-        sizes = grouped.groupBy("region", "component").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("region").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-        asked = stored(grouped.join(main, "region").where("component <> main").select("region", "sig").join(done, ["region", "sig"], "left_anti"), "open")
-        if asked.isEmpty():
-            return found
-        wanted *= 4
+    if not rows.num_rows:
+        return CUT.empty_table()
+    was_home = rows["home"].to_numpy()
+    if not drawn.num_rows:  # by chance none was drawn in this round
+        return placed_rows(rows, np.arange(len(rows)), was_home, was_home, [None] * len(rows))
+    pivots = Pivots(drawn["sig"].to_numpy(), drawn["n"].to_numpy().astype(np.int64), lists(drawn["shared"]))
+    group_of = dict(zip(drawn["sig"].to_pylist(), drawn["group"].to_pylist(), strict=True))
+    sigs, sizes = rows["sig"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+    distance, near = pivots.distances(sigs, sizes, lists(rows["shared"]))
+    row, pivot = np.nonzero(near & ~(near.astype(np.float32) @ pivots.before > 0) & (sigs[:, None] != pivots.sigs))
+    ends = pivots.sigs[pivot]
+    links = to_batch(
+        pa.schema(list(CUT)[:4]),
+        (sigs[row], ends, rows["group"].to_numpy()[row], np.array([group_of[x] for x in ends.tolist()], np.int64)),
+    )
+    left = np.flatnonzero(~np.isin(sigs, pivots.sigs))
+    far = distance[left][:, pivots.centres]
+    nearest = far.argmin(axis=1)
+    own = far[np.arange(len(left)), nearest]
+    outside = own > BALL
+    reach = np.where(outside, BALL + RADIUS, np.minimum(BALL + RADIUS, own + 2 * RADIUS)) + 1e-9
+    window = (far <= reach[:, None]) & (outside[:, None] | (np.arange(len(pivots.centres)) < nearest[:, None]))
+    at, centre = np.nonzero(window)
+    names = pivots.sigs[pivots.centres]
+    places = np.concatenate((left, left[at]))
+    centres = [None if far_off else name for far_off, name in zip(outside.tolist(), names[nearest].tolist(), strict=True)] + names[centre].tolist()
+    # outside, a pair still needs one that was at home before
+    home = np.concatenate((~outside | was_home[left], np.zeros(len(at), bool)))
+    shown = pa.Table.from_batches([links])
+    for field in list(CUT)[4:]:
+        shown = shown.append_column(field, pa.nulls(len(shown), field.type))
+    return pa.concat_tables([shown, placed_rows(rows, places, home, was_home[places], centres)])
+
+
+def placed_rows(rows: pa.Table, places: np.ndarray, home: np.ndarray, was_home: np.ndarray, centres: list) -> pa.Table:
+    taken = rows.select(["region", "sig", "n", "shared", "group"]).take(pa.array(places, pa.int64()))
+    none = pa.nulls(len(taken), pa.int64())
+    columns = [none] * 4 + [pa.array(centres, pa.int64()), pa.array(home.astype(bool)), pa.array(was_home.astype(bool))]
+    return pa.table([*columns, *taken.columns], names=CUT.names).cast(CUT)
+
+
+def voronoi_round(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """(links, next members) of one level: pivots of every region, its Voronoi regions and windows.
+
+    ``members``: region, sig, n, shared, group (what is linked so far), home.  Pivots come
+    from the sets that are at home or from those outside the region's largest group, whatever
+    is fewer; they meet the whole region, in parts of bounded size, and are done with.  A
+    region in which nothing is at home, or all is one group, is done with too.
+    """
+    sized = members.groupBy("region", "group").agg(
+        F.count("*").alias("rows"), F.count(F.when(F.col("home"), 1)).alias("homes"), F.sum(F.size("shared")).alias("keys")
+    )
+    sizes = sized.groupBy("region").agg(
+        F.sum("rows").alias("rows"), F.sum("homes").alias("homes"), F.sum("keys").alias("keys"), F.max("rows").alias("most"), F.max_by("group", F.struct("rows", "group")).alias("main")
+    )
+    by_home = F.col("homes") <= F.col("rows") - F.col("most")
+    wanted = F.greatest(F.lit(1.0), F.least(F.lit(float(min(PIVOTS << (2 * number), MOST_PIVOTS))), PIVOT_KEYS * F.col("rows") / F.col("keys")))
+    parts = F.ceil(F.greatest(F.col("rows") / PART_ROWS, F.col("keys") / PART_KEYS)).cast("int")
+    sizes = stored(sizes.select("region", "main", "rows", by_home.alias("by_home"), wanted.alias("wanted"), F.when(by_home, F.col("homes")).otherwise(F.col("rows") - F.col("most")).alias("open"), parts.alias("parts")), "region-sizes")
+    held = members.join(sizes, "region")
+    chance = F.pmod(F.xxhash64("sig", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    open_here = F.when(F.col("by_home"), F.col("home")).otherwise(F.col("group") != F.col("main"))
+    drawn = stored(held.where(open_here & (chance * F.col("open") < F.col("wanted"))).select("region", "sig", "n", "shared", "group", "parts"), "pivots")
+    drawn = drawn.select("region", "sig", "n", "shared", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = held.select("region", "sig", "n", "shared", "group", "home", F.pmod(F.xxhash64("sig", F.lit(-1 - number)), F.col("parts")).cast("int").alias("part"))
+    met = dealt.groupBy("region", "part").cogroup(drawn.groupBy("region", "part")).applyInArrow(cut, CUT_DDL)
+    met = stored(met, "voronoi")
+    links = met.where("u is not null")
+    joined = components(links.select("from_group", "to_group")).withColumnsRenamed({"node": "group", "component": "now"})
+    region = F.xxhash64("region", F.lit(number), F.coalesce("centre", F.lit(0)), F.col("centre").isNull())
+    placed = met.where("sig is not null").withColumn("region", region).join(joined, "group", "left").withColumn("group", F.coalesce("now", "group"))
+    placed = stored(placed.select("region", "sig", "n", "shared", "group", "home", "was_home"), "placed")
+    going_on = placed.groupBy("region").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("home").alias("any"), F.max("was_home").alias("one"))
+    going_on = going_on.where("low <> high and any and one").select("region")
+    return links.select("u", "v"), placed.join(going_on, "region", "left_semi").drop("was_home")
 
 
 def links(documents: DataFrame, sets: DataFrame, hot: int = HOT, chunk_shingles: int = CHUNK_SHINGLES, region_texts: int = REGION_TEXTS) -> DataFrame:
     """(u, v): links between different sets, enough of them to join all that are linked."""
     opened = stored(open_sets(documents, sets, hot, chunk_shingles), "open-sets")
     placed = stored(regions(opened), "regions")
-    sizes = placed.groupBy("region").agg(F.count("*").alias("many"))
-    members = stored(opened.select("sig", "n", "shared").join(placed, "sig").join(sizes, "region"), "members")
-    small = stored(small_region_links(members.where(F.col("many") <= region_texts)), "small-links")
-    large = members.where(F.col("many") > region_texts)
-    return small if large.isEmpty() else small.unionAll(large_region_links(large))
+    members = opened.select("sig", "n", "shared").join(placed, "sig").select("region", "sig", "n", "shared", F.col("sig").alias("group"), F.lit(True).alias("home"))
+    found, number = None, 0
+    while True:
+        members = stored(members, "members")
+        sizes = members.groupBy("region").agg(F.count("*").alias("many"))
+        small = stored(small_region_links(members.join(sizes.where(F.col("many") <= region_texts), "region")), "small-links")
+        found = small if found is None else found.unionAll(small)
+        large = stored(members.join(sizes.where(F.col("many") > region_texts), "region").drop("many"), "large-regions")
+        if large.isEmpty():
+            return found
+        met, members = voronoi_round(large, number)
+        found, number = found.unionAll(met), number + 1
 
 
 def joined(documents: DataFrame, **sizes: int) -> DataFrame:
@@ -375,5 +487,6 @@ def joined(documents: DataFrame, **sizes: int) -> DataFrame:
     named = by_sig.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = stored(named.join(least, "component").select("sig", "component_id"), "set-components")
-    found = sets.join(answer, "sig", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = sets.where("sig is not null").join(answer, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # documents without words are not joined: they would all meet in one task
+    return found.unionAll(sets.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
