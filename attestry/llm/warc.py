@@ -6,16 +6,20 @@ An archive folder holds
 * ``blocks``    the capture index: lines sorted by reversed-host URL key, cut into gzip blocks;
 * ``directory`` Parquet: one row per block (first and last key, file, offset, length).
 
-Look-ups search the sparse directory by halving, read one block's byte range, search its
-lines by halving, and read the record's byte range.  The directory has at most
-``DIRECTORY_ROWS`` rows, because blocks grow with the number of captures; that bound is
-what allows it to be sent to every executor.
+A look-up searches the sparse directory by halving on (key, page), reads the byte range of
+each block that can hold the capture, searches its lines by halving, and reads the record's
+byte range.  ``resolve`` does so for a table of questions: they are dealt out by block, and a
+task reads each block's range once.  The directory has at most ``DIRECTORY_ROWS`` rows,
+because blocks grow with the number of captures; that bound is what allows it to be sent to
+every executor.  Ranges are read with pyarrow's file systems, so the folder must lie in a
+store that these know.
 
 Spark's text writer closes each row with a separator.  Here the separator is the one byte
 0x00 that ends every gzip member of under 16 MiB (the top byte of its length field), so rows
 are members without their last byte and the files are plain concatenated gzip.
 
-Defined cases: a null payload is empty; a null URL has the empty key; a null page_id is
+Defined cases: a null payload is empty; a very large page is one record, in a file of its own
+where need be (files are cut by bytes); a null URL has the empty key; a null page_id is
 written as an empty id and returned as null, and is a response; repeated rows are records of
 their own, each with the type of its page id; an empty table gives no
 archive rows and an empty result; other columns are ignored.
@@ -32,7 +36,8 @@ from posixpath import join
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, stored, tidy, to_batch
@@ -42,7 +47,10 @@ WRITTEN = "2026-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 3
 ARCHIVE_RECORDS = 4096
+ARCHIVE_BYTES = 1 << 27
 BLOCK_LINES = 256
+#: Records within so many bytes of a file are read by one task.
+RANGE_BYTES = 1 << 23
 DIRECTORY_ROWS = 1 << 16
 END = "\0"
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -112,7 +120,9 @@ def choose_types(pages: DataFrame, minimum: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, minimum: int = 0, per_file: int = ARCHIVE_RECORDS) -> None:
     """A WARC file per task: a warcinfo record, then a response or revisit record per page."""
-    typed = choose_types(pages, minimum).repartition(max(1, -(-pages.count() // per_file)), "page_id")
+    many, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    files = max(1, -(-many // per_file), -(-size // ARCHIVE_BYTES))
+    typed = choose_types(pages, minimum).repartition(files, F.coalesce("page_id", F.xxhash64("url", "payload")))
 
     def records(batches):
         yield pa.RecordBatch.from_arrays([pa.array([member(record({"WARC-Type": "warcinfo", "WARC-Date": WRITTEN, "WARC-Record-ID": "<urn:info>", "Content-Type": "application/warc-fields"}, b"software: attestry\r\n"))], pa.binary())], ["record"])
@@ -229,7 +239,8 @@ def write_index(spark: SparkSession, folder: str, lines: int = BLOCK_LINES) -> N
             yield packed(held)
 
     ordered.mapInArrow(tidy(blocks), "block binary").select(F.col("block").cast("string")).write.option("lineSep", END).text(join(folder, "blocks"))
-    schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    ends = ("first_key", "first_page", "last_key", "last_page")
+    schema = pa.schema([*((name, pa.string()) for name in ends), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def outline(batches):
         for batch in batches:
@@ -237,11 +248,11 @@ def write_index(spark: SparkSession, folder: str, lines: int = BLOCK_LINES) -> N
                 rows = []
                 for offset, length, data in members(memoryview(content.as_buffer())):
                     block = data.decode().split("\n")
-                    rows.append((block[0].split("\t")[0], block[-1].split("\t")[0], path.as_py(), offset, length))
+                    rows.append((*block[0].split("\t", 2)[:2], *block[-1].split("\t", 2)[:2], path.as_py(), offset, length))
                 if rows:
                     yield to_batch(schema, zip(*rows, strict=True))
 
-    rows = raw_files(spark, join(folder, "blocks")).mapInArrow(tidy(outline), "first string, last string, file string, offset long, length long")
+    rows = raw_files(spark, join(folder, "blocks")).mapInArrow(tidy(outline), ", ".join(f"{name} string" for name in ends) + ", file string, offset long, length long")
     rows.coalesce(1).write.parquet(join(folder, "directory"))
 
 
@@ -252,27 +263,29 @@ def entry(line: str) -> dict:
 
 
 class Directory:
-    """The sparse directory of an index in key order."""
+    """The sparse directory of an index in order of (key, page)."""
 
-    def __init__(self, rows: list[tuple[str, str, str, int, int]]):
+    def __init__(self, rows: list[tuple]):
         self.rows = sorted(rows)
-        self.last = [r[1] for r in self.rows]
-        self.first = [r[0] for r in self.rows]
+        self.first, self.last = [r[:2] for r in self.rows], [r[2:4] for r in self.rows]
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Directory:
-        table = spark.read.parquet(join(folder, "directory")).select("first", "last", "file", "offset", "length").toArrow()
+        table = spark.read.parquet(join(folder, "directory")).select("first_key", "first_page", "last_key", "last_page", "file", "offset", "length").toArrow()
         return cls(list(zip(*(c.to_pylist() for c in table.columns), strict=True)))
 
-    def blocks(self, key: str) -> range:
-        """The blocks that can hold a key, found by halving."""
-        return range(bisect_left(self.last, key), bisect_right(self.first, key))
+    def blocks(self, key: str, page: str | None = None) -> list[tuple[str, int, int]]:
+        """(file, offset, length) of the blocks that can hold a capture, or any of a key, found by halving."""
+        low = bisect_left(self.last, (key, page or ""))
+        high = bisect_right(self.first, (key, page)) if page is not None else bisect_right(self.first, key, key=lambda end: end[0])
+        return [row[4:] for row in self.rows[low:high]]
 
 
-def matches(block: list[str], key: str) -> list[dict]:
-    """Lines of a sorted block whose key is ``key``, found by halving."""
-    keys = [line.split("\t", 1)[0] for line in block]
-    return [entry(line) for line in block[bisect_left(keys, key) : bisect_right(keys, key)]]
+def matches(block: list[str], key: str, page: str | None = None) -> list[dict]:
+    """Lines of a sorted block with a key, and with a page where one is asked for, found by halving."""
+    wanted = (key,) if page is None else (key, page)
+    lead = lambda line: tuple(line.split("\t", 2)[: len(wanted)])
+    return [entry(line) for line in block[bisect_left(block, wanted, key=lead) : bisect_right(block, wanted, key=lead)]]
 
 
 def range_read(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
@@ -289,9 +302,8 @@ def range_read(spark: SparkSession, path: str, offset: int, length: int) -> byte
 
 def lookup(spark: SparkSession, folder: str, url: str) -> list[dict]:
     """All captures of a URL with their payloads: directory, block range, record range."""
-    key, directory, found = reversed_host_key(clean(url)), Directory.load(spark, folder), []
-    for k in directory.blocks(key):
-        _, _, file, offset, length = directory.rows[k]
+    key, found = reversed_host_key(clean(url)), []
+    for file, offset, length in Directory.load(spark, folder).blocks(key):
         found += matches(gzip.decompress(range_read(spark, file, offset, length)).decode().split("\n"), key)
     for row in found:
         _, content = parse(gzip.decompress(range_read(spark, row["file"], row["offset"], row["length"])))
@@ -299,72 +311,100 @@ def lookup(spark: SparkSession, folder: str, url: str) -> list[dict]:
     return found
 
 
+class Ranges:
+    """Byte ranges of files, read inside a task; the file that was read last stays open."""
+
+    def __init__(self):
+        self.path, self.file = None, None
+
+    def read(self, path: str, offset: int, length: int) -> bytes:
+        if path != self.path:
+            store, inside = FileSystem.from_uri(path)
+            self.path, self.file = path, store.open_input_file(inside)
+        return self.file.read_at(length, offset)
+
+
 def resolve(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """Captures for many distinct (key, page) at once: each is sent to its block by halving.
+    """Captures for many distinct (key, page) at once.
 
-    Blocks are cut from their files by their byte ranges and searched by halving.
+    Each is sent to its blocks by halving in the directory; a task reads the range of each of
+    its blocks once and searches its lines by halving.
     """
-    directory = Directory.load(spark, folder)
-    places = pa.schema([("key", pa.string()), ("page", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    directory = spark.sparkContext.broadcast(Directory.load(spark, folder))
+    asked = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("key", pa.string()), ("page", pa.string())])
+    shape = "file string, offset long, length long, key string, page string"
 
     def place(batches):
         for batch in batches:
-            rows = []
-            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(key, page, *directory.rows[k][2:]) for k in directory.blocks(key)]
+            rows = [(*block, key, page) for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for block in directory.value.blocks(key, page)]
             if rows:
-                yield to_batch(places, zip(*rows, strict=True))
-
-    placed = wanted.select("key", "page").mapInArrow(tidy(place), "key string, page string, file string, offset long, length long")
-    asked = placed.groupBy("file").agg(F.collect_list(F.struct("offset", "length", "key", "page")).alias("asked"))
+                yield to_batch(asked, zip(*rows, strict=True))
 
     def search(batches):
+        ranges, at, block = Ranges(), None, []
         for batch in batches:
-            for content, asked in zip(batch.column(0), batch.column(1), strict=True):
-                data, blocks, rows = memoryview(content.as_buffer()), {}, []
-                for ask in asked.as_py():
-                    at = ask["offset"]
-                    if at not in blocks:
-                        blocks = {at: gzip.decompress(data[at : at + ask["length"]]).decode().split("\n")}
-                    rows += [r for r in matches(blocks[at], ask["key"]) if r["page"] == ask["page"]]
-                for at in range(0, len(rows), 4096):
-                    yield to_batch(CAPTURE, ([r[c] for r in rows[at : at + 4096]] for c in CAPTURE.names))
-
-    asked = asked.withColumn("asked", F.array_sort("asked"))
-    joined = raw_files(spark, join(folder, "blocks")).join(asked, F.col("path") == F.col("file")).select("content", "asked")
-    return joined.mapInArrow(tidy(search), CAPTURE_DDL)
-
-
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """Every capture of the index; revisits take payload size and digest from their response."""
-    rows = entries(spark, folder)
-    revisits = rows.where("type = 'revisit'")
-    # targets by page, distinct, with their keys: one row per response however many revisit it
-    asked = revisits.select(F.col("refers").alias("page")).distinct()
-    keyed = rows.where("type = 'response'").select("page", "key").join(asked, "page", "left_semi").distinct()
-    targets = resolve(spark, folder, keyed).where("type = 'response'").groupBy(F.col("page").alias("refers"))
-    targets = stored(targets.agg(F.max("size").alias("full_size"), F.max("digest").alias("full_digest")), "revisit-targets")
+            rows = []
+            for file, offset, length, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, offset) != at:
+                    at, block = (file, offset), gzip.decompress(ranges.read(file, offset, length)).decode().split("\n")
+                rows += matches(block, key, page)
+            for low in range(0, len(rows), 4096):
+                yield to_batch(CAPTURE, ([r[c] for r in rows[low : low + 4096]] for c in CAPTURE.names))
+
+    placed = wanted.select("key", "page").mapInArrow(tidy(place), shape)
+    dealt = placed.repartition("file", "offset").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(tidy(search), CAPTURE_DDL)
+
+
+def payloads(found: DataFrame) -> DataFrame:
+    """(page, type, refers, size, digest) of captures, from the byte ranges of their records."""
+    schema = pa.schema([("page", pa.string()), ("type", pa.string()), ("refers", pa.string()), ("size", pa.int64()), ("digest", pa.string())])
+
+    def read(batches):
+        ranges = Ranges()
+        for batch in batches:
+            rows = []
+            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                headers, content = parse(gzip.decompress(ranges.read(file, offset, length)))
+                own = headers["WARC-Type"] == "response"
+                body = body_of(content) if own else b""
+                refers = None if own else page_of(headers["WARC-Refers-To"])
+                rows.append((page_of(headers["WARC-Record-ID"]), headers["WARC-Type"], refers, len(body) if own else None, digest(body) if own else None))
+            if rows:
+                yield to_batch(schema, zip(*rows, strict=True))
+
+    spread = F.floor(F.col("offset") / RANGE_BYTES)
+    dealt = found.select("file", "offset", "length").repartition("file", spread).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(tidy(read), "page string, type string, refers string, size long, digest string")
+
+
+def read_back(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """The records of (key, page) through the index; revisits take size and digest from their response."""
+    rows = stored(payloads(resolve(spark, folder, wanted)), "records")
+    responses = rows.where("type = 'response' and page <> ''").select(F.col("page").alias("refers"), F.col("size").alias("full_size"), F.col("digest").alias("full_digest"))
+    # one row per page that is revisited, however many revisit it
+    asked = rows.where("type = 'revisit'").select("refers").distinct()
+    targets = stored(responses.join(asked, "refers", "left_semi").distinct(), "revisit-targets")
     joined = rows.join(targets, "refers", "left")
     return joined.select(
         F.expr("nullif(page, '')").cast("long").alias("page_id"),
         F.coalesce("size", "full_size").alias("payload_bytes"),
-        F.coalesce("full_digest", "digest").alias("payload_digest"),
+        F.coalesce("digest", "full_digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("refers").cast("long").alias("refers_to"),
     )
 
 
-def entries(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines of all blocks of the index."""
+def wanted_captures(pages: DataFrame) -> DataFrame:
+    """The distinct (key, page) of a table of pages."""
+    schema = pa.schema([("key", pa.string()), ("page", pa.string())])
 
-    def lines(batches):
+    def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                for _, _, data in members(memoryview(content.as_buffer())):
-                    rows = [entry(line) for line in data.decode().split("\n")]
-                    yield to_batch(CAPTURE, ([r[c] for r in rows] for c in CAPTURE.names))
+            keys = [reversed_host_key(clean(url)) for url in batch.column(1).to_pylist()]
+            yield to_batch(schema, (keys, ["" if page is None else str(page) for page in batch.column(0).to_pylist()]))
 
-    return raw_files(spark, join(folder, "blocks")).select("content").mapInArrow(tidy(lines), CAPTURE_DDL)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(tidy(run), "key string, page string").distinct()
 
 
 def written_and_read(pages: DataFrame, folder: str | None = None, minimum: int = 0) -> DataFrame:
@@ -372,7 +412,7 @@ def written_and_read(pages: DataFrame, folder: str | None = None, minimum: int =
     folder = folder or shared_folder(spark, "warc")
     write_archives(pages, folder, minimum)
     write_index(spark, folder)
-    return read_back(spark, folder)
+    return read_back(spark, folder, wanted_captures(pages))
 
 
 ORACLE_SQL = """
