@@ -12,8 +12,10 @@ latter from a stored table, so that adaptive execution can split a hot window's
 Defined cases: lines are compared without surrounding spaces; blank lines belong to no
 window and stay; a text with fewer than three non-blank lines stays; a null text stays null
 with no lines; a null doc_id orders first; rows that agree in doc_id and text are one
-document in every place it stands; an empty table gives an empty result; other columns pass
-through :func:`deduplicate` unchanged.
+document in every place it stands; of equal windows the first in order of (doc_id, line) stays;
+a very long text is cut like others; an empty table gives an empty result.  Input columns named
+n_lines or n_removed are replaced by the counts; all others pass through unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .common import stored
 
 WINDOW = 3
 
-#: Names that no input column should clash with.
+#: Columns of the windows, which hold none of the input's.
 KEY, HASH_A, HASH_B, FIRST_LINE, LAST_LINE, COVER = (f"__line_dedup_{n}" for n in ("key", "a", "b", "from", "to", "cover"))
 
 
@@ -80,26 +82,28 @@ def removals(documents: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def deduplicate(documents: DataFrame, size: int = WINDOW) -> DataFrame:
     """``documents`` with repeated passages cut from ``text``; adds n_lines and n_removed."""
-    covered = removals(documents, size).hint("shuffle_hash")
-    joined = documents.withColumn(KEY, document_key()).join(covered, KEY, "left")
-    lines = F.split("text", "\n", -1)
-    spans = F.array_distinct(F.flatten(F.transform(COVER, lambda c: F.sequence(c[FIRST_LINE], c[LAST_LINE]))))
+    mark = "__line_dedup"
+    while any(name.lower().startswith(mark) for name in documents.columns):
+        mark += "_"
+    key, cover, before, kept = (f"{mark}_{name}" for name in ("key", "cover", "before", "kept"))
+    covered = removals(documents, size).withColumnsRenamed({KEY: key, COVER: cover}).hint("shuffle_hash")
+    joined = documents.withColumn(key, document_key()).join(covered, key, "left")
+    spans = F.array_distinct(F.flatten(F.transform(cover, lambda c: F.sequence(c[FIRST_LINE], c[LAST_LINE]))))
     # merged positions become flags by one pass over them, not a search per line
     gone = F.coalesce(F.map_from_arrays(spans, F.transform(spans, lambda _: F.lit(True))), F.create_map().cast("map<int,boolean>"))
-    kept = F.filter(
-        F.transform(F.col("__lines"), lambda line, at: F.struct(at.alias("at"), line.alias("line"))),
-        lambda x: ~F.coalesce(F.try_element_at(F.col("__gone"), x["at"]), F.lit(False)) | (F.trim(x["line"]) == ""),
+    left = F.filter(
+        F.transform(F.col(before)["lines"], lambda line, at: F.struct(at.alias("at"), line.alias("line"))),
+        lambda x: ~F.coalesce(F.try_element_at(F.col(before)["gone"], x["at"]), F.lit(False)) | (F.trim(x["line"]) == ""),
     )
-    flagged = joined.withColumns({"__lines": lines, "__gone": gone})
-    slow = F.transform(kept, lambda x: x["line"])
-    result = flagged.withColumn("__kept", F.when(F.col(COVER).isNull(), F.col("__lines")).otherwise(slow))
+    flagged = joined.withColumn(before, F.struct(F.split("text", "\n", -1).alias("lines"), gone.alias("gone")))
+    result = flagged.withColumn(kept, F.when(F.col(cover).isNull(), F.col(before)["lines"]).otherwise(F.transform(left, lambda x: x["line"])))
     return result.withColumns(
         {
-            "text": F.when(F.col(COVER).isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")),
-            "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"),
+            "text": F.when(F.col(cover).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+            "n_lines": F.coalesce(F.size(F.col(before)["lines"]), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.size(F.col(before)["lines"]) - F.size(kept), F.lit(0)).cast("long"),
         }
-    ).drop(KEY, COVER, "__lines", "__gone", "__kept")
+    ).drop(key, cover, before, kept)
 
 
 ORACLE_SQL = """
