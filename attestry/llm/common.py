@@ -66,20 +66,24 @@ def crc32_of_id(column: str = "doc_id") -> F.Column:
 
 
 def bounded_labelled_sample(
-    documents: DataFrame, labels: DataFrame, label: str, limit: int, keep: F.Column | None = None
+    documents: DataFrame, labels: DataFrame, label: str, limit: int, keep: F.Column | None = None, only: int | None = None
 ) -> DataFrame:
     """At most ``limit`` labelled documents as (doc_id, text, y), chosen by a hash of the id.
 
     The chosen ids are at most ``limit`` small rows, so broadcasting them is bounded by
     that parameter.  Null labels and null ids do not take part; of repeated label rows for
-    one document the larger label counts.
+    one document the larger label counts, and of repeated documents of one id the text that
+    sorts first.  ``keep`` is a condition on doc_id; ``only`` asks for one label.
     """
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if keep is not None:
         chosen = chosen.where(keep)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y"))
+    if only is not None:
+        chosen = chosen.where(F.col("y") == only)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 class Memo:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labelled_sample, text_or_empty, tidy, to_batch
+from .common import bounded_labelled_sample, stored, text_or_empty, tidy, to_batch
 
 #: Fixed values of the statistics.
 SYMBOLS = "#*$%&|<>"
@@ -228,10 +228,10 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> list[Rule]:
     """Learn from at most ``limit`` labelled documents that pass the base rule."""
-    sample = bounded_labelled_sample(documents, labels, "quality", limit)
+    sample = stored(bounded_labelled_sample(documents, labels, "quality", limit), "labelled-sample")
     shown = features()
     # the same statistics as at application, of the sample's texts alone
-    rated = statistics(sample).join(F.broadcast(sample.select("doc_id", "y").distinct()), "doc_id").where(~base_failed())
+    rated = statistics(sample).join(F.broadcast(sample.select("doc_id", "y")), "doc_id").where(~base_failed())
     rows = rated.select("doc_id", "y", *(c.alias(n) for n, c in shown.items())).toArrow().sort_by([("doc_id", "ascending")])
     columns = {n: rows.column(n).to_numpy().astype(float) for n in shown}
     return learn(columns, rows.column("y").to_numpy() == 0)

@@ -358,7 +358,7 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) ->
     learnable = crc32_of_id() % FOLDS != HELD_OUT
     rows = []
     for value in (0, 1):
-        part = bounded_labelled_sample(documents, labels, "toxic", limit, learnable & (F.col("y") == value)).toArrow()
+        part = bounded_labelled_sample(documents, labels, "toxic", limit, learnable, value).toArrow()
         rows += zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True)
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return train([t or "" for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
