@@ -13,8 +13,9 @@ per rank).  The decoder looks every control byte up in a table of lengths, so wh
 decode in numpy without a loop over tokens.
 
 Defined cases: a null or empty text is a document with the end id alone; a null doc_id comes
-first; repeated rows are documents of their own, in order of their ids; an empty table gives
-no shards and an empty result.
+first; a very long text is one frame; repeated rows are documents of their own, and rows of
+one doc_id stand in the order of their ids' bytes; an empty table gives no shards and an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ KNOWN_RUNS = 3 << 18
 TOGETHER_NEW = 1 << 12
 TOGETHER_DOCUMENTS = 256
 SHARD_DOCUMENTS = 1 << 13
+SHARD_BYTES = 1 << 26
 #: Shard number, null flag, doc_id, count, data length.
 HEADER = Struct("<iiqqq")
 MARK = 0x0A
@@ -211,7 +213,8 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
                     rows.append(frame(shard, doc_id, len(own), control, data))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
-    shards = max(1, -(-staged.count() // shard_documents))
+    many, size = staged.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    shards = max(1, -(-many // shard_documents), -(-size // SHARD_BYTES))
     ordered = staged.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(tidy(frames), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", chr(MARK)).text(join(folder, "shards"))
     write_manifest(spark, folder)
@@ -263,7 +266,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
-                start, rows, frames = starts.get(path.as_py(), 0), [], list(frame_walk(raw))
+                start, rows, frames = starts[path.as_py()], [], list(frame_walk(raw))
                 for low in range(0, len(frames), TOGETHER_DOCUMENTS):
                     part = frames[low : low + TOGETHER_DOCUMENTS]
                     middles = [at + -(-count // 4) for _, _, _, count, _, at in part]
