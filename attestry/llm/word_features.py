@@ -13,6 +13,15 @@ def _mix(hashes: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(32))
 
 
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each whole run of values: its sum of value times power, from running sums modulo 2^64."""
+    steps = np.full(len(values) + 1, _FACTOR, np.uint64)
+    steps[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(steps)[:-1], dtype=np.uint64)))
+    steps[1:] = pow(int(_FACTOR), -1, 1 << 64)
+    return (sums[ends] - sums[starts]) * np.cumprod(steps)[starts]
+
+
 def hashed(words: list[str], buckets: int, sizes: tuple[int, ...] = (2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
     """(features, starts): buckets of each word's n-grams, and of the whole word last.
 
@@ -35,15 +44,8 @@ def hashed(words: list[str], buckets: int, sizes: tuple[int, ...] = (2, 3, 4)) -
             at = np.flatnonzero(room >= k + 1)
             owners.append(owner[at])
             found.append(_mix(rolled[at] + np.uint64(k)))
-    whole = np.zeros(n, np.uint64)
-    for k in range(int(lengths.max()) if n else 0):
-        live = np.flatnonzero(lengths > k)
-        whole[live] = (whole[live] + marked[begins[live] + 1 + k]) * _FACTOR
-        whole[live] ^= whole[live] >> np.uint64(31)
-        if k == 63:  # longer words count by their first 64 characters and their length
-            break
     owners.append(np.arange(n))
-    found.append(_mix(whole + lengths.astype(np.uint64) * np.uint64(1 << 40)))
+    found.append(_mix(_sums(marked, begins, ends) + lengths.astype(np.uint64) * np.uint64(1 << 40)))
     owner, feature = np.concatenate(owners), np.concatenate(found) % np.uint64(buckets)
     order = np.argsort(owner, kind="stable")
     starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))) if n else np.zeros(1, np.int64)
