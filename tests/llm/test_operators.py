@@ -57,23 +57,46 @@ def test_memo_keeps_what_is_used():
 # ---- WARC
 
 
+def expected_records(rows):
+    """(bytes, digest, type, target) of each row by page id, for rows with one null id at most."""
+    last = {}
+    for page_id, _, html in rows:
+        body = (html or "").encode()
+        if page_id is not None:
+            last[body] = max(page_id, last.get(body, page_id))
+    out = {}
+    for page_id, _, html in rows:
+        body = (html or "").encode()
+        revisit = page_id is not None and page_id != last[body]
+        out[page_id] = (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", last[body] if revisit else None)
+    return out
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://www.A.com:80/x?b=2&a=1#f", "hi"), (2, None, "hi"), (3, "http://b.org/\t x", None), (4, "http://a.com/x?a=1&b=2", ""), (None, "u", "hi"), (5, "http://a.com/y", "hi"), (6, "http://big/", "é" * 9_000_000), (7, "http://c/", "<p>" * 9)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string").drop("payload")
+    pages = spark.createDataFrame([(*r, "clash", "clash", 5) for r in rows], "page_id long, url string, html string, payload string, target string, size long")
     folder = shared_folder(spark, "warc-test")
     warc.write_archives(pages, folder, per_file=3)
     warc.write_index(spark, folder, lines=2)
-    found = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_back(spark, folder).collect()}
-    for page_id, _, html in rows:
-        body = (html or "").encode()
-        last = max(p for p, _, h in rows if p is not None and (h or "") == (html or ""))
-        revisit = page_id is not None and page_id != last
-        assert found[page_id] == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", last if revisit else None)
+    found = {r["page_id"]: tuple(r)[1:] for r in warc.read_back(spark, folder, warc.wanted_captures(pages)).collect()}
+    assert found == expected_records(rows)
     hits = warc.lookup(spark, folder, "https://www.a.com/y")
     assert [(h["page"], h["payload"]) for h in hits] == [("5", b"hi")]
     assert warc.lookup(spark, folder, "http://nowhere/") == []
 
 
+def test_warc_with_thousands_of_pages_under_one_url_and_under_none(spark):
+    rows = [(k, "http://one.org/" if k % 2 else None, f"page {k // 3}") for k in range(6000)]
+    pages = spark.createDataFrame(rows + [(None, None, "page 1")] * 600, "page_id long, url string, html string")
+    folder = shared_folder(spark, "warc-test")
+    found = warc.written_and_read(pages, folder).collect()
+    assert sum(r["page_id"] is None for r in found) == 600
+    assert {r["page_id"]: tuple(r)[1:] for r in found if r["page_id"] is not None} == expected_records(rows)
+    directory = warc.Directory.load(spark, folder)
+    assert len(directory.rows) > 20 and all(len(directory.blocks("org,one)/", str(k))) <= 2 for k in range(1, 6000, 97))
+    assert len(warc.lookup(spark, folder, "http://one.org")) == 3000
+
+
 def test_warc_of_nothing_and_members(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.written_and_read(none).count() == 0
@@ -279,6 +302,63 @@ def test_components_equal_brute_force(spark, sizes):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+def test_large_regions_are_cut_and_equal_brute_force(spark):
+    """One region of many unlike texts that share rare shingles, with chains of near copies among them."""
+    chance = random.Random(6)
+    boiler = [[f"b{g}x{k}" for k in range(5)] for g in range(40)]  # a passage of one shingle each
+    rows = []
+    for d in range(900):
+        if d % 3 == 2:
+            words = chance.choice(rows[-9:])[1].split()
+            for _ in range(chance.randint(0, 4)):
+                words[chance.randrange(len(words))] = f"e{chance.randrange(10**6)}"
+        else:
+            words = [w for g in chance.sample(range(40), 9) for w in boiler[g]]
+        rows.append((d, " ".join(words)))
+    found = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), region_texts=100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+def test_a_cut_loses_no_link():
+    """Pivots, homes and windows of one level: every linked pair is linked, or meets in a region."""
+    import pyarrow as pa
+
+    chance = random.Random(3)
+    base = [[chance.randrange(400) for _ in range(24)] for _ in range(14)]
+    sets = []
+    for _ in range(160):
+        own = set(chance.choice(base))
+        for _ in range(chance.randint(0, 9)):
+            own.discard(chance.choice(sorted(own)))
+            own.add(chance.randrange(400))
+        sets.append(own)
+    sizes, shared = [len(s) for s in sets], [sorted(s) for s in sets]
+    table = pa.table({"region": [1] * 160, "sig": list(range(160)), "n": pa.array(sizes, pa.int32()), "shared": pa.array(shared, pa.list_(pa.int64())), "group": list(range(160)), "home": [True] * 160})
+    drawn = chance.sample(range(160), 20)
+    out = jaccard_join.cut(table, table.take(drawn).drop(["home"]))
+    joined, places = {(r["u"], r["v"]) for r in out.to_pylist() if r["u"] is not None}, defaultdict(set)
+    for row in out.to_pylist():
+        if row["u"] is None:
+            places[row["sig"]].add((row["centre"], row["home"]))
+    parent = list(range(160))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in joined:
+        assert 100 * len(sets[u] & sets[v]) >= 75 * len(sets[u] | sets[v])
+        parent[root(u)] = root(v)
+    open_pairs = 0
+    for a, b in itertools.combinations(range(160), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root(a) != root(b):
+            open_pairs += 1
+            assert not {a, b} & set(drawn)
+            assert any((c, True) in places[a] and ({(c, True), (c, False)} & places[b]) or (c, True) in places[b] and (c, False) in places[a] for c, _ in places[a] | places[b])
+    assert open_pairs and any(len(p) > 1 for p in places.values())
+
+
 def test_join_on_odd_tables(odd, empty):
     found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.joined(odd).collect()), key=str)
     assert len(found) == len(ODD)
@@ -425,45 +505,103 @@ def test_windows_overlap_and_cover():
         assert all(b - a == toxicity.STRIDE for a, b in zip(starts, starts[1:], strict=False))
 
 
+def hashes_of(text):
+    return Hasher().words(np.frombuffer(text.encode(), np.uint8))[0]
+
+
 def test_pseudo_likelihood_equals_a_loop_and_learns(spark, odd, empty):
     chance = random.Random(7)
-    rows = [(d, " ".join(w for _ in range(30) for w in chance.choice([("red", "fox"), ("blue", "sea"), ("old", "oak")]))) for d in range(60)]
-    documents = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm_score.fit(documents, rounds=8)
-    corpus, net = model.corpus, lm_score.Network(model.weights)
-    fresh = lm_score.Model(corpus, lm_score.Network.fresh(corpus).flat)
+    rows = [(d, " ".join([*(w for _ in range(30) for w in chance.choice([("red", "fox"), ("blue", "sea"), ("old", "oak")])), f"once{d}", f"pair{d // 2}"])) for d in range(60)]
+    rows += [(100 + k, " ".join(f"rare{k * 40 + j}" for j in range(60))) for k in range(60)]
+    documents = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, word string, row int")
+    counts = {}
+    for _, text in rows:
+        for word in text.split():
+            counts[word] = counts.get(word, 0) + 1
+    model = lm_score.fit(documents, rounds=4)
+    words, net = model.words, lm_score.Network(model.weights.astype(np.float64))
+    fresh = lm_score.Model(words, lm_score.Network.fresh(words).flat, model.counts)
     scores = {r["doc_id"]: r for r in lm_score.score(documents, model).collect()}
-    assert sum(r["log_likelihood"] for r in scores.values()) > sum(r["log_likelihood"] for r in lm_score.score(documents, fresh).collect())
-    hashes, _ = Hasher().words(np.frombuffer(rows[0][1].encode(), np.uint8))
-    buckets, total = (hashes >> np.uint64(48)).astype(int), 0.0
-    for k in range(len(buckets)):
-        hidden = net.b.astype(float).copy()
-        for j, place in enumerate(lm_score.PLACES):
-            hidden += net.E[j][corpus.input_of[buckets[k + place]] if 0 <= k + place < len(buckets) else 1]
-        out = np.tanh(hidden) @ net.O + net.c
-        total += out[corpus.class_of[buckets[k]]] - np.log(np.exp(out).sum()) + corpus.log_share[buckets[k]]
-    assert scores[0]["n_tokens"] == len(buckets) and abs(scores[0]["log_likelihood"] - total) < 1e-2
+    assert sum(r["log_likelihood"] for r in scores.values()) > sum(r["log_likelihood"] for r in lm_score.score(documents, fresh).collect()) + 500
+    # own words first, by falling count and then by hash; all others are one cell
+    ranked = sorted(counts, key=lambda w: (-counts[w], int(hashes_of(w).view(np.int64)[0])))
+    own, total = ranked[: lm_score.own_words(words.inputs)], sum(counts.values())
+    assert len(own) < len(ranked)
+    place, before, cells, mass = {}, 0, {}, {}
+    rest = total - sum(counts[w] for w in own)
+    for word, n in [*((w, counts[w]) for w in own), (None, rest)]:
+        cells[word] = min(int((before + n / 2) / total * 4096), 4095)
+        mass[cells[word]] = mass.get(cells[word], 0) + n
+        before += n
+    for d in (0, 7, 130):
+        text, log = dict(rows)[d].split(), 0.0
+        hashes = hashes_of(" ".join(text))
+        inputs = words.inputs_of(hashes, words.places(hashes))
+        for k, word in enumerate(text):
+            around = np.concatenate([net.E[inputs[k + p] if 0 <= k + p < len(text) else 1] for p in lm_score.PLACES])
+            h = np.tanh(around @ net.W + net.b)
+            cell = cells[word if word in own else None]
+            first, second = h @ net.O + net.c, h @ net.P[cell // 64] + net.d[cell // 64]
+            share = counts[word] / mass[cell]
+            log += first[cell // 64] - np.log(np.exp(first).sum()) + second[cell % 64] - np.log(np.exp(second).sum()) + np.log(share)
+        assert scores[d]["n_tokens"] == len(text) and abs(scores[d]["log_likelihood"] - log) < 2e-2
     found = {r["doc_id"]: r for r in lm_score.scored(odd).collect()}
     assert found[1]["n_tokens"] == 0 and found[1]["log_likelihood"] == 0 and found[1]["mean_log_likelihood"] is None
-    assert lm_score.scored(empty).count() == 0
+    assert len(lm_score.scored(odd).collect()) == len(ODD) and lm_score.scored(empty).count() == 0
+
+
+def test_gradients_of_the_window_network():
+    chance = np.random.default_rng(0)
+    words = lm_score.Words(np.arange(1, 200, dtype=np.uint64) << np.uint64(50), np.arange(199, 0, -1), 25_000, 4096)
+    net = lm_score.Network(lm_score.Network.fresh(words).flat.astype(np.float64))
+    around, cells = chance.integers(0, 40, (50, 4)), words.cell[chance.integers(0, 200, 50)]
+    loss = lambda: -np.concatenate([net.forward(around, cells)[-1]]).astype(np.float64).mean()
+    grads, met, moved = net.gradients(around, cells)
+    times = np.bincount(around.reshape(-1), minlength=40)
+    grads["E"] = np.zeros_like(net.E)
+    grads["E"][met] = moved * times[met][:, None] / 50
+    for name, grad in grads.items():
+        values = getattr(net, name)
+        for at in [tuple(chance.integers(0, s) for s in values.shape) if name != "E" else (int(chance.choice(met)), 3) for _ in range(4)]:
+            old, ends = values[at], []
+            for step in (1e-3, -1e-3):
+                values[at] = old + step
+                ends.append(loss())
+            values[at] = old
+            assert abs((ends[0] - ends[1]) / 2e-3 - grad[at]) < 2e-4, name
+
+
+def test_training_equals_a_loop_and_does_not_depend_on_partitions(spark):
+    chance = random.Random(9)
+    rows = [(d, " ".join(chance.choice(["red", "fox", "blue", "sea", "old", f"w{d}"]) for _ in range(40))) for d in range(50)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = [lm_score.fit(documents.repartition(n)).weights for n in (1, 7)]
+    assert np.abs(weights[0] - weights[1]).max() < 1e-6
+    # the one group's documents in the order of their hash, every word of each
+    ordered = documents.selectExpr("text", "xxhash64(doc_id, text) AS h").orderBy("h", "text").collect()
+    words = lm_score.choose_words(lm_score.count_words(documents))[0]
+    net, squares = lm_score.Network.fresh(words), lm_score.Network(np.zeros_like(weights[0]))
+    hashes = hashes_of(" ".join(r["text"] for r in ordered))
+    places = words.places(hashes)
+    net.step(lm_score.neighbours(words.inputs_of(hashes, places), np.full(50, 40)), words.cell[places], squares)
+    assert np.abs(net.flat - weights[0]).max() < 1e-5
 
 
 def test_lm_score_trains_on_words_at_every_place(spark):
     text = " ".join(["red", "fox", "blue", "sea"] * 40)
-    model = lm_score.fit(spark.createDataFrame([(d, text) for d in range(60)], "doc_id long, text string"))
-    fresh = lm_score.Model(model.corpus, lm_score.Network.fresh(model.corpus).flat)
-    hashes, _ = Hasher().words(np.frombuffer(text.encode(), np.uint8))
-    buckets = (hashes >> np.uint64(48)).astype(int)
-    gain = model.word_scores(buckets, np.array([len(buckets)])) - fresh.word_scores(buckets, np.array([len(buckets)]))
-    assert [k for k in range(4) if gain[k::4].mean() <= 0] == []
+    model = lm_score.fit(spark.createDataFrame([(d, text) for d in range(400)], "doc_id long, text string"))
+    hashes = hashes_of(text)
+    places = model.words.places(hashes)
+    around = lm_score.neighbours(model.words.inputs_of(hashes, places), np.array([len(hashes)]))
+    fresh, trained = (lm_score.Network(w).log_probabilities(around, model.words.cell[places]) for w in (lm_score.Network.fresh(model.words).flat, model.weights))
+    assert [k for k in range(4) if (trained - fresh)[k::4].mean() <= 0] == []
 
 
 def test_lm_score_tables_grow_with_the_words(spark):
     rows = [(d, " ".join(f"often{k % 50} w{d}x{k}" for k in range(1500))) for d in range(200)]
-    corpus = lm_score.fit(spark.createDataFrame(rows, "doc_id long, text string")).corpus
-    assert len(corpus.class_of) >= 2 * 300_050 and corpus.inputs >= 300_050 / 64
+    model = lm_score.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.counts.count() == 300_050 and model.words.inputs == lm_score.inputs_for(300_050) > lm_score.inputs_for(30_000)
     # a word never seen is rare, wherever it falls, and rare words are no single input
-    unseen, _ = Hasher().words(np.frombuffer(" ".join(f"never{k}" for k in range(2000)).encode(), np.uint8))
-    often, _ = Hasher().words(np.frombuffer(" ".join(f"often{k}" for k in range(50)).encode(), np.uint8))
-    assert not set(corpus.buckets(unseen).tolist()) & set(corpus.buckets(often).tolist())
-    assert len(set(corpus.input_of[corpus.buckets(unseen)].tolist())) > 1000
+    unseen, often = hashes_of(" ".join(f"never{k}" for k in range(2000))), hashes_of(" ".join(f"often{k}" for k in range(50)))
+    assert (model.words.places(unseen) == len(model.words.hashes) - 1).all() and (model.words.places(often) < len(model.words.hashes) - 1).all()
+    assert len(set(model.words.inputs_of(unseen, model.words.places(unseen)).tolist())) > 1000
