@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .domains import AUTHORITIES, CATEGORIES, FACT_TYPES, PRIMARY, ROUTING, ZONE
+from .terms import ENTITIES, THEME_EVENTS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,15 +61,15 @@ def routing(spark: SparkSession) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long lines of confirmed documents stand for extracted facts, twelve a document at most."""
+    """Every long line of a confirmed document stands for an extracted fact."""
     docs = documents(spark, sf_dir).select("id", "text", "published", "source_code", "full_text", "sample")
     confirmed = classifications(spark, sf_dir).where("status = 'CONFIRMED'").select(F.col("doc_id").alias("id"))
     line = F.filter(F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(k.cast("int").alias("line"), x.alias("span"))), lambda x: F.length(x["span"]) >= 80)
-    rows = docs.join(confirmed, "id").select("id", "published", "source_code", "full_text", "sample", F.posexplode(F.slice(line, 1, 12)).alias("pos", "x"))
+    rows = docs.join(confirmed, "id").select("id", "published", "source_code", "full_text", "sample", F.posexplode(line).alias("pos", "x"))
     p, day = F.col("pos"), F.col("published")
     effective = F.when(p % 5 == 1, F.date_add(day, p % 40))
     return rows.select(
-        F.concat(F.lit("F-"), F.lpad((F.col("id") * 100 + p).cast("string"), 9, "0")).alias("code"), F.col("id").alias("doc_id"), "pos", "x.span",
+        F.concat(F.lit("F-"), F.lpad((F.col("id") * 100_000 + p).cast("string"), 16, "0")).alias("code"), F.col("id").alias("doc_id"), "pos", "x.span",
         "source_code", "full_text", "sample", pick(FACT_TYPES, p % 5).alias("fact_type"), "published",
         F.when(p % 2 == 0, F.date_sub(day, p % 7)).alias("occurred"), effective.alias("effective"),
         F.when(p % 10 == 1, F.date_add(effective, p % 30 - 5)).alias("expiry"), F.when(p % 11 == 0, F.date_add(day, 60)).alias("forecast"),
@@ -77,6 +78,60 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Made-up statements that stand for headlines, so that rules over words meet what they look for.
+STATEMENTS = (
+    "Insurer launched a new rider with wider coverage", "Monthly voucher campaign for policyholders", "The plan will withdraw its oldest rider from sale", "Survey of 1,200 respondents on savings",
+    "A decree on policy wording takes effect", "Premium income and market share grew 12%", "New self-service claims service in the app", "Benefit of the health policy will increase",
+    "Premium will decrease for young families", "Bancassurance partnership expanded to the south", "Policy documents changed for clarity", "Sales fell but risk stays low", "Charity day marks the anniversary",
+    "Bank raises deposit rates", "Non-life insurance price falls", "Quiet week", "Bảo hiểm nhúng được triển khai trên kênh số", "Ra mắt sản phẩm bảo hiểm mới với quyền lợi cao", "Thông tư mới về điều khoản hợp đồng",
+    "Khuyến mãi lớn trong tháng", "Doanh số khai thác mới tăng 5%", "Trend across the market: online underwriting in use", "Lawful allowances and benefits", "Ngân hàng mở rộng cho vay",
+)
+ALIASES = tuple(alias for e in ENTITIES for alias in (*e[4], *e[5]))
+ACTIONS = (
+    "Compare the two riders and decide", "Monitor the market", "", "Example Life should lower its price", "Theo dõi và đánh giá quyền lợi", "Watch competitors", "Validate with ví dụ nhân thọ", "Pilot within 60 days",
+)
+KINDS = ("PRODUCT_LAUNCH", "REGULATORY_CHANGE", "DISTRIBUTION_CHANGE", "CUSTOMER_NEED_SIGNAL", "COMPETITIVE_PERFORMANCE", "CORPORATE_NEWS")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with a headline and what their document and source say of them."""
+    docs = documents(spark, sf_dir).select(F.col("id").alias("doc_id"), "parse_status", "lang", F.length(F.trim("text")).alias("text_chars"))
+    kinds = classifications(spark, sf_dir).select("doc_id", "status", "labels")
+    src = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority", "market")
+    i = F.col("doc_id") * 5 + F.col("pos")
+    rows = facts(spark, sf_dir).withColumn("headline", pick(STATEMENTS, i % len(STATEMENTS)))
+    rows = rows.withColumns({"product": F.when(i % 4 == 1, F.concat(F.lit("Plan "), i % 9)), "duplicate": i % 53 == 0})
+    return rows.join(docs, "doc_id").join(kinds, "doc_id").join(src, "source_code")
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that name no, one or two legal entities, with the market of their source."""
+    i = F.col("id")
+    name = lambda n: pick(ALIASES, n % len(ALIASES))
+    said = F.concat("title", F.lit(" – "), F.when(i % 11 == 0, "").when(i % 5 == 0, F.concat(name(i), F.lit(" and "), name(i * 7 + 3))).otherwise(F.initcap(name(i))))
+    src = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "market")
+    return documents(spark, sf_dir).join(src, "source_code").select("id", said.alias("text"), "market")
+
+
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written insight per order, with what it cites, addresses and proposes."""
+    i, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    code = lambda n: F.concat(F.lit("F-"), n)
+    both = F.array(code(i % 7), code(i % 7 + 1))
+    some = lambda values, n: F.slice(F.array(*map(F.lit, values)), F.lit(1), n.cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        i.alias("insight_id"), F.when(i % 13 == 0, F.array().cast("array<string>")).otherwise(both).alias("cited"), F.when(i % 17 == 0, F.array(code(i % 7))).otherwise(both).alias("resolved"),
+        F.when(i % 19 == 0, "SALES").otherwise("PRODUCT").alias("department"), F.when(i % 23 == 0, "SALES_TEAM").otherwise(pick(["PRODUCT", "OUR_COMPANY", "INTERNAL_PRODUCT"], i % 3)).alias("audience"),
+        F.when(i % 29 == 0, "Example Life").otherwise("Product team").alias("owner"), F.array(F.lit("Example Life"), F.lit(" Ví dụ Nhân thọ ")).alias("externals"),
+        F.when(i % 31 == 0, F.array(F.lit("OTHER"))).otherwise(F.array(F.lit("p-kiq-01"), F.lit("x"))).alias("questions"), pick(tuple(THEME_EVENTS), i % 5).alias("theme"), pick(KINDS, F.floor(i / 5) % 6).alias("event_type"),
+        some(["e1", "e2", "e3"], F.floor(i / 2) % 4).alias("events"), some(["s1", "s2"], F.floor(i / 3) % 3).alias("sources"), pick(ACTIONS, i % 8).alias("action"), (i % 4 == 0).alias("trend"), (i % 3 == 0).alias("future"),
+        F.date_add(day, (i % 40).cast("int")).alias("deadline"), F.when(i % 2 == 0, F.date_add(day, (i % 60).cast("int") - 10)).alias("effective"), F.lit("1995-06-01").cast("date").alias("as_of"),
+        F.lit("1992-03-01").cast("date").alias("first"), F.lit("1998-06-30").cast("date").alias("last"),
+        F.when(i % 37 == 0, F.array().cast("array<date>")).when(i % 41 == 0, F.array(day, F.lit(None).cast("date"))).otherwise(F.array(day)).alias("published"),
+        F.when(i % 43 == 0, F.array(F.lit("a"), F.lit("b"))).when(i % 47 == 0, F.array(F.lit("GPT-4o-mini x"))).otherwise(F.array(F.lit("m-1"))).alias("models"), F.array(F.lit("v2")).alias("pipelines"),
+    )
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.create_map(*(F.lit(x) for x in ("1-URGENT", "AUTO_APPROVED", "2-HIGH", "APPROVED", "3-MEDIUM", "EDITED_APPROVED", "4-NOT SPECIFIED", "PENDING_REVIEW", "5-LOW", "REJECTED")))
@@ -100,7 +155,7 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'signup' and event_id % 50 = 0")
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
     return e.select(F.col("event_id").alias("run_id"), F.col("ts").alias("started"))
 
 
@@ -114,6 +169,14 @@ def _case(index: str, values) -> str:
     return f"CASE {index} " + " ".join(f"WHEN {k} THEN {v!r}" if isinstance(v, str) else f"WHEN {k} THEN {'NULL' if v is None else v}" for k, v in enumerate(values)) + " END"
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _pick(index: str, values) -> str:
+    return f"CASE {index} " + " ".join(f"WHEN {k} THEN {_text(v)}" for k, v in enumerate(values)) + " END"
+
+
 TABLES_SQL = {
     "src": f"""SELECT code, n, {_case('n % 10', [a for a, _ in AUTHORITIES])} AS authority, {_case('n % 10', [s for _, s in AUTHORITIES])} AS authority_score, n % 10 < {PRIMARY} AS primary_source,
       CASE WHEN n % 17 = 0 THEN 'ARCHIVE_ONLY' WHEN n % 10 >= 8 THEN 'WATCH_ONLY' ELSE 'DECISION_ELIGIBLE' END AS use_policy, {_case('n % 4', ['VN', 'SG', 'GLOBAL', None])} AS market
@@ -127,14 +190,26 @@ TABLES_SQL = {
     "cls": f"""SELECT doc_id, CASE WHEN toxic = 1 THEN 'NO_LABEL_REVIEW' WHEN quality = 1 THEN 'CONFIRMED' ELSE 'OUT_OF_SCOPE' END AS status,
       list_sort(list_distinct([{_case('doc_id % 15', CATEGORIES)}, {_case('doc_id * 7 % 15', CATEGORIES)}])) AS labels FROM labels""",
     "rules": "SELECT * FROM (VALUES " + ", ".join(map(str, ROUTING)) + ") r(category, department)",
-    "facts": f"""SELECT 'F-' || lpad(CAST(id * 100 + pos AS VARCHAR), 9, '0') AS code, id AS doc_id, pos, span, source_code, full_text, sample, {_case('pos % 5', FACT_TYPES)} AS fact_type, published,
+    "facts": f"""SELECT 'F-' || lpad(CAST(id * 100000 + pos AS VARCHAR), 16, '0') AS code, id AS doc_id, pos, span, source_code, full_text, sample, {_case('pos % 5', FACT_TYPES)} AS fact_type, published,
       CASE WHEN pos % 2 = 0 THEN published - pos % 7 END AS occurred, effective, CASE WHEN pos % 10 = 1 THEN effective + (pos % 30 - 5) END AS expiry, CASE WHEN pos % 11 = 0 THEN published + 60 END AS forecast,
       CASE WHEN pos % 3 = 0 THEN 'Company ' || id % 13 END AS company, CASE WHEN pos % 3 = 0 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS entity_status,
       CASE WHEN pos % 5 = 2 THEN 'KPI ' || pos % 4 END AS kpi_label, pos % 4 = 0 AS highlight
       FROM (SELECT *, CASE WHEN pos % 5 = 1 THEN published + pos % 40 END AS effective FROM (
         SELECT id, span, source_code, full_text, sample, published, CAST(row_number() OVER (PARTITION BY id ORDER BY line) - 1 AS INT) AS pos
         FROM (SELECT d.*, unnest(string_split(text, chr(10))) AS span, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM docs d JOIN cls ON doc_id = id WHERE status = 'CONFIRMED')
-        WHERE length(span) >= 80) WHERE pos < 12)""",
+        WHERE length(span) >= 80))""",
+    "said": f"""SELECT f.*, {_pick(f'(f.doc_id * 5 + pos) % {len(STATEMENTS)}', STATEMENTS)} AS headline, CASE WHEN (f.doc_id * 5 + pos) % 4 = 1 THEN 'Plan ' || (f.doc_id * 5 + pos) % 9 END AS product,
+      (f.doc_id * 5 + pos) % 53 = 0 AS duplicate, d.parse_status, d.lang, length(trim(d.text, ' ')) AS text_chars, c.status, c.labels, s.authority, s.market
+      FROM facts f JOIN docs d ON d.id = f.doc_id JOIN cls c ON c.doc_id = f.doc_id JOIN src s ON s.code = f.source_code""",
+    "mentions": f"""SELECT id, title || ' – ' || CASE WHEN id % 11 = 0 THEN '' WHEN id % 5 = 0 THEN {_pick(f'id % {len(ALIASES)}', ALIASES)} || ' and ' || {_pick(f'(id * 7 + 3) % {len(ALIASES)}', ALIASES)}
+      ELSE {_pick(f'id % {len(ALIASES)}', ALIASES)} END AS text, market FROM docs JOIN src ON code = source_code""",
+    "insights": f"""SELECT *, d + CAST(i % 40 AS INT) AS deadline, CASE WHEN i % 2 = 0 THEN d + CAST(i % 60 AS INT) - 10 END AS effective FROM (SELECT o_orderkey AS i, o_orderkey AS insight_id, CAST(o_orderdate AS DATE) AS d,
+      CASE WHEN o_orderkey % 13 = 0 THEN [] ELSE ['F-' || o_orderkey % 7, 'F-' || (o_orderkey % 7 + 1)] END AS cited,
+      CASE WHEN o_orderkey % 17 = 0 THEN ['F-' || o_orderkey % 7] ELSE ['F-' || o_orderkey % 7, 'F-' || (o_orderkey % 7 + 1)] END AS resolved,
+      CASE WHEN o_orderkey % 19 = 0 THEN 'SALES' ELSE 'PRODUCT' END AS department, CASE WHEN o_orderkey % 23 = 0 THEN 'SALES_TEAM' ELSE {_pick('o_orderkey % 3', ['PRODUCT', 'OUR_COMPANY', 'INTERNAL_PRODUCT'])} END AS audience,
+      CASE WHEN o_orderkey % 29 = 0 THEN 'example life' ELSE 'product team' END AS owner, CASE WHEN o_orderkey % 31 = 0 THEN 'OTHER' ELSE 'P-KIQ-01' END AS question,
+      {_pick('o_orderkey % 5', tuple(THEME_EVENTS))} AS theme, {_pick('(o_orderkey // 5) % 6', KINDS)} AS event_type, (o_orderkey // 2) % 4 AS n_events, (o_orderkey // 3) % 3 AS n_sources,
+      {_pick('o_orderkey % 8', ACTIONS)} AS action, o_orderkey % 4 = 0 AS trend, o_orderkey % 3 = 0 AS future FROM orders)""",
     "claims": """SELECT CAST(o_orderkey AS BIGINT) AS claim_id, CAST(o_custkey AS BIGINT) AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'AUTO_APPROVED' WHEN '2-HIGH' THEN 'APPROVED' WHEN '3-MEDIUM' THEN 'EDITED_APPROVED'
       WHEN '4-NOT SPECIFIED' THEN 'PENDING_REVIEW' WHEN '5-LOW' THEN 'REJECTED' END AS review_status, CASE WHEN o_orderstatus = 'P' THEN 'FAIL_NUMBER_NOT_IN_EVIDENCE' ELSE 'PASS' END AS gate_status,
       o_orderkey % 11 = 0 AS superseded, CAST(o_orderdate AS DATE) AS created, 'T' || o_orderkey % 5 AS tier FROM orders""",
@@ -142,10 +217,10 @@ TABLES_SQL = {
       CAST(l_shipdate AS DATE) AS created, l_linenumber AS t1, l_partkey AS t2, l_suppkey AS t3 FROM lineitem""",
     "latest": """SELECT claim_id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY created DESC, t1 DESC, t2 DESC, t3 DESC) AS rn FROM checks) WHERE rn = 1""",
     "votes": "SELECT user_id AS doc_id, event_id % 3 AS sample, event_type AS label FROM events",
-    "runs": "SELECT event_id AS run_id, ts AS started FROM events WHERE event_type = 'signup' AND event_id % 50 = 0",
+    "runs": "SELECT event_id AS run_id, ts AS started FROM events WHERE event_type = 'signup'",
     "items": """SELECT event_id AS item_id, user_id AS doc_id, event_type AS stage, ts AS created, CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'SKIPPED' WHEN 2 THEN 'ERROR' END AS status FROM events WHERE event_type <> 'signup'""",
 }
-_NEEDS = {"facts": ("docs", "cls"), "latest": ("checks",)}
+_NEEDS = {"facts": ("docs", "cls"), "latest": ("checks",), "said": ("src", "docs", "cls", "facts"), "mentions": ("docs", "src")}
 
 
 def with_tables(names: str, body: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The row of each key that comes last in ``order``: one aggregation with a map-side part."""
@@ -22,6 +24,22 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def numbered_by_range(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Rows of each key numbered from 1 in ascending ``order``, however many rows a key has.
+
+    Rows are sorted by range over all tasks and stored; a task numbers its own, and what
+    stands before it in a key is added from a table of one row a key and range.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "ranges")
+    df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered(rows, [*keys, "__part"], [F.col(c) for c in order], "__own").join(counts.select(*keys, "__part", before.alias("__before")), [*keys, "__part"])
+    return placed.select(*df.columns, (F.col("__own") + F.col("__before")).alias(name))
+
+
 def union_by_precedence(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """Union in which an earlier part's row wins over later ones of its key."""
     tagged = [p.withColumn("__part", F.lit(k)) for k, p in enumerate(parts)]

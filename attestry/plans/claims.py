@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..bindings import claims, verifications, with_tables
 from ..domains import APPROVED
 from ..functions import rules
-from ..operators.relational import latest, numbered, union_by_precedence
+from ..operators.relational import latest, numbered, numbered_by_range, union_by_precedence
 
 ORDER = ["created", "t1", "t2", "t3"]
 
@@ -97,7 +97,7 @@ def next_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes for pending claims, numbered per tier after the highest that exists there."""
     base = claims(spark, sf_dir)
     top = base.where("review_status <> 'PENDING_REVIEW'").groupBy("tier").agg(F.max("claim_id").alias("top"))
-    pending = numbered(base.where("review_status = 'PENDING_REVIEW'").select("claim_id", "tier"), ["tier"], [F.col("claim_id")])
+    pending = numbered_by_range(base.where("review_status = 'PENDING_REVIEW'").select("claim_id", "tier"), ["tier"], ["claim_id"])
     return pending.join(top, "tier").select("claim_id", F.concat_ws("-", "tier", F.lpad((F.col("top") + F.col("rank")).cast("string"), 8, "0")).alias("code"))
 
 

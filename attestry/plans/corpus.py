@@ -95,7 +95,7 @@ def refetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of fetching documents again, by the first reason that holds."""
     docs = documents(spark, sf_dir).select("id", "full_text", "chars", "content_hash", "source_code")
     twins = docs.groupBy("content_hash").agg(F.count("*").alias("copies"))
-    asked = spark.range(0, 1200, 3).withColumnRenamed("id", "asked")
+    asked = classifications(spark, sf_dir).select((F.col("doc_id") * 2).alias("asked")).distinct()
     j = asked.join(docs, F.col("asked") == F.col("id"), "left").join(twins, "content_hash", "left")
     outcome = (
         F.when(F.col("id").isNull(), "NOT_FOUND").when(F.col("full_text") & (F.col("chars") >= 600), "NOT_ELIGIBLE").when(F.col("source_code") == "src0", "HOST_REJECTED")
@@ -161,7 +161,7 @@ def attribution_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def downgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts shown as decisions or only to watch, by what their source may support."""
     s = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "use_policy", "authority_score")
-    f = facts(spark, sf_dir).select("code", "source_code", "company").join(F.broadcast(s), "source_code")
+    f = facts(spark, sf_dir).select("code", "source_code", "company").join(s, "source_code")
     many = f.where("company is not null").groupBy("company").agg(F.count_distinct("source_code").alias("n"))
     weak = (F.col("authority_score") < 58) & (F.coalesce("n", F.lit(1)) < 2)
     show = F.when((F.col("use_policy") != "DECISION_ELIGIBLE") | weak, "WATCH").otherwise("DECISION")
@@ -231,8 +231,8 @@ ORACLE_SQL = {
       LEFT JOIN (SELECT doc_id, status AS last FROM items WHERE stage = 'error' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY created DESC, item_id DESC) = 1) a ON a.doc_id = id"""),
     "e09_compare_and_set": with_tables("cls", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'APPLIED_NEW' WHEN doc_id % 5 <> doc_id * 3 % 5 THEN 'CONCURRENT_CHANGE_PRESERVED' WHEN status = 'NO_LABEL_REVIEW' THEN 'PRESERVED_PRIOR_REVIEW' ELSE 'APPLIED_REPLACEMENT' END AS outcome FROM cls"),
     "e01_supersede_facts": with_tables("facts", "SELECT code, coalesce(run = max(run) OVER (PARTITION BY doc_id), false) AS active FROM (SELECT code, doc_id, CASE WHEN pos % 7 <> 6 THEN pos % 3 END AS run FROM facts)"),
-    "e17_refetch_outcomes": with_tables("docs", """SELECT CASE WHEN id IS NULL THEN 'NOT_FOUND' WHEN full_text AND chars >= 600 THEN 'NOT_ELIGIBLE' WHEN source_code = 'src0' THEN 'HOST_REJECTED' WHEN chars < 200 THEN 'INSUFFICIENT_TEXT' WHEN copies > 1 THEN 'DUPLICATE_CONTENT' ELSE 'SUCCESS' END AS outcome, count(*) AS n
-      FROM range(0, 1200, 3) r(asked) LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY content_hash) AS copies FROM docs) ON id = asked GROUP BY ALL"""),
+    "e17_refetch_outcomes": with_tables("docs cls", """SELECT CASE WHEN id IS NULL THEN 'NOT_FOUND' WHEN full_text AND chars >= 600 THEN 'NOT_ELIGIBLE' WHEN source_code = 'src0' THEN 'HOST_REJECTED' WHEN chars < 200 THEN 'INSUFFICIENT_TEXT' WHEN copies > 1 THEN 'DUPLICATE_CONTENT' ELSE 'SUCCESS' END AS outcome, count(*) AS n
+      FROM (SELECT DISTINCT doc_id * 2 AS asked FROM cls) LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY content_hash) AS copies FROM docs) ON id = asked GROUP BY ALL"""),
     "d24_alias_hits": with_tables("docs", "SELECT lang, alias, count(*) AS n FROM docs, (VALUES ('License'), ('General Public License'), ('anon'), ('Ere')) a(alias) WHERE regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])' || alias || '($|[^\\p{L}\\p{N}])') GROUP BY ALL"),
     "d26_first_codes": with_tables("facts", "SELECT doc_id, min(code) AS code FROM facts GROUP BY doc_id"),
     "d22_item_history": with_tables("docs items runs", "SELECT run_id, lang, count(*) AS n FROM (SELECT * FROM items ASOF JOIN runs ON started <= created) i JOIN docs ON id = doc_id GROUP BY ALL"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..bindings import documents, sources, with_tables
@@ -25,45 +25,69 @@ def content_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def banded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of equal content that were fetched within 72 hours, with verdict and winner.
+    """Copies of one content that were seen within 72 hours of each other, with verdict and winner.
 
-    Candidates meet on the content hash and the time band; each later document meets only
-    the first of its band, so a group of n copies gives n rows, not n squared.
+    Each copy is linked with the one before it, so a group of n copies gives n - 1 rows at
+    most and every two copies within 72 hours are joined through the rows between them.  A
+    band of 72 hours sorts its own copies; the first one looks back to the last of the band
+    before, so no content is one task.
     """
-    docs = documents(spark, sf_dir).select("id", "source_code", "url", "content_hash", F.coalesce("published_at", "fetched_at").alias("at"))
-    docs = docs.join(F.broadcast(sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority_score")), "source_code")
+    docs = documents(spark, sf_dir).select("id", "source_code", "content_hash", F.coalesce("published_at", "fetched_at").alias("at"))
+    docs = docs.join(sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority_score"), "source_code")
     band = F.floor(F.unix_timestamp("at") / (BAND_HOURS * 3600))
-    heads = docs.groupBy("content_hash", band.alias("band")).agg(F.min_by(F.struct("id", "at", "authority_score"), F.struct("at", "id")).alias("h"))
-    # the probe looks into its own band and the one before it
-    probes = docs.select("id", "at", "authority_score", "content_hash", F.explode(F.array(band, band - 1)).alias("band"))
-    met = probes.join(heads, ["content_hash", "band"]).where((F.col("h.id") != F.col("id")) & (F.col("at") >= F.col("h.at")) & (F.unix_timestamp("at") - F.unix_timestamp("h.at") <= BAND_HOURS * 3600))
-    wins = F.when(F.col("authority_score") > F.col("h.authority_score"), F.col("id")).when(F.col("authority_score") < F.col("h.authority_score"), F.col("h.id")).when(F.col("at") > F.col("h.at"), F.col("id")).otherwise(F.least("id", "h.id"))
-    return met.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"), F.lit("DUPLICATE_CONTENT").alias("verdict"), wins.alias("winner")).distinct()
+    rows = docs.select("content_hash", band.alias("band"), F.struct("at", "id", "authority_score").alias("x"))
+    ends = rows.groupBy("content_hash", "band").agg(F.max("x").alias("last")).select("content_hash", (F.col("band") + 1).alias("band"), "last")
+    own = F.lag("x").over(Window.partitionBy("content_hash", "band").orderBy("x.at", "x.id"))
+    pairs = rows.withColumn("own", own).join(ends, ["content_hash", "band"], "left").select("x", F.coalesce("own", "last").alias("h"))
+    met = pairs.where(F.col("h").isNotNull() & (F.unix_timestamp("x.at") - F.unix_timestamp("h.at") <= BAND_HOURS * 3600))
+    wins = (
+        F.when(F.col("x.authority_score") > F.col("h.authority_score"), F.col("x.id")).when(F.col("x.authority_score") < F.col("h.authority_score"), F.col("h.id"))
+        .when(F.col("x.at") > F.col("h.at"), F.col("x.id")).otherwise(F.least("x.id", "h.id"))
+    )
+    return met.select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"), F.lit("DUPLICATE_CONTENT").alias("verdict"), wins.alias("winner"))
 
 
 def losers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the copy that stands for it: highest authority, then the newest, then the smallest id."""
     docs = documents(spark, sf_dir).select("id", "source_code", "content_hash", F.coalesce("published_at", "fetched_at").alias("at"))
-    docs = docs.join(F.broadcast(sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority_score")), "source_code")
+    docs = docs.join(sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority_score"), "source_code")
     best = docs.groupBy("content_hash").agg(F.max_by("id", F.struct("authority_score", "at", (-F.col("id")).alias("i"))).alias("winner"), F.count("*").alias("n")).where("n > 1").select("content_hash", "winner")
     return docs.join(best, "content_hash").where("id <> winner").select("id", F.col("winner").alias("duplicate_of"))
 
 
+def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Near pairs of (id, w): rows of one set with its first row, and the first rows with each other."""
+    kept = sets.select("id", F.array_sort("w").alias("w")).where("size(w) > 0")
+    heads = kept.groupBy("w").agg(F.min("id").alias("a"))
+    same = kept.join(heads, "w").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
+    return token_pairs(kept, "id", "w", threshold).unionByName(same)
+
+
 def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ladder of verdicts over neighbouring documents of a source."""
-    from pyspark.sql import Window
+    """The ladder of verdicts over documents seen within 72 hours of each other.
 
-    docs = documents(spark, sf_dir).select("id", "source_code", "content_hash", text.word_set(text.normal_title(F.col("title"))).alias("w"))
-    w = Window.partitionBy("source_code").orderBy("id")
-    near = text.jaccard(F.col("w"), F.col("w2"))
-    both = docs.withColumns({"id2": F.lead("id").over(w), "h2": F.lead("content_hash").over(w), "w2": F.lead("w").over(w)}).where("id2 is not null")
-    verdict = F.when(F.col("content_hash") == F.col("h2"), "DUPLICATE_CONTENT").when(near < TITLE_NEAR, "DIFFERENT").otherwise("GRAY")
-    return both.select(F.col("id").alias("a"), F.col("id2").alias("b"), verdict.alias("verdict"), F.round(near, 6).alias("title_overlap"))
+    Copies are decided by :func:`banded_pairs`; here every content has one document, its
+    first.  Pairs of such documents that are alike in content, or else in title, have a row;
+    all others are different.  Documents with the same words in their titles meet through the
+    first of them.
+    """
+    docs = documents(spark, sf_dir).select("id", "content_hash", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).alias("at"), "title", "text")
+    firsts = docs.groupBy("content_hash").agg(F.min("id").alias("id")).select("id")
+    reps = docs.join(firsts, "id", "left_semi")
+    titles = class_pairs(reps.select("id", text.word_set(text.normal_title(F.col("title"))).alias("w")), TITLE_NEAR).withColumnRenamed("overlap", "title_overlap")
+    contents = class_pairs(reps.select("id", text.word_trigrams(text.normal_title(F.col("text"))).alias("w")), CONTENT_NEAR).withColumnRenamed("overlap", "content_overlap")
+    both = titles.join(contents, ["a", "b"], "full")
+    times = reps.select("id", "at")
+    near = both.join(times.withColumnsRenamed({"id": "a", "at": "at_a"}), "a").join(times.withColumnsRenamed({"id": "b", "at": "at_b"}), "b").where(F.abs(F.col("at_a") - F.col("at_b")) <= BAND_HOURS * 3600)
+    verdict = F.when(F.col("content_overlap").isNotNull(), "DUPLICATE_CONTENT").otherwise("GRAY")
+    return near.select("a", "b", verdict.alias("verdict"), F.round("title_overlap", 6).alias("title_overlap"), F.round("content_overlap", 6).alias("content_overlap"))
 
 
 QUERIES = {"d17_title_pairs": title_pairs, "k12_content_pairs": content_pairs, "d16_banded_pairs": banded_pairs, "e13_losers": losers, "m01_pair_verdicts": pair_verdicts}
 
 _TITLE = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' '), ' '), lambda w: w <> ''))"
+_GRAMS = """(SELECT CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) ELSE list_distinct(w) END
+  FROM (SELECT list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS w))"""
 _AUTH = "SELECT d.*, coalesce(published_at, fetched_at) AS seen, authority_score FROM docs d JOIN src ON code = source_code"
 
 
@@ -77,11 +101,13 @@ ORACLE_SQL = {
     "d17_title_pairs": with_tables("docs", _pairs(f"SELECT id, {_TITLE} AS s FROM docs", 0.8)),
     "k12_content_pairs": with_tables("docs", _pairs("""SELECT id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) ELSE list_distinct(w) END AS s
       FROM (SELECT id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' '), ' '), lambda w: w <> '') AS w FROM docs)""", 0.92)),
-    "d16_banded_pairs": with_tables("docs src", f"""also a AS ({_AUTH}), b AS (SELECT *, floor(epoch(seen) / 259200) AS band FROM a), h AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY content_hash, band ORDER BY seen, id) = 1)
-      SELECT DISTINCT least(b.id, h.id) AS a, greatest(b.id, h.id) AS b, 'DUPLICATE_CONTENT' AS verdict, CASE WHEN b.authority_score > h.authority_score THEN b.id WHEN b.authority_score < h.authority_score THEN h.id WHEN b.seen > h.seen THEN b.id ELSE least(b.id, h.id) END AS winner
-      FROM b JOIN h ON b.content_hash = h.content_hash AND h.band IN (b.band, b.band - 1) AND b.id <> h.id AND b.seen >= h.seen AND epoch(b.seen) - epoch(h.seen) <= 259200"""),
+    "d16_banded_pairs": with_tables("docs src", f"""also a AS ({_AUTH}), p AS (SELECT id, seen, authority_score AS s, lag(id) OVER w AS id0, lag(seen) OVER w AS seen0, lag(authority_score) OVER w AS s0 FROM a WINDOW w AS (PARTITION BY content_hash ORDER BY seen, id))
+      SELECT least(id, id0) AS a, greatest(id, id0) AS b, 'DUPLICATE_CONTENT' AS verdict, CASE WHEN s > s0 THEN id WHEN s < s0 THEN id0 WHEN seen > seen0 THEN id ELSE least(id, id0) END AS winner FROM p WHERE seen <= seen0 + INTERVAL 72 HOUR"""),
     "e13_losers": with_tables("docs src", f"SELECT id, winner AS duplicate_of FROM (SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY authority_score DESC, seen DESC, id) AS winner FROM ({_AUTH})) WHERE id <> winner"),
-    "m01_pair_verdicts": with_tables("docs", f"""SELECT a, b, CASE WHEN h = h2 THEN 'DUPLICATE_CONTENT' WHEN o < 0.5 THEN 'DIFFERENT' ELSE 'GRAY' END AS verdict, round(o, 6) AS title_overlap FROM (SELECT id AS a, id2 AS b, h, h2,
-      CASE WHEN len(w) > 0 AND len(w2) > 0 THEN len(list_intersect(w, w2)) / len(list_distinct(list_concat(w, w2))) ELSE 0 END AS o FROM (SELECT id, content_hash AS h, {_TITLE} AS w, lead(id) OVER s AS id2, lead(content_hash) OVER s AS h2, lead({_TITLE}) OVER s AS w2
-      FROM docs WINDOW s AS (PARTITION BY source_code ORDER BY id))) WHERE b IS NOT NULL"""),
+    "m01_pair_verdicts": with_tables("docs", f"""also r AS (SELECT id, coalesce(published_at, fetched_at) AS seen, list_sort({_TITLE}) AS t, list_sort({_GRAMS}) AS g FROM docs WHERE id IN (SELECT min(id) FROM docs GROUP BY content_hash)),
+      f AS (SELECT *, min(id) OVER (PARTITION BY t) AS th, min(id) OVER (PARTITION BY g) AS gh FROM r),
+      p AS (SELECT x.id AS a, y.id AS b, CASE WHEN len(x.t) > 0 AND len(y.t) > 0 AND (x.id = y.th OR (x.id = x.th AND y.id = y.th)) THEN len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) END AS o,
+        CASE WHEN len(x.g) > 0 AND len(y.g) > 0 AND (x.id = y.gh OR (x.id = x.gh AND y.id = y.gh)) THEN len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) END AS c
+        FROM f x JOIN f y ON x.id < y.id AND abs(epoch(x.seen) - epoch(y.seen)) <= 259200)
+      SELECT a, b, CASE WHEN c >= 0.92 THEN 'DUPLICATE_CONTENT' ELSE 'GRAY' END AS verdict, CASE WHEN o >= 0.5 THEN round(o, 6) END AS title_overlap, CASE WHEN c >= 0.92 THEN round(c, 6) END AS content_overlap FROM p WHERE o >= 0.5 OR c >= 0.92"""),
 }

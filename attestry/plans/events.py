@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..bindings import documents, facts, sources, with_tables
 from ..domains import AS_OF
 from ..functions import rules
-from ..operators.relational import first, numbered, rank_limited
+from ..operators.relational import first, numbered, numbered_by_range, rank_limited
 
 VERSION = "v2"
 
@@ -16,7 +16,7 @@ VERSION = "v2"
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A market event per fact, with its anchor date, month, scope and cluster key."""
     src = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority", "authority_score", "primary_source", "market", "use_policy")
-    joined = facts(spark, sf_dir).join(F.broadcast(src), "source_code")
+    joined = facts(spark, sf_dir).join(src, "source_code")
     anchor = F.coalesce("occurred", "effective", "published")
     month = F.coalesce(F.date_format(anchor, "yyyy-MM"), F.lit("UNDATED"))
     market = F.coalesce("market", F.lit("UNKNOWN"))
@@ -84,10 +84,17 @@ def balanced(spark: SparkSession, sf_dir: str, most: int = 12) -> DataFrame:
     return ranked.orderBy("rank", "market", "fact_type").limit(most).select("market", "fact_type", "rank", "code")
 
 
-def pivot_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = ("2026-05", "2026-06", "2026-07", "2026-08")
-    counts = events(spark, sf_dir).where("company is not null").groupBy("company").pivot("month", list(months)).agg(F.count("code"))
-    return counts.select("company", *(F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias("m" + m.replace("-", "")) for m in months))
+def last_months(as_of: str, count: int = 6) -> list[str]:
+    year, month = int(as_of[:4]), int(as_of[5:7])
+    return [f"{(year * 12 + month - 1 - k) // 12}-{(year * 12 + month - 1 - k) % 12 + 1:02d}" for k in range(count - 1, -1, -1)]
+
+
+def pivot_months(spark: SparkSession, sf_dir: str, most: int = 10) -> DataFrame:
+    """Events of each company in each of the last six months, the companies with the most first."""
+    months = last_months(AS_OF)
+    shown = events(spark, sf_dir).where(F.col("company").isNotNull() & F.col("month").isin(*months))
+    counts = shown.groupBy("company").agg(F.count("*").alias("total"), *(F.count_if(F.col("month") == m).alias("m" + m.replace("-", "")) for m in months))
+    return counts.orderBy(F.desc("total"), "company").limit(most)
 
 
 def count_bars(spark: SparkSession, sf_dir: str, most: int = 6) -> DataFrame:
@@ -136,14 +143,16 @@ def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slides(spark: SparkSession, sf_dir: str, rows: int = 7) -> DataFrame:
-    ranked = numbered(events(spark, sf_dir).select("fact_type", "code"), ["fact_type"], [F.col("code")])
+    ranked = numbered_by_range(events(spark, sf_dir).select("fact_type", "code"), ["fact_type"], ["code"])
     return ranked.groupBy("fact_type", F.floor((F.col("rank") - 1) / rows).alias("slide")).agg(F.count("*").alias("n"), F.min("code").alias("first_code"))
 
 
 def edition_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint per type over its events, whatever their order."""
-    line = F.concat_ws("|", "code", "cluster_key")
-    return events(spark, sf_dir).groupBy("fact_type").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    """A fingerprint per type over its events, whatever their order: sums of two pieces of each row's hash."""
+    row = F.sha2(F.concat_ws("|", "code", "cluster_key"), 256)
+    piece = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    g = events(spark, sf_dir).select("fact_type", row.alias("h")).groupBy("fact_type").agg(F.count("*").alias("n"), piece(1).alias("a"), piece(16).alias("b"))
+    return g.select("fact_type", F.sha2(F.concat_ws("|", "n", "a", "b"), 256).alias("fingerprint"))
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +189,7 @@ ORACLE_SQL = {
     "g04_top_facts": with_tables(_T, _EV + "SELECT doc_id, max(score) AS doc_score, string_agg(code, ',' ORDER BY score DESC, code) AS codes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) AS rn FROM sc) WHERE rn <= 3 GROUP BY doc_id"),
     "g05_one_per_document": with_tables(_T, _EV + "SELECT doc_id, code FROM ev QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY anchor DESC NULLS LAST, authority_score DESC, code) = 1"),
     "g06_balanced_coverage": with_tables(_T, _EV + "SELECT market, fact_type, CAST(rn AS INT) AS rank, code FROM (SELECT *, row_number() OVER (PARTITION BY market, fact_type ORDER BY anchor DESC NULLS LAST, authority_score DESC, code) AS rn FROM ev WHERE safe) ORDER BY rn, market, fact_type LIMIT 12"),
-    "f17_month_pivot": with_tables(_T, _EV + "SELECT company, " + ", ".join(f"count(*) FILTER (month = '{m[:4]}-{m[4:]}') AS m{m}" for m in ("202605", "202606", "202607", "202608")) + " FROM ev WHERE company IS NOT NULL GROUP BY company"),
+    "f17_month_pivot": with_tables(_T, _EV + "SELECT company, count(*) AS total, " + ", ".join(f"count(*) FILTER (month = '{m[:4]}-{m[4:]}') AS m{m}" for m in ("202603", "202604", "202605", "202606", "202607", "202608")) + " FROM ev WHERE company IS NOT NULL AND month BETWEEN '2026-03' AND '2026-08' GROUP BY company ORDER BY total DESC, company LIMIT 10"),
     "f16_count_bars": with_tables(_T, _EV + "SELECT company, n, CAST(greatest(2, round(100 * n / sum(n) OVER ())) AS INT) AS percent FROM (SELECT company, count(*) AS n FROM ev WHERE company IS NOT NULL GROUP BY company ORDER BY n DESC, company LIMIT 6)"),
     "f19_priority_areas": with_tables(_T, _EV + "SELECT fact_type, count(*) AS n, count(DISTINCT source_code) AS n_sources, count(DISTINCT source_code) FILTER (primary_source) AS n_primary, bool_or(primary_source) AS any_primary, bool_and(safe) AS all_safe, round(avg(authority_score), 4) AS mean_authority FROM ev GROUP BY fact_type"),
     "f15_deep_dives": with_tables(_T, _EV + "SELECT company, count(*) AS n, count(DISTINCT fact_type) AS types FROM ev WHERE company IS NOT NULL GROUP BY company HAVING n >= 3 OR types >= 2"),
@@ -189,7 +198,7 @@ ORACLE_SQL = {
     "g11_audit_sample": with_tables("docs", "SELECT lang, id FROM docs QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('snapshot-1|' || id)) <= 3"),
     "g12_capped_per_key": with_tables(_T, _EV + "SELECT fact_type, doc_id, code FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY fact_type, doc_id ORDER BY authority_score DESC, code) <= 2) QUALIFY row_number() OVER (PARTITION BY fact_type ORDER BY authority_score DESC, code) <= 6"),
     "g14_fixed_chunks": with_tables(_T, _EV + "SELECT fact_type, (rn - 1) // 7 AS slide, count(*) AS n, min(code) AS first_code FROM (SELECT fact_type, code, row_number() OVER (PARTITION BY fact_type ORDER BY code) AS rn FROM ev) GROUP BY ALL"),
-    "k46_fingerprint": with_tables(_T, _EV + "SELECT fact_type, sha256(string_agg(code || '|' || cluster_key, chr(10) ORDER BY code || '|' || cluster_key)) AS fingerprint FROM ev GROUP BY fact_type"),
+    "k46_fingerprint": with_tables(_T, _EV + "SELECT fact_type, sha256(count(*) || '|' || sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT))) AS fingerprint FROM (SELECT fact_type, sha256(code || '|' || cluster_key) AS h FROM ev) GROUP BY fact_type"),
     "f30_coverage_gaps": with_tables(_T, _EV + """SELECT market, coalesce(string_agg(CASE WHEN NOT p THEN fact_type END, ',' ORDER BY fact_type), '') AS missing, CAST(count(*) AS INT) AS n_types, CAST(count(*) FILTER (p) AS INT) AS n_shown
       FROM (SELECT market, fact_type, bool_or(primary_source) AS p FROM ev GROUP BY ALL) GROUP BY market"""),
 }

@@ -60,10 +60,9 @@ def with_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label of a document's events in a month, only where they all agree."""
-    v = votes(spark, sf_dir).where("sample = 0")
-    g = v.groupBy((F.col("doc_id") % 97).alias("doc_group"), (F.col("doc_id") % 7).alias("part")).agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    return g.select("doc_group", "part", F.when(F.size("labels") == 1, F.element_at("labels", 1)).alias("label"), F.size("labels").alias("n"))
+    """The label of a document in each sample of votes, only where all votes of the sample agree."""
+    g = votes(spark, sf_dir).groupBy("doc_id", "sample").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return g.select("doc_id", "sample", F.when(F.size("labels") == 1, F.element_at("labels", 1)).alias("label"), F.size("labels").alias("n"))
 
 
 QUERIES = {
@@ -84,5 +83,5 @@ ORACLE_SQL = {
     "e15_rule_backfill": with_tables("cls rules", "SELECT label, count(DISTINCT doc_id) AS rerouted FROM (SELECT doc_id, unnest(labels) AS label FROM cls WHERE status = 'CONFIRMED') WHERE label NOT IN (SELECT category FROM rules) GROUP BY label"),
     "f02_label_counts": with_tables("cls", "SELECT label, status, count(*) AS n FROM (SELECT status, unnest(labels) AS label FROM cls) GROUP BY ALL"),
     "d05_by_label": with_tables("cls", "SELECT doc_id, array_to_string(labels, ',') AS labels FROM cls WHERE list_contains(labels, 'PRODUCT_LAUNCH') AND status = 'CONFIRMED'"),
-    "f34_label_consensus": with_tables("votes", "SELECT doc_id % 97 AS doc_group, doc_id % 7 AS part, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS label, CAST(count(DISTINCT label) AS INT) AS n FROM votes WHERE sample = 0 GROUP BY ALL"),
+    "f34_label_consensus": with_tables("votes", "SELECT doc_id, sample, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS label, CAST(count(DISTINCT label) AS INT) AS n FROM votes GROUP BY ALL"),
 }

@@ -88,7 +88,7 @@ def by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two documents per content from distinct sources, the best source first."""
     s = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority_score")
-    d = documents(spark, sf_dir).select("id", "content_hash", "source_code").join(F.broadcast(s), "source_code")
+    d = documents(spark, sf_dir).select("id", "content_hash", "source_code").join(s, "source_code")
     one = rank_limited(d, ["content_hash", "source_code"], [F.col("id")], 1)
     return rank_limited(one, ["content_hash"], [F.desc("authority_score"), F.col("id")], 2).select("content_hash", "id")
 

@@ -20,17 +20,20 @@ def card_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
+FEED_IDS, SITEMAP_IDS = 2000, 500  # ids that one feed or sitemap may hold, so that none grows with the table
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed per source, written and read again."""
+    """Feeds per source and range of ids, written and read again."""
     sign = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    docs = documents(spark, sf_dir).where("trim(title) <> '' and published_at is not null and id % 10 = 0").select("id", "source_code", "title", "url", "published_at")
+    docs = documents(spark, sf_dir).where("trim(title) <> '' and published_at is not null").select("id", "source_code", F.floor(F.col("id") / FEED_IDS).alias("part"), "title", "url", "published_at")
     item = F.concat(F.lit("<item><title>"), sign(F.col("title")), F.lit("</title><link>"), "url", F.lit("</link><pubDate>"), F.date_format("published_at", "yyyy-MM-dd HH:mm"), F.lit("</pubDate></item>"))
-    feeds = docs.groupBy("source_code").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda r: r["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
-    return web.feed_items(feeds, "xml").select("source_code", F.col("pos").cast("long").alias("pos"), "link", "published")
+    feeds = docs.groupBy("source_code", "part").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda r: r["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+    return web.feed_items(feeds, "xml").select("source_code", "part", F.col("pos").cast("long").alias("pos"), "link", "published")
 
 
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = table(spark, sf_dir, "pages").select((F.col("page_id") % 8).alias("part"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"))
+    urls = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / SITEMAP_IDS).alias("part"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"))
     maps = urls.groupBy("part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("u"), lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
     return web.sitemap_urls(maps, "xml", "/en/").select("link")
 
@@ -64,7 +67,7 @@ ORACLE_SQL = {
     "a08_article_text": f"""SELECT page_id, title, sha256(t) AS text_sha, CAST(length(t) AS BIGINT) AS chars, note FROM (SELECT page_id, title, CASE WHEN length(i) >= 400 THEN i ELSE w END AS t, CASE WHEN length(i) >= 400 THEN 'ARTICLE' ELSE 'BODY' END AS note
       FROM (SELECT page_id, {_plain("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")} AS title, {_plain(_cut("regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)"))} AS i, {_plain(_cut("regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1)"))} AS w FROM pages))""",
     "a13_card_links": """SELECT page_id, CAST(generate_subscripts(x, 1) - 1 AS BIGINT) AS pos, unnest(x) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1) AS x FROM pages) WHERE len(x) > 0""",
-    "a05_feed_items": with_tables("docs", "SELECT source_code, row_number() OVER (PARTITION BY source_code ORDER BY id) - 1 AS pos, url AS link, strftime(published_at, '%Y-%m-%d %H:%M') AS published FROM docs WHERE trim(title, ' ') <> '' AND published_at IS NOT NULL AND id % 10 = 0"),
+    "a05_feed_items": with_tables("docs", "SELECT source_code, id // 2000 AS part, row_number() OVER (PARTITION BY source_code, id // 2000 ORDER BY id) - 1 AS pos, url AS link, strftime(published_at, '%Y-%m-%d %H:%M') AS published FROM docs WHERE trim(title, ' ') <> '' AND published_at IS NOT NULL"),
     "a06_sitemap_urls": "SELECT DISTINCT regexp_replace(url, '^http://', 'https://') AS link FROM pages WHERE contains(url, '/en/')",
     "a14_json_listing": with_tables("docs", "SELECT id, 'https://api.example/' || id AS url FROM docs WHERE trim(title, ' ') <> ''"),
     "j01_stream_ingest": with_tables("docs", "SELECT min(id) AS id, content_hash FROM docs GROUP BY content_hash"),
