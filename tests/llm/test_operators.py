@@ -226,9 +226,8 @@ def test_leaks_equal_brute_force(spark):
     documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (98, None), (99, "")], "item_id long, text string")
     expected = brute_leaks(docs, items)
     assert expected
-    for size in (1 << 22, 40):  # one block, several blocks
-        found = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontaminate.leaks(documents, benchmark, size).collect()}
-        assert found == expected
+    found = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontaminate.leaks(documents, benchmark).collect()}
+    assert found == expected
     kept = {r["doc_id"] for r in decontaminate.decontaminated(documents, benchmark).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in expected}
 
@@ -241,6 +240,18 @@ def test_leaks_on_odd_tables(spark, odd, empty):
     assert decontaminate.decontaminated(odd, short).count() == len(ODD) - 3
 
 
+def test_a_passage_of_many_items_in_a_long_text_and_repeated_words(spark):
+    passage = " ".join(f"p{k}" for k in range(14))
+    items = [(k, f"start{k} {passage} end{k}") for k in range(300)] + [(300, "word " * 200)]
+    docs = [(1, " ".join(f"x{k}" for k in range(9_000)) + f" {passage}"), (2, "word " * 30_000), (None, passage), (None, "clean text")]
+    documents = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, seed long, item_id long")
+    benchmark = spark.createDataFrame([(*i, "clash") for i in items], "item_id long, text string, doc_id string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["first_word"]) for r in decontaminate.leaks(documents, benchmark).collect()}
+    assert found == {**{(d, k): (13, 9_000 if d else 0) for d in (1, None) for k in range(300)}, (2, 300): (13, 0)}
+    kept = decontaminate.decontaminated(documents.withColumn("__leak", documents.doc_id), benchmark)
+    assert kept.columns[-1] == "__leak" and kept.count() == 0  # rows without an id are judged together
+
+
 def test_short_items_with_every_allowed_substitution(spark):
     docs, items = [], []
     for n in range(1, 13):
