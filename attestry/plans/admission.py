@@ -26,7 +26,9 @@ def funnel(spark: SparkSession, sf_dir: str, samples: int = 5) -> DataFrame:
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("id", "content_hash", "parse_status", "text", "full_text", "chars")
+    # of the text only whether it is blank goes through the shuffle
+    blank = F.when(F.coalesce(F.trim("text"), F.lit("")) != "", "x").otherwise("")
+    docs = documents(spark, sf_dir).select("id", "content_hash", "parse_status", blank.alias("text"), "full_text", "chars")
     firsts = docs.groupBy("content_hash").agg(F.min("id").alias("first_id"))
     status = classifications(spark, sf_dir).select(F.col("doc_id").alias("id"), "status")
     joined = docs.join(firsts, "content_hash").join(status, "id", "left")

@@ -46,7 +46,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "a08_article_text": articles, "a13_card_links": card_links, "a05_feed_items": feed, "a06_sitemap_urls": sitemap, "a14_json_listing": listings,
-    "j01_stream_ingest": streams.ingested, "j03_stream_windows": streams.counted, "j06_stream_alert_once": streams.alerted,
+    "j01_stream_ingest": streams.ingested, "j03_stream_windows": streams.counted, "j06_stream_alert_once": streams.alerted, "j05_review_states": streams.decided,
 }
 
 
@@ -72,5 +72,6 @@ ORACLE_SQL = {
     "a14_json_listing": with_tables("docs", "SELECT id, 'https://api.example/' || id AS url FROM docs WHERE trim(title, ' ') <> ''"),
     "j01_stream_ingest": with_tables("docs", "SELECT min(id) AS id, content_hash FROM docs GROUP BY content_hash"),
     "j06_stream_alert_once": "SELECT DISTINCT user_id FROM events WHERE event_type = 'error'",
+    "j05_review_states": "SELECT user_id, CASE arg_min(event_type, (ts, event_id)) WHEN 'purchase' THEN 'APPROVED' ELSE 'REJECTED' END AS state FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id",
     "j03_stream_windows": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events) GROUP BY ALL",
 }

@@ -10,9 +10,18 @@ BOILERPLATE = ("script", "style", "nav", "footer", "header", "aside", "form")
 LEAST_ARTICLE = 400
 
 
+def without_element(html: Column, name: str) -> Column:
+    """Each piece before a closing tag is cut at its first opening tag: linear, also where a page
+    opens many elements and closes none."""
+    cut = lambda piece: F.regexp_replace(piece, rf"(?is)<{name}\b[^>]*>.*$", "")
+    joined = lambda pieces: F.concat_ws(" ", F.array_append(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), cut), F.element_at(pieces, -1)))
+    # the pieces are bound once, else every name would double the expression
+    return F.element_at(F.transform(F.array(F.split(html, f"(?i)</{name}>", -1)), joined), 1)
+
+
 def without_elements(html: Column, names=BOILERPLATE) -> Column:
     for name in names:
-        html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*>.*?</{name}>", " ")
+        html = without_element(html, name)
     return html
 
 

@@ -6,6 +6,7 @@ the same checkpoint it goes on with new files only.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,33 @@ def once_per_key(alerts: DataFrame, key: str, late: str) -> DataFrame:
     return alerts.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark([key])
 
 
+#: What an event does to a claim that waits; all other states are final.
+TRANSITIONS = {"purchase": "APPROVED", "error": "REJECTED"}
+
+
+def review_states(stream: DataFrame) -> DataFrame:
+    """(user_id, state) whenever a waiting claim is decided: one small state per key, kept by Spark.
+
+    The first deciding event in order of time counts; later ones find the claim decided.
+    """
+
+    def advance(key, frames, state):
+        now = state.get[0] if state.exists else "PENDING"
+        before = now
+        events = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        if now == "PENDING":
+            now = next((TRANSITIONS[e] for e in events["event_type"] if e in TRANSITIONS), now)
+        state.update((now,))
+        if now != before:
+            yield pd.DataFrame({"user_id": [key[0]], "state": [now]})
+
+    return stream.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").applyInPandasWithState(advance, "user_id long, state string", "now string", "append", "NoTimeout")
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_the_end(review_states(table_stream(spark, sf_dir, "events")), scratch(spark, "states"))
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "ingest")
     docs = table_stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.regexp_replace(F.trim("text"), r"\s+", " "), 256).alias("content_hash"))
