@@ -149,12 +149,25 @@ def tidy(run):
         for at in [at for at in _HELD if at[0] != stage]:
             del _HELD[at]
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)
 
     return wrapped
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Hand rows to Python in batches of at most so many while an action runs, for wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions_for(df: DataFrame) -> int:
     """Partitions of a shuffle that must follow the data: as many as are read, or the session's default."""
     return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

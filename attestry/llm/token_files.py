@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import count_pieces, default_vocabulary
-from .common import held_in_stage, shared_folder, text_or_empty, tidy, to_batch
-from .runs import RunTable
+from .common import arrow_rows, held_in_stage, shared_folder, text_or_empty, tidy, to_batch
+from .runs import KNOWN_RUNS, RunTable
 
 END_ID = 1
-KNOWN_RUNS = 3 << 18
 TOGETHER_NEW = 1 << 12
 TOGETHER_DOCUMENTS = 256
+#: Rows that are handed back at a time.
+TOGETHER_ROWS = 1024
 SHARD_DOCUMENTS = 1 << 13
 SHARD_BYTES = 1 << 26
 #: Shard number, null flag, doc_id, count, data length.
@@ -151,11 +152,12 @@ def encode_ids(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         encoder = held_in_stage(("library", vocabulary), lambda: RunEncoder(vocabulary))
         last = np.uint32(end_id)
         for batch in batches:
-            rows = []
-            for encoded in encoder.encode_all(text_or_empty(batch)):
-                ids = np.append(encoded, last)
-                rows.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
-            yield to_batch(schema, (batch.column(0), rows))
+            for low in range(0, batch.num_rows, TOGETHER_ROWS):
+                part, rows = batch.slice(low, TOGETHER_ROWS), []
+                for encoded in encoder.encode_all(text_or_empty(part)):
+                    ids = np.append(encoded, last)
+                    rows.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
+                yield to_batch(schema, (part.column(0), rows))
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
@@ -192,7 +194,8 @@ def id_ranks(staged: DataFrame) -> DataFrame:
 def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID, shard_documents: int = SHARD_DOCUMENTS) -> None:
     """Encode all documents and write ranks, shards and manifest into ``folder``."""
     spark = documents.sparkSession
-    encode_ids(documents, vocabulary or default_vocabulary(), end_id).write.parquet(join(folder, "staged"))
+    with arrow_rows(spark, TOGETHER_ROWS):
+        encode_ids(documents, vocabulary or default_vocabulary(), end_id).write.parquet(join(folder, "staged"))
     staged = spark.read.schema("doc_id long, ids binary").parquet(join(folder, "staged"))
     ranks = id_ranks(staged)
     ranks.coalesce(1).write.parquet(join(folder, "ranks"))
@@ -205,18 +208,17 @@ def write(documents: DataFrame, folder: str, vocabulary: str | None = None, end_
 
         shard = TaskContext.get().partitionId()
         for batch in batches:
-            rows = []
             for low in range(0, batch.num_rows, TOGETHER_DOCUMENTS):
                 part = batch.slice(low, TOGETHER_DOCUMENTS)
                 ranks = [rank_of[stage_ids(cell)] for cell in part.column(1)]
-                for doc_id, own, (control, data) in zip(part.column(0).to_pylist(), ranks, pack_all(ranks), strict=True):
-                    rows.append(frame(shard, doc_id, len(own), control, data))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
+                rows = [frame(shard, doc_id, len(own), control, data) for doc_id, own, (control, data) in zip(part.column(0).to_pylist(), ranks, pack_all(ranks), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     many, size = staged.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
     shards = max(1, -(-many // shard_documents), -(-size // SHARD_BYTES))
     ordered = staged.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(tidy(frames), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", chr(MARK)).text(join(folder, "shards"))
+    with arrow_rows(spark, TOGETHER_ROWS):
+        ordered.mapInArrow(tidy(frames), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", chr(MARK)).text(join(folder, "shards"))
     write_manifest(spark, folder)
 
 
