@@ -54,6 +54,8 @@ REGION_TEXTS = 256
 PIVOTS, MOST_PIVOTS, PIVOT_KEYS = 16, 1 << 10, 1 << 20
 #: Sets, and shingles of sets, that one task compares with a region's pivots at a time.
 PART_ROWS, PART_KEYS = 1 << 11, 1 << 20
+#: Tables of at most so many regions are broadcast.
+BROADCAST_REGIONS = 1 << 16
 #: Greatest distance of a link, and of a set from the centre of its Voronoi region.
 RADIUS = 1 - SIMILAR_PERCENT / 100
 BALL = 2 * RADIUS
@@ -443,7 +445,7 @@ def voronoi_round(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame
     wanted = F.greatest(F.lit(1.0), F.least(F.lit(float(min(PIVOTS << (2 * number), MOST_PIVOTS))), PIVOT_KEYS * F.col("rows") / F.col("keys")))
     parts = F.ceil(F.greatest(F.col("rows") / PART_ROWS, F.col("keys") / PART_KEYS)).cast("int")
     sizes = stored(sizes.select("region", "main", "rows", by_home.alias("by_home"), wanted.alias("wanted"), F.when(by_home, F.col("homes")).otherwise(F.col("rows") - F.col("most")).alias("open"), parts.alias("parts")), "region-sizes")
-    held = members.join(sizes, "region")
+    held = members.join(named_regions(sizes), "region")
     chance = F.pmod(F.xxhash64("sig", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     open_here = F.when(F.col("by_home"), F.col("home")).otherwise(F.col("group") != F.col("main"))
     drawn = stored(held.where(open_here & (chance * F.col("open") < F.col("wanted"))).select("region", "sig", "n", "shared", "group", "parts"), "pivots")
@@ -469,16 +471,22 @@ def links(documents: DataFrame, sets: DataFrame, hot: int = HOT, chunk_shingles:
     found, number = None, 0
     while True:
         members = stored(members, "members")
-        sizes = members.groupBy("region").agg(F.count("*").alias("many"))
-        small = stored(small_region_links(members.join(sizes.where(F.col("many") <= region_texts), "region")), "small-links")
+        large = stored(members.groupBy("region").agg(F.count("*").alias("many")).where(F.col("many") > region_texts).select("region"), "large-regions")
+        marked = named_regions(large)
+        small = stored(small_region_links(members.join(marked, "region", "left_anti")), "small-links")
         found = small if found is None else found.unionAll(small)
-        large = stored(members.join(sizes.where(F.col("many") > region_texts), "region").drop("many"), "large-regions")
         if large.isEmpty():
             return found
-        met, members = voronoi_round(large, number)
+        met, members = voronoi_round(members.join(marked, "region", "left_semi"), number)
         found, number = found.unionAll(met), number + 1
 
 
+def named_regions(rows: DataFrame) -> DataFrame:
+    """A stored table with a row per large region, sent to all tasks where it is small, so that a
+    region's sets need not meet in one task to be told apart."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_REGIONS else rows
+
+
 def joined(documents: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     sets = stored(document_sets(documents), "document-sets")
