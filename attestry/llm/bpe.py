@@ -5,9 +5,11 @@ word's slot in an id table.  The compiled arrays are one file that every Python
 memory-maps.  Words that are not in the lexicon are merged exactly, by rank, so the ids
 equal those of the tokenizers library for any text.
 
-Defined cases: a null or empty text has no ids and decodes to the empty string; repeated
-rows each give a row; an empty table gives an empty result; other columns of the input are
-ignored.
+Defined cases: a null or empty text has no ids and decodes to the empty string; a very long
+text, or one very long run without spaces, is merged whole in n log n steps; of pairs of equal
+rank the leftmost is merged first; of equally frequent words the smaller is in the lexicon;
+repeated rows each give a row; an empty table gives an empty result; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations

@@ -7,9 +7,11 @@ layer are trained by plain numpy stochastic gradient descent on a bounded sample
 rows.  Since the layer is linear in the vectors, a trained model scores a word by one
 number, and scoring a text is a mean of remembered numbers.
 
-Defined cases: a null or empty text scores what the layer's bias gives; without labels every
-text scores 0.5; a null label or id trains nothing; repeated rows each give a row; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text scores what the layer's bias gives; a very long text, or
+one very long word, is scored whole; without labels every text scores 0.5, and with labels of
+one kind the score of a bias of plus or minus 4; a null label or id trains nothing; of two
+labels of one document the larger counts; equal texts score equally; repeated rows each give a
+row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,9 +5,12 @@ rows by information gain, pruned on the last third, and collected in order until
 is precise enough.  The list becomes one Spark conditional expression over the statistics,
 so applying it needs no Python.
 
-Defined cases: a null or empty text has zero in every statistic and fails the base rule; a
-null label or id trains nothing; without labels the list is empty and keeps whatever passes
-the base rule; repeated rows each give a row; an empty table gives an empty result.
+Defined cases: a null or empty text has zero in every statistic and fails the base rule; a very
+long text is counted whole; a null label or id trains nothing; of two labels of one document
+the larger counts; without labels the list is empty and keeps whatever passes the base rule;
+of conditions that gain equally the first feature's lowest cut is taken; a value at a threshold
+is not above it; repeated rows each give a row; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ import pytest
 
 from attestry.llm import bpe, components, decontaminate, jaccard_join, line_dedup, lm_score, quality_model, quality_rules, token_files, toxicity, warc
 
-from attestry.llm.common import Memo, shared_folder
+from pyspark.sql import functions as F
+
+from attestry.llm.common import Memo, bounded_labelled_sample, shared_folder
 from attestry.llm.hashing import Hasher
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -500,6 +502,73 @@ def test_models_hold_on_rows_they_did_not_see(spark):
     assert sum((r["score"] >= 0.5) == (truth[r["doc_id"]] == 0) for r in good) >= 0.8 * len(good)
 
 
+CLASHING = ["__lines", "n_lines", "__gone", "__kept", "__line_dedup_key", "text_id", "ids", "score", "sig", "region", "word", "row", "seed", "known", "y", "words", "held_out", "payload"]
+
+
+def test_columns_of_clashing_names_do_no_harm(spark, odd, labels):
+    """Every operator with extra columns that are named like its own."""
+    def plain(df):
+        return sorted(map(str, df.collect()))
+
+    wide = odd
+    for name in CLASHING:
+        wide = wide.withColumn(name, F.lit("clash"))
+    marks = labels.withColumn("y", F.lit("clash")).withColumn("text", F.lit("clash"))
+    items = spark.createDataFrame([(1, "same words stand here twice")], "item_id long, text string")
+    runs = {
+        "op2": lambda d, m: toxicity.scored(d, m), "op3": lambda d, m: decontaminate.leaks(d, items.withColumn("text_id", F.lit("c"))), "op4": lambda d, m: lm_score.scored(d), "op5": lambda d, m: jaccard_join.joined(d),
+        "op6": lambda d, m: token_files.written_and_read(d), "op7": lambda d, m: quality_model.scored(d, m), "op9": lambda d, m: bpe.round_trip_digests(d), "op10": lambda d, m: quality_rules.rated(d, m),
+    }
+    for name, run in runs.items():
+        assert plain(run(wide, marks)) == plain(run(odd, labels)), name
+    cut = line_dedup.deduplicate(wide)
+    assert set(cut.columns) == {*wide.columns, "n_removed"}
+    for row in cut.collect():
+        assert all(row[name] == "clash" for name in CLASHING if name != "n_lines") and row["n_lines"] != "clash"
+
+
+def test_two_labels_of_one_document_count_as_the_larger(spark):
+    documents = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    for value, expected in ((1, [(1, "a", 1), (3, None, 1)]), (0, [(2, "c", 0)]), (None, [(1, "a", 1), (2, "c", 0), (3, None, 1)])):
+        assert sorted(map(tuple, bounded_labelled_sample(documents, marks, "toxic", 9, only=value).collect())) == expected
+
+
+def test_kept_equals_the_rules_applied_by_hand(spark):
+    chance = random.Random(4)
+    texts = [(d, " ".join(chance.choice(["alpha", "be#ta", "GAMMA", "d9", "e!"]) + str(d * 50 + k) for k in range(chance.randint(4, 40)))) for d in range(80)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    rules = [(quality_rules.Condition("symbol_share", True, 0.03), quality_rules.Condition("upper_share", False, 0.2)), (quality_rules.Condition("words", False, 12.0),)]
+    for row in quality_rules.apply(documents, rules).collect():
+        words = dict(texts)[row["doc_id"]].split()
+        chars, whole = sum(map(len, words)), " ".join(words)
+        first = whole.count("#") / chars > 0.03 and sum(c.isupper() for c in whole) / chars <= 0.2
+        assert row["base_failed"] == (len(words) < 10) and row["kept"] == (not row["base_failed"] and not first and len(words) > 12)
+
+
+def test_scores_equal_a_loop_over_one_text_at_a_time(spark):
+    """What the models give for many texts at once is what their formula gives for each alone."""
+    rows = toy(60)
+    documents = spark.createDataFrame([*((d, t) for d, t, _ in rows), (900, None), (901, "x" * 5000 + " stone")], "doc_id long, text string")
+    texts = {**{d: t for d, t, _ in rows}, 900: "", 901: "x" * 5000 + " stone"}
+    model = quality_model.train([t for _, t, _ in rows], np.array([1 - y for _, _, y in rows]), epochs=2)
+    for row in quality_model.score(documents, model).collect():
+        words = texts[row["doc_id"]].split()
+        again = [quality_model.AGAIN] * sum(a == b for a, b in itertools.pairwise(words))
+        scores = [float(model.word_scores([w])[0]) for w in words + again]
+        mean = sum(scores) / len(scores) if scores else 0.0
+        assert abs(row["score"] - 1 / (1 + math.exp(-(model.bias + mean)))) < 1e-5
+    net = toxicity.train([t for _, t, _ in rows], np.array([y for _, _, y in rows]), epochs=2)
+    for row in toxicity.score(documents, net).collect():
+        words = toxicity.words_of(texts[row["doc_id"]])
+        worst = -np.inf
+        for start in toxicity.window_starts(len(words)):
+            part = words[start : start + toxicity.WINDOW]
+            x = net.network.inputs(toxicity.WordFeatures.of(part)) if part else np.zeros((0, 2 * toxicity.VECTOR), np.float32)
+            worst = max(worst, float(net.document_logits(np.ascontiguousarray(x, np.float32), [len(part)])[0]))
+        assert abs(row["score"] - 1 / (1 + math.exp(-worst))) < 1e-4
+
+
 def test_models_on_odd_tables(odd, empty, labels):
     for module in (toxicity, quality_model):
         for marks in (labels, labels.where("false")):

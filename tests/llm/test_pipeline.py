@@ -51,6 +51,26 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert 502 not in found and 500 not in found and found == expected
 
 
+def test_learnt_rules_act_and_odd_rows_pass(spark, tmp_path):
+    """Enough labels for a learnt list: what it rejects goes; nulls, repeated rows and a clashing column do no harm."""
+    rows = []
+    for d in range(120):
+        bad = d % 3 == 0
+        words = [f"w{d}x{k}" + ("#$%" if bad and k % 2 else "") for k in range(30)]
+        rows.append((d, " ".join(words), "en", "s", 1, "clash"))
+    rows += [(None, " ".join(f"none{k}" for k in range(20)), None, None, None, "c"), (None, None, "en", "s", 0, "c"), (200, "", "en", "s", 0, "c"), *[(201, " ".join(f"twice{k}" for k in range(20)), "en", "s", 1, "c")] * 2]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, SHAPE + ", __kept string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(d, int(d % 3 > 0), 0) for d in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.rules_stage(spark, docs, folder)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert {r["doc_id"] for r in kept.collect()} == {None, 201, *(d for d in range(120) if d % 3)}
+    found = sorted((r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()), key=str)
+    assert found == sorted([None, None, 201, 201, *(d for d in range(120) if d % 3)], key=str)
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     save(spark, f"file://{tmp_path}", [])
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
