@@ -1,8 +1,13 @@
 """The corpus pipeline: stages over documents, each written and read again by the runner.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return
-the columns of documents; the last returns the token digests of what is left.  Defined
-cases are those of the operators; an empty table passes through every stage.
+the columns of documents; the last returns the token digests of what is left.
+
+Defined cases: a null or empty text fails the base rule and goes; a doc_id names one document,
+so rows that share an id, or have none, are judged together: they stay if one of them passes
+the rules, go if one of them leaks, and stay or go as one in the near-duplicate stage; very
+long texts are judged whole; other columns than those of documents
+are dropped, whatever their names; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def only_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose id is in ``kept``; documents without an id are judged too."""
     ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +49,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
