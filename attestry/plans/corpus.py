@@ -36,16 +36,20 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each document has come, by the first state that holds."""
-    have = facts(spark, sf_dir).select(F.col("doc_id").alias("id")).distinct().withColumn("facts", F.lit(True))
-    said = claims(spark, sf_dir).groupBy(F.col("doc_id").alias("id")).agg(F.bool_or(F.col("review_status").isin(*APPROVED)).alias("approved"))
+    """How far each document has come: the first of ten states that holds."""
+    n_facts = facts(spark, sf_dir).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_facts"))
+    v = latest(verifications(spark, sf_dir), ["claim_id"], ["created", "t1", "t2", "t3"], ["verdict"])
+    said = claims(spark, sf_dir).join(v, "claim_id", "left").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_claims"), F.count_if(F.col("verdict") == "ENTAILED").alias("n_entailed"))
     status = classifications(spark, sf_dir).select(F.col("doc_id").alias("id"), "status")
-    d = documents(spark, sf_dir).select("id", "parse_status", "full_text").join(status, "id", "left").join(have, "id", "left").join(said, "id", "left")
+    d = documents(spark, sf_dir).select("id", "parse_status", "content_hash")
+    firsts = d.groupBy("content_hash").agg(F.min("id").alias("first_id"))
+    j = d.join(firsts, "content_hash").join(status, "id", "left").join(n_facts, "id", "left").join(said, "id", "left")
     state = (
-        F.when(F.col("parse_status") != "OK", "PARSE_FAILED").when(~F.col("full_text"), "TITLE_ONLY").when(F.col("status").isNull(), "UNCLASSIFIED").when(F.col("status") == "OUT_OF_SCOPE", "OUT_OF_SCOPE")
-        .when(F.col("status") == "NO_LABEL_REVIEW", "LABEL_REVIEW").when(F.col("facts").isNull(), "NO_FACTS").when(F.col("approved").isNull(), "NO_CLAIMS").when(F.col("approved"), "PUBLISHED").otherwise("IN_REVIEW")
+        F.when(F.col("parse_status") != "OK", "IMPORT_FAILED").when(F.col("id") != F.col("first_id"), "DUPLICATE").when(F.col("status").isNull(), "WAITING_FOR_CLASSIFICATION").when(F.col("status") == "OUT_OF_SCOPE", "OUT_OF_SCOPE")
+        .when(F.col("status") != "CONFIRMED", "HELD_FOR_REVIEW").when(F.col("n_facts").isNull(), "WAITING_FOR_EXTRACTION").when(F.col("n_claims").isNull(), "EVIDENCE_EXTRACTED").when(F.col("n_entailed") == 0, "WAITING_FOR_VERIFICATION")
+        .when(F.col("n_entailed") < F.col("n_claims"), "PARTIALLY_VERIFIED").otherwise("REPORT_ELIGIBLE")
     )
-    return d.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +226,10 @@ ORACLE_SQL = {
     "d23_corpus_explorer": with_tables("facts claims latest", """SELECT d.id, source_code, chars, coalesce(status, 'NONE') AS status, coalesce(n_facts, 0) AS n_facts, coalesce(n_claims, 0) AS n_claims, coalesce(n_entailed, 0) AS n_entailed FROM docs d LEFT JOIN cls ON cls.doc_id = d.id
       LEFT JOIN (SELECT doc_id, count(*) AS n_facts FROM facts GROUP BY doc_id) f ON f.doc_id = d.id LEFT JOIN (SELECT doc_id, count(*) AS n_claims, count(*) FILTER (verdict = 'ENTAILED') AS n_entailed FROM claims LEFT JOIN latest USING (claim_id) GROUP BY doc_id) c ON c.doc_id = d.id"""),
     "f26_corpus_summary": with_tables("docs", "SELECT count(*) AS docs, count(DISTINCT content_hash) AS contents, count(*) FILTER (full_text) AS full, count(*) FILTER (published_at IS NULL) AS undated, count(*) FILTER (parse_status <> 'OK') AS failed, CAST(sum(chars) AS BIGINT) AS chars, count(DISTINCT source_code) AS sources FROM docs"),
-    "m25_lifecycle": with_tables("facts claims", f"""SELECT state, count(*) AS n FROM (SELECT CASE WHEN parse_status <> 'OK' THEN 'PARSE_FAILED' WHEN NOT full_text THEN 'TITLE_ONLY' WHEN status IS NULL THEN 'UNCLASSIFIED' WHEN status = 'OUT_OF_SCOPE' THEN 'OUT_OF_SCOPE' WHEN status = 'NO_LABEL_REVIEW' THEN 'LABEL_REVIEW'
-      WHEN id NOT IN (SELECT doc_id FROM facts) THEN 'NO_FACTS' WHEN ok IS NULL THEN 'NO_CLAIMS' WHEN ok THEN 'PUBLISHED' ELSE 'IN_REVIEW' END AS state FROM docs LEFT JOIN cls ON cls.doc_id = id LEFT JOIN (SELECT doc_id, bool_or(review_status IN {_OK}) AS ok FROM claims GROUP BY doc_id) c ON c.doc_id = id) GROUP BY state"""),
+    "m25_lifecycle": with_tables("facts claims latest", """SELECT CASE WHEN parse_status <> 'OK' THEN 'IMPORT_FAILED' WHEN id <> first_id THEN 'DUPLICATE' WHEN status IS NULL THEN 'WAITING_FOR_CLASSIFICATION' WHEN status = 'OUT_OF_SCOPE' THEN 'OUT_OF_SCOPE' WHEN status <> 'CONFIRMED' THEN 'HELD_FOR_REVIEW'
+      WHEN nf IS NULL THEN 'WAITING_FOR_EXTRACTION' WHEN nc IS NULL THEN 'EVIDENCE_EXTRACTED' WHEN ne = 0 THEN 'WAITING_FOR_VERIFICATION' WHEN ne < nc THEN 'PARTIALLY_VERIFIED' ELSE 'REPORT_ELIGIBLE' END AS state, count(*) AS n
+      FROM (SELECT id, parse_status, min(id) OVER (PARTITION BY content_hash) AS first_id FROM docs) d LEFT JOIN cls c ON c.doc_id = d.id LEFT JOIN (SELECT doc_id, count(*) AS nf FROM facts GROUP BY doc_id) f ON f.doc_id = d.id
+      LEFT JOIN (SELECT doc_id, count(*) AS nc, count(*) FILTER (verdict = 'ENTAILED') AS ne FROM claims LEFT JOIN latest USING (claim_id) GROUP BY doc_id) q ON q.doc_id = d.id GROUP BY ALL"""),
     "m23_checkpoint": with_tables("docs cls claims", f"""SELECT stage, n, k, round(coalesce(k / nullif(n, 0), 0), 6) AS rate, CASE WHEN n = 0 THEN 'WAITING' WHEN k / n >= 0.9 THEN 'PASS' WHEN k / n >= 0.5 THEN 'WARN' ELSE 'STOP' END AS decision FROM (
       SELECT 'INGEST' AS stage, count(*) AS n, count(*) FILTER (parse_status = 'OK') AS k FROM docs UNION ALL SELECT 'CLASSIFY', count(*), count(*) FILTER (status = 'CONFIRMED') FROM cls UNION ALL SELECT 'REVIEW', count(*), count(*) FILTER (review_status IN {_OK}) FROM claims)"""),
     "b02_upgrade_in_place": with_tables("docs", """SELECT url, id, chars, CASE WHEN id % 4 <> 1 THEN published_at END AS published_at, id % 4 = 1 AS added FROM docs"""),

@@ -10,6 +10,7 @@ from ..domains import APPROVED, AS_OF, CATEGORIES, GATES, ZONE
 from ..functions import rules, text
 from ..operators.relational import first, latest, union_by_precedence
 from ..sources import web
+from ..storage import scratch
 
 LATEST = ["created", "t1", "t2", "t3"]
 
@@ -804,6 +805,92 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("code", "authority", F.coalesce("market", F.lit("UNKNOWN")).alias("market"), rules.temporal_role().alias("role"), F.coalesce(named[F.col("fact_type")], F.lit("OTHER")).alias("topic"))
 
 
+def label_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels that the documents of a source have together, and how many more that is than any one has."""
+    d = documents(spark, sf_dir).select(F.col("id").alias("doc_id"), "source_code")
+    g = classifications(spark, sf_dir).join(d, "doc_id").groupBy("source_code").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("u"), F.max(F.size("labels")).alias("most"))
+    return g.select("source_code", F.array_join("u", ",").alias("labels"), (F.size("u") - F.col("most")).alias("more"))
+
+
+def shared_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's labels meet those that a department reads."""
+    sales = F.array(*map(F.lit, ("PRODUCT_LAUNCH", "FEE_BENEFIT_COMMISSION_CHANGE", "SALES_DATA", "DISTRIBUTION_CHANNEL")))
+    return classifications(spark, sf_dir).select("doc_id", F.size(F.array_intersect("labels", sales)).alias("common"), (~F.arrays_overlap("labels", sales)).alias("disjoint"))
+
+
+def within_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = F.array(F.concat(F.lit("F-"), F.col("claim_id") % 4), F.concat(F.lit("F-"), F.col("claim_id") % 6))
+    allowed = F.array(*(F.lit(f"F-{k}") for k in range(4)))
+    return claims(spark, sf_dir).groupBy((F.size(F.array_except(cited, allowed)) == 0).alias("within")).agg(F.count("*").alias("n"))
+
+
+def closed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies whose fields are exactly those that were asked for."""
+    i = F.col("claim_id")
+    reply = F.when(i % 3 == 0, '{"what": 1, "why": 2}').when(i % 3 == 1, '{"why": 1, "what": null}').otherwise('{"what": 1, "why": 2, "more": 3}')
+    wanted = F.array(F.lit("what"), F.lit("why"))
+    return claims(spark, sf_dir).groupBy((F.array_sort(F.json_object_keys(reply)) == wanted).alias("closed")).agg(F.count("*").alias("n"))
+
+
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of a user's events, once each in the order in which they came first."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_type"))).alias("x"))
+    return g.select("user_id", F.array_join(F.transform("x", lambda r: r["event_type"]), ",").alias("kinds"))
+
+
+def wide_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import grounding
+
+    said = F.concat(F.lit("on 2 Sept 2026, May "), F.col("pos") % 31 + 1, F.lit("th, 2026 or "), F.col("pos") % 28 + 1, F.lit(".6.2026"))
+    return facts(spark, sf_dir).select("code", F.array_join(grounding.wide_dates(said).cast("array<string>"), ",").alias("dates"))
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.concat_ws("\n", "url", "html"), 256).alias("sha"))
+
+
+NAMES = {"REGULATOR": "Regulator", "STATUTORY_DISCLOSURE": "Statutory disclosure", "OFFICIAL_COMPANY": "Company", "INDUSTRY_BODY": "Industry body", "ESTABLISHED_MEDIA": "Media"}
+
+
+def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with the words that a report shows for their authority, role and market."""
+    names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    market = F.create_map(*(F.lit(x) for pair in PLACES for x in pair))
+    return sources(spark, sf_dir).select("code", F.coalesce(names[F.col("authority")], F.lit("Other")).alias("authority"), F.when(F.col("primary_source"), "Primary").otherwise("Secondary").alias("role"), F.coalesce(market[F.col("market")], F.lit("Global / regional")).alias("market"))
+
+
+def fact_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts(spark, sf_dir).where("published is not null").groupBy(rules.age_days(F.col("published"), AS_OF).alias("age")).agg(F.count("*").alias("n"))
+
+
+def actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by temporal status, and whether an action may follow from them."""
+    s = facts(spark, sf_dir).select(rules.temporal_status(AS_OF).alias("status"))
+    return s.groupBy("status", (~F.col("status").isin("EXPIRED", "INVALID_DATE_RANGE")).alias("actionable")).agg(F.count("*").alias("n"))
+
+
+def cited_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's citations: of facts that show the same label the first stays."""
+    f = facts(spark, sf_dir).select("source_code", F.concat_ws(" ", "source_code", F.coalesce(F.date_format("published", "yyyy-MM"), F.lit("undated"))).alias("label"), "code")
+    return f.groupBy("source_code", "label").agg(F.min("code").alias("code"))
+
+
+def rebuilt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of an old shape is dropped and made again: rows of the new shape only."""
+    path = scratch(spark, "rebuilt")
+    sources(spark, sf_dir).select("code", F.lit(1).alias("tier")).write.parquet(path)
+    sources(spark, sf_dir).select("code", "authority").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing rules of an empty table: the fixed ones; a table with rows stays as it is."""
+    empty = routing(spark).where("false")
+    kept = empty.unionByName(routing(spark)) if empty.isEmpty() else empty
+    return kept.select("category", "department")
+
+
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that a person must look at, beside the whole log of decisions."""
     log = verifications(spark, sf_dir).select("claim_id", F.when(F.col("verdict") == "NEUTRAL", "NEEDS_REVIEW").otherwise(F.col("verdict")).alias("v"))
@@ -827,5 +914,6 @@ QUERIES = {
     "k45_story_keys": story_keys, "k48_slugs": slugs, "k49_split_codes": split_codes, "k50_sentences": sentences, "k51_numbers_within": numbers_within, "k54_routed_fields": routed_fields, "k55_temporal_roles": temporal_roles,
     "k56_fallback_topics": fallback_topics, "l01_broken_domains": broken_domains, "l04_filled_metadata": filled_metadata, "l05_upserted_sources": upserted_sources, "l06_prompts": prompts, "l07_broken_keys": broken_keys, "m02_winners": winners,
     "m10_confusable": confusable, "m15_narrative_inputs": narrative_inputs, "m19_owned_actions": owned_actions, "m21_themes": themes, "m22_news_topics": news_topics, "m26_enriched": enriched, "m28_brief_modes": brief_modes, "m29_page_plan": page_plan,
-    "m30_provider_safety": provider_safety, "m32_golden_scores": golden_scores, "m35_unique_citations": unique_citations,
+    "i04_label_unions": label_unions, "i05_shared_labels": shared_labels, "i07_within_allowed": within_allowed, "i08_closed_fields": closed_fields, "i10_first_seen": first_seen, "k07_wide_dates": wide_dates, "k15_hashes": hashes,
+    "k37_shown_labels": shown_labels, "k41_fact_ages": fact_ages, "k44_actionable": actionable, "m34_cited_once": cited_once, "l02_rebuilt_table": rebuilt_table, "a23_seeded_rules": seeded, "m30_provider_safety": provider_safety, "m32_golden_scores": golden_scores, "m35_unique_citations": unique_citations,
 }

@@ -156,4 +156,18 @@ ORACLE_SQL = {
     "m30_provider_safety": with_tables("claims", "SELECT m[CAST(claim_id % 4 + 1 AS INT)] AS writer, m[CAST((claim_id // 5) % 4 + 1 AS INT)] AS verifier, claim_id % 4 <> 0 AND (claim_id // 5) % 4 <> 0 AND claim_id % 4 <> (claim_id // 5) % 4 AS allowed, count(*) AS n FROM claims, (SELECT ['stub', 'claude-x', 'gpt-y', 'deepseek-z'] AS m) GROUP BY ALL"),
     "m32_golden_scores": with_tables("claims", "SELECT claim_id, s AS score, CASE WHEN s >= 75 THEN 'PUBLISH' WHEN s >= 55 THEN 'REVIEW' WHEN s >= 35 THEN 'WATCH' ELSE 'DROP' END AS decision FROM (SELECT claim_id, CAST(claim_id % 11 * 10 * 0.5 + claim_id % 7 * 15 * 0.25 + claim_id % 5 * 25 * 0.25 AS DOUBLE) AS s FROM claims)"),
     "m35_unique_citations": with_tables("claims", """SELECT claim_id, array_to_string(list_filter(CASE WHEN claim_id % 4 = claim_id % 3 THEN ['F-' || claim_id % 4] ELSE ['F-' || claim_id % 4, 'F-' || claim_id % 3] END, lambda c: c <> 'F-3'), ',') AS codes FROM claims"""),
+    "i04_label_unions": with_tables("docs cls", "SELECT source_code, string_agg(DISTINCT l, ',' ORDER BY l) AS labels, CAST(count(DISTINCT l) - max(n) AS INT) AS more FROM (SELECT source_code, len(labels) AS n, unnest(labels) AS l FROM cls JOIN docs ON id = doc_id) GROUP BY source_code"),
+    "i05_shared_labels": with_tables("cls", "SELECT doc_id, CAST(len(list_filter(labels, lambda x: x IN ('PRODUCT_LAUNCH', 'FEE_BENEFIT_COMMISSION_CHANGE', 'SALES_DATA', 'DISTRIBUTION_CHANNEL'))) AS INT) AS common, len(list_filter(labels, lambda x: x IN ('PRODUCT_LAUNCH', 'FEE_BENEFIT_COMMISSION_CHANGE', 'SALES_DATA', 'DISTRIBUTION_CHANNEL'))) = 0 AS disjoint FROM cls"),
+    "i07_within_allowed": with_tables("claims", "SELECT claim_id % 6 < 4 AS within, count(*) AS n FROM claims GROUP BY ALL"),
+    "i08_closed_fields": with_tables("claims", "SELECT claim_id % 3 < 2 AS closed, count(*) AS n FROM claims GROUP BY ALL"),
+    "i10_first_seen": "SELECT user_id, string_agg(event_type, ',' ORDER BY t, e) AS kinds FROM (SELECT user_id, event_type, min(ts) AS t, arg_min(event_id, (ts, event_id)) AS e FROM events GROUP BY ALL) GROUP BY user_id",
+    "k07_wide_dates": with_tables("facts", "SELECT code, strftime(make_date(2026, 5, CAST(pos % 31 + 1 AS INT)), '%Y-%m-%d') || ',' || strftime(make_date(2026, 6, CAST(pos % 28 + 1 AS INT)), '%Y-%m-%d') || ',2026-09-02' AS dates FROM facts"),
+    "k15_hashes": "SELECT page_id, sha256(concat_ws(chr(10), url, html)) AS sha FROM pages",
+    "k37_shown_labels": with_tables("src", """SELECT code, CASE authority WHEN 'REGULATOR' THEN 'Regulator' WHEN 'STATUTORY_DISCLOSURE' THEN 'Statutory disclosure' WHEN 'OFFICIAL_COMPANY' THEN 'Company' WHEN 'INDUSTRY_BODY' THEN 'Industry body' WHEN 'ESTABLISHED_MEDIA' THEN 'Media' ELSE 'Other' END AS authority,
+      CASE WHEN primary_source THEN 'Primary' ELSE 'Secondary' END AS role, CASE market WHEN 'VN' THEN 'Vietnam' WHEN 'SG' THEN 'Singapore' WHEN 'GLOBAL' THEN 'Global' ELSE 'Global / regional' END AS market FROM src"""),
+    "k41_fact_ages": with_tables("facts", f"SELECT CAST(greatest({_DAY} - published, 0) AS INT) AS age, count(*) AS n FROM facts WHERE published IS NOT NULL GROUP BY ALL"),
+    "k44_actionable": with_tables("facts", f"SELECT status, status NOT IN ('EXPIRED', 'INVALID_DATE_RANGE') AS actionable, count(*) AS n FROM (SELECT CASE WHEN expiry < effective THEN 'INVALID_DATE_RANGE' WHEN expiry < {_DAY} THEN 'EXPIRED' WHEN effective > {_DAY} OR forecast > {_DAY} THEN 'UPCOMING' WHEN coalesce(effective, occurred, expiry) IS NOT NULL THEN 'ACTIVE' ELSE 'UNDATED' END AS status FROM facts) GROUP BY ALL"),
+    "m34_cited_once": with_tables("facts", "SELECT source_code, source_code || ' ' || coalesce(strftime(published, '%Y-%m'), 'undated') AS label, min(code) AS code FROM facts GROUP BY ALL"),
+    "l02_rebuilt_table": with_tables("src", "SELECT code, authority FROM src"),
+    "a23_seeded_rules": with_tables("rules", "SELECT category, department FROM rules"),
 }

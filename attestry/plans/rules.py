@@ -81,6 +81,31 @@ def grounding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("code", grounding.gate(F.col("claim"), F.col("evidence"), F.col("cited"), F.array("code")).alias("status"))
 
 
+VERDICTS = ("ENTAILED", "ENTAILED", "NEUTRAL", "CONTRADICTED")
+
+
+def insight_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both languages of an insight through the grounding gate, then what the verifier said of each."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    i = F.col("doc_id") + F.col("pos")
+    s = facts(spark, sf_dir).select("code", i.alias("i"), F.concat_ws("\n", F.lit(TAILS[0]), F.lit(TAILS[1])).alias("evidence"), pick(CLAIMS, i).alias("vi"), pick(CLAIMS, F.floor(i / 3)).alias("en"))
+    l1 = lambda c: grounding.gate(F.col(c), F.col("evidence"), F.array("code"), F.array("code"))
+    verdicts = F.array(pick(VERDICTS, F.col("i")), pick(VERDICTS, F.floor(F.col("i") / 4)))
+    status = (
+        F.when((l1("vi") != "PASS") | (l1("en") != "PASS"), "L1_REJECTED").when(F.array_contains(verdicts, "NEUTRAL"), "VERIFIER_REQUIRED")
+        .when(F.array_contains(verdicts, "CONTRADICTED"), "L2_REJECTED").otherwise("VERIFIED")
+    )
+    return s.select("code", status.alias("status"))
+
+
+def golden_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules say of a golden case: its kind, whether it is publishable, and its band of materiality."""
+    rated = intelligence.materiality(statements(spark, sf_dir), AS_OF)
+    kind = intelligence.event_type(F.col("s"), F.col("fact_type"))
+    band = F.when(F.col("total") >= 75, "HIGH").when(F.col("total") >= 55, "MEDIUM").when(F.col("total") >= 35, "LOW").otherwise("NONE")
+    return rated.groupBy(kind.alias("event_type"), "eligible", band.alias("band")).agg(F.count("*").alias("n"))
+
+
 def dates_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A date that a model gave for each fact, against the dates of its evidence."""
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
@@ -107,7 +132,7 @@ def inferred_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "m06_materiality": materiality, "m07_event_types": event_types, "m08_entity_resolution": entities, "m17_publication_gate": publication, "m18_edition_gate": editions, "c10_noise": noise, "c14_news_policy": news_policy,
-    "m12_grounding_gate": grounding_gate, "k08_date_grounding": dates_in_text, "k34_language_purity": language_purity, "m11_source_inference": inferred_sources,
+    "m12_grounding_gate": grounding_gate, "m20_insight_gate": insight_gate, "m31_golden_predictions": golden_predictions, "k08_date_grounding": dates_in_text, "k34_language_purity": language_purity, "m11_source_inference": inferred_sources,
 }
 
 _S = "lower(concat_ws(' ', trim(headline), trim(span)))"
@@ -184,6 +209,12 @@ ORACLE_SQL = {
       z AS (SELECT *, {_READ.format(_TOKENS.format('evidence'))} AS er, {_TOKENS.format('bare')} AS ct FROM y)
       SELECT code, CASE WHEN i % 23 = 0 THEN 'FAIL_NO_CITATION' WHEN i % 29 = 0 THEN 'FAIL_UNKNOWN_CITATION' WHEN contains(claim, '“Plan A”') AND NOT contains(evidence, 'Plan A') THEN 'FAIL_NAME_NOT_IN_EVIDENCE'
         WHEN len(list_filter(cd, lambda d: NOT list_contains(ed, d))) > 0 THEN 'FAIL_DATE_NOT_IN_EVIDENCE' WHEN len(list_filter(ct, lambda t: NOT list_has_any({_READ.format('[t]')}, er))) > 0 THEN 'FAIL_NUMBER_NOT_IN_EVIDENCE' ELSE 'PASS' END AS status FROM z"""),
+    "m20_insight_gate": with_tables("facts", """SELECT code, CASE WHEN i % 6 IN (3, 4) OR (i // 3) % 6 IN (3, 4) THEN 'L1_REJECTED' WHEN i % 4 = 2 OR (i // 4) % 4 = 2 THEN 'VERIFIER_REQUIRED' WHEN i % 4 = 3 OR (i // 4) % 4 = 3 THEN 'L2_REJECTED' ELSE 'VERIFIED' END AS status FROM (SELECT code, doc_id + pos AS i FROM facts)"""),
+    "m31_golden_predictions": with_tables("said", _MATERIAL.split("SELECT code, CAST(relevance AS INT)")[0] + f""", ev AS (SELECT code, {_EVENT} AS event_type FROM (SELECT *, {T.word_sql('s', T.EVENT_CHANGE)} AS change, {T.word_sql('s', T.EVENT_LAUNCH)} AS launch, {T.word_sql('s', T.EVENT_PRODUCT)} AS product,
+      {T.word_sql('s', T.EVENT_PERFORMANCE)} AS performance FROM (SELECT code, fact_type, s FROM a)))
+      SELECT event_type, suppressed = '' AND whole AND span_chars >= 80 AND status = 'CONFIRMED' AND authority NOT IN ('SOCIAL_OR_BLOG', 'UNKNOWN') AND questions <> '' AND total >= 60 AS eligible,
+        CASE WHEN total >= 75 THEN 'HIGH' WHEN total >= 55 THEN 'MEDIUM' WHEN total >= 35 THEN 'LOW' ELSE 'NONE' END AS band, count(*) AS n
+      FROM (SELECT *, greatest(0, least(100, relevance + impact + timeliness + evidence + penalty)) AS total FROM e) JOIN ev USING (code) GROUP BY ALL"""),
     "k08_date_grounding": with_tables("facts", """SELECT code, CASE WHEN g = '' THEN 'ABSENT' WHEN try_strptime(g, '%Y-%m-%d') IS NULL THEN 'INVALID_FORMAT' WHEN d = g THEN 'GROUNDED' ELSE 'UNGROUNDED' END AS status, d AS dates FROM (SELECT code,
       CASE pos % 6 WHEN 5 THEN '' ELSE '2026-07-0' || (pos % 6 + 1) END AS d, ['2026-07-01', '2026-07-02', '', '2026-07-04', '2026-07-05', 'soon', '2026-07-03'][CAST((doc_id + pos) % 7 + 1 AS INT)] AS g FROM facts)"""),
     "k34_language_purity": with_tables("said", f"""SELECT code, en < 3 AS vietnamese, vi < 3 AND NOT (marked AND vi >= 1) AS english FROM (SELECT code, regexp_matches(t, '[ăâđêôơưĂÂĐÊÔƠƯà-ỹÀ-Ỹ]') AS marked,
