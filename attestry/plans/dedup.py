@@ -106,8 +106,8 @@ ORACLE_SQL = {
     "e13_losers": with_tables("docs src", f"SELECT id, winner AS duplicate_of FROM (SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY authority_score DESC, seen DESC, id) AS winner FROM ({_AUTH})) WHERE id <> winner"),
     "m01_pair_verdicts": with_tables("docs", f"""also r AS (SELECT id, coalesce(published_at, fetched_at) AS seen, list_sort({_TITLE}) AS t, list_sort({_GRAMS}) AS g FROM docs WHERE id IN (SELECT min(id) FROM docs GROUP BY content_hash)),
       f AS (SELECT *, min(id) OVER (PARTITION BY t) AS th, min(id) OVER (PARTITION BY g) AS gh FROM r),
-      p AS (SELECT x.id AS a, y.id AS b, CASE WHEN len(x.t) > 0 AND len(y.t) > 0 AND (x.id = y.th OR (x.id = x.th AND y.id = y.th)) THEN len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) END AS o,
-        CASE WHEN len(x.g) > 0 AND len(y.g) > 0 AND (x.id = y.gh OR (x.id = x.gh AND y.id = y.gh)) THEN len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) END AS c
+      p AS (SELECT x.id AS a, y.id AS b, CASE WHEN len(x.t) > 0 AND len(y.t) > 0 AND (x.id = y.th OR (x.id = x.th AND y.id = y.th)) AND 2 * least(len(x.t), len(y.t)) >= greatest(len(x.t), len(y.t)) THEN len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) END AS o,
+        CASE WHEN len(x.g) > 0 AND len(y.g) > 0 AND (x.id = y.gh OR (x.id = x.gh AND y.id = y.gh)) AND least(len(x.g), len(y.g)) >= 0.92 * greatest(len(x.g), len(y.g)) THEN len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) END AS c
         FROM f x JOIN f y ON x.id < y.id AND abs(epoch(x.seen) - epoch(y.seen)) <= 259200)
       SELECT a, b, CASE WHEN c >= 0.92 THEN 'DUPLICATE_CONTENT' ELSE 'GRAY' END AS verdict, CASE WHEN o >= 0.5 THEN round(o, 6) END AS title_overlap, CASE WHEN c >= 0.92 THEN round(c, 6) END AS content_overlap FROM p WHERE o >= 0.5 OR c >= 0.92"""),
 }

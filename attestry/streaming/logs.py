@@ -14,9 +14,13 @@ from ..storage import scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table's files as a stream, whether the table is one file or a folder of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    source = spark.readStream.schema(table.schema)
+    if any(file.endswith(f"/{name}.parquet") for file in table.inputFiles()):
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return source.parquet(path)
 
 
 def to_the_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
