@@ -151,7 +151,7 @@ _MATERIAL = f"""also a AS (SELECT *, {_S} AS s, lower(trim(headline)) AS t, leng
   d AS (SELECT *, CASE WHEN fee THEN 29 WHEN launch THEN 28 WHEN regulation THEN 27 WHEN distribution THEN 24 WHEN sales THEN 12 WHEN offer THEN 16 ELSE 0 END AS r,
     CASE WHEN regulation THEN 22 WHEN fee THEN 21 WHEN launch THEN 19 WHEN distribution THEN 17 WHEN sales THEN 9 ELSE 0 END AS i FROM c),
   e AS (SELECT code, status, authority, span_chars, whole, CASE WHEN offer AND r > 0 THEN least(30, r + 1) ELSE r END AS relevance,
-    least(25, i + CASE WHEN product IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN company IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN regexp_matches(s, '(^|[^a-z0-9])[0-9][0-9.,]*($|[^a-z0-9])') THEN 2 ELSE 0 END) AS impact,
+    least(25, i + CASE WHEN product IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN company IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN regexp_matches(s, '(^|[^a-z])[0-9]($|[^a-z])') THEN 2 ELSE 0 END) AS impact,
     CASE WHEN age IS NULL THEN 3 WHEN age < 0 THEN 10 WHEN age <= 14 THEN 15 WHEN age <= 30 THEN 12 WHEN age <= 90 THEN 8 WHEN age <= 180 THEN 4 ELSE 1 END AS timeliness,
     least(20, CASE WHEN parse_status = 'OK' THEN 4 ELSE 0 END + CASE WHEN whole THEN 7 WHEN text_chars >= 600 THEN 4 ELSE 0 END + CASE WHEN span_chars >= 160 THEN 6 WHEN span_chars >= 80 THEN 4 WHEN span_chars >= 30 THEN 1 ELSE 0 END
       + CASE WHEN status = 'CONFIRMED' THEN 3 ELSE 0 END + CASE WHEN company IS NOT NULL OR product IS NOT NULL THEN 1 ELSE 0 END) AS evidence,
