@@ -53,14 +53,34 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages with their rate and a decision by thresholds, one row each."""
-    d = documents(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("parse_status") == "OK").alias("k"))
-    c = classifications(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "CONFIRMED").alias("k"))
-    v = claims(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("review_status").isin(*APPROVED)).alias("k"))
-    rows = [part.withColumn("stage", F.lit(s)) for part, s in ((d, "INGEST"), (c, "CLASSIFY"), (v, "REVIEW"))]
-    rate = F.coalesce(F.col("k") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
-    decision = F.when(F.col("n") == 0, "WAITING").when(rate >= 0.9, "PASS").when(rate >= 0.5, "WARN").otherwise("STOP")
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("stage", "n", "k", F.round(rate, 6).alias("rate"), decision.alias("decision"))
+    """Whether each of six stages may be relied on: passed, with a warning, waiting for another, or stopped."""
+    v = latest(verifications(spark, sf_dir), ["claim_id"], ["created", "t1", "t2", "t3"], ["verdict"])
+    usable = F.col("full_text") & (F.col("chars") >= 600) & (F.col("parse_status") == "OK")
+    c = claims(spark, sf_dir).where(~F.col("superseded")).join(v, "claim_id", "left")
+    passed = F.col("gate_status") == "PASS"
+    one = (
+        documents(spark, sf_dir).agg(F.count("*").alias("docs"), F.count_if(usable).alias("usable"))
+        .join(classifications(spark, sf_dir).agg(F.count("*").alias("cls"), F.count_if(F.col("status") == "CONFIRMED").alias("confirmed")))
+        .join(item_log(spark, sf_dir).agg(F.count("*").alias("tries"), F.count_if(F.col("status") == "ERROR").alias("failed")))
+        .join(facts(spark, sf_dir).agg(F.count("*").alias("facts"), F.count_distinct("doc_id").alias("fact_docs"), F.count_if(F.col("published").isNotNull()).alias("complete"), F.count_if(F.col("fact_type") != "OTHER").alias("routed")))
+        .join(c.agg(
+            F.count("*").alias("claims"), F.count_distinct("doc_id").alias("claim_docs"), F.count_if(passed).alias("passed"), F.count_if(passed & F.col("verdict").isNotNull()).alias("checked"),
+            F.count_if(passed & (F.col("verdict") == "VERIFIER_ERROR")).alias("errors"), F.count_if(passed & (F.col("verdict") == "ENTAILED")).alias("entailed"),
+            F.count_if(passed & (F.col("verdict") == "ENTAILED") & F.col("review_status").isin(*APPROVED)).alias("ready"),
+        ))
+    )
+    ratio = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0)
+    none = lambda *names: F.greatest(*(F.col(n) == 0 for n in names)) if len(names) > 1 else F.col(names[0]) == 0
+    decisions = {
+        "ingest": F.when(none("docs", "usable"), "STOP").when(ratio("usable", "docs") < 0.75, "WARN").otherwise("PASS"),
+        "classify": F.when(none("cls"), "WAITING").when((ratio("cls", "usable") < 0.5) | none("confirmed"), "STOP").when(ratio("cls", "usable") < 0.9, "WARN").otherwise("PASS"),
+        "extract": F.when(none("confirmed", "tries"), "WAITING").when(none("facts"), "STOP").when((ratio("failed", "tries") >= 0.5) | none("complete"), "STOP")
+        .when((ratio("fact_docs", "confirmed") < 1) | (ratio("failed", "tries") >= 0.15) | (ratio("complete", "facts") < 0.9) | (ratio("routed", "facts") < 0.9), "WARN").otherwise("PASS"),
+        "interpret": F.when(none("facts", "claims"), "WAITING").when(ratio("claim_docs", "confirmed") < 0.9, "WAITING").when(none("passed"), "STOP").when((ratio("claim_docs", "confirmed") < 1) | (ratio("passed", "claims") < 0.35), "WARN").otherwise("PASS"),
+        "verify": F.when(none("passed", "checked"), "WAITING").when((ratio("checked", "passed") < 0.5) | (ratio("errors", "checked") >= 0.5), "STOP").when((ratio("checked", "passed") < 0.9) | (ratio("errors", "checked") >= 0.1) | none("entailed"), "WARN").otherwise("PASS"),
+        "review": F.when(none("checked", "ready"), "WAITING").otherwise("PASS"),
+    }
+    return one.select(F.explode(F.array(*(F.struct(F.lit(stage).alias("stage"), decision.alias("decision")) for stage, decision in decisions.items()))).alias("r")).select("r.*")
 
 
 def upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +235,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "a01_active_sources": active_sources, "d23_corpus_explorer": explorer, "f26_corpus_summary": summary, "m25_lifecycle": lifecycle, "m23_checkpoint": checkpoint, "b02_upgrade_in_place": upgraded,
     "e08_plan_actions": plan_actions, "e09_compare_and_set": swapped, "e01_supersede_facts": superseded_facts, "e17_refetch_outcomes": refetch_outcomes, "d24_alias_hits": alias_hits, "d26_first_codes": first_codes,
-    "d22_item_history": history, "g07_executive_rounds": executive_rounds, "g15_narrative_picks": narrative_picks, "g13_pagination": pages_of_lines, "m09_attribution_warnings": attribution_warnings,
+    "d22_item_history": history, "g07_executive_rounds": executive_rounds, "g15_narrative_picks": narrative_picks, "g13_pagination": pages_of_lines, "m09_fact_marks": attribution_warnings,
     "m16_downgrade": downgraded, "f35_reference_list": references, "k53_overlap_free": overlap_free, "h07_authority_order": authority_names, "j07_replay_cache": replay_cache, "k42_next_dates": dated_kinds,
     "k03_accent_fold": folded_titles, "f01_conversations": conversations,
 }
@@ -230,8 +250,17 @@ ORACLE_SQL = {
       WHEN nf IS NULL THEN 'WAITING_FOR_EXTRACTION' WHEN nc IS NULL THEN 'EVIDENCE_EXTRACTED' WHEN ne = 0 THEN 'WAITING_FOR_VERIFICATION' WHEN ne < nc THEN 'PARTIALLY_VERIFIED' ELSE 'REPORT_ELIGIBLE' END AS state, count(*) AS n
       FROM (SELECT id, parse_status, min(id) OVER (PARTITION BY content_hash) AS first_id FROM docs) d LEFT JOIN cls c ON c.doc_id = d.id LEFT JOIN (SELECT doc_id, count(*) AS nf FROM facts GROUP BY doc_id) f ON f.doc_id = d.id
       LEFT JOIN (SELECT doc_id, count(*) AS nc, count(*) FILTER (verdict = 'ENTAILED') AS ne FROM claims LEFT JOIN latest USING (claim_id) GROUP BY doc_id) q ON q.doc_id = d.id GROUP BY ALL"""),
-    "m23_checkpoint": with_tables("docs cls claims", f"""SELECT stage, n, k, round(coalesce(k / nullif(n, 0), 0), 6) AS rate, CASE WHEN n = 0 THEN 'WAITING' WHEN k / n >= 0.9 THEN 'PASS' WHEN k / n >= 0.5 THEN 'WARN' ELSE 'STOP' END AS decision FROM (
-      SELECT 'INGEST' AS stage, count(*) AS n, count(*) FILTER (parse_status = 'OK') AS k FROM docs UNION ALL SELECT 'CLASSIFY', count(*), count(*) FILTER (status = 'CONFIRMED') FROM cls UNION ALL SELECT 'REVIEW', count(*), count(*) FILTER (review_status IN {_OK}) FROM claims)"""),
+    "m23_checkpoint": with_tables("facts claims latest items", f"""also c AS (SELECT c.*, verdict FROM claims c LEFT JOIN latest USING (claim_id) WHERE NOT superseded), o AS (SELECT (SELECT count(*) FROM docs) AS docs, (SELECT count(*) FROM docs WHERE full_text AND chars >= 600 AND parse_status = 'OK') AS usable,
+      (SELECT count(*) FROM cls) AS cls, (SELECT count(*) FROM cls WHERE status = 'CONFIRMED') AS confirmed, (SELECT count(*) FROM items) AS tries, (SELECT count(*) FROM items WHERE status = 'ERROR') AS failed, (SELECT count(*) FROM facts) AS facts, (SELECT count(DISTINCT doc_id) FROM facts) AS fact_docs,
+      (SELECT count(published) FROM facts) AS complete, (SELECT count(*) FROM facts WHERE fact_type <> 'OTHER') AS routed, (SELECT count(*) FROM c) AS claims, (SELECT count(DISTINCT doc_id) FROM c) AS claim_docs, (SELECT count(*) FROM c WHERE gate_status = 'PASS') AS passed,
+      (SELECT count(verdict) FROM c WHERE gate_status = 'PASS') AS checked, (SELECT count(*) FROM c WHERE gate_status = 'PASS' AND verdict = 'VERIFIER_ERROR') AS errors, (SELECT count(*) FROM c WHERE gate_status = 'PASS' AND verdict = 'ENTAILED') AS entailed,
+      (SELECT count(*) FROM c WHERE gate_status = 'PASS' AND verdict = 'ENTAILED' AND review_status IN {_OK}) AS ready)
+      SELECT 'ingest' AS stage, CASE WHEN usable = 0 THEN 'STOP' WHEN usable < 0.75 * docs THEN 'WARN' ELSE 'PASS' END AS decision FROM o UNION ALL
+      SELECT 'classify', CASE WHEN cls = 0 THEN 'WAITING' WHEN cls < 0.5 * usable OR confirmed = 0 THEN 'STOP' WHEN cls < 0.9 * usable THEN 'WARN' ELSE 'PASS' END FROM o UNION ALL
+      SELECT 'extract', CASE WHEN confirmed = 0 OR tries = 0 THEN 'WAITING' WHEN facts = 0 OR failed >= 0.5 * tries OR complete = 0 THEN 'STOP' WHEN fact_docs < confirmed OR failed >= 0.15 * tries OR complete < 0.9 * facts OR routed < 0.9 * facts THEN 'WARN' ELSE 'PASS' END FROM o UNION ALL
+      SELECT 'interpret', CASE WHEN facts = 0 OR claims = 0 OR claim_docs < 0.9 * confirmed THEN 'WAITING' WHEN passed = 0 THEN 'STOP' WHEN claim_docs < confirmed OR passed < 0.35 * claims THEN 'WARN' ELSE 'PASS' END FROM o UNION ALL
+      SELECT 'verify', CASE WHEN passed = 0 OR checked = 0 THEN 'WAITING' WHEN checked < 0.5 * passed OR errors >= 0.5 * checked THEN 'STOP' WHEN checked < 0.9 * passed OR errors >= 0.1 * checked OR entailed = 0 THEN 'WARN' ELSE 'PASS' END FROM o UNION ALL
+      SELECT 'review', CASE WHEN checked = 0 OR ready = 0 THEN 'WAITING' ELSE 'PASS' END FROM o"""),
     "b02_upgrade_in_place": with_tables("docs", """SELECT url, id, chars, CASE WHEN id % 4 <> 1 THEN published_at END AS published_at, id % 4 = 1 AS added FROM docs"""),
     "e08_plan_actions": with_tables("docs cls items", """SELECT id, CASE WHEN last = 'ERROR' THEN 'HOLD_FAILED_VERSION' WHEN c.doc_id IS NULL THEN 'CLASSIFY_NEW' WHEN c.doc_id % 3 <> 2 THEN 'RECLASSIFY_STALE' ELSE 'SKIP_CURRENT' END AS action FROM docs LEFT JOIN cls c ON c.doc_id = id
       LEFT JOIN (SELECT doc_id, status AS last FROM items WHERE stage = 'error' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY created DESC, item_id DESC) = 1) a ON a.doc_id = id"""),
@@ -247,7 +276,7 @@ ORACLE_SQL = {
     "g13_pagination": with_tables("facts", """also RECURSIVE_ROWS AS (SELECT doc_id, CAST(length(span) AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM facts), walk AS (SELECT doc_id, k, size AS used, CAST(0 AS BIGINT) AS page FROM RECURSIVE_ROWS WHERE k = 1
       UNION ALL SELECT r.doc_id, r.k, CASE WHEN used + r.size <= 1500 THEN used + r.size ELSE r.size END, CASE WHEN used + r.size <= 1500 THEN page ELSE page + 1 END FROM walk w JOIN RECURSIVE_ROWS r ON r.doc_id = w.doc_id AND r.k = w.k + 1)
       SELECT doc_id, CAST(count(*) AS INT) AS n, max(page) + 1 AS pages FROM walk GROUP BY doc_id""").replace("WITH ", "WITH RECURSIVE ", 1),
-    "m09_attribution_warnings": with_tables("facts", """SELECT warning, count(*) AS n FROM (SELECT unnest([CASE WHEN NOT (entity_status = 'RESOLVED' OR company IS NULL) THEN 'UNSAFE_ENTITY' END, CASE WHEN NOT contains(span, company) THEN 'COMPANY_NOT_IN_SPAN' END, CASE WHEN published IS NULL THEN 'UNDATED' END,
+    "m09_fact_marks": with_tables("facts", """SELECT warning, count(*) AS n FROM (SELECT unnest([CASE WHEN NOT (entity_status = 'RESOLVED' OR company IS NULL) THEN 'UNSAFE_ENTITY' END, CASE WHEN NOT contains(span, company) THEN 'COMPANY_NOT_IN_SPAN' END, CASE WHEN published IS NULL THEN 'UNDATED' END,
       CASE WHEN expiry < effective THEN 'BAD_RANGE' END, CASE WHEN NOT full_text THEN 'TITLE_ONLY' END]) AS warning FROM facts) WHERE warning IS NOT NULL GROUP BY warning"""),
     "m16_downgrade": with_tables("facts src", """SELECT CASE WHEN use_policy <> 'DECISION_ELIGIBLE' OR (authority_score < 58 AND coalesce(m.n, 1) < 2) THEN 'WATCH' ELSE 'DECISION' END AS shown_as, use_policy, count(*) AS n FROM facts f JOIN src s ON s.code = source_code
       LEFT JOIN (SELECT company, count(DISTINCT source_code) AS n FROM facts WHERE company IS NOT NULL GROUP BY company) m ON m.company = f.company GROUP BY ALL"""),

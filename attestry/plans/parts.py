@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..bindings import classifications, claims, documents, facts, item_log, routing, run_log, sources, table, verifications, with_tables
 from ..domains import APPROVED, AS_OF, CATEGORIES, GATES, ZONE
 from ..functions import rules, text
-from ..operators.relational import first, latest, union_by_precedence
+from ..operators.relational import first, latest, numbered_by_range, union_by_precedence
 from ..sources import web
 from ..storage import scratch
 
@@ -20,11 +20,9 @@ def as_of() -> Column:
 
 
 def sources_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources with their place by authority and code, which is a dimension of bounded size."""
-    s = sources(spark, sf_dir)
-    before = s.select(F.col("authority_score").alias("x"), F.col("code").alias("y"))
-    ahead = (F.col("x") > F.col("authority_score")) | ((F.col("x") == F.col("authority_score")) & (F.col("y") < F.col("code")))
-    return s.join(before, ahead, "left").groupBy("code").agg(F.count("x").alias("place"))
+    """Sources with their place by authority and code."""
+    s = sources(spark, sf_dir).select("code", F.lit(0).alias("all"), (-F.col("authority_score")).alias("lesser"))
+    return numbered_by_range(s, ["all"], ["lesser", "code"], "place").select("code", (F.col("place") - 1).alias("place"))
 
 
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

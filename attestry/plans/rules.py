@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms as T
-from ..bindings import documents, facts, insights, mentions, sources, statements, with_tables
+from ..bindings import ALIASES, documents, facts, insights, mentions, sources, statements, with_tables
 from ..domains import AS_OF
 from ..functions import grounding, intelligence
 from ..functions.rules import NOISE_PATHS, NOISE_TITLES, any_contains, folded
@@ -27,6 +27,22 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("id", "r.status", "r.entities")
 
 
+def attribution_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a claim from being approved without a person: unclear, mixed or wrong legal entities."""
+    alias = F.element_at(F.array(*map(F.lit, ALIASES)), (F.col("id") * 3 % len(ALIASES) + 1).cast("int"))
+    evidence = F.when(F.col("id") % 4 == 0, F.col("text")).when(F.col("id") % 4 == 1, "nothing named").otherwise(alias)
+    m = mentions(spark, sf_dir).select("id", "market", "text", evidence.alias("evidence"), (F.col("id") % 3 == 0).alias("named"))
+    r = m.select("id", "named", intelligence.resolution(F.col("text"), F.col("market")).alias("c"), intelligence.resolution(F.col("evidence"), F.col("market")).alias("f"))
+    either = lambda status: (F.col("c.status") == status) | (F.col("f.status") == status)
+    sure = (F.col("c.status") == "RESOLVED") & (F.col("f.status") == "RESOLVED")
+    marks = F.array_compact(F.array(
+        F.when(either("AMBIGUOUS"), F.lit("AMBIGUOUS_ENTITY")), F.when(either("CONFLICT"), F.lit("CONFUSABLE_ENTITY")), F.when(either("MULTIPLE"), F.lit("MULTIPLE_ENTITIES")),
+        F.when((F.col("f.status") == "UNRESOLVED") & F.col("named"), F.lit("UNRESOLVED_NAMED_ENTITY")), F.when(sure & (F.col("c.entities") != F.col("f.entities")), F.lit("ENTITY_MISMATCH")),
+        F.when((F.col("c.status") == "RESOLVED") & (F.col("f.status") == "UNRESOLVED"), F.lit("SUBJECT_NOT_IN_EVIDENCE")),
+    ))
+    return r.select("id", F.array_join(marks, ",").alias("warnings"), (F.size(marks) > 0).alias("blocked"))
+
+
 def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = insights(spark, sf_dir).select("insight_id", intelligence.publication_findings().alias("f"))
     return found.select("insight_id", F.array_join("f", ",").alias("findings"), intelligence.publication_disposition(F.col("f")).alias("disposition"))
@@ -131,7 +147,7 @@ def inferred_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "m06_materiality": materiality, "m07_event_types": event_types, "m08_entity_resolution": entities, "m17_publication_gate": publication, "m18_edition_gate": editions, "c10_noise": noise, "c14_news_policy": news_policy,
+    "m06_materiality": materiality, "m07_event_types": event_types, "m08_entity_resolution": entities, "m09_attribution_warnings": attribution_warnings, "m17_publication_gate": publication, "m18_edition_gate": editions, "c10_noise": noise, "c14_news_policy": news_policy,
     "m12_grounding_gate": grounding_gate, "m20_insight_gate": insight_gate, "m31_golden_predictions": golden_predictions, "k08_date_grounding": dates_in_text, "k34_language_purity": language_purity, "m11_source_inference": inferred_sources,
 }
 
@@ -163,6 +179,17 @@ _MATERIAL = f"""also a AS (SELECT *, {_S} AS s, lower(trim(headline)) AS t, leng
     suppressed = '' AND whole AND span_chars >= 80 AND status = 'CONFIRMED' AND authority NOT IN ('SOCIAL_OR_BLOG', 'UNKNOWN') AND questions <> '' AND total >= 60 AS eligible
   FROM (SELECT *, greatest(0, least(100, relevance + impact + timeliness + evidence + penalty)) AS total FROM e)"""
 _ENTITY_ROWS = ", ".join(f"('{e[0]}', '{e[2]}', '{T.family(e[3])}', {shared}, '{alias}', '{T.alternatives([alias])}')" for e in T.ENTITIES for shared, aliases in ((0, e[4]), (1, e[5])) for alias in aliases)
+
+
+def _resolved(texts: str, name: str) -> str:
+    return f"""{name}_e AS (SELECT * FROM (VALUES {_ENTITY_ROWS}) v(entity, country, brand, shared, alias, pattern)), {name}_near AS MATERIALIZED (SELECT id, lower(text) AS t, market, e.* FROM {texts}, {name}_e e WHERE contains(lower(text), alias)),
+      {name}_hits AS (SELECT DISTINCT id, market, entity, country, brand, shared FROM {name}_near WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || pattern || '($|[^\\p{{L}}\\p{{N}}])')),
+      {name}_g AS (SELECT id, list(entity ORDER BY entity) FILTER (shared = 0) AS own, count(DISTINCT brand) FILTER (shared = 0) AS brands, list(entity ORDER BY entity) FILTER (shared = 1) AS common,
+        list(entity ORDER BY entity) FILTER (shared = 1 AND country = market AND market NOT IN ('GLOBAL', 'REGIONAL', 'MULTI', 'MULTI_MARKET', 'UNKNOWN')) AS here FROM {name}_hits GROUP BY id),
+      {name} AS (SELECT m.id, CASE WHEN len(own) > 1 AND brands < len(own) THEN 'CONFLICT' WHEN len(own) > 1 THEN 'MULTIPLE' WHEN len(own) = 1 THEN 'RESOLVED' WHEN common IS NULL THEN 'UNRESOLVED' WHEN len(here) = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status,
+        coalesce(array_to_string(CASE WHEN own IS NOT NULL THEN own WHEN len(here) = 1 THEN here ELSE common END, ','), '') AS entities FROM {texts} m LEFT JOIN {name}_g USING (id))"""
+
+
 _SQUEEZE = "trim(regexp_replace(replace(strip_accents(lower({})), 'đ', 'd'), '\\s+', ' ', 'g'), ' ')"
 _HAS = lambda text, terms: "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
 _GATE = f"""also n AS (SELECT *, {_SQUEEZE.format('action')} AS a, ' ' || {_SQUEEZE.format('action')} || ' ' AS padded FROM insights),
@@ -190,13 +217,10 @@ ORACLE_SQL = {
     "m06_materiality": with_tables("said", _MATERIAL),
     "m07_event_types": with_tables("said", f"""SELECT code, {_EVENT} AS event_type FROM (SELECT *, {T.word_sql('s', T.EVENT_CHANGE)} AS change, {T.word_sql('s', T.EVENT_LAUNCH)} AS launch, {T.word_sql('s', T.EVENT_PRODUCT)} AS product,
       {T.word_sql('s', T.EVENT_PERFORMANCE)} AS performance FROM (SELECT code, fact_type, {_S} AS s FROM said))"""),
-    "m08_entity_resolution": with_tables("mentions", f"""also e AS (SELECT * FROM (VALUES {_ENTITY_ROWS}) v(entity, country, brand, shared, alias, pattern)),
-      near AS MATERIALIZED (SELECT id, lower(text) AS t, market, e.* FROM mentions, e WHERE contains(lower(text), alias)),
-      hits AS (SELECT DISTINCT id, market, entity, country, brand, shared FROM near WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || pattern || '($|[^\\p{{L}}\\p{{N}}])')),
-      g AS (SELECT id, list(entity ORDER BY entity) FILTER (shared = 0) AS own, count(DISTINCT brand) FILTER (shared = 0) AS brands, list(entity ORDER BY entity) FILTER (shared = 1) AS common,
-        list(entity ORDER BY entity) FILTER (shared = 1 AND country = market AND market NOT IN ('GLOBAL', 'REGIONAL', 'MULTI', 'MULTI_MARKET', 'UNKNOWN')) AS here FROM hits GROUP BY id)
-      SELECT m.id, CASE WHEN len(own) > 1 AND brands < len(own) THEN 'CONFLICT' WHEN len(own) > 1 THEN 'MULTIPLE' WHEN len(own) = 1 THEN 'RESOLVED' WHEN common IS NULL THEN 'UNRESOLVED' WHEN len(here) = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status,
-        coalesce(array_to_string(CASE WHEN own IS NOT NULL THEN own WHEN len(here) = 1 THEN here ELSE common END, ','), '') AS entities FROM mentions m LEFT JOIN g USING (id)"""),
+    "m08_entity_resolution": with_tables("mentions", f"also {_resolved('mentions', 'x')} SELECT id, status, entities FROM x"),
+    "m09_attribution_warnings": with_tables("mentions", f"""also said AS (SELECT id, market, CASE id % 4 WHEN 0 THEN text WHEN 1 THEN 'nothing named' ELSE {_CASE('(id * 3)', ALIASES)} END AS text FROM mentions), {_resolved('mentions', 'x')}, {_resolved('said', 'y')}
+      SELECT id, w AS warnings, w <> '' AS blocked FROM (SELECT x.id, concat_ws(',', CASE WHEN 'AMBIGUOUS' IN (x.status, y.status) THEN 'AMBIGUOUS_ENTITY' END, CASE WHEN 'CONFLICT' IN (x.status, y.status) THEN 'CONFUSABLE_ENTITY' END, CASE WHEN 'MULTIPLE' IN (x.status, y.status) THEN 'MULTIPLE_ENTITIES' END,
+        CASE WHEN y.status = 'UNRESOLVED' AND x.id % 3 = 0 THEN 'UNRESOLVED_NAMED_ENTITY' END, CASE WHEN x.status = 'RESOLVED' AND y.status = 'RESOLVED' AND x.entities <> y.entities THEN 'ENTITY_MISMATCH' END, CASE WHEN x.status = 'RESOLVED' AND y.status = 'UNRESOLVED' THEN 'SUBJECT_NOT_IN_EVIDENCE' END) AS w FROM x JOIN y USING (id))"""),
     "m17_publication_gate": with_tables("insights", f"{_GATE} SELECT insight_id, array_to_string(f, ',') AS findings, disposition FROM g"),
     "m18_edition_gate": with_tables("insights", f"""{_GATE} SELECT *, CASE WHEN ready >= 3 THEN 'READY' WHEN ready + watch >= 1 THEN 'WATCH_BRIEF' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM
       (SELECT month, count(*) FILTER (disposition = 'DECISION_READY') AS ready, count(*) FILTER (disposition = 'WATCH') AS watch, count(*) FILTER (disposition = 'REJECT') AS rejected FROM g GROUP BY month)"""),
