@@ -20,8 +20,9 @@ are members without their last byte and the files are plain concatenated gzip.
 
 Defined cases: a null payload is empty; a very large page is one record, in a file of its own
 where need be (files are cut by bytes); a null URL has the empty key; a null page_id is
-written as an empty id and returned as null, and is a response; repeated rows are records of
-their own, each with the type of its page id; an empty table gives no
+written as an empty id and returned as null, and is a response; repeated rows, and rows of one
+page id with different payloads, are records of their own, each with the type that its page id
+has among the records of its payload; an empty table gives no
 archive rows and an empty result; other columns are ignored.
 """
 
@@ -253,7 +254,7 @@ def write_index(spark: SparkSession, folder: str, lines: int = BLOCK_LINES) -> N
                     yield to_batch(schema, zip(*rows, strict=True))
 
     rows = raw_files(spark, join(folder, "blocks")).mapInArrow(tidy(outline), ", ".join(f"{name} string" for name in ends) + ", file string, offset long, length long")
-    rows.coalesce(1).write.parquet(join(folder, "directory"))
+    rows.write.parquet(join(folder, "directory"))  # each task lists the blocks that it read
 
 
 def entry(line: str) -> dict:
@@ -357,7 +358,10 @@ def resolve(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
 
 
 def payloads(found: DataFrame) -> DataFrame:
-    """(page, type, refers, size, digest) of captures, from the byte ranges of their records."""
+    """(page, type, refers, size, digest) of captures, from the byte ranges of their records.
+
+    The digest of a revisit is the one its own header names; its size is not known here.
+    """
     schema = pa.schema([("page", pa.string()), ("type", pa.string()), ("refers", pa.string()), ("size", pa.int64()), ("digest", pa.string())])
 
     def read(batches):
@@ -369,7 +373,8 @@ def payloads(found: DataFrame) -> DataFrame:
                 own = headers["WARC-Type"] == "response"
                 body = body_of(content) if own else b""
                 refers = None if own else page_of(headers["WARC-Refers-To"])
-                rows.append((page_of(headers["WARC-Record-ID"]), headers["WARC-Type"], refers, len(body) if own else None, digest(body) if own else None))
+                named = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                rows.append((page_of(headers["WARC-Record-ID"]), headers["WARC-Type"], refers, len(body) if own else None, digest(body) if own else named))
             if rows:
                 yield to_batch(schema, zip(*rows, strict=True))
 
@@ -379,17 +384,21 @@ def payloads(found: DataFrame) -> DataFrame:
 
 
 def read_back(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """The records of (key, page) through the index; revisits take size and digest from their response."""
+    """The records of (key, page) through the index.
+
+    A revisit takes its size from the response of that page and digest: a page id alone does
+    not name a payload, as records of one id can differ.
+    """
     rows = stored(payloads(resolve(spark, folder, wanted)), "records")
-    responses = rows.where("type = 'response' and page <> ''").select(F.col("page").alias("refers"), F.col("size").alias("full_size"), F.col("digest").alias("full_digest"))
-    # one row per page that is revisited, however many revisit it
-    asked = rows.where("type = 'revisit'").select("refers").distinct()
-    targets = stored(responses.join(asked, "refers", "left_semi").distinct(), "revisit-targets")
-    joined = rows.join(targets, "refers", "left")
+    responses = rows.where("type = 'response' and page <> ''").select(F.col("page").alias("refers"), "digest", F.col("size").alias("full_size"))
+    # one row per page and digest that is revisited, however many revisit it
+    asked = rows.where("type = 'revisit'").select("refers", "digest").distinct()
+    targets = stored(responses.join(asked, ["refers", "digest"], "left_semi").distinct(), "revisit-targets")
+    joined = rows.join(targets, ["refers", "digest"], "left")
     return joined.select(
         F.expr("nullif(page, '')").cast("long").alias("page_id"),
         F.coalesce("size", "full_size").alias("payload_bytes"),
-        F.coalesce("digest", "full_digest").alias("payload_digest"),
+        F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("refers").cast("long").alias("refers_to"),
     )

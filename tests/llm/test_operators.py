@@ -99,6 +99,15 @@ def test_warc_with_thousands_of_pages_under_one_url_and_under_none(spark):
     assert len(warc.lookup(spark, folder, "http://one.org")) == 3000
 
 
+@pytest.mark.parametrize("rows", [[(3, "AAAA"), (5, "AAAA"), (5, "BBBBBB")], [(5, "A"), (5, "A"), (3, "A"), (3, "A"), (3, "B"), (9, "B"), (9, "A"), (None, "A")]])
+def test_warc_records_of_one_page_id_and_several_payloads(spark, rows):
+    """As many rows as pages, each with the digest and size of its own payload."""
+    pages = spark.createDataFrame([(page, f"http://x/{k % 2}", html) for k, (page, html) in enumerate(rows)], "page_id long, url string, html string")
+    last = {html: max(p for p, h in rows if h == html and p is not None) for _, html in rows}
+    expected = [(p, len(h), warc.digest(h.encode()), *(("revisit", last[h]) if p is not None and p != last[h] else ("response", None))) for p, h in rows]
+    assert sorted(map(tuple, warc.written_and_read(pages).collect()), key=str) == sorted(expected, key=str)
+
+
 def test_warc_of_nothing_and_members(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.written_and_read(none).count() == 0
