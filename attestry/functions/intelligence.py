@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms as T
+from ..operators import dictionary
 from .rules import steps
 
 LEAST_CHARS, LEAST_SPAN, PUBLISH = 600, 80, 60
@@ -105,23 +106,62 @@ def materiality(statements: DataFrame, as_of: str) -> DataFrame:
     return df.withColumn("total", total).withColumn("eligible", F.coalesce(eligible, F.lit(False)))
 
 
-def resolution(text: Column, market: Column) -> Column:
-    """(status, entities) of a text: own aliases first, then shared ones narrowed by a country."""
-    found = lambda at: F.array_compact(F.array(*(F.when(says(text, e[at]), F.lit(e[0])) for e in T.ENTITIES if e[at])))
-    own, shared = found(4), found(5)
-    family = F.create_map(*(F.lit(x) for e in T.ENTITIES for x in (e[0], T.family(e[3]))))
-    country = F.create_map(*(F.lit(x) for e in T.ENTITIES for x in (e[0], e[2])))
+def entity_aliases(spark: SparkSession) -> DataFrame:
+    """(alias, entity, country, brand, shared): a row for each alias of the registry."""
+    rows = [(alias, e[0], e[2], T.family(e[3]), shared) for e in T.ENTITIES for shared, aliases in ((False, e[4]), (True, e[5])) for alias in aliases]
+    return spark.createDataFrame(rows, "alias string, entity string, country string, brand string, shared boolean")
+
+
+def decided(own: Column, shared: Column, text: Column, market: Column) -> Column:
+    """(status, entities) from the entities that a text names by own aliases and by shared ones.
+
+    Both are arrays of (entity, country, brand).  Own aliases count first; shared ones are
+    narrowed by a country.
+    """
+    names = lambda found: F.transform(found, lambda e: e["entity"])
     place = F.upper(F.trim(F.coalesce(market, F.lit(""))))
-    narrowed = F.when((place == "") | place.isin(*T.WIDE_MARKETS), F.array().cast("array<string>")).otherwise(F.filter(shared, lambda e: country[e] == place))
-    confusable = F.size(F.array_distinct(F.transform(own, lambda e: family[e]))) < F.size(own)
+    here = F.filter(shared, lambda e: (e["country"] == place) & (place != "") & ~place.isin(*T.WIDE_MARKETS))
+    confusable = F.size(F.array_distinct(F.transform(own, lambda e: e["brand"]))) < F.size(own)
     status = (
         F.when(F.coalesce(F.trim(text), F.lit("")) == "", "UNRESOLVED").when((F.size(own) > 1) & confusable, "CONFLICT").when(F.size(own) > 1, "MULTIPLE").when(F.size(own) == 1, "RESOLVED")
-        .when(F.size(shared) == 0, "UNRESOLVED").when(F.size(narrowed) == 1, "RESOLVED").otherwise("AMBIGUOUS")
+        .when(F.size(shared) == 0, "UNRESOLVED").when(F.size(here) == 1, "RESOLVED").otherwise("AMBIGUOUS")
     )
-    entities = F.when(F.size(own) > 0, own).when(F.size(narrowed) == 1, narrowed).otherwise(shared)
+    entities = F.when(F.size(own) > 0, names(own)).when(F.size(here) == 1, names(here)).otherwise(names(shared))
     return F.struct(status.alias("status"), F.array_join(F.array_sort(entities), ",").alias("entities"))
 
 
+def resolved(texts: DataFrame, aliases: DataFrame, text: str = "text", market: str = "market") -> DataFrame:
+    """The rows of ``texts`` with ``resolution``, (status, entities), by a join with a registry of aliases.
+
+    Texts meet what was found in them by hash, length and market.
+    """
+    keys = {"__t": F.xxhash64(text), "__l": F.length(text), "__m": F.col(market)}
+    each = texts.select(F.col(text).alias("__text"), *(c.alias(k) for k, c in keys.items()))
+    hits = dictionary.found(each, "__text", aliases, "alias")
+    entity = F.struct("entity", "country", "brand")
+    kinds = hits.groupBy(*keys).agg(*(F.collect_set(F.when(F.col("shared") == flag, entity)).alias(name) for name, flag in (("__own", False), ("__shared", True))))
+    same = F.lit(True)
+    rows = texts.withColumns(keys)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(kinds[k])
+    none = F.array().cast("array<struct<entity: string, country: string, brand: string>>")
+    both = rows.join(kinds, same, "left").select(*(rows[c] for c in texts.columns), *(F.coalesce(kinds[c], none).alias(c) for c in ("__own", "__shared")))
+    return both.withColumn("resolution", decided(F.col("__own"), F.col("__shared"), F.col(text), F.col(market))).drop("__own", "__shared")
+
+
+def registry_names(spark: SparkSession) -> DataFrame:
+    """(alias, marker, name, other): how competitors are named, and what marks a company that is taken for one of them."""
+    own = [(alias, False, name, None) for name, aliases in T.COMPETITORS for alias in aliases]
+    return spark.createDataFrame(own + [(mark, True, name, other) for name, other, marks in T.CONFUSABLES for mark in marks], "alias string, marker boolean, name string, other string")
+
+
+def resolution(text: Column, market: Column) -> Column:
+    """The same for one column of texts and the fixed registry, by a pattern an alias; a plain form to compare with."""
+    entity = lambda e: F.struct(F.lit(e[0]).alias("entity"), F.lit(e[2]).alias("country"), F.lit(T.family(e[3])).alias("brand"))
+    found = lambda at: F.array_compact(F.array(*(F.when(says(text, e[at]), entity(e)) for e in T.ENTITIES if e[at])))
+    return decided(found(4), found(5), text, market)
+
+
 def bare(text: Column) -> Column:
     """Lower case without diacritics, single spaces."""
     from .rules import folded

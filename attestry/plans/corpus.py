@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..bindings import classifications, claims, documents, facts, item_log, run_log, sources, table, verifications, with_tables
 from ..domains import APPROVED, AS_OF, AUTHORITIES
 from ..functions import rules, text
+from ..operators import dictionary
 from ..operators.relational import first, latest, numbered, rank_limited
 
 LATEST = ["created", "t1", "t2", "t3"]
@@ -128,12 +129,17 @@ def refetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+#: Phrases of the dictionary, beside the first words of every benchmark item.
+LICENCES = ("License", "General Public License", "CC BY-NC 4.0", "All rights reserved.", "anon", "Ere")
+
+
 def alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that name an alias as a word: a small dictionary against all texts."""
-    aliases = ("License", "General Public License", "anon", "Ere")
-    docs = documents(spark, sf_dir).select("id", "lang", "text")
-    found = F.filter(F.array(*(F.when(text.has_word(F.col("text"), a), F.lit(a)) for a in aliases)), lambda a: a.isNotNull())
-    return docs.select("lang", F.explode(found).alias("alias")).groupBy("lang", "alias").agg(F.count("*").alias("n"))
+    """How many documents of a language name an alias as a word: all texts against a dictionary."""
+    first = F.regexp_extract("text", r"^\s*([\p{L}\p{N}]+\s[\p{L}\p{N}]+\s[\p{L}\p{N}]+)", 1)
+    items = table(spark, sf_dir, "benchmark").select(F.lower(first).alias("alias")).where("alias <> ''")
+    aliases = items.union(spark.createDataFrame([(phrase.lower(),) for phrase in LICENCES], "alias string")).distinct()
+    hits = dictionary.found(documents(spark, sf_dir).select("lang", "text"), "text", aliases, "alias")
+    return hits.groupBy("lang", "alias").agg(F.count("*").alias("n"))
 
 
 def first_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +274,9 @@ ORACLE_SQL = {
     "e01_supersede_facts": with_tables("facts", "SELECT code, coalesce(run = max(run) OVER (PARTITION BY doc_id), false) AS active FROM (SELECT code, doc_id, CASE WHEN pos % 7 <> 6 THEN pos % 3 END AS run FROM facts)"),
     "e17_refetch_outcomes": with_tables("docs cls", """SELECT CASE WHEN id IS NULL THEN 'NOT_FOUND' WHEN full_text AND chars >= 600 THEN 'NOT_ELIGIBLE' WHEN source_code = 'src0' THEN 'HOST_REJECTED' WHEN chars < 200 THEN 'INSUFFICIENT_TEXT' WHEN copies > 1 THEN 'DUPLICATE_CONTENT' ELSE 'SUCCESS' END AS outcome, count(*) AS n
       FROM (SELECT DISTINCT doc_id * 2 AS asked FROM cls) LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY content_hash) AS copies FROM docs) ON id = asked GROUP BY ALL"""),
-    "d24_alias_hits": with_tables("docs", "SELECT lang, alias, count(*) AS n FROM docs, (VALUES ('License'), ('General Public License'), ('anon'), ('Ere')) a(alias) WHERE regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])' || alias || '($|[^\\p{L}\\p{N}])') GROUP BY ALL"),
+    "d24_alias_hits": with_tables("docs", f"""also a AS (SELECT DISTINCT alias, regexp_replace(alias, '([^\\p{{L}}\\p{{N}} ])', '\\\\\\1', 'g') AS pattern FROM (SELECT lower(regexp_extract(text, '^\\s*([\\p{{L}}\\p{{N}}]+\\s[\\p{{L}}\\p{{N}}]+\\s[\\p{{L}}\\p{{N}}]+)', 1)) AS alias FROM benchmark UNION ALL SELECT unnest({[x.lower() for x in LICENCES]})) WHERE alias <> ''),
+      t AS (SELECT lang, lower(text) AS t FROM docs), near AS MATERIALIZED (SELECT * FROM t, a WHERE contains(t, alias))
+      SELECT lang, alias, count(*) AS n FROM near WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || pattern || '($|[^\\p{{L}}\\p{{N}}])') GROUP BY lang, alias"""),
     "d26_first_codes": with_tables("facts", "SELECT doc_id, min(code) AS code FROM facts GROUP BY doc_id"),
     "d22_item_history": with_tables("docs items runs", "SELECT run_id, lang, count(*) AS n FROM (SELECT * FROM items ASOF JOIN runs ON started <= created) i JOIN docs ON id = doc_id GROUP BY ALL"),
     "g07_executive_rounds": with_tables("facts", "SELECT doc_id, code, CAST(rn AS INT) AS rank FROM (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY code) AS rn FROM facts) ORDER BY rn, doc_id LIMIT 20"),

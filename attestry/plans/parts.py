@@ -707,15 +707,6 @@ def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("f.id").alias("a"), F.col("id").alias("b"), win.alias("winner"), ((F.col("authority_score") == F.col("f.authority_score")) & ~newer).alias("flagged"))
 
 
-def confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that hold a marker of a company that is easily taken for another."""
-    from ..bindings import mentions
-
-    marks = ("prudential financial", "pgim", "metlife inc", "baoviet insurance")
-    found = F.array_compact(F.array(*(F.when(text.has_word(F.col("text"), m), F.lit(m)) for m in marks)))
-    return mentions(spark, sf_dir).select("id", F.array_join(found, ",").alias("markers")).where("markers <> ''")
-
-
 def narrative_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that may feed a narrative: passed, not superseded, approved, not contradicted."""
     v = latest(verifications(spark, sf_dir), ["claim_id"], LATEST, ["verdict"])
@@ -911,7 +902,7 @@ QUERIES = {
     "k32_url_parts": url_parts, "k33_search_queries": search_queries, "k35_display_texts": display_texts, "k36_localised": localised, "k38_place_names": place_names, "k39_date_dimensions": date_dimensions, "k40_local_days": local_days,
     "k45_story_keys": story_keys, "k48_slugs": slugs, "k49_split_codes": split_codes, "k50_sentences": sentences, "k51_numbers_within": numbers_within, "k54_routed_fields": routed_fields, "k55_temporal_roles": temporal_roles,
     "k56_fallback_topics": fallback_topics, "l01_broken_domains": broken_domains, "l04_filled_metadata": filled_metadata, "l05_upserted_sources": upserted_sources, "l06_prompts": prompts, "l07_broken_keys": broken_keys, "m02_winners": winners,
-    "m10_confusable": confusable, "m15_narrative_inputs": narrative_inputs, "m19_owned_actions": owned_actions, "m21_themes": themes, "m22_news_topics": news_topics, "m26_enriched": enriched, "m28_brief_modes": brief_modes, "m29_page_plan": page_plan,
+    "m15_narrative_inputs": narrative_inputs, "m19_owned_actions": owned_actions, "m21_themes": themes, "m22_news_topics": news_topics, "m26_enriched": enriched, "m28_brief_modes": brief_modes, "m29_page_plan": page_plan,
     "i04_label_unions": label_unions, "i05_shared_labels": shared_labels, "i07_within_allowed": within_allowed, "i08_closed_fields": closed_fields, "i10_first_seen": first_seen, "k07_wide_dates": wide_dates, "k15_hashes": hashes,
     "k37_shown_labels": shown_labels, "k41_fact_ages": fact_ages, "k44_actionable": actionable, "m34_cited_once": cited_once, "l02_rebuilt_table": rebuilt_table, "a23_seeded_rules": seeded, "m30_provider_safety": provider_safety, "m32_golden_scores": golden_scores, "m35_unique_citations": unique_citations,
 }

@@ -142,7 +142,6 @@ ORACLE_SQL = {
     "l07_broken_keys": with_tables("docs", "SELECT content_hash, count(*) AS n, min(id) AS first_id FROM docs GROUP BY ALL HAVING n > 1"),
     "m02_winners": with_tables("docs src", """also d AS (SELECT id, content_hash, published_at AS p, authority_score AS s FROM docs JOIN src ON code = source_code), f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY id) = 1)
       SELECT f.id AS a, d.id AS b, CASE WHEN d.s > f.s THEN d.id WHEN d.s < f.s THEN f.id WHEN d.p > f.p THEN d.id ELSE f.id END AS winner, d.s = f.s AND NOT coalesce(d.p <> f.p, false) AS flagged FROM d JOIN f USING (content_hash) WHERE d.id <> f.id"""),
-    "m10_confusable": with_tables("mentions", """SELECT id, array_to_string(list_filter(['prudential financial', 'pgim', 'metlife inc', 'baoviet insurance'], lambda m: regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || m || '($|[^\\p{L}\\p{N}])')), ',') AS markers FROM mentions WHERE markers <> ''"""),
     "m15_narrative_inputs": with_tables("claims latest", f"SELECT claim_id, verdict FROM claims JOIN latest USING (claim_id) WHERE gate_status = 'PASS' AND NOT superseded AND review_status IN {_OK} AND verdict <> 'CONTRADICTED'"),
     "m19_owned_actions": with_tables("claims", "SELECT claim_id % 4 IN (0, 3) AS complete, count(*) AS n FROM claims GROUP BY ALL"),
     "m21_themes": with_tables("insights", """SELECT CASE WHEN i % 18 = 0 THEN 'REGIONAL_TRANSFER' WHEN event_type = 'REGULATORY_CHANGE' THEN CASE WHEN i % 2 = 0 THEN 'NONE' ELSE 'VN_REGULATORY_CHANGE' END WHEN event_type = 'PRODUCT_LAUNCH' THEN CASE WHEN i % 2 = 0 THEN 'REGIONAL_TRANSFER' ELSE 'VN_PRODUCT_OFFER' END

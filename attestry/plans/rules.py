@@ -10,6 +10,7 @@ from ..bindings import ALIASES, documents, facts, insights, mentions, sources, s
 from ..domains import AS_OF
 from ..functions import grounding, intelligence
 from ..functions.rules import NOISE_PATHS, NOISE_TITLES, any_contains, folded
+from ..operators import dictionary
 
 
 def materiality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,26 +24,46 @@ def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = mentions(spark, sf_dir).select("id", intelligence.resolution(F.col("text"), F.col("market")).alias("r"))
-    return named.select("id", "r.status", "r.entities")
+    named = intelligence.resolved(mentions(spark, sf_dir), intelligence.entity_aliases(spark))
+    return named.select("id", "resolution.status", "resolution.entities")
 
 
 def attribution_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What keeps a claim from being approved without a person: unclear, mixed or wrong legal entities."""
+    """What keeps a claim from being approved without a person: unclear, mixed or wrong legal entities.
+
+    A claim and the span that it cites are resolved alike; competitors named in the claim must
+    be named in the span, and no mark of who is taken for them may stand there.
+    """
     alias = F.element_at(F.array(*map(F.lit, ALIASES)), (F.col("id") * 3 % len(ALIASES) + 1).cast("int"))
     evidence = F.when(F.col("id") % 4 == 0, F.col("text")).when(F.col("id") % 4 == 1, "nothing named").otherwise(alias)
-    m = mentions(spark, sf_dir).select("id", "market", "text", evidence.alias("evidence"), (F.col("id") % 3 == 0).alias("named"))
-    r = m.select("id", "named", intelligence.resolution(F.col("text"), F.col("market")).alias("c"), intelligence.resolution(F.col("evidence"), F.col("market")).alias("f"))
+    m = mentions(spark, sf_dir).select("id", "market", "text", evidence.alias("evidence"))
+    sides = m.select("id", "market", F.explode(F.array(F.struct(F.lit("c").alias("side"), "text"), F.struct(F.lit("f").alias("side"), F.col("evidence").alias("text")))).alias("x")).select("id", "market", "x.side", "x.text")
+    at = lambda side, value: F.max(F.when(F.col("side") == side, value))
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    r = intelligence.resolved(sides, intelligence.entity_aliases(spark)).groupBy("id").agg(at("c", F.col("resolution")).alias("c"), at("f", F.col("resolution")).alias("f"), at("f", blank).alias("blank"))
+    hits = dictionary.found(sides.select("id", "side", "text"), "text", intelligence.registry_names(spark), "alias")
+    name = lambda side, marker: F.collect_set(F.when((F.col("side") == side) & (F.col("marker") == marker), F.col("name")))
+    known = hits.groupBy("id").agg(name("c", False).alias("said"), name("f", False).alias("shown"), name("f", True).alias("marked"))
+    r = r.join(known, "id", "left").withColumn("named", F.col("id") % 3 == 0)
     either = lambda status: (F.col("c.status") == status) | (F.col("f.status") == status)
-    sure = (F.col("c.status") == "RESOLVED") & (F.col("f.status") == "RESOLVED")
+    single = lambda side: (F.col(f"{side}.entities") != "") & ~F.contains(f"{side}.entities", F.lit(","))
+    some = lambda found: F.coalesce(F.size(found) > 0, F.lit(False))
     marks = F.array_compact(F.array(
-        F.when(either("AMBIGUOUS"), F.lit("AMBIGUOUS_ENTITY")), F.when(either("CONFLICT"), F.lit("CONFUSABLE_ENTITY")), F.when(either("MULTIPLE"), F.lit("MULTIPLE_ENTITIES")),
-        F.when((F.col("f.status") == "UNRESOLVED") & F.col("named"), F.lit("UNRESOLVED_NAMED_ENTITY")), F.when(sure & (F.col("c.entities") != F.col("f.entities")), F.lit("ENTITY_MISMATCH")),
-        F.when((F.col("c.status") == "RESOLVED") & (F.col("f.status") == "UNRESOLVED"), F.lit("SUBJECT_NOT_IN_EVIDENCE")),
+        F.when(either("AMBIGUOUS"), F.lit("AMBIGUOUS_ENTITY")), F.when(either("CONFLICT") | some(F.array_intersect("said", "marked")), F.lit("CONFUSABLE_ENTITY")), F.when(either("MULTIPLE"), F.lit("MULTIPLE_ENTITIES")),
+        F.when((F.col("f.status") == "UNRESOLVED") & F.col("named"), F.lit("UNRESOLVED_NAMED_ENTITY")), F.when(single("c") & single("f") & (F.col("c.entities") != F.col("f.entities")), F.lit("ENTITY_MISMATCH")),
+        F.when(~F.col("blank") & some(F.array_except("said", "shown")), F.lit("SUBJECT_NOT_IN_EVIDENCE")),
     ))
     return r.select("id", F.array_join(marks, ",").alias("warnings"), (F.size(marks) > 0).alias("blocked"))
 
 
+def confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold marks of a company that is easily taken for a competitor, and whether they name that competitor too."""
+    hits = dictionary.found(mentions(spark, sf_dir).select("id", "text"), "text", intelligence.registry_names(spark), "alias")
+    of = lambda column, marker: F.array_sort(F.collect_set(F.when(F.col("marker") == marker, F.col(column))))
+    known = hits.groupBy("id").agg(of("alias", True).alias("m"), of("other", True).alias("o"), of("name", True).alias("w"), of("name", False).alias("n")).where("size(m) > 0")
+    return known.select("id", F.array_join("m", "; ").alias("markers"), F.array_join("o", "; ").alias("others"), F.arrays_overlap("w", "n").alias("mixed"))
+
+
 def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = insights(spark, sf_dir).select("insight_id", intelligence.publication_findings().alias("f"))
     return found.select("insight_id", F.array_join("f", ",").alias("findings"), intelligence.publication_disposition(F.col("f")).alias("disposition"))
@@ -147,7 +168,7 @@ def inferred_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "m06_materiality": materiality, "m07_event_types": event_types, "m08_entity_resolution": entities, "m09_attribution_warnings": attribution_warnings, "m17_publication_gate": publication, "m18_edition_gate": editions, "c10_noise": noise, "c14_news_policy": news_policy,
+    "m06_materiality": materiality, "m07_event_types": event_types, "m08_entity_resolution": entities, "m09_attribution_warnings": attribution_warnings, "m10_confusable": confusable, "m17_publication_gate": publication, "m18_edition_gate": editions, "c10_noise": noise, "c14_news_policy": news_policy,
     "m12_grounding_gate": grounding_gate, "m20_insight_gate": insight_gate, "m31_golden_predictions": golden_predictions, "k08_date_grounding": dates_in_text, "k34_language_purity": language_purity, "m11_source_inference": inferred_sources,
 }
 
@@ -190,6 +211,15 @@ def _resolved(texts: str, name: str) -> str:
         coalesce(array_to_string(CASE WHEN own IS NOT NULL THEN own WHEN len(here) = 1 THEN here ELSE common END, ','), '') AS entities FROM {texts} m LEFT JOIN {name}_g USING (id))"""
 
 
+_NAMES = [(alias, "false", name, "") for name, aliases in T.COMPETITORS for alias in aliases] + [(mark, "true", name, other) for name, other, marks in T.CONFUSABLES for mark in marks]
+_REGISTRY = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"('{alias}', {marker}, '{name}', '{other}', '{T.alternatives([alias])}')" for alias, marker, name, other in _NAMES) + ") r(alias, marker, name, other, pattern))"
+
+
+def _named(texts: str, name: str) -> str:
+    return f"""{name}_near AS MATERIALIZED (SELECT id, t, reg.* FROM (SELECT id, lower(text) AS t FROM {texts}), reg WHERE contains(t, alias)),
+      {name} AS MATERIALIZED (SELECT * FROM {name}_near WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || pattern || '($|[^\\p{{L}}\\p{{N}}])'))"""
+
+
 _SQUEEZE = "trim(regexp_replace(replace(strip_accents(lower({})), 'đ', 'd'), '\\s+', ' ', 'g'), ' ')"
 _HAS = lambda text, terms: "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
 _GATE = f"""also n AS (SELECT *, {_SQUEEZE.format('action')} AS a, ' ' || {_SQUEEZE.format('action')} || ' ' AS padded FROM insights),
@@ -218,9 +248,14 @@ ORACLE_SQL = {
     "m07_event_types": with_tables("said", f"""SELECT code, {_EVENT} AS event_type FROM (SELECT *, {T.word_sql('s', T.EVENT_CHANGE)} AS change, {T.word_sql('s', T.EVENT_LAUNCH)} AS launch, {T.word_sql('s', T.EVENT_PRODUCT)} AS product,
       {T.word_sql('s', T.EVENT_PERFORMANCE)} AS performance FROM (SELECT code, fact_type, {_S} AS s FROM said))"""),
     "m08_entity_resolution": with_tables("mentions", f"also {_resolved('mentions', 'x')} SELECT id, status, entities FROM x"),
-    "m09_attribution_warnings": with_tables("mentions", f"""also said AS (SELECT id, market, CASE id % 4 WHEN 0 THEN text WHEN 1 THEN 'nothing named' ELSE {_CASE('(id * 3)', ALIASES)} END AS text FROM mentions), {_resolved('mentions', 'x')}, {_resolved('said', 'y')}
-      SELECT id, w AS warnings, w <> '' AS blocked FROM (SELECT x.id, concat_ws(',', CASE WHEN 'AMBIGUOUS' IN (x.status, y.status) THEN 'AMBIGUOUS_ENTITY' END, CASE WHEN 'CONFLICT' IN (x.status, y.status) THEN 'CONFUSABLE_ENTITY' END, CASE WHEN 'MULTIPLE' IN (x.status, y.status) THEN 'MULTIPLE_ENTITIES' END,
-        CASE WHEN y.status = 'UNRESOLVED' AND x.id % 3 = 0 THEN 'UNRESOLVED_NAMED_ENTITY' END, CASE WHEN x.status = 'RESOLVED' AND y.status = 'RESOLVED' AND x.entities <> y.entities THEN 'ENTITY_MISMATCH' END, CASE WHEN x.status = 'RESOLVED' AND y.status = 'UNRESOLVED' THEN 'SUBJECT_NOT_IN_EVIDENCE' END) AS w FROM x JOIN y USING (id))"""),
+    "m09_attribution_warnings": with_tables("mentions", f"""also said AS (SELECT id, market, CASE id % 4 WHEN 0 THEN text WHEN 1 THEN 'nothing named' ELSE {_CASE('(id * 3)', ALIASES)} END AS text FROM mentions), {_resolved('mentions', 'x')}, {_resolved('said', 'y')},
+      {_REGISTRY}, {_named('mentions', 'c')}, {_named('said', 'f')},
+      subject AS (SELECT DISTINCT c.id FROM c WHERE NOT marker AND name NOT IN (SELECT name FROM f WHERE f.id = c.id AND NOT marker)), taken AS (SELECT DISTINCT c.id FROM c JOIN f ON f.id = c.id AND f.name = c.name AND f.marker AND NOT c.marker)
+      SELECT id, w AS warnings, w <> '' AS blocked FROM (SELECT x.id, concat_ws(',', CASE WHEN 'AMBIGUOUS' IN (x.status, y.status) THEN 'AMBIGUOUS_ENTITY' END, CASE WHEN 'CONFLICT' IN (x.status, y.status) OR taken.id IS NOT NULL THEN 'CONFUSABLE_ENTITY' END, CASE WHEN 'MULTIPLE' IN (x.status, y.status) THEN 'MULTIPLE_ENTITIES' END,
+        CASE WHEN y.status = 'UNRESOLVED' AND x.id % 3 = 0 THEN 'UNRESOLVED_NAMED_ENTITY' END, CASE WHEN x.entities <> '' AND NOT contains(x.entities, ',') AND y.entities <> '' AND NOT contains(y.entities, ',') AND x.entities <> y.entities THEN 'ENTITY_MISMATCH' END,
+        CASE WHEN subject.id IS NOT NULL THEN 'SUBJECT_NOT_IN_EVIDENCE' END) AS w FROM x JOIN y USING (id) LEFT JOIN subject ON subject.id = x.id LEFT JOIN taken ON taken.id = x.id)"""),
+    "m10_confusable": with_tables("mentions", f"""also {_REGISTRY}, {_named('mentions', 'c')} SELECT id, string_agg(DISTINCT alias, '; ' ORDER BY alias) FILTER (marker) AS markers, string_agg(DISTINCT other, '; ' ORDER BY other) FILTER (marker) AS others,
+      len(list_intersect(list(name) FILTER (marker), list(name) FILTER (NOT marker))) > 0 AS mixed FROM c GROUP BY id HAVING bool_or(marker)"""),
     "m17_publication_gate": with_tables("insights", f"{_GATE} SELECT insight_id, array_to_string(f, ',') AS findings, disposition FROM g"),
     "m18_edition_gate": with_tables("insights", f"""{_GATE} SELECT *, CASE WHEN ready >= 3 THEN 'READY' WHEN ready + watch >= 1 THEN 'WATCH_BRIEF' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM
       (SELECT month, count(*) FILTER (disposition = 'DECISION_READY') AS ready, count(*) FILTER (disposition = 'WATCH') AS watch, count(*) FILTER (disposition = 'REJECT') AS rejected FROM g GROUP BY month)"""),

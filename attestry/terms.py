@@ -149,6 +149,34 @@ ENTITIES = (
     ("NSO_VN", _REGULATOR, "VN", "NSO_VN", ("cục thống kê", "national statistics office of vietnam", "general statistics office of vietnam"), ()),
     ("IAV_VN", "OTHER", "VN", "IAV_VN", ("hiệp hội bảo hiểm việt nam", "insurance association of vietnam"), ()),
 )
+# Competitors with the aliases that name them, and who is easily taken for one of them, by what marks.
+COMPETITORS = (
+    ("Prudential Việt Nam", ("prudential việt nam", "prudential vietnam")),
+    ("Manulife Việt Nam", ("manulife việt nam", "manulife vietnam")),
+    ("AIA Việt Nam", ("aia việt nam", "aia vietnam")),
+    ("Dai-ichi Life Việt Nam", ("dai-ichi life việt nam", "dai-ichi life vietnam")),
+    ("Chubb Life Việt Nam", ("chubb life việt nam", "chubb life vietnam")),
+    ("Hanwha Life Việt Nam", ("hanwha life việt nam", "hanwha life vietnam")),
+    ("FWD Việt Nam", ("fwd việt nam", "fwd vietnam")),
+    ("Generali Việt Nam", ("generali việt nam", "generali vietnam")),
+    ("Sun Life Việt Nam", ("sun life việt nam", "sun life vietnam")),
+    ("Bảo Việt Nhân thọ", ("bảo việt nhân thọ", "bao viet life", "baoviet life")),
+    ("MB Life", ("mb ageas", "mb life", "mbal")),
+    ("BIDV MetLife", ("bidv metlife", "bidv-metlife")),
+    ("Techcom Life", ("techcom life",)),
+    ("MVI Life", ("mvi life",)),
+    ("Fubon Life Việt Nam", ("fubon life việt nam", "fubon life vietnam")),
+    ("MAP Life", ("map life", "mirae asset prévoir life", "mirae asset prevoir life")),
+    ("Cathay Life Việt Nam", ("cathay life việt nam", "cathay life vietnam")),
+    ("Shinhan Life Việt Nam", ("shinhan life việt nam", "shinhan life vietnam")),
+    ("Phú Hưng Life", ("phú hưng life", "phu hung life")),
+    ("LP Life", ("lp life",)),
+)
+CONFUSABLES = (
+    ("Prudential Việt Nam", "Prudential Financial (Hoa Kỳ)", ("prudential financial", "pgim", "nyse: pru", "nyse:pru", "newark, new jersey")),
+    ("Bảo Việt Nhân thọ", "Bảo hiểm Bảo Việt (phi nhân thọ)", ("bảo hiểm bảo việt", "baoviet insurance", "bảo việt phi nhân thọ")),
+    ("BIDV MetLife", "MetLife, Inc. (Hoa Kỳ)", ("metlife, inc", "metlife inc", "nyse: met")),
+)
 #: Brands that are easily taken for one another count as one.
 BRAND_FAMILIES = ("PRUDENTIAL", "BAOVIET", "METLIFE")
 #: Markets that are no country and never narrow a shared brand.
