@@ -28,6 +28,15 @@ def word_trigrams(text: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= 3, runs).otherwise(words))
 
 
+def trigram_hashes(words: Column) -> Column:
+    """Distinct 64-bit numbers of the runs of three words; of the words themselves where there are fewer."""
+    many = F.greatest(F.size(words) - 2, F.lit(0))
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    glue = lambda a, b: F.xxhash64(a, b)
+    runs = F.zip_with(F.zip_with(F.slice(one, F.lit(1), many), F.slice(one, F.lit(2), many), glue), F.slice(one, F.lit(3), many), glue)
+    return F.array_distinct(F.when(F.size(words) >= 3, runs).otherwise(one))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two sets; zero where one is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..bindings import documents, sources, with_tables
 from ..functions import text
+from ..operators.banded import banded_links, hashed
 from ..operators.relational import token_pairs
 
-TITLE_NEAR, CONTENT_NEAR, BAND_HOURS = 0.5, 0.92, 72
+CONTENT_NEAR, BAND_HOURS = 0.92, 72
 
 
 def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,23 +65,29 @@ def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ladder of verdicts over documents seen within 72 hours of each other.
-
-    Copies are decided by :func:`banded_pairs`; here every content has one document, its
-    first.  Pairs of such documents that are alike in content, or else in title, have a row;
-    all others are different.  Documents with the same words in their titles meet through the
-    first of them.
+    """The ladder of verdicts over parsed documents seen within 72 hours of each other.
+
+    The first rung that holds decides: equal address, equal content, texts alike in 92 % of
+    their word trigrams, else titles alike in half of their words, which only a person or a
+    model can judge.  Copies are decided for the better authority, then for the newer of two
+    dated ones, else left to review.  Pairs are the links of :func:`banded_links`: of n copies,
+    or of a document and n copies of another, not every two have a row, but all are joined
+    through rows.  Pairs without a row differ.
     """
-    docs = documents(spark, sf_dir).select("id", "content_hash", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).alias("at"), "title", "text")
-    firsts = docs.groupBy("content_hash").agg(F.min("id").alias("id")).select("id")
-    reps = docs.join(firsts, "id", "left_semi")
-    titles = class_pairs(reps.select("id", text.word_set(text.normal_title(F.col("title"))).alias("w")), TITLE_NEAR).withColumnRenamed("overlap", "title_overlap")
-    contents = class_pairs(reps.select("id", text.word_trigrams(text.normal_title(F.col("text"))).alias("w")), CONTENT_NEAR).withColumnRenamed("overlap", "content_overlap")
-    both = titles.join(contents, ["a", "b"], "full")
-    times = reps.select("id", "at")
-    near = both.join(times.withColumnsRenamed({"id": "a", "at": "at_a"}), "a").join(times.withColumnsRenamed({"id": "b", "at": "at_b"}), "b").where(F.abs(F.col("at_a") - F.col("at_b")) <= BAND_HOURS * 3600)
-    verdict = F.when(F.col("content_overlap").isNotNull(), "DUPLICATE_CONTENT").otherwise("GRAY")
-    return near.select("a", "b", verdict.alias("verdict"), F.round("title_overlap", 6).alias("title_overlap"), F.round("content_overlap", 6).alias("content_overlap"))
+    src = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority_score")
+    docs = documents(spark, sf_dir).where("parse_status = 'OK'").join(src, "source_code")
+    docs = docs.withColumns({"at": F.unix_timestamp(F.coalesce("published_at", "fetched_at")), "words": F.filter(F.split(text.normal_title(F.col("text")), " "), lambda w: w != "")})
+    rows = docs.select("id", "at", "url", "content_hash", hashed(text.word_set(text.normal_title(F.col("title")))).alias("title"), text.trigram_hashes(F.col("words")).alias("content"))
+    links = banded_links(rows, BAND_HOURS * 3600, ["url", "content_hash"], {"title": 50, "content": 92})
+    side = lambda k: docs.select(F.col("id").alias(k), F.struct("url", "content_hash", "authority_score", "published_at").alias(f"x{k}")).distinct()
+    both = links.join(side("a"), "a").join(side("b"), "b")
+    equal = lambda c: F.coalesce(F.col(f"xa.{c}") == F.col(f"xb.{c}"), F.lit(False))
+    method = F.when(equal("url"), "EXACT_URL").when(equal("content_hash"), "EXACT_HASH").when(F.col("content").isNotNull(), "JACCARD_TITLE").otherwise("LLM_PAIRWISE")
+    score_a, score_b, day_a, day_b = (F.col(f"{k}.{c}") for c in ("authority_score", "published_at") for k in ("xa", "xb"))
+    better = F.when(score_a > score_b, F.col("a")).when(score_a < score_b, F.col("b")).when(day_a > day_b, F.col("a")).when(day_a < day_b, F.col("b"))
+    judged = both.withColumn("method", method).withColumn("winner", F.when(F.col("method") != "LLM_PAIRWISE", better))
+    verdict = F.when(F.col("winner").isNotNull(), "DUPLICATE_CONTENT").otherwise("NEEDS_REVIEW")
+    return judged.select("a", "b", "method", verdict.alias("verdict"), "winner", F.round("title", 6).alias("title_overlap"), F.round("content", 6).alias("content_overlap"))
 
 
 QUERIES = {"d17_title_pairs": title_pairs, "k12_content_pairs": content_pairs, "d16_banded_pairs": banded_pairs, "e13_losers": losers, "m01_pair_verdicts": pair_verdicts}
@@ -97,6 +104,19 @@ def _pairs(sets: str, near: float) -> str:
       SELECT a, b, round(common / (n + m - common), 6) AS overlap FROM met WHERE common / (n + m - common) >= {near}"""
 
 
+def banded_sql(rows: str, band: int, exact: list[str], sets: dict[str, float]) -> str:
+    """The links of banded_links over ``rows`` (id, seen, values, sorted lists of words), found among all pairs within the band."""
+    earlier = "(y.seen < x.seen OR (y.seen = x.seen AND y.id < x.id))"
+    both = "len(list_intersect(x.{0}, y.{0})) / len(list_distinct(list_concat(x.{0}, y.{0})))"
+    parts = [f"SELECT id AS x, before AS y FROM (SELECT id, seen, lag(id) OVER w AS before, lag(seen) OVER w AS was FROM r WHERE {c} IS NOT NULL WINDOW w AS (PARTITION BY {c} ORDER BY seen, id)) WHERE epoch(seen) - epoch(was) <= {band}" for c in (*exact, *sets)]
+    parts += [f"""SELECT x, y FROM (SELECT x.id AS x, y.id AS y, row_number() OVER (PARTITION BY x.id, y.{c}, {earlier} ORDER BY abs(epoch(x.seen) - epoch(y.seen)), CASE WHEN {earlier} THEN -y.id ELSE y.id END) AS rank
+      FROM near JOIN r x ON x.id = near.x JOIN r y ON y.id = near.y WHERE {c}_o >= {near} AND x.{c} <> y.{c} AND (x.{c}_n < y.{c}_n OR (x.{c}_n = y.{c}_n AND x.{c}_first > y.{c}_first))) WHERE rank = 1""" for c, near in sets.items()]
+    sized = ", ".join(f"count(*) OVER (PARTITION BY {c}) AS {c}_n, min(id) OVER (PARTITION BY {c}) AS {c}_first" for c in sets)
+    overlap = lambda c, near: f"CASE WHEN len(x.{c}) > 0 AND len(y.{c}) > 0 AND least(len(x.{c}), len(y.{c})) >= {near} * greatest(len(x.{c}), len(y.{c})) THEN {both.format(c)} END AS {c}_o"
+    return f"""r AS (SELECT *, {sized} FROM ({rows})), near AS MATERIALIZED (SELECT x.id AS x, y.id AS y, {', '.join(overlap(c, near) for c, near in sets.items())} FROM r x JOIN r y ON x.id <> y.id AND abs(epoch(x.seen) - epoch(y.seen)) <= {band}),
+      links AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM ({' UNION ALL '.join(parts)}))"""
+
+
 ORACLE_SQL = {
     "d17_title_pairs": with_tables("docs", _pairs(f"SELECT id, {_TITLE} AS s FROM docs", 0.8)),
     "k12_content_pairs": with_tables("docs", _pairs("""SELECT id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) ELSE list_distinct(w) END AS s
@@ -104,10 +124,8 @@ ORACLE_SQL = {
     "d16_banded_pairs": with_tables("docs src", f"""also a AS ({_AUTH}), p AS (SELECT id, seen, authority_score AS s, lag(id) OVER w AS id0, lag(seen) OVER w AS seen0, lag(authority_score) OVER w AS s0 FROM a WINDOW w AS (PARTITION BY content_hash ORDER BY seen, id))
       SELECT least(id, id0) AS a, greatest(id, id0) AS b, 'DUPLICATE_CONTENT' AS verdict, CASE WHEN s > s0 THEN id WHEN s < s0 THEN id0 WHEN seen > seen0 THEN id ELSE least(id, id0) END AS winner FROM p WHERE seen <= seen0 + INTERVAL 72 HOUR"""),
     "e13_losers": with_tables("docs src", f"SELECT id, winner AS duplicate_of FROM (SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY authority_score DESC, seen DESC, id) AS winner FROM ({_AUTH})) WHERE id <> winner"),
-    "m01_pair_verdicts": with_tables("docs", f"""also r AS (SELECT id, coalesce(published_at, fetched_at) AS seen, list_sort({_TITLE}) AS t, list_sort({_GRAMS}) AS g FROM docs WHERE id IN (SELECT min(id) FROM docs GROUP BY content_hash)),
-      f AS (SELECT *, min(id) OVER (PARTITION BY t) AS th, min(id) OVER (PARTITION BY g) AS gh FROM r),
-      p AS (SELECT x.id AS a, y.id AS b, CASE WHEN len(x.t) > 0 AND len(y.t) > 0 AND (x.id = y.th OR (x.id = x.th AND y.id = y.th)) AND 2 * least(len(x.t), len(y.t)) >= greatest(len(x.t), len(y.t)) THEN len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) END AS o,
-        CASE WHEN len(x.g) > 0 AND len(y.g) > 0 AND (x.id = y.gh OR (x.id = x.gh AND y.id = y.gh)) AND least(len(x.g), len(y.g)) >= 0.92 * greatest(len(x.g), len(y.g)) THEN len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) END AS c
-        FROM f x JOIN f y ON x.id < y.id AND abs(epoch(x.seen) - epoch(y.seen)) <= 259200)
-      SELECT a, b, CASE WHEN c >= 0.92 THEN 'DUPLICATE_CONTENT' ELSE 'GRAY' END AS verdict, CASE WHEN o >= 0.5 THEN round(o, 6) END AS title_overlap, CASE WHEN c >= 0.92 THEN round(c, 6) END AS content_overlap FROM p WHERE o >= 0.5 OR c >= 0.92"""),
+    "m01_pair_verdicts": with_tables("docs src", f"""also {banded_sql(f"SELECT id, coalesce(published_at, fetched_at) AS seen, published_at, url, content_hash, authority_score AS auth, nullif(list_sort({_TITLE}), []) AS t, nullif(list_sort({_GRAMS}), []) AS g FROM docs JOIN src ON code = source_code WHERE parse_status = 'OK'", 259_200, ['url', 'content_hash'], {'t': 0.5, 'g': 0.92})},
+      j AS (SELECT a, b, CASE WHEN x.url = y.url THEN 'EXACT_URL' WHEN x.content_hash = y.content_hash THEN 'EXACT_HASH' WHEN g_o >= 0.92 THEN 'JACCARD_TITLE' ELSE 'LLM_PAIRWISE' END AS method, CASE WHEN x.auth > y.auth THEN a WHEN x.auth < y.auth THEN b WHEN x.published_at > y.published_at THEN a WHEN x.published_at < y.published_at THEN b END AS better,
+        CASE WHEN t_o >= 0.5 THEN round(t_o, 6) END AS title_overlap, CASE WHEN g_o >= 0.92 THEN round(g_o, 6) END AS content_overlap FROM links JOIN near ON near.x = a AND near.y = b JOIN r x ON x.id = a JOIN r y ON y.id = b)
+      SELECT a, b, method, CASE WHEN method <> 'LLM_PAIRWISE' AND better IS NOT NULL THEN 'DUPLICATE_CONTENT' ELSE 'NEEDS_REVIEW' END AS verdict, CASE WHEN method <> 'LLM_PAIRWISE' THEN better END AS winner, title_overlap, content_overlap FROM j"""),
 }

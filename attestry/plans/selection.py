@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..bindings import documents, facts, sources, table, with_tables
 from ..domains import AS_OF
 from ..functions import repair, rules, text
-from ..operators.relational import token_pairs
+from ..operators.banded import banded_links, hashed
 from ..operators.selection import select_under_quotas, story_groups
 from ..sources import web
-from .dedup import class_pairs
+from .dedup import banded_sql, class_pairs
 from .events import scored
 
 BUDGET, PER_SOURCE = 40, 3
@@ -154,11 +154,12 @@ def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_pairs_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late documents pair with earlier ones of near titles whenever their own times lie within 72 hours."""
-    d = documents(spark, sf_dir).select("id", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).alias("at"), text.word_set(text.normal_title(F.col("title"))).alias("w"))
-    p = token_pairs(d, "id", "w", 0.8).select("a", "b")
-    side = lambda k: d.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}"))
-    return p.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.col("at_a") - F.col("at_b")) <= 259_200).select("a", "b")
+    """Documents of near titles whose own times lie within 72 hours, however late they come.
+
+    Documents of equal titles meet the one before them, and the nearest ones of a title that is near.
+    """
+    d = documents(spark, sf_dir).select("id", F.unix_timestamp(F.coalesce("published_at", "fetched_at")).alias("at"), hashed(text.word_set(text.normal_title(F.col("title")))).alias("title"))
+    return banded_links(d, 259_200, [], {"title": 80}).select("a", "b", F.round("title", 6).alias("overlap"))
 
 
 QUERIES = {
@@ -182,7 +183,6 @@ ORACLE_SQL = {
     "a20_discovered": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://p.example/' ELSE 'https://q.example/' END || page_id AS link FROM pages",
     "a21_manual_intake": with_tables("docs", "SELECT content_hash, min(id) AS id FROM docs WHERE id % 3 <> 0 AND chars >= 600 AND content_hash NOT IN (SELECT content_hash FROM docs WHERE id % 3 = 0) GROUP BY content_hash"),
     "a25_golden_cases": with_tables("facts", "SELECT CASE WHEN pos % 9 = 8 THEN 'NO_EXPECTATION' WHEN length(span) < 80 THEN 'SHORT' WHEN published IS NULL THEN 'UNDATED' ELSE 'SOUND' END AS problem, count(*) AS n FROM facts GROUP BY ALL"),
-    "j02_window_pairs": with_tables("docs", """also sets AS (SELECT id, coalesce(published_at, fetched_at) AS seen, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' '), ' '), lambda w: w <> ''))) AS s FROM docs),
-      reps AS (SELECT s, min(id) AS id FROM sets WHERE len(s) > 0 GROUP BY s) SELECT x.id AS a, y.id AS b FROM reps x JOIN reps y ON x.id < y.id JOIN sets p ON p.id = x.id JOIN sets q ON q.id = y.id
-      WHERE abs(epoch(p.seen) - epoch(q.seen)) <= 259200 AND len(list_intersect(x.s, y.s)) >= 0.8 * len(list_distinct(list_concat(x.s, y.s)))"""),
+    "j02_window_pairs": with_tables("docs", f"""also {banded_sql("SELECT id, coalesce(published_at, fetched_at) AS seen, nullif(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' '), ' '), lambda w: w <> ''))), []) AS t FROM docs", 259_200, [], {'t': 0.8})}
+      SELECT a, b, round(t_o, 6) AS overlap FROM links JOIN near ON near.x = a AND near.y = b"""),
 }
