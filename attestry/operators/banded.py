@@ -68,21 +68,26 @@ def alike(rows: DataFrame, key: str, tokens: str, percent: int) -> DataFrame:
     """
     named = rows.where(F.col(key).isNotNull())
     first = named.groupBy(F.col(key).alias("c")).agg(F.min("id").alias("id"), F.collect_set("bucket").alias("buckets"))
-    sets = named.select(F.col(key).alias("c"), "id", F.col(tokens).alias("w")).join(first, ["c", "id"]).select("c", "buckets", "w", F.size("w").alias("n"))
-    spread = sets.select("c", "n", F.explode("w").alias("t"))
-    counts = spread.groupBy("t").agg(F.count("*").alias("many"))
-    ordered = spread.join(counts, "t").groupBy("c", "n").agg(F.array_sort(F.collect_set(F.struct("many", "t"))).alias("order"))  # a set: rows may be repeated
-    lead = F.expr(f"n - (({percent} * n + 99) div 100) + 1").cast("int")
-    heads = ordered.select("c", "n", F.posexplode(F.slice("order", F.lit(1), lead)).alias("at", "x")).where("x.many > 1").select("c", "n", "at", F.col("x.t").alias("t"))
-    placed = heads.join(sets.select("c", F.explode("buckets").alias("bucket")), "c")
-    p = placed.select(F.col("c").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"), "t", "bucket")
-    q = placed.select(F.col("c").alias("q"), F.col("n").alias("nq"), F.col("at").alias("aq"), "t", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    # a class goes by the number of its first row; rows may be repeated
+    sets = kept(named.select(F.col(key).alias("c"), "id", F.col(tokens).alias("w")).join(first, ["c", "id"]).select("c", "id", "buckets", "w", F.size("w").alias("n")), "sets")
+    # Spark takes an exploded table for as small as the rows that it comes from; the hints keep such sides from being broadcast
+    spread = sets.select("id", "n", F.explode("w").alias("t"))
+    counts = spread.groupBy("t").agg(F.count("*").alias("many")).where("many > 1")
+    lead = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+    # tokens of one class come first and meet nothing: only their number counts
+    shared = spread.join(counts, "t").select("id", "n", "many", "t", F.dense_rank().over(Window.partitionBy("id").orderBy("many", "t")).alias("rank"))
+    alone = F.col("n") - F.max("rank").over(Window.partitionBy("id"))
+    heads = shared.select("id", "n", "t", (alone + F.col("rank")).alias("at")).where(F.col("at") <= lead)
+    placed = heads.join(sets.select("id", F.explode("buckets").alias("bucket")).hint("merge"), "id")
+    p = placed.select(F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"), "t", "bucket")
+    q = placed.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("at").alias("aq"), "t", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     # common tokens there must be, and there can be when this is the first common one
-    can = (100 + percent) * (1 + F.least(F.col("np") - F.col("ap") - 1, F.col("nq") - F.col("aq") - 1)) >= percent * (F.col("np") + F.col("nq"))
-    met = p.join(q, ["t", "bucket"]).where((F.col("p") != F.col("q")) & can).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
-    side = lambda k: sets.select(F.col("c").alias(k), F.col("w").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
+    can = (100 + percent) * (1 + F.least(F.col("np") - F.col("ap"), F.col("nq") - F.col("aq"))) >= percent * (F.col("np") + F.col("nq"))
+    met = p.join(q.hint("merge"), ["t", "bucket"]).where((F.col("p") != F.col("q")) & can).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("w").alias(f"w{k}"), F.col("n").alias(f"n{k}")).hint("merge")
     both = met.join(side("p"), "p").join(side("q"), "q").withColumn("common", F.size(F.array_intersect("wp", "wq")))
-    return both.where((100 + percent) * F.col("common") >= percent * (F.col("np") + F.col("nq"))).select("p", "q", (F.col("common") / (F.col("np") + F.col("nq") - F.col("common"))).alias("overlap")).distinct()
+    enough = both.where((100 + percent) * F.col("common") >= percent * (F.col("np") + F.col("nq")))
+    return enough.select(F.least("cp", "cq").alias("p"), F.greatest("cp", "cq").alias("q"), (F.col("common") / (F.col("np") + F.col("nq") - F.col("common"))).alias("overlap")).distinct()
 
 
 def banded_links(rows: DataFrame, band: int, exact: list[str], sets: dict[str, int]) -> DataFrame:
@@ -95,7 +100,7 @@ def banded_links(rows: DataFrame, band: int, exact: list[str], sets: dict[str, i
     either; repeated rows of one id are one.
     """
     keys = {name: F.when(F.col(name).isNotNull(), class_key(name, F.col(name))) for name in exact}
-    keys |= {name: F.when(F.size(name) > 0, class_key(name, F.array_sort(name))) for name in sets}
+    keys |= {name: F.when(F.size(name) > 0, class_key(name, F.sort_array(name))) for name in sets}
     base = rows.where("at is not null and id is not null").select("id", F.col("at").cast("long").alias("at"), F.floor(F.col("at") / band).alias("bucket"), *(k.alias(f"k_{name}") for name, k in keys.items()), *sets)
     base = kept(base, "rows")
     near = {name: kept(alike(base, f"k_{name}", name, percent), f"alike-{name}") for name, percent in sets.items()}

@@ -76,7 +76,7 @@ def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     src = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority_score")
     docs = documents(spark, sf_dir).where("parse_status = 'OK'").join(src, "source_code")
-    docs = docs.withColumns({"at": F.unix_timestamp(F.coalesce("published_at", "fetched_at")), "words": F.filter(F.split(text.normal_title(F.col("text")), " "), lambda w: w != "")})
+    docs = docs.withColumns({"at": F.unix_timestamp(F.coalesce("published_at", "fetched_at")), "words": F.array_remove(F.split(text.normal_title(F.col("text")), " "), "")})
     rows = docs.select("id", "at", "url", "content_hash", hashed(text.word_set(text.normal_title(F.col("title")))).alias("title"), text.trigram_hashes(F.col("words")).alias("content"))
     links = banded_links(rows, BAND_HOURS * 3600, ["url", "content_hash"], {"title": 50, "content": 92})
     side = lambda k: docs.select(F.col("id").alias(k), F.struct("url", "content_hash", "authority_score", "published_at").alias(f"x{k}")).distinct()
