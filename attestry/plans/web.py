@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bindings import documents, table, with_tables
-from ..sources import web
+from ..sources import listings as site, web
 from ..streaming import logs as streams
 
 
@@ -44,8 +44,21 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.explode(web.listing_rows(F.col("body"))).alias("r")).select("r.id", F.concat_ws("/", F.lit("https://api.example"), F.col("r.id").cast("string")).alias("url"))
 
 
+#: Listings that the driver's pages hold: item, title, link.
+PAGE_SPECS = (
+    ("MENU", "nav li", "a", "a", None, None), ("MENU_HEAD", "nav", "a", "a", None, None), ("STORY", "article", "h1", None, None, None), ("AD", "div.ad", "", None, None, None),
+    ("PAGE", "html", "title", "nav a", None, None), ("FOOT", "footer", "", None, None, None),
+)
+
+
+def site_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of six kinds of listings, found on all pages in one plan."""
+    found = site.items(table(spark, sf_dir, "pages").where("page_id is not null"), PAGE_SPECS)
+    return found.select("page_id", "spec", "title", "link")
+
+
 QUERIES = {
-    "a08_article_text": articles, "a13_card_links": card_links, "a05_feed_items": feed, "a06_sitemap_urls": sitemap, "a14_json_listing": listings,
+    "a12_site_listings": site_listings, "a08_article_text": articles, "a13_card_links": card_links, "a05_feed_items": feed, "a06_sitemap_urls": sitemap, "a14_json_listing": listings,
     "j01_stream_ingest": streams.ingested, "j03_stream_windows": streams.counted, "j06_stream_alert_once": streams.alerted, "j05_review_states": streams.decided,
 }
 
@@ -64,6 +77,13 @@ def _cut(x: str) -> str:
 
 
 ORACLE_SQL = {
+    "a12_site_listings": f"""WITH c AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\\b[^>]*>.*?</script>', ' ', 'gis'), '<style\\b[^>]*>.*?</style>', ' ', 'gis') AS h FROM pages),
+      nav AS (SELECT page_id, origin, unnest(regexp_extract_all(n, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(n, '<a href="[^"]*">([^<]*)</a>', 1)) AS said, generate_subscripts(regexp_extract_all(n, '<a href="([^"]*)">', 1), 1) AS k FROM (SELECT *, regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1) AS n FROM c)),
+      menu AS (SELECT page_id, origin || href AS link, {_plain('said')} AS title, k FROM nav),
+      found AS (SELECT page_id, 'MENU' AS spec, arg_min(title, k) AS title, link FROM menu GROUP BY page_id, link UNION ALL SELECT page_id, 'MENU_HEAD', title, link FROM menu WHERE k = 1
+        UNION ALL SELECT page_id, 'STORY', {_plain("regexp_extract(h, '(?s)<article>.*?<h1>(.*?)</h1>', 1)")}, url FROM c UNION ALL SELECT page_id, 'AD', {_plain("regexp_extract(h, '(?s)<div class=\"ad\">(.*?)</div>', 1)")}, url FROM c
+        UNION ALL SELECT c.page_id, 'PAGE', {_plain("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")}, link FROM c JOIN menu ON c.page_id = menu.page_id AND k = 1 UNION ALL SELECT page_id, 'FOOT', {_plain("regexp_extract(h, '(?s)<footer>(.*?)</footer>', 1)")}, url FROM c)
+      SELECT page_id, spec, title, link FROM found WHERE title <> '' AND link IS NOT NULL""",
     "a08_article_text": f"""SELECT page_id, title, sha256(t) AS text_sha, CAST(length(t) AS BIGINT) AS chars, note FROM (SELECT page_id, title, CASE WHEN length(i) >= 400 THEN i ELSE w END AS t, CASE WHEN length(i) >= 400 THEN 'ARTICLE' ELSE 'BODY' END AS note
       FROM (SELECT page_id, {_plain("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")} AS title, {_plain(_cut("regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)"))} AS i, {_plain(_cut("regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1)"))} AS w FROM pages))""",
     "a13_card_links": """SELECT page_id, CAST(generate_subscripts(x, 1) - 1 AS BIGINT) AS pos, unnest(x) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1) AS x FROM pages) WHERE len(x) > 0""",
