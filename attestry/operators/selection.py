@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import scratch
@@ -67,13 +67,31 @@ def select_under_quotas(candidates: DataFrame, order: list[Column], phases: list
         picked = greedy([{"id": r["id"], "source": r["source"], "marks": set(r["marks"])} for r in rows], phases, budget, per_source)
         return pa.table([[r["id"] for r in picked], list(range(1, len(picked) + 1))], schema=schema)
 
-    from pyspark.sql import Window
-
     small = reachable(candidates, order, budget, per_source)
     placed = small.select("id", "source", "marks", F.row_number().over(Window.orderBy(*order)).alias("place"))
     return placed.groupBy().applyInArrow(run, "id long, pick long")
 
 
+def main_batch(candidates: DataFrame, order: list[Column], dimensions: list[str], represented: DataFrame, floor: int, per_source: int, most: int) -> DataFrame:
+    """(id, why, pick): first the best candidate of every dimension that nothing represents yet, then all of high score.
+
+    Candidates: id, source, score, marks, and what ``order`` reads; ``dimensions`` are marks, in
+    the order in which gaps are filled, those that end with ``*`` stand for all marks with that
+    beginning, by name; ``represented`` has the marks that need no seed.  A source gives
+    ``per_source`` candidates at most, and ``most`` is the ceiling of the batch.
+    """
+    place = F.lit(None).cast("int")
+    for k, mark in enumerate(dimensions):
+        fits = F.startswith("mark", F.lit(mark[:-1])) if mark.endswith("*") else F.col("mark") == mark
+        place = F.coalesce(place, F.when(fits, F.lit(k)))
+    marked = candidates.withColumn("mark", F.explode("marks")).join(represented.select("mark").distinct(), "mark", "left_anti").withColumn("place", place).where("place is not null")
+    seeds = rank_limited(marked, ["mark"], order, 1).groupBy("id").agg(F.min(F.struct("place", "mark")).alias("gap"))
+    chosen = candidates.join(seeds, "id", "left").where((F.col("gap").isNotNull()) | (F.col("score") >= floor))
+    first = [F.col("gap").isNull(), F.col("gap"), *order]
+    capped = rank_limited(chosen, ["source"], first, per_source).orderBy(*first).limit(most)
+    return capped.select("id", F.when(F.col("gap").isNotNull(), "SEED").otherwise("PRIORITY").alias("why"), F.row_number().over(Window.orderBy(*first)).alias("pick"))
+
+
 def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component) of the nodes of (a, b): the smallest id that links reach.  Each round is stored."""
     spark = edges.sparkSession

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..bindings import classifications, documents, facts, sources, table, with_tables
 from ..domains import AS_OF, CHUNK_CHARS
 from ..functions import rules, text
-from ..operators.relational import rank_limited
+from ..operators.relational import exact_ranks, rank_limited
 
 NOW, HORIZON = f"{AS_OF} 00:00:00", 30
 
@@ -41,17 +41,14 @@ def refetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper median and ninth decile of text lengths per language, by rank, without gathering them."""
-    from pyspark.sql import Window
-
-    docs = documents(spark, sf_dir).select("lang", "chars", "id")
-    w, all_of = Window.partitionBy("lang").orderBy("chars", "id"), Window.partitionBy("lang")
-    ranked = docs.withColumns({"k": F.row_number().over(w), "many": F.count("*").over(all_of)})
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col("chars")))
-    return ranked.groupBy("lang").agg(
-        F.count("*").alias("n"), F.min("chars").alias("least"), at(F.floor(F.col("many") / 2) + 1).alias("median"), at(F.ceil(F.col("many") * 9 / 10)).alias("p90"),
-        F.max("chars").alias("most"), F.round(F.avg("chars"), 3).alias("mean"), F.count_if(F.col("chars") > CHUNK_CHARS).alias("long_texts"),
+    """Upper median and ninth decile of text lengths per language, exactly, by counts per length."""
+    docs = documents(spark, sf_dir).select("lang", "chars")
+    plain = docs.groupBy("lang").agg(
+        F.count("*").alias("n"), F.min("chars").alias("least"), F.max("chars").alias("most"), F.round(F.avg("chars"), 3).alias("mean"), F.count_if(F.col("chars") > CHUNK_CHARS).alias("long_texts"),
     )
+    ranks = exact_ranks(docs, ["lang"], "chars", {"median": F.floor(F.col("n") / 2) + 1, "p90": F.ceil(F.col("n") * 9 / 10)})
+    both = plain.alias("s").join(ranks.alias("r"), F.col("s.lang").eqNullSafe(F.col("r.lang")), "left")
+    return both.select("s.lang", "n", "least", "median", "p90", "most", "mean", "long_texts")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,7 +217,7 @@ def events_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sources(spark, sf_dir).select(F.col("code").alias("source_code"), "authority")
     f = facts(spark, sf_dir)
     k = f.where("kpi_label is not null").groupBy("kpi_label").agg(F.count_distinct("doc_id").alias("kpi_docs"))
-    return f.join(d, "doc_id").join(s, "source_code").join(F.broadcast(k), "kpi_label", "left").select("code", "lang", "authority", F.coalesce("kpi_docs", F.lit(0)).alias("kpi_docs"))
+    return f.join(d, "doc_id").join(s, "source_code").join(k, "kpi_label", "left").select("code", "lang", "authority", F.coalesce("kpi_docs", F.lit(0)).alias("kpi_docs"))
 
 
 def by_department(spark: SparkSession, sf_dir: str) -> DataFrame:

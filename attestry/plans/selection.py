@@ -9,15 +9,18 @@ from ..bindings import documents, facts, sources, table, with_tables
 from ..domains import AS_OF
 from ..functions import repair, rules, text
 from ..operators.banded import banded_links, hashed
-from ..operators.selection import select_under_quotas, story_groups
+from ..operators.selection import main_batch, select_under_quotas, story_groups
 from ..sources import web
 from .dedup import banded_sql, class_pairs
-from .events import scored
+from .events import _EV, scored
 
 BUDGET, PER_SOURCE = 40, 3
 LANES = {"CRAWLED": "WHITELIST", "OPEN_SEARCH": "DEEP_RESEARCH", "BROWSER_RENDER": "DEEP_RESEARCH", "MANUAL_TEXT": "MANUAL", "FILE_UPLOAD": "MANUAL"}
+CEILING = 60
 TOPIC_ORDER = ("REGULATION", "METRIC", "CORPORATE_ACTION", "PRODUCT_LAUNCH", "OTHER")
 
+DIMENSIONS = [*(f"topic:{t}" for t in TOPIC_ORDER), *(f"lane:{k}" for k in ("WHITELIST", "DEEP_RESEARCH", "MANUAL")), "primary", "market:VN", "entity:*"]
+
 
 def phases(budget: int) -> list[tuple[str | None, int]]:
     """Topics first, then ways of acquisition, the home market, other markets, and the rest."""
@@ -49,17 +52,16 @@ def analyst_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_under_quotas(candidates(spark, sf_dir), order(), phases(BUDGET), BUDGET, PER_SOURCE)
 
 
-def coverage_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main batch: the best document of every mark that is not represented yet, then all of high score."""
-    from pyspark.sql import Window
-
+def main_batch_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main batch: the best document of every topic, way of acquisition, kind of evidence, market and
+    company that is not represented yet, then all of high score, a few a source, up to a ceiling."""
     c = candidates(spark, sf_dir)
-    shown = c.where("id % 25 = 0").select(F.explode("marks").alias("mark")).distinct()
-    rest = c.where("id % 25 <> 0")
-    marked = rest.select("id", "score", "away", "source", F.explode("marks").alias("mark")).join(shown, "mark", "left_anti")
-    seeds = marked.withColumn("rank", F.row_number().over(Window.partitionBy("mark").orderBy(*order()))).where("rank = 1").select("id", F.lit("SEED").alias("why"))
-    high = rest.where("score >= 60").select("id", F.lit("PRIORITY").alias("why"))
-    return seeds.unionByName(high).groupBy("id").agg(F.max("why").alias("why"))
+    primary = sources(spark, sf_dir).where("primary_source").select(F.col("code").alias("source"), F.array(F.lit("primary")).alias("p"))
+    named = facts(spark, sf_dir).where("company is not null").groupBy(F.col("doc_id").alias("id")).agg(F.transform(F.collect_set("company"), lambda x: F.concat(F.lit("entity:"), x)).alias("e"))
+    none = F.array().cast("array<string>")
+    c = c.join(primary, "source", "left").join(named, "id", "left").withColumn("marks", F.concat("marks", F.coalesce("p", none), F.coalesce("e", none))).drop("p", "e")
+    shown = c.where(F.col("id") % 250 == 0).select(F.explode("marks").alias("mark"))
+    return main_batch(c.where(F.col("id") % 250 != 0), order(), DIMENSIONS, shown, 60, PER_SOURCE, CEILING)
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +86,7 @@ def reader_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     menu, tail = "* [Home](/h)\n* [News](/n)\n", "\n## Tin liên quan\n* [More](/m)"
     body = F.concat(F.lit("# "), "title", F.lit("\n![x](a.png)\n**"), F.substring("title", 1, 10), F.lit("** [link](http://l)\n| --- | --- |\n"), "text")
     page = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Title: Shown\nMarkdown Content:\n"), F.lit(menu), body, F.lit(tail))).otherwise(F.concat(F.lit(menu), body))
-    made = documents(spark, sf_dir).where(~F.col("text").contains("Markdown")).select("id", web.reader_article(page).alias("a"))
+    made = documents(spark, sf_dir).select("id", web.reader_article(page).alias("a"))
     return made.select("id", "a.title", F.sha2("a.text", 256).alias("text_sha"), "a.problem")
 
 
@@ -163,7 +165,7 @@ def title_pairs_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "g08_analyst_batch": analyst_batch, "g09_main_batch": coverage_seeds, "d18_stories": stories, "a11_reader_articles": reader_articles, "a17_report_links": report_links, "k31_page_metadata": page_metadata,
+    "g08_analyst_batch": analyst_batch, "g09_main_batch": main_batch_of, "d18_stories": stories, "a11_reader_articles": reader_articles, "a17_report_links": report_links, "k31_page_metadata": page_metadata,
     "k24_repaired_replies": repaired_replies, "a16_embedded_objects": embedded_objects, "a15_embedded_state": embedded_state, "a19_retriable": retriable, "a20_discovered": discovered, "a21_manual_intake": manual_intake,
     "a25_golden_cases": golden_cases, "j02_window_pairs": title_pairs_in_window,
 }
@@ -183,6 +185,15 @@ ORACLE_SQL = {
     "a20_discovered": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://p.example/' ELSE 'https://q.example/' END || page_id AS link FROM pages",
     "a21_manual_intake": with_tables("docs", "SELECT content_hash, min(id) AS id FROM docs WHERE id % 3 <> 0 AND chars >= 600 AND content_hash NOT IN (SELECT content_hash FROM docs WHERE id % 3 = 0) GROUP BY content_hash"),
     "a25_golden_cases": with_tables("facts", "SELECT CASE WHEN pos % 9 = 8 THEN 'NO_EXPECTATION' WHEN length(span) < 80 THEN 'SHORT' WHEN published IS NULL THEN 'UNDATED' ELSE 'SOUND' END AS problem, count(*) AS n FROM facts GROUP BY ALL"),
+    "g09_main_batch": with_tables("facts src", f"""{_EV.rstrip()},
+      c AS (SELECT d.id, source_code AS source, score, coalesce(market, '') <> 'VN' AS away, list_concat(list_concat(topics, ['lane:' || CASE intake WHEN 'CRAWLED' THEN 'WHITELIST' WHEN 'OPEN_SEARCH' THEN 'DEEP_RESEARCH' WHEN 'BROWSER_RENDER' THEN 'DEEP_RESEARCH' ELSE 'MANUAL' END]),
+          list_filter(list_concat(['primary', 'market:VN'], coalesce(firms, [])), lambda m: (m <> 'primary' OR primary_source) AND (m <> 'market:VN' OR market = 'VN'))) AS marks
+        FROM docs d JOIN src ON src.code = source_code JOIN (SELECT sc.doc_id, max(score) AS score, list(DISTINCT 'topic:' || fact_type) AS topics, list(DISTINCT 'entity:' || company) FILTER (company IS NOT NULL) AS firms FROM sc JOIN facts USING (code) GROUP BY sc.doc_id) g ON g.doc_id = d.id
+        WHERE NOT sample AND use_policy <> 'ARCHIVE_ONLY'),
+      m AS (SELECT c.id, score, away, source, mark, CASE WHEN mark LIKE 'entity:%' THEN 10 ELSE list_position({DIMENSIONS[:-1]}, mark) - 1 END AS place FROM (SELECT *, unnest(marks) AS mark FROM c) c WHERE id % 250 <> 0 AND mark NOT IN (SELECT unnest(marks) FROM c WHERE id % 250 = 0)),
+      seeds AS (SELECT id, min((place, mark)) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY mark ORDER BY score DESC, away, source, id) AS rn FROM m WHERE place IS NOT NULL) WHERE rn = 1 GROUP BY id),
+      chosen AS (SELECT c.*, gap, row_number() OVER (PARTITION BY source ORDER BY gap IS NULL, gap, score DESC, away, source, id) AS k FROM c LEFT JOIN seeds USING (id) WHERE id % 250 <> 0 AND (gap IS NOT NULL OR score >= 60))
+      SELECT id, CASE WHEN gap IS NULL THEN 'PRIORITY' ELSE 'SEED' END AS why, CAST(row_number() OVER (ORDER BY gap IS NULL, gap, score DESC, away, source, id) AS INT) AS pick FROM chosen WHERE k <= {PER_SOURCE} ORDER BY pick LIMIT {CEILING}"""),
     "j02_window_pairs": with_tables("docs", f"""also {banded_sql("SELECT id, coalesce(published_at, fetched_at) AS seen, nullif(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' '), ' '), lambda w: w <> ''))), []) AS t FROM docs", 259_200, [], {'t': 0.8})}
       SELECT a, b, round(t_o, 6) AS overlap FROM links JOIN near ON near.x = a AND near.y = b"""),
 }

@@ -67,7 +67,7 @@ def test_query_equals_its_sql(found, duck, name):
 
 
 #: Sequential selections, complete-link groups and a page cleaner; held by tests/test_selection.py.
-WITHOUT_SQL = {"g08_analyst_batch", "g09_main_batch", "d18_stories", "a11_reader_articles"}
+WITHOUT_SQL = {"g08_analyst_batch", "d18_stories", "a11_reader_articles"}
 
 
 def test_all_other_queries_have_sql():
