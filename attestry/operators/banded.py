@@ -80,10 +80,10 @@ def alike(rows: DataFrame, key: str, tokens: str, percent: int) -> DataFrame:
     heads = shared.select("id", "n", "t", (alone + F.col("rank")).alias("at")).where(F.col("at") <= lead)
     placed = heads.join(sets.select("id", F.explode("buckets").alias("bucket")).hint("merge"), "id")
     p = placed.select(F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"), "t", "bucket")
-    q = placed.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("at").alias("aq"), "t", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    q = placed.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("at").alias("aq"), "t", "bucket", F.explode(F.array(F.lit(0), F.lit(1))).alias("next")).withColumn("bucket", F.col("bucket") + F.col("next"))
     # common tokens there must be, and there can be when this is the first common one
     can = (100 + percent) * (1 + F.least(F.col("np") - F.col("ap"), F.col("nq") - F.col("aq"))) >= percent * (F.col("np") + F.col("nq"))
-    met = p.join(q.hint("merge"), ["t", "bucket"]).where((F.col("p") != F.col("q")) & can).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    met = p.join(q.hint("merge"), ["t", "bucket"]).where((F.col("p") != F.col("q")) & ((F.col("next") == 1) | (F.col("p") < F.col("q"))) & can).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     side = lambda k: sets.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("w").alias(f"w{k}"), F.col("n").alias(f"n{k}")).hint("merge")
     both = met.join(side("p"), "p").join(side("q"), "q").withColumn("common", F.size(F.array_intersect("wp", "wq")))
     enough = both.where((100 + percent) * F.col("common") >= percent * (F.col("np") + F.col("nq")))

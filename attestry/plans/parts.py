@@ -32,14 +32,6 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("summary", F.concat_ws(" ", "source_code", F.concat(F.lit("ok="), "ok"), F.when(F.col("failed") > 0, F.concat(F.lit("failed="), "failed"))))
 
 
-def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reader of each source type, and how many documents it reads."""
-    kind = F.element_at(F.array(*map(F.lit, ("HTML", "RSS", "SITEMAP", "PDF", "JSON"))), (F.col("n") % 5 + 1).cast("int"))
-    s = sources(spark, sf_dir).select(F.col("code").alias("source_code"), kind.alias("kind"))
-    reader = F.when(F.col("kind") == "RSS", "feed_items").when(F.col("kind") == "SITEMAP", "sitemap_urls").when(F.col("kind") == "JSON", "listing_rows").when(F.col("kind") == "HTML", "article").otherwise("unsupported")
-    return documents(spark, sf_dir).select("source_code").join(s, "source_code").groupBy("kind", reader.alias("reader")).agg(F.count("*").alias("n"))
-
-
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = web.plain(web.without_elements(F.col("html"), ("script", "style")))
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(t, 256).alias("text_sha"), F.length(t).cast("long").alias("chars"))
@@ -887,7 +879,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "a02_sources_in_order": sources_in_order, "a03_ingest_summary": ingest_summary, "a04_dispatch": dispatch, "a07_page_text": page_text, "a24_with_source": with_source, "a26_pasted_list": pasted,
+    "a02_sources_in_order": sources_in_order, "a03_ingest_summary": ingest_summary, "a07_page_text": page_text, "a24_with_source": with_source, "a26_pasted_list": pasted,
     "b03_failure_rows": failure_rows, "b04_csv_lines": csv_lines, "b09_logged": logged, "b11_cache_writes": cache_writes, "b12_rebuilt_windows": rebuilt, "c02_synthesis_facts": synthesis_facts, "c03_news_candidates": news_candidates,
     "c04_audited_codes": audited_codes, "c05_facts_of": facts_of, "c06_version_events": version_events, "c12_planner_content": planner_content, "c16_submissions": submissions, "c17_valid_codes": valid_codes, "c18_safe_facts": safe_facts,
     "c19_display_dates": display_dates, "c20_hot_claims": hot_claims, "c21_latest_states": latest_states, "c22_life_feed": life_feed, "c25_fresh_inputs": fresh_inputs, "c26_chapters": chapters, "c27_source_health": source_health,

@@ -26,7 +26,6 @@ _STRIPPED = "regexp_replace(regexp_replace(html, '<script\\b[^>]*>.*?</script>',
 ORACLE_SQL = {
     "a02_sources_in_order": with_tables("src", "SELECT code, row_number() OVER (ORDER BY authority_score DESC, code) - 1 AS place FROM src"),
     "a03_ingest_summary": with_tables("docs src", f"SELECT *, source_code || ' ok=' || ok || CASE WHEN failed > 0 THEN ' failed=' || failed ELSE '' END AS summary FROM (SELECT source_code, count(*) FILTER (parse_status = 'OK') AS ok, count(*) FILTER (parse_status <> 'OK') AS failed FROM docs JOIN src ON code = source_code WHERE {_USABLE} GROUP BY source_code)"),
-    "a04_dispatch": with_tables("docs src", "SELECT kind, CASE kind WHEN 'HTML' THEN 'article' WHEN 'RSS' THEN 'feed_items' WHEN 'SITEMAP' THEN 'sitemap_urls' WHEN 'JSON' THEN 'listing_rows' ELSE 'unsupported' END AS reader, count(*) AS n FROM docs JOIN (SELECT code, ['HTML', 'RSS', 'SITEMAP', 'PDF', 'JSON'][n % 5 + 1] AS kind FROM src) ON code = source_code GROUP BY ALL"),
     "a07_page_text": f"SELECT page_id, sha256(t) AS text_sha, CAST(length(t) AS BIGINT) AS chars FROM (SELECT page_id, {_plain(_STRIPPED)} AS t FROM pages)",
     "a24_with_source": with_tables("docs src", "SELECT coalesce(authority, 'NO_SOURCE') AS authority, count(*) AS n FROM docs LEFT JOIN (SELECT * FROM src WHERE n % 13 <> 5) ON code = source_code GROUP BY ALL"),
     "a26_pasted_list": "SELECT doc_id, CAST(0 AS BIGINT) AS pos, 'https://a.example/' || doc_id || '.pdf' AS link, 'PDF' AS kind FROM documents UNION ALL SELECT doc_id, 1, 'https://b.example/feed/' || doc_id % 7, 'HTML' FROM documents",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..bindings import documents, table, with_tables
-from ..sources import listings as site, web
+from ..bindings import documents, sources, table, with_tables
+from ..sources import connectors, listings as site, web
+from ..storage import scratch
 from ..streaming import logs as streams
 
 
@@ -44,6 +45,33 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.explode(web.listing_rows(F.col("body"))).alias("r")).select("r.id", F.concat_ws("/", F.lit("https://api.example"), F.col("r.id").cast("string")).alias("url"))
 
 
+def dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents through the reader of its type: items by source, and what could not be read.
+
+    Sources of the home market publish feeds, those of Singapore JSON listings, global ones
+    sitemaps; the files are written a document a line, with a broken line for each document
+    that failed to parse.
+    """
+    connectors.register(spark)
+    sign = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind = F.when(F.col("market") == "VN", "RSS").when(F.col("market") == "SG", "JSON").when(F.col("market") == "GLOBAL", "SITEMAP")
+    src = sources(spark, sf_dir).select(F.col("code").alias("source_code"), kind.alias("kind")).where("kind is not null")
+    docs = documents(spark, sf_dir).select("id", "source_code", "parse_status", "title", "url").join(src, "source_code")
+    tag = lambda name, inner: F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))
+    writers = {
+        "RSS": tag("rss", tag("item", F.concat(tag("title", sign(F.col("title"))), tag("link", F.col("url"))))), "SITEMAP": tag("urlset", tag("url", tag("loc", F.col("url")))),
+        "JSON": F.to_json(F.struct(F.array(F.struct("id", "title", "url")).alias("data"))),
+    }
+    found = None
+    for name, source in connectors.BY_TYPE.items():
+        folder = scratch(spark, f"files-{name.lower()}")
+        line = F.when(F.col("parse_status") == "OK", writers[name]).otherwise(F.substr(writers[name], F.lit(1), F.length(writers[name]) - 3))
+        docs.where(F.col("kind") == name).select(line.alias("value")).where("value is not null").write.text(folder)
+        rows = spark.read.format(source.name()).load(folder).select(F.lit(name).alias("kind"), F.regexp_extract("link", r"^https://([^.]+)\.", 1).alias("source_code"), "problem")
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("kind", "source_code", F.coalesce("problem", F.lit("OK")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 #: Listings that the driver's pages hold: item, title, link.
 PAGE_SPECS = (
     ("MENU", "nav li", "a", "a", None, None), ("MENU_HEAD", "nav", "a", "a", None, None), ("STORY", "article", "h1", None, None, None), ("AD", "div.ad", "", None, None, None),
@@ -58,7 +86,7 @@ def site_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "a12_site_listings": site_listings, "a08_article_text": articles, "a13_card_links": card_links, "a05_feed_items": feed, "a06_sitemap_urls": sitemap, "a14_json_listing": listings,
+    "a04_dispatch": dispatched, "a12_site_listings": site_listings, "a08_article_text": articles, "a13_card_links": card_links, "a05_feed_items": feed, "a06_sitemap_urls": sitemap, "a14_json_listing": listings,
     "j01_stream_ingest": streams.ingested, "j03_stream_windows": streams.counted, "j06_stream_alert_once": streams.alerted, "j05_review_states": streams.decided,
 }
 
@@ -77,6 +105,9 @@ def _cut(x: str) -> str:
 
 
 ORACLE_SQL = {
+    "a04_dispatch": with_tables("docs src", """SELECT kind, CASE WHEN parse_status = 'OK' THEN source_code END AS source_code, CASE WHEN parse_status = 'OK' THEN 'OK' ELSE 'PARSE_ERROR' END AS outcome, count(*) AS n
+      FROM (SELECT *, CASE market WHEN 'VN' THEN 'RSS' WHEN 'SG' THEN 'JSON' WHEN 'GLOBAL' THEN 'SITEMAP' END AS kind FROM docs JOIN src ON code = source_code)
+      WHERE kind IS NOT NULL AND NOT (kind = 'JSON' AND parse_status = 'OK' AND trim(title) = '') AND title IS NOT NULL GROUP BY ALL"""),
     "a12_site_listings": f"""WITH c AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\\b[^>]*>.*?</script>', ' ', 'gis'), '<style\\b[^>]*>.*?</style>', ' ', 'gis') AS h FROM pages),
       nav AS (SELECT page_id, origin, unnest(regexp_extract_all(n, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(n, '<a href="[^"]*">([^<]*)</a>', 1)) AS said, generate_subscripts(regexp_extract_all(n, '<a href="([^"]*)">', 1), 1) AS k FROM (SELECT *, regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1) AS n FROM c)),
       menu AS (SELECT page_id, origin || href AS link, {_plain('said')} AS title, k FROM nav),
