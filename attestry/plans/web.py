@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..bindings import documents, sources, table, with_tables
 from ..sources import connectors, listings as site, web
 from ..storage import scratch
-from ..streaming import logs as streams
+from ..streaming import logs as streams, review
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,7 @@ def site_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "a04_dispatch": dispatched, "a12_site_listings": site_listings, "a08_article_text": articles, "a13_card_links": card_links, "a05_feed_items": feed, "a06_sitemap_urls": sitemap, "a14_json_listing": listings,
     "j01_stream_ingest": streams.ingested, "j03_stream_windows": streams.counted, "j06_stream_alert_once": streams.alerted, "j05_review_states": streams.decided,
+    "j05_claim_states": review.reviewed,
 }
 
 
@@ -124,5 +125,8 @@ ORACLE_SQL = {
     "j01_stream_ingest": with_tables("docs", "SELECT min(id) AS id, content_hash FROM docs GROUP BY content_hash"),
     "j06_stream_alert_once": "SELECT DISTINCT user_id FROM events WHERE event_type = 'error'",
     "j05_review_states": "SELECT user_id, CASE arg_min(event_type, (ts, event_id)) WHEN 'purchase' THEN 'APPROVED' ELSE 'REJECTED' END AS state FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id",
+    "j05_claim_states": with_tables("checks", """SELECT o_orderkey AS claim_id, CASE WHEN first IS NULL THEN CASE WHEN o_orderdate + INTERVAL 90 DAY < until - INTERVAL 30 DAY THEN 'EXPIRED' ELSE 'PENDING_VERIFICATION' END WHEN first > o_orderdate + INTERVAL 90 DAY THEN 'EXPIRED'
+      WHEN verdict = 'ENTAILED' THEN 'AUTO_APPROVED' ELSE 'PENDING_REVIEW' END AS status FROM orders LEFT JOIN (SELECT claim_id, min(created) AS first, arg_max(verdict, (created, t1, t2, t3)) AS verdict FROM checks GROUP BY claim_id) ON claim_id = o_orderkey,
+      (SELECT greatest((SELECT max(created) FROM checks), (SELECT max(o_orderdate) FROM orders)) AS until)"""),
     "j03_stream_windows": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events) GROUP BY ALL",
 }
