@@ -12,7 +12,7 @@ from attestry import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-USED = "orders lineitem events documents pages labels conversations".split()
+USED = "orders lineitem events documents pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not there")
 
 
