@@ -2,8 +2,9 @@
 
 Rows are put into classes: one for each value of an exact column, one for each distinct set of
 tokens.  Two classes of sets are alike when their Jaccard overlap reaches a percentage; only
-classes that stand in the same or in neighbouring buckets of time are compared, after prefix,
-length and positional filters on their rarest tokens.
+classes that stand in the same or in neighbouring buckets of time are compared, after prefix
+and positional filters on tokens in the order of their hashes, frequent ones last.  Only
+these first tokens are stored and shuffled; whole sets are read again for those that meet.
 
 The links are then read off a timeline of each class.  A row meets the row of its class before
 it; a row of the smaller of two classes that are alike meets the rows of the larger one nearest
@@ -25,6 +26,12 @@ from pyspark.sql import functions as F
 from ..storage import scratch
 
 
+#: Tokens of more classes than this come last in the order; and tokens stored beside twice the lead.
+FREQUENT, SLACK = 200, 16
+#: So many ids are broadcast at most.
+SMALL_IDS = 1 << 20
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder."""
     path = scratch(df.sparkSession, name)
@@ -61,31 +68,56 @@ def nearest(timeline: DataFrame) -> DataFrame:
     return seen.join(beyond, ["key", "part"]).select("key", "at", "id", "ask", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
 
 
-def alike(rows: DataFrame, key: str, tokens: str, percent: int) -> DataFrame:
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of some ids; ids are broadcast where their number allows it, so that nothing is shuffled or made of other rows."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "id", "left_semi")
+
+
+def lead(n: Column, percent: int) -> Column:
+    """How many tokens of a set of ``n``, in an order that all sets share, can't all be missing in one that is alike."""
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def kept_lead(n: Column, percent: int) -> Column:
+    """How many tokens are stored: the lead, and as many again in case some are too frequent."""
+    return (2 * lead(n, percent) + SLACK).cast("int")
+
+
+def alike(base: DataFrame, rows: DataFrame, name: str, percent: int) -> DataFrame:
     """(p, q, overlap) of unlike classes whose sets overlap by ``percent`` or more and that stand in neighbouring buckets.
 
-    ``rows``: id, ``key`` (a class), ``tokens`` (its set) and bucket.
+    ``base`` has id, bucket, and of each set its class ``k_``, size ``n_`` and first tokens
+    ``t_``; ``rows`` has the whole sets.  Tokens are ordered by their hash, but those of more
+    than ``FREQUENT`` classes come last: a class meets others on the first tokens in that order.
+    Classes whose stored tokens hold too few others have their sets read again.
     """
-    named = rows.where(F.col(key).isNotNull())
-    first = named.groupBy(F.col(key).alias("c")).agg(F.min("id").alias("id"), F.collect_set("bucket").alias("buckets"))
+    named = base.where(F.col(f"k_{name}").isNotNull()).select("id", F.col(f"k_{name}").alias("c"), "bucket", F.col(f"n_{name}").alias("n"), F.col(f"t_{name}").alias("w"))
+    first = named.groupBy("c").agg(F.min("id").alias("id"), F.collect_set("bucket").alias("buckets"))
     # a class goes by the number of its first row; rows may be repeated
-    sets = kept(named.select(F.col(key).alias("c"), "id", F.col(tokens).alias("w")).join(first, ["c", "id"]).select("c", "id", "buckets", "w", F.size("w").alias("n")), "sets")
+    classes = kept(named.drop("bucket").distinct().join(first, ["c", "id"]), "classes")
+    spread = classes.select("id", "n", F.explode("w").alias("t"))
+    frequent = kept(spread.groupBy("t").agg(F.count("*").alias("many")).where(F.col("many") > FREQUENT).select("t"), "frequent")
+    often = spread.join(frequent, "t").groupBy("id").agg(F.count("*").alias("often"))
+    few = (F.size("w") - F.col("often") < lead(F.col("n"), percent)) & (F.size("w") < F.col("n"))
+    short = kept(classes.join(often, "id").where(few).select("id"), "short")
+    whole = only(rows, short).select("id", F.size(name).alias("n"), F.explode(F.array_distinct(name)).alias("t"))
+    tokens = kept(spread.join(short, "id", "left_anti"), "tokens").unionByName(kept(whole.distinct(), "whole"))
+    known = tokens.join(frequent.withColumn("last", F.lit(True)), "t", "left").select("id", "n", "t", F.coalesce("last", F.lit(False)).alias("last"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("last", "t")).alias("at")
+    heads = known.select("id", "n", "t", place).where(F.col("at") <= lead(F.col("n"), percent))
     # Spark takes an exploded table for as small as the rows that it comes from; the hints keep such sides from being broadcast
-    spread = sets.select("id", "n", F.explode("w").alias("t"))
-    counts = spread.groupBy("t").agg(F.count("*").alias("many")).where("many > 1")
-    lead = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    # tokens of one class come first and meet nothing: only their number counts
-    shared = spread.join(counts, "t").select("id", "n", "many", "t", F.dense_rank().over(Window.partitionBy("id").orderBy("many", "t")).alias("rank"))
-    alone = F.col("n") - F.max("rank").over(Window.partitionBy("id"))
-    heads = shared.select("id", "n", "t", (alone + F.col("rank")).alias("at")).where(F.col("at") <= lead)
-    placed = heads.join(sets.select("id", F.explode("buckets").alias("bucket")).hint("merge"), "id")
+    placed = heads.join(classes.select("id", F.explode("buckets").alias("bucket")).hint("merge"), "id")
     p = placed.select(F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"), "t", "bucket")
     q = placed.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("at").alias("aq"), "t", "bucket", F.explode(F.array(F.lit(0), F.lit(1))).alias("next")).withColumn("bucket", F.col("bucket") + F.col("next"))
     # common tokens there must be, and there can be when this is the first common one
     can = (100 + percent) * (1 + F.least(F.col("np") - F.col("ap"), F.col("nq") - F.col("aq"))) >= percent * (F.col("np") + F.col("nq"))
-    met = p.join(q.hint("merge"), ["t", "bucket"]).where((F.col("p") != F.col("q")) & ((F.col("next") == 1) | (F.col("p") < F.col("q"))) & can).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("w").alias(f"w{k}"), F.col("n").alias(f"n{k}")).hint("merge")
-    both = met.join(side("p"), "p").join(side("q"), "q").withColumn("common", F.size(F.array_intersect("wp", "wq")))
+    met = p.join(q.hint("merge"), ["t", "bucket"]).where((F.col("p") != F.col("q")) & ((F.col("next") == 1) | (F.col("p") < F.col("q"))) & can).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    met = kept(met.distinct(), "met")
+    asked = met.select(F.explode(F.array("p", "q")).alias("id")).distinct()
+    sets = kept(only(rows, asked).select("id", F.col(name).alias("w")), "sets")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("w").alias(f"w{k}"))
+    key = lambda k: classes.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"))
+    both = met.join(side("p"), "p").join(side("q"), "q").select("p", "q", F.size(F.array_intersect("wp", "wq")).alias("common")).join(key("p"), "p").join(key("q"), "q")
     enough = both.where((100 + percent) * F.col("common") >= percent * (F.col("np") + F.col("nq")))
     return enough.select(F.least("cp", "cq").alias("p"), F.greatest("cp", "cq").alias("q"), (F.col("common") / (F.col("np") + F.col("nq") - F.col("common"))).alias("overlap")).distinct()
 
@@ -101,9 +133,12 @@ def banded_links(rows: DataFrame, band: int, exact: list[str], sets: dict[str, i
     """
     keys = {name: F.when(F.col(name).isNotNull(), class_key(name, F.col(name))) for name in exact}
     keys |= {name: F.when(F.size(name) > 0, class_key(name, F.sort_array(name))) for name in sets}
-    base = rows.where("at is not null and id is not null").select("id", F.col("at").cast("long").alias("at"), F.floor(F.col("at") / band).alias("bucket"), *(k.alias(f"k_{name}") for name, k in keys.items()), *sets)
+    rows = rows.where("at is not null and id is not null")
+    size = {name: F.size(name) for name in sets}
+    first = {name: F.slice(F.sort_array(name), F.lit(1), F.greatest(F.lit(0), kept_lead(size[name], percent))) for name, percent in sets.items()}
+    base = rows.select("id", F.col("at").cast("long").alias("at"), F.floor(F.col("at") / band).alias("bucket"), *(k.alias(f"k_{name}") for name, k in keys.items()), *(size[name].alias(f"n_{name}") for name in sets), *(first[name].alias(f"t_{name}") for name in sets))
     base = kept(base, "rows")
-    near = {name: kept(alike(base, f"k_{name}", name, percent), f"alike-{name}") for name, percent in sets.items()}
+    near = {name: kept(alike(base, rows, name, percent), f"alike-{name}") for name, percent in sets.items()}
     members = base.select("at", "id", F.explode(F.array_compact(F.array(*(f"k_{name}" for name in keys)))).alias("key")).distinct()
     timeline = members.select("key", "at", "id", F.lit(False).alias("ask"))
     if near:

@@ -55,8 +55,11 @@ def links_of(spark, rows, percent):
     return banded.banded_links(frame, BAND, ["value"], {"words": percent})
 
 
-@pytest.mark.parametrize(("percent", "seed"), [(50, 1), (80, 2), (92, 3), (100, 4)])
-def test_links_equal_loops_over_all_pairs(spark, percent, seed):
+@pytest.mark.parametrize(("percent", "seed", "frequent", "slack"), [(50, 1, 200, 16), (80, 2, 200, 16), (92, 3, 3, 0), (100, 4, 1, -1), (75, 5, 10, -2)])
+def test_links_equal_loops_over_all_pairs(spark, monkeypatch, percent, seed, frequent, slack):
+    """Also where many tokens are frequent, and few are stored, so that sets are read again."""
+    monkeypatch.setattr(banded, "FREQUENT", frequent)
+    monkeypatch.setattr(banded, "SLACK", slack)
     chance = random.Random(seed)
     rows = []
     for k in range(160):
