@@ -82,7 +82,7 @@ def test_every_query_runs_on_empty_tables(spark, tmp_path):
 
 
 #: Columns that some rows of the rough tables lack.
-GAPS = {"documents": ("text", "lang"), "labels": ("toxic", "quality"), "pages": ("url", "html"), "conversations": ("text", "role"), "events": ("value", "ts"), "orders": ("o_orderdate", "o_orderpriority"), "lineitem": ("l_shipdate", "l_returnflag")}
+GAPS = {"documents": ("text", "lang"), "benchmark": ("text",), "labels": ("toxic", "quality"), "pages": ("url", "html"), "conversations": ("text", "role"), "events": ("value", "ts"), "orders": ("o_orderdate", "o_orderpriority"), "lineitem": ("l_shipdate", "l_returnflag")}
 
 
 def test_every_query_runs_on_rough_tables(spark, tmp_path):
