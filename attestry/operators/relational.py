@@ -96,11 +96,11 @@ def token_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> DataF
     Exact: a pair must share a token among the rarest few of each side, so only those meet.
     Sets are grouped first, so copies meet once, through a representative.
     """
-    sets = df.select(key, F.array_sort(F.array_distinct(tokens)).alias("__set")).where(F.size("__set") > 0)
+    sets = df.select(key, F.sort_array(F.array_distinct(tokens)).alias("__set")).where(F.size("__set") > 0)
     reps = sets.groupBy("__set").agg(F.min(key).alias("__rep"))
     counts = reps.select(F.explode("__set").alias("__token")).groupBy("__token").agg(F.count("*").alias("__n"))
     ranked = reps.select("__rep", F.size("__set").alias("__size"), F.explode("__set").alias("__token")).join(counts, "__token")
-    ordered = ranked.groupBy("__rep", "__size").agg(F.array_sort(F.collect_list(F.struct("__n", "__token"))).alias("__order"))
+    ordered = ranked.groupBy("__rep", "__size").agg(F.sort_array(F.collect_list(F.struct("__n", "__token"))).alias("__order"))
     prefix = F.slice("__order", F.lit(1), (F.col("__size") - F.ceil(F.col("__size") * threshold) + 1).cast("int"))
     placed = ordered.select("__rep", "__size", F.explode(prefix).alias("__head")).select("__rep", "__size", F.col("__head.__token").alias("__token"))
     a, b = placed.alias("a"), placed.alias("b")

@@ -21,7 +21,8 @@ def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents alike in their word trigrams."""
-    items = documents(spark, sf_dir).select("id", text.word_trigrams(text.normal_title(F.col("text"))).alias("grams"))
+    words = documents(spark, sf_dir).select("id", F.array_remove(F.split(text.normal_title(F.col("text")), " "), "").alias("words"))
+    items = words.select("id", text.trigram_hashes(F.col("words")).alias("grams"))
     return token_pairs(items, "id", "grams", CONTENT_NEAR).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
