@@ -76,5 +76,5 @@ def test_run_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
-def test_all_ten_are_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))
