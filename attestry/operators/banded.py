@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..storage import kept
 
 
 #: Tokens of more classes than this come last in the order; and tokens stored beside twice the lead.
@@ -32,13 +32,6 @@ FREQUENT, SLACK = 200, 16
 SMALL_IDS = 1 << 20
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hashed(tokens: Column) -> Column:
     """Tokens as distinct 64-bit numbers."""
     return F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
 from .web import plain, without_elements
 
 # Elements of HTML that have no content.
@@ -109,9 +110,9 @@ def items(pages: DataFrame, specs, key: str = "page_id", url: str = "url", html:
     else its text; a day is an attribute or a text.
     """
     spark = pages.sparkSession
-    events = tags(pages, key, html)
-    found = elements(events, key)
-    met = matches(found, selectors(spark, specs), key)
+    events = kept(tags(pages, key, html), "tags")
+    found = kept(elements(events, key), "elements")
+    met = kept(matches(found, selectors(spark, specs), key), "matches")
     item = met.where("role = 'item'").select(key, "spec", F.col("pos").alias("item"), F.col("last").alias("until"), "token")
     own = [(s[0], role) for s in specs for role, path in zip(ROLES, s[1:5], strict=True) if path == ""]
     itself = item.join(spark.createDataFrame(own or [(None, None)], "spec string, role string"), "spec").select(key, "spec", "role", "item", F.col("item").alias("pos"), F.col("until").alias("last"), "token")
