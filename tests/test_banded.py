@@ -107,3 +107,37 @@ def test_a_near_copy_of_a_late_copy_has_its_row(spark, tmp_path):
     assert at[20] - at[1] > 72 * 3600 >= at[21] - at[20]
     rows = dedup.pair_verdicts(spark, f"file://{tmp_path}").collect()
     assert [(r["a"], r["b"], r["method"], r["verdict"]) for r in rows] == [(20, 21, "JACCARD_TITLE", "DUPLICATE_CONTENT")] and rows[0]["content_overlap"] > 0.92
+
+
+def brute_pairs(rows, percent):
+    """First rows of equal sets, and pairs of them that are alike."""
+    first = {}
+    for k, w in rows:
+        if w:
+            first.setdefault(frozenset(w), k)
+    return {(min(i, j), max(i, j)) for (s, i), (u, j) in itertools.combinations(first.items(), 2) if 100 * len(s & u) >= percent * len(s | u)}
+
+
+@pytest.mark.parametrize(("carried", "sketched", "frequent", "slack"), [(256, 1024, 200, 16), (0, 1024, 5, 0), (0, 0, 5, 0), (20, 0, 1, 16), (20, 8, 3, 0)])
+def test_set_pairs_equal_brute_force(spark, monkeypatch, carried, sketched, frequent, slack):
+    for name, value in (("CARRIED", carried), ("SKETCHED", sketched), ("FREQUENT", frequent), ("SLACK", slack)):
+        monkeypatch.setattr(banded, name, value)
+    chance, base = random.Random(11), [f"b{k}" for k in range(25)]
+    rows = [(k, [w for w in base if chance.random() > chance.choice((0, 0.05, 0.1, 0.3))] if k % 2 else chance.sample("abcdefgh", chance.randint(0, 5))) for k in range(140)]
+    members, pairs = banded.set_pairs(spark.createDataFrame([*rows, rows[1]], "k long, w array<string>"), "k", "w", 72)
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert set(found) == brute_pairs(rows, 72) and len(found) == len(set(found))
+    sets = dict(rows)
+    assert {r["row"]: r["first"] for r in members.collect()} == {k: min(j for j in sets if set(sets[j]) == set(w)) for k, w in rows if w}
+
+
+@pytest.mark.parametrize("length", [8, 400])
+def test_unlike_sets_that_share_frequent_tokens_are_no_candidates(spark, monkeypatch, length):
+    """Sets of few frequent words, and long ones, are told apart where they meet: only answers are stored and compared."""
+    stored, keep = {}, banded.kept
+    monkeypatch.setattr(banded, "kept", lambda df, name: stored.setdefault(name, keep(df, name)))
+    chance = random.Random(2)
+    words = [f"w{k}" for k in range(3 * length)]
+    rows = [(k, chance.sample(words, length)) for k in range(300)] + [(900, words[:length]), (901, [*words[:length], "more"])]
+    found = {(r["a"], r["b"]) for r in banded.set_pairs(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", 80)[1].collect()}
+    assert (900, 901) in found and stored["met"].count() == len(found)
