@@ -132,3 +132,11 @@ def test_shapes_of_the_unsql_queries(spark):
     assert len({r["id"] for r in batch}) == len(batch) <= selections.BUDGET and sorted(r["pick"] for r in batch) == list(range(1, len(batch) + 1))
     assert {r["title"] for r in selections.reader_articles(spark, folder).where("id % 3 = 0").collect()} == {"Shown"}
     assert set(rules.QUERIES) >= {"m06_materiality", "m17_publication_gate"} and text.QUOTES
+
+
+def test_near_classes_of_stories_meet_through_their_first_rows(spark):
+    """18 common words of 25 are 72 %; equal sets of hashed runs of three words are one class."""
+    words = [f"w{k}" for k in range(25)]
+    rows = [(1, words), (2, words[:18]), (3, words[:17]), (4, words[::-1])]
+    found = {(r["a"], r["b"]): r["overlap"] for r in dedup.class_pairs(spark.createDataFrame(rows, "id long, w array<string>"), 72).collect()}
+    assert found == {(1, 2): 0.72, (2, 3): pytest.approx(17 / 18), (1, 4): 1.0}
