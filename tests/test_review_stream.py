@@ -3,7 +3,9 @@
 import datetime
 import itertools
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from attestry.streaming import review
@@ -65,3 +67,42 @@ def test_state_is_let_go(spark, stage):
     stage([claim(2, 300)])  # the watermark passes day 200
     found = stage([check(2, 301, "ENTAILED")])
     assert [(r["claim_id"], r["status"]) for r in found] == [(1, "PENDING_REVIEW"), (2, "PENDING_VERIFICATION"), (2, "AUTO_APPROVED")]
+
+
+class Held:
+    """A state and its timers, counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.writes = None, set(), 0
+        self.registerTimer, self.deleteTimer, self.listTimers = self.timers.add, self.timers.discard, lambda: iter(self.timers)
+
+    def getValueState(self, name, shape):  # noqa: N802
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+
+def test_neighbouring_claims_share_one_state_and_one_timer():
+    """A thousand claims are one write; each is expired at its own time, one timer after the other, until all are let go."""
+    us = lambda n: n * 86_400_000_000
+    rows = pd.DataFrame([(k, "claim", us(k % 40), None, 0, 0, 0) for k in range(1000)] + [(k, "check", us(50), "ENTAILED", 1, 0, 0) for k in range(500)], columns=["claim_id", "kind", "us", "verdict", "t1", "t2", "t3"])
+    held, machine = Held(), review.Review()
+    machine.init(held)
+    first = pd.concat(machine.handleInputRows((0,), iter([rows]), None))
+    assert (held.writes, len(held.timers)) == (1, 1) and first["status"].value_counts().to_dict() == {"AUTO_APPROVED": 500, "PENDING_VERIFICATION": 500}
+    expired, fired = [], 0
+    while held.timers:
+        timer, fired = min(held.timers), fired + 1
+        time = SimpleNamespace(getCurrentWatermarkInMs=lambda: timer + 1, getExpiryTimeInMs=lambda: timer)  # noqa: B023
+        expired += list(machine.handleExpiredTimer((0,), time, time))
+        held.timers.discard(timer)
+    found = pd.concat(expired)
+    assert sorted(found["claim_id"]) == list(range(500, 1000)) and (found["at"] == us(found["claim_id"] % 40 + 90)).all() and set(found["number"]) == {2}
+    assert held.value is None and fired <= 80
