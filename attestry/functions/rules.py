@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +22,22 @@ def any_contains(text: Column, terms) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Letters whose decomposition is one letter and marks, in lower case, with that letter; and đ."""
+    found = {"đ": "d"}
+    for c in map(chr, range(0xC0, 0x2000)):
+        bare = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")]
+        if len(bare) == 1 and bare[0] != c and c == c.lower():
+            found[c] = bare[0]
+    return "".join(found), "".join(found.values())
+
+
+_MARKED, _BARE = _bare_letters()
+
+
 def folded(text: Column) -> Column:
-    """Lower case without the accents of Vietnamese and its neighbours."""
-    plain = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
-    bare = "a" * 17 + "e" * 11 + "i" * 5 + "o" * 17 + "u" * 11 + "y" * 5 + "d"
-    return F.translate(F.lower(text), plain, bare)
+    """Lower case without any accents, whether they are part of a letter or stand behind it."""
+    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _BARE), r"\p{M}", "")
 
 
 def input_policy(now: str, horizon_days: int) -> Column:

@@ -294,6 +294,6 @@ ORACLE_SQL = {
     "j07_replay_cache": with_tables("docs", "SELECT CAST(k AS INT) AS sample, count(*) AS calls, count(DISTINCT content_hash) AS prompts FROM docs, range(3) r(k) WHERE content_hash NOT IN (SELECT content_hash FROM docs WHERE id % 5 = 0) GROUP BY k"),
     "k42_next_dates": with_tables("facts", """SELECT code, least(CASE WHEN effective > DATE '2026-08-06' THEN effective END, CASE WHEN expiry > DATE '2026-08-06' THEN expiry END, CASE WHEN forecast > DATE '2026-08-06' THEN forecast END) AS next_date,
       CASE WHEN age <= 7 THEN 15 WHEN age <= 30 THEN 12 WHEN age <= 90 THEN 8 WHEN age <= 180 THEN 4 ELSE 1 END AS freshness FROM (SELECT *, coalesce(greatest(DATE '2026-08-06' - published, 0), 0) AS age FROM facts)"""),
-    "k03_accent_fold": with_tables("docs", "SELECT id, regexp_replace(replace(replace(replace(replace(replace(lower(title), 'ç', ''), 'ñ', ''), 'ë', ''), 'ï', ''), 'ü', ''), '[^\\p{L} ]', '', 'g') AS t, regexp_replace(strip_accents(t), '[^a-z ]', '', 'g') AS folded FROM docs WHERE lang IN ('fr', 'es')").replace("SELECT id, regexp_replace(replace", "SELECT id, folded FROM (SELECT id, regexp_replace(replace", 1) + ")",
+    "k03_accent_fold": with_tables("docs", "SELECT id, regexp_replace(replace(strip_accents(lower(title)), 'đ', 'd'), '[^a-z ]', '', 'g') AS folded FROM docs WHERE lang IN ('fr', 'es')"),
     "f01_conversations": "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id",
 }

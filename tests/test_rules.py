@@ -96,3 +96,8 @@ def test_article_falls_back_to_the_body(spark):
     a = one(spark, web.article(F.col("h")), h=html)
     assert (a["title"], a["text"], a["note"]) == ("A & B", "short tail", "BODY")
     assert one(spark, web.pasted_links(F.col("h")), h="x https://a.vn/1). y\nhttps://a.vn/1\nnone") == ["https://a.vn/1"]
+
+
+def test_every_accent_is_folded(spark):
+    """As the canonical decomposition without its marks, and đ; letters of the title are kept."""
+    assert one(spark, rules.folded(F.col("h")), h="Ñandú Çà Ö Ä Ü ï ë Đường é Žå ß") == "nandu ca o a u i e duong e za ß"
