@@ -159,3 +159,20 @@ def test_unlike_sets_that_share_frequent_tokens_are_no_candidates(spark, monkeyp
     rows = [(k, chance.sample(words, length)) for k in range(300)] + [(900, words[:length]), (901, [*words[:length], "more"])]
     found = {(r["a"], r["b"]) for r in banded.set_pairs(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", 80)[1].collect()}
     assert (900, 901) in found and stored["met"].count() == len(found)
+
+
+@pytest.mark.parametrize("block", [1 << 21, 12_000])
+def test_large_sets_go_to_blocks_and_not_to_pairs(spark, monkeypatch, block):
+    """40 sets, all alike, and two of another kind: 781 pairs, each set once for every pair of blocks."""
+    monkeypatch.setattr(banded, "BLOCK", block)
+    words = list(range(200))
+    sets = {k: [w for w in words if w % 50 != k] for k in range(40)} | {100: list(range(1000, 1300)), 101: list(range(1000, 1290))}
+    rows = spark.createDataFrame(list(sets.items()), "id long, w array<long>")
+    pairs = [(p, q, len(sets[p]), len(sets[q])) for p, q in itertools.combinations(sets, 2) if (p < 100) == (q < 100)]
+    asked = spark.createDataFrame(pairs, "p long, q long, np int, nq int")
+    dealt, given = banded.blocked(asked, rows, "w")
+    blocks = len({b for r in dealt.collect() for b in (r["bp"], r["bq"])})
+    assert blocks == 1 if block > 12_000 else 2 < blocks < 12
+    assert given.count() <= len(sets) * (2 * blocks - 1) and dealt.count() == len(pairs)
+    found = {(r["p"], r["q"]): r["common"] for r in banded.counted(asked, rows, "w", 97).collect()}
+    assert found == {(p, q): len(set(sets[p]) & set(sets[q])) for p, q, n, m in pairs if 197 * len(set(sets[p]) & set(sets[q])) >= 97 * (n + m)}
