@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..storage import kept, scratch
 from .relational import rank_limited
 
+#: Components of more rows than this are grouped alone, smaller ones together up to about as many; members of near classes held at once.
+PACK, HELD = 1 << 14, 1 << 21
+
 
 def greedy(rows: list[dict], phases: list[tuple[str | None, int]], budget: int, per_source: int) -> list[dict]:
     """Picks in order: each phase takes rows of its mark until it has its number, a source gives
@@ -114,39 +119,100 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def complete_links(order: Iterable[int], pairs: set[tuple[int, int]]) -> list[list[int]]:
-    """Groups in which every two members are a pair: each node joins the first group that it fits."""
-    groups: list[list[int]] = []
-    for node in order:
-        for group in groups:
-            if all((min(node, m), max(node, m)) in pairs for m in group):
-                group.append(node)
+def near_classes(a: np.ndarray, b: np.ndarray) -> Callable[[int | None], set[int]]:
+    """What is near to a class, itself included, by links (a, b); no class is near to none."""
+    ends, order = np.concatenate([a, b]), np.argsort(np.concatenate([a, b]), kind="stable")
+    ends, others = ends[order], np.concatenate([b, a])[order]
+    held: dict[int, set[int]] = {}
+    room = HELD
+
+    def of(x: int | None) -> set[int]:
+        nonlocal room
+        if x is None:
+            return set()
+        if x not in held:
+            found = {x, *others[np.searchsorted(ends, x) : np.searchsorted(ends, x, "right")].tolist()}
+            if room < len(found):
+                held.clear()
+                room = HELD
+            held[x] = found
+            room -= len(found)
+        return held[x]
+
+    return of
+
+
+def first_fits(kinds: Iterable[tuple], near_title: Callable, near_text: Callable, days: int) -> list[tuple[int, int]]:
+    """(kind, story): each kind (id, day, market, title class, text class) joins the first story in which it is like every member.
+
+    A story is known by its range of days, its market and the classes of its members.
+    """
+    stories: list[list] = []
+    by_title: dict[int, list[int]] = {}
+    by_text: dict[int, list[int]] = {}
+    out = []
+    for kind, day, market, title, said in kinds:
+        titles, texts = near_title(title), near_text(said)
+        # the first member must be like it, too
+        asked = {k for t in titles & by_title.keys() for k in by_title[t]} | {k for t in texts & by_text.keys() for k in by_text[t]}
+        for k in sorted(asked):
+            first, low, high, where, members = stories[k]
+            if not (high - days <= day <= low + days) or (market is not None and where is not None and market != where):
+                continue
+            if members.keys() <= titles or all(t in titles or said_there <= texts for t, said_there in members.items()):
+                stories[k][1:4] = min(low, day), max(high, day), where if market is None else market
                 break
         else:
-            groups.append([node])
-    return groups
+            first, members, k = kind, {}, len(stories)
+            stories.append([kind, day, day, market, members])
+            by_title.setdefault(title, []).append(k)
+            by_text.setdefault(said, []).append(k)
+        members.setdefault(title, set()).add(said)
+        out.append((kind, first))
+    return out
+
+
+def stories_of(rows: DataFrame, links: DataFrame, days: int) -> DataFrame:
+    """(id, story): complete-link groups of rows, named by their first member.
+
+    ``rows``: id, place (its order), day (a number), market, and the classes of its title and of
+    its text, each named by its first row.  Two rows are of one story when their days lie within
+    ``days``, their markets are equal or one is null, and their titles or their texts are of one
+    class or of two that are linked.  ``links``: title (else text), a, b.
+
+    Rows of one kind, equal in all but id and place, join the story of the first of them: what
+    it is like they are like, so stories before that one refuse them, too.  So only the first
+    ones are grouped.  Only kinds of one component of classes and links can share a story, so
+    components are grouped apart, small ones some together.
+    """
+    lone = F.when(F.col("t").isNull() & F.col("g").isNull(), F.col("id"))
+    kind = F.min(F.struct("place", "id")).over(Window.partitionBy("t", "g", "day", "market", lone)).getField("id")
+    rows = kept(rows.select("id", "place", "day", "market", "t", "g").distinct().withColumn("kind", kind), "kinds")
+    kinds = rows.where("id = kind").drop("kind")
+    edges = kinds.select(F.explode(F.array("t", "g")).alias("a"), F.col("id").alias("b")).where("a <> b").unionByName(links.select("a", "b"))
+    component = connected(edges)
+    sizes = component.groupBy("component").agg(F.count("*").alias("n"))
+    packs = max(1, (sizes.where(F.col("n") <= PACK).agg(F.sum("n")).first()[0] or 0) // PACK)
+    part = F.when(F.col("n") > PACK, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(packs)))
+    parts = kept(component.join(sizes, "component").select("id", part.alias("part")), "parts")
+    schema = pa.schema([("kind", pa.int64()), ("story", pa.int64())])
+
+    def run(nodes: pa.Table, lines: pa.Table) -> pa.Table:
+        ordered = nodes.sort_by("place").select(["id", "day", "market", "t", "g"])
+        near = [near_classes(*(lines.filter(pc.equal(lines["title"], title))[c].to_numpy() for c in "ab")) for title in (True, False)]
+        found = first_fits(zip(*(c.to_pylist() for c in ordered.columns), strict=True), *near, days)
+        return pa.table([[k for k, _ in found], [s for _, s in found]], schema=schema)
+
+    nodes = kinds.join(parts, "id").select("part", "id", "place", "day", "market", "t", "g")
+    lines = links.join(parts.select(F.col("id").alias("a"), F.col("part").alias("beside")), "a").select("beside", "title", "a", "b")
+    grouped = nodes.groupBy("part").cogroup(lines.groupBy("beside")).applyInArrow(run, "kind long, story long")
+    return rows.join(grouped, "kind", "left").select("id", F.coalesce("story", "kind").alias("story"))
 
 
 def story_groups(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, story): complete-link groups of candidates, named by their first member.
-
-    Only nodes of one component of pairs can share a group, so components are grouped apart;
-    a candidate without a pair is a story of its own.  ``candidates``: id, place (its order).
-    """
-    component = connected(pairs)
-    schema = pa.schema([("id", pa.int64()), ("story", pa.int64())])
-
-    def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
-        order = [r["id"] for r in sorted(nodes.to_pylist(), key=lambda r: r["place"])]
-        groups = complete_links(order, {(r["a"], r["b"]) for r in links.to_pylist()})
-        return pa.table([[n for g in groups for n in g], [g[0] for g in groups for _ in g]], schema=schema)
-
-    nodes = candidates.join(component, "id")
-    links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(component.select(F.col("id").alias("a"), F.col("component").alias("part")), "a")
-    links = links.select(F.col("part").alias("component"), "a", "b")
-    grouped = nodes.select("component", "id", "place").groupBy("component").cogroup(links.groupBy("component")).applyInArrow(run, "id long, story long")
-    alone = candidates.join(component, "id", "left_anti").select("id", F.col("id").alias("story"))
-    return grouped.unionByName(alone)
+    """(id, story): complete-link groups of candidates (id, place) by pairs (a, b) of them, named by their first member."""
+    rows = candidates.select("id", "place", F.lit(0).alias("day"), F.lit(None).cast("string").alias("market"), F.col("id").alias("t"), F.lit(None).cast("long").alias("g"))
+    return stories_of(rows, pairs.select(F.lit(True).alias("title"), "a", "b"), 0)
 
 
 Rule = Callable[[DataFrame], Column]

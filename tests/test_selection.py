@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from attestry import bindings
 from attestry.functions import grounding, intelligence, repair, text
 from attestry.operators import relational, selection
 from attestry.plans import dedup, events, rules
@@ -140,3 +141,68 @@ def test_near_classes_of_stories_meet_through_their_first_rows(spark):
     rows = [(1, words), (2, words[:18]), (3, words[:17]), (4, words[::-1])]
     found = {(r["a"], r["b"]): r["overlap"] for r in dedup.class_pairs(spark.createDataFrame(rows, "id long, w array<string>"), 72).collect()}
     assert found == {(1, 2): 0.72, (2, 3): pytest.approx(17 / 18), (1, 4): 1.0}
+
+
+def told(pairs, order):
+    """Complete-link groups by a loop over all rows: each joins the first group that it is a pair with every member of."""
+    groups = []
+    for k in order:
+        group = next((g for g in groups if all((min(k, m), max(k, m)) in pairs for m in g)), None)
+        groups.append([k]) if group is None else group.append(k)
+    return {k: g[0] for g in groups for k in g}
+
+
+def story_documents(spark, folder, docs):
+    spark.createDataFrame([(k, t, "en", s, 1) for k, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{folder}/documents.parquet")
+    return f"file://{folder}"
+
+
+def test_every_copy_counts_for_its_own_day(spark, tmp_path):
+    """Copies 100 and 105 lie 35 hours apart but 29 days from the first one, 1, and 106 is near to them in text and in days."""
+    said = " ".join(f"word{k}" for k in range(100))
+    folder = story_documents(spark, tmp_path, [(1, f"Title a {said}", "src4"), (100, f"Title a {said}", "src4"), (105, f"Title a {said}", "src4"), (106, f"Title a {said} more", "src4")])
+    assert {r["id"]: r["story"] for r in selections.stories(spark, folder).collect()} == {1: 1, 100: 100, 105: 100, 106: 100}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stories_equal_a_loop_over_all_documents(spark, tmp_path, monkeypatch, seed):
+    """Copies, near titles, near texts, short titles and empty texts, over four markets and 90 days."""
+    monkeypatch.setattr(selection, "PACK", 40)
+    monkeypatch.setattr(selection, "HELD", 30)
+    chance = random.Random(seed)
+    heads = [[f"h{k}", *(f"t{n}" for n in range(8))] for k in range(3)]
+    bodies = [[f"b{k}x{n}" for n in range(60)] for k in range(4)]
+    docs = []
+    for k in range(260):
+        head, body = list(chance.choice(heads)), list(chance.choice(bodies))
+        if chance.random() < 0.5:
+            head[chance.randrange(9)] = f"own{chance.randrange(6)}"
+        if chance.random() < 0.5:
+            body[chance.choice((0, 30, 59))] = f"own{chance.randrange(4)}"
+        docs.append((k, chance.choice(("", "ab cd", " ".join(head) + "\n" + " ".join(body), " ".join(head) + "\n" + " ".join(body), " ".join(head) + f"\nalone {k}", f"alone{k} x\n" + " ".join(body))), f"src{chance.randrange(8)}"))
+    folder = story_documents(spark, tmp_path, docs)
+    rows = {r["id"]: r for r in bindings.documents(spark, folder).where("published is not null").join(bindings.sources(spark, folder).select(F.col("code").alias("source_code"), "market"), "source_code").select("id", "published", "market", "title", "text").collect()}
+    split = lambda x: x.replace("\n", " ").split()
+    grams = {k: {*zip(w, w[1:], w[2:], strict=False)} if len(w) >= 3 else {(x,) for x in w} for k, w in ((k, split(r["text"])) for k, r in rows.items())}
+    titles = {k: {x for x in split(r["title"]) if len(x) >= 2} for k, r in rows.items()}
+    alike = lambda a, b, percent: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+    def same(a, b):
+        x, y = rows[a], rows[b]
+        if abs((x["published"] - y["published"]).days) > 14 or (x["market"] and y["market"] and x["market"] != y["market"]):
+            return False
+        return (min(len(titles[a]), len(titles[b])) >= 3 and alike(titles[a], titles[b], 72)) or alike(grams[a], grams[b], 88)
+
+    pairs = {(a, b) for a in rows for b in rows if a < b and same(a, b)}
+    expected = told(pairs, sorted(rows))
+    assert {r["id"]: r["story"] for r in selections.stories(spark, folder).collect()} == expected
+    assert 20 < len(set(expected.values())) < len(rows)
+
+
+def test_only_the_first_of_a_kind_is_grouped(spark, monkeypatch):
+    """10,000 copies of one day and market are one row for the sequential part."""
+    seen = []
+    rows = spark.range(10_000).select("id", F.col("id").alias("place"), (F.col("id") % 2 * 20).cast("int").alias("day"), F.lit("VN").alias("market"), F.lit(0).cast("long").alias("t"), F.lit(None).cast("long").alias("g"))
+    monkeypatch.setattr(selection, "kept", lambda df, name, keep=selection.kept: seen.append((name, keep(df, name))) or seen[-1][1])
+    found = selection.stories_of(rows, spark.createDataFrame([], "title boolean, a long, b long"), 14).groupBy("story").count().collect()
+    assert {(r["story"], r["count"]) for r in found} == {(0, 5_000), (1, 5_000)} and dict(seen)["parts"].count() == 2
