@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import rules, text
-from attestry.operators.relational import as_of, token_pairs, union_by_precedence
+from attestry.operators.relational import all_token_pairs, as_of, paired_members, token_pairs, union_by_precedence
 from attestry.sources import web
 
 
@@ -101,3 +101,23 @@ def test_article_falls_back_to_the_body(spark):
 def test_every_accent_is_folded(spark):
     """As the canonical decomposition without its marks, and đ; letters of the title are kept."""
     assert one(spark, rules.folded(F.col("h")), h="Ñandú Çà Ö Ä Ü ï ë Đường é Žå ß") == "nandu ca o a u i e duong e za ß"
+
+
+def test_all_token_pairs_leave_no_copy_out(spark):
+    import itertools
+    import random
+
+    chance = random.Random(3)
+    rows = [(k, chance.sample("abcdefgh", chance.randint(0, 5))) for k in range(80)]
+    found = [(r["a"], r["b"], round(r["overlap"], 9)) for r in all_token_pairs(spark.createDataFrame([*rows, rows[5]], "k int, t array<string>"), "k", "t", 0.6).collect()]
+    expected = {(i, j, round(len({*s} & {*u}) / len({*s} | {*u}), 9)) for (i, s), (j, u) in itertools.combinations(rows, 2) if s and u and 10 * len({*s} & {*u}) >= 6 * len({*s} | {*u})}
+    assert len(found) == len(set(found)) and set(found) == expected and any(o == 1 for *_, o in expected)
+
+
+def test_large_groups_are_paired_in_chunks(spark):
+    members = spark.createDataFrame([(k, 0) for k in range(50)] + [(k, 50) for k in range(50, 70)] + [(70, 70)], "row long, first long")
+    met = paired_members(members, spark.createDataFrame([(0, 50, 0.9), (50, 70, 0.8)], "a long, b long, overlap double"), chunk=8)
+    found = [tuple(r) for r in met.select("a", "b", "overlap").collect()]
+    group = lambda k: 0 if k < 50 else 50 if k < 70 else 70
+    expected = {(a, b, {(0, 50): 0.9, (50, 70): 0.8}.get((group(a), group(b)), 1.0)) for a in range(71) for b in range(a + 1, 71) if (group(a), group(b)) != (0, 70)}
+    assert len(found) == len(expected) and set(found) == expected
